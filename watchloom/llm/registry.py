@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from watchloom.llm import line_dedup
+from watchloom.llm import line_dedup, packing, token_store
 
 QUERIES = {
     "op5_line_dedup": line_dedup.query,
+    "op7_best_fit_packing": packing.query,
+    "op10_token_store": token_store.query,
 }
 
-SQL = {"op5_line_dedup": line_dedup.SQL}
+SQL = {
+    "op5_line_dedup": line_dedup.SQL,
+}
