@@ -22,7 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20, max_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of each block."""
     col = batch.column(batch.schema.get_field_index(column))
     col = pc.fill_null(col.cast(pa.large_string()) if not pa.types.is_large_binary(col.type) else col, "")
@@ -35,7 +35,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + max_rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from watchloom.llm import line_dedup, packing, token_store
+from watchloom.llm import (
+    language_id,
+    line_dedup,
+    packing,
+    quality,
+    token_store,
+)
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op5_line_dedup": line_dedup.query,
     "op7_best_fit_packing": packing.query,
+    "op9_language_id": language_id.query,
     "op10_token_store": token_store.query,
 }
 
