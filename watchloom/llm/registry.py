@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from watchloom.llm import (
+    decontaminate,
     language_id,
     line_dedup,
     packing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": quality.query,
     "op5_line_dedup": line_dedup.query,
     "op7_best_fit_packing": packing.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
     "op10_token_store": token_store.query,
 }
