@@ -6,12 +6,14 @@ from watchloom.llm import (
     decontaminate,
     language_id,
     line_dedup,
+    minhash,
     packing,
     quality,
     token_store,
 )
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.query,
     "op2_quality": quality.query,
     "op5_line_dedup": line_dedup.query,
     "op7_best_fit_packing": packing.query,
