@@ -9,12 +9,14 @@ from watchloom.llm import (
     minhash,
     packing,
     quality,
+    suffix_dedup,
     token_store,
 )
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op2_quality": quality.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_line_dedup": line_dedup.query,
     "op7_best_fit_packing": packing.query,
     "op8_decontaminate": decontaminate.query,
