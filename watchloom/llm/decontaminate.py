@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.kernel import ALNUM, LOWER, U, blocks, ngram_hashes, window_min, word_hashes, word_runs
-from watchloom.llm.store import Store, table
+from watchloom.llm.store import Store, ahead, ddl, table
 
 WINDOW, K = 13, 5
 BLOCK_WINDOWS = 1 << 18
@@ -136,11 +136,15 @@ def benchmark_blocks(items: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[B
         yield Block.build(windows, prints)
 
 
+FOUND = ("n_words", "n_hit", "item_ids", "spans")
+
+
 def find(docs: DataFrame, items: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents with ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and ``spans`` of hit words [start, end)."""
+    docs = ahead(docs, *FOUND)
     spark, columns = docs.sparkSession, docs.columns
-    schema = lambda d: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
-    scan = lambda d, block: d.mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema(d))
+    added = ("n_words long", "n_hit long", "item_ids array<string>", "spans array<struct<start:int,end:int>>")
+    scan = lambda d, block: d.mapInArrow(_scan(spark.sparkContext.broadcast(block)), ddl(d, *added))
     stream = benchmark_blocks(items, limit)
     first, second = next(stream, Block()), next(stream, None)
     if second is None:
@@ -195,7 +199,9 @@ def contaminated() -> F.Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents of which less than a twentieth of the words is hit."""
-    return find(docs, items).where(~contaminated()).select(*docs.columns)
+    names = [f"_wl_{i}" if c.lower() in FOUND else c for i, c in enumerate(docs.columns)]  # found columns may be there already
+    clean = find(docs.toDF(*names), items).where(~contaminated())
+    return clean.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

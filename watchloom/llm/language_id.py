@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm.features import LETTERS, gram_counts, unit
 from watchloom.llm.kernel import blocks
-from watchloom.llm.store import table
+from watchloom.llm.store import ahead, ddl, table
 
 ORDERS = ((1, 8), (2, 10), (3, 12))  # order, bits
 ROWS = 256
@@ -107,13 +107,15 @@ def fit(rows: DataFrame, per_language: int = 600, centroids: int = 3, slack: flo
     return Model(idf, np.concatenate(c), np.array(names), np.array(bounds))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with ``lang_pred``, ``score`` and ``rejected``; nothing but the text decides."""
+def identify(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """The documents with ``lang_pred``, ``score`` and ``rejected`` behind the prefix; nothing but the text decides."""
+    added = [prefix + x for x in ("lang_pred", "score", "rejected")]
+    docs = ahead(docs, *added)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return docs.withColumns(dict(zip(added, (F.lit("und"), F.lit(0.0), F.lit(True)), strict=True)))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    ahead = docs.withColumn("_wl_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean"
+    marked = docs.withColumn("_wl_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = ddl(docs, *(f"{a} {t}" for a, t in zip(added, ("string", "double", "boolean"), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -124,9 +126,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 has = letter.slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
                 out = [pa.array(np.where(has, lang, "und"), pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(~(has & near))]
-                yield pa.RecordBatch.from_arrays(own + out, names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays(own + out, names=[*batch.schema.names[:-1], *added])
 
-    return ahead.mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, per_language: int = 600) -> DataFrame:
+    """The documents that the model does not reject, with what it found as their ``lang``; learned from their own labels."""
+    model = fit(docs.where(F.coalesce(remainder("doc_id", 5) != 0, F.lit(False))), per_language)
+    found = identify(docs, model, "_wl_").where("NOT _wl_rejected")
+    return found.select(*[F.col("_wl_lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

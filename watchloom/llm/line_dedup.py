@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.kernel import GOLD, U, mix
-from watchloom.llm.store import Store, table
+from watchloom.llm.store import Store, ahead, table
 
 BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 18
@@ -177,6 +177,7 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """The documents with ``n_lines``, ``n_dropped`` and the remaining ``kept_text``."""
         lost = self.drops().groupBy(F.col("doc_id").alias("_wl_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("_wl_lost"))
+        docs = ahead(docs, "n_lines", "n_dropped", "kept_text")
         d = docs.join(lost, F.col("doc_id").cast("long") == F.col("_wl_id"), "left")
         lines = _lines(F.col("text"))
         marked = F.when(F.col("_wl_lost").isNotNull(), F.zip_with(lines, _keys(lines), lambda x, k: F.struct(x.alias("x"), ((k.n >= self.min_chars) & F.array_contains(F.col("_wl_lost"), F.struct(k.hi.alias("hi"), k.lo.alias("lo")))).alias("out"))))
@@ -184,7 +185,7 @@ class LineIndex:
         some = F.col("_wl_lines").isNotNull()
         left = F.filter("_wl_lines", lambda z: ~z.out)
         return d.select(
-            *docs.columns,
+            *[F.col(f"`{c}`") for c in docs.columns],
             F.when(some, F.size("_wl_lines")).otherwise(F.size(lines)).cast("long").alias("n_lines"),
             F.when(some, F.size("_wl_lines") - F.size(left)).otherwise(0).cast("long").alias("n_dropped"),
             F.when(some, F.array_join(F.transform(left, lambda z: z.x), "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept_text"),
@@ -221,9 +222,13 @@ def _probe(held, shards: int):
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Documents with the lines that ``LineIndex`` drops taken out of ``text``."""
+    """Documents with the lines that ``LineIndex`` drops taken out of ``text``, and ``n_chars`` set to what is left."""
+    names = [f"_wl_{i}" if c.lower() in ("n_lines", "n_dropped", "kept_text") else c for i, c in enumerate(docs.columns)]
+    docs, columns = docs.toDF(*names), docs.columns
     out = LineIndex.empty(docs.sparkSession, min_chars, min_docs).insert(docs).apply(docs)
-    return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*[(new[n] if n in new else F.col(f"`{n}`")).alias(c) for n, c in zip(names, columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def dedup(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that have a near copy of smaller doc_id in their group."""
     groups = NearDuplicates(docs, ngram, percent).run()
     lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(lost.select(F.col("doc_id").alias("_wl_lost")), F.col("doc_id") == F.col("_wl_lost"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from watchloom.llm.features import gram_counts, owners, passages, unit
 from watchloom.llm.kernel import LOWER, blocks
 from watchloom.llm.language_id import remainder, sample_by_label
-from watchloom.llm.store import table
+from watchloom.llm.store import ahead, ddl, table
 
 PASSAGE = 1024
 BITS = 9
@@ -128,8 +128,9 @@ def fit(rows: DataFrame, per_label: int = 1500) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with ``score``; nothing but the text decides."""
+    docs = ahead(docs, "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    schema = ddl(docs, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

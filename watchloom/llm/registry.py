@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from watchloom.llm import (
+    ann,
+    chat_tree,
     decontaminate,
     language_id,
     line_dedup,
@@ -16,8 +18,10 @@ from watchloom.llm import (
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
     "op2_quality": quality.query,
+    "op3_ann_search": ann.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_chat_format": chat_tree.query,
     "op7_best_fit_packing": packing.query,
     "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
@@ -26,4 +30,5 @@ QUERIES = {
 
 SQL = {
     "op5_line_dedup": line_dedup.SQL,
+    "op6_chat_format": chat_tree.SQL,
 }

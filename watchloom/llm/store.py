@@ -12,6 +12,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +58,14 @@ class Store:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ahead(docs: DataFrame, *added: str) -> DataFrame:
+    """``docs`` without columns named like those an operator adds: the operator's column takes the name."""
+    names = {a.lower() for a in added}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+
+
+def ddl(docs: DataFrame, *added: str) -> str:
+    """The schema of ``docs`` with columns behind it, for map operators."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + list(added))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.kernel import BASE, GOLD, U, blocks, mix, powers, window_min
-from watchloom.llm.store import Store, table
+from watchloom.llm.store import Store, ahead, ddl, table
 
 SPAN, GRAM = 200, 32
 PLACE = U((1 << 24) - 1)
@@ -250,8 +250,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(d, t, lo, hi): stretches of bytes of the rows ``keyed`` names that strings of ``span`` bytes found elsewhere cover."""
     store = Store(docs.sparkSession, "suffix")
     base = keyed(docs).select(F.col("_wl_d").alias("d"), F.col("_wl_t").alias("t"), "text")
-    run, ddl = _places(span)
-    places = store.put(base.mapInArrow(run, ddl), "places")
+    run, types = _places(span)
+    places = store.put(base.mapInArrow(run, types), "places")
     anchors = store.put(places.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1").select("a", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
     store.release()
     again = store.put(places.join(anchors, "a"), "again")
@@ -263,19 +263,19 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     twice = mixed.join(kinds.where("k > 1").select("a", "c"), ["a", "c"], "left_semi")
     found = [store.put(whole(again.where("NOT mixed")).unionByName(whole(twice)), "whole")]
     wanted = kinds.groupBy("r.d", "r.t").agg(F.collect_list(F.struct("r.at", "r.n", "r.p")).alias("wanted"))
-    run, ddl = _halves(span)
-    halves = store.put(base.join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "wanted").mapInArrow(run, ddl), "halves")
+    run, types = _halves(span)
+    halves = store.put(base.join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "wanted").mapInArrow(run, types), "halves")
     store.drop("again")
     store.release()
     shared = store.put(halves.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
     rows = halves.join(shared, "key")
-    run, ddl = _arrays(span)
+    run, types = _arrays(span)
     columns = ["key", "d", "t", "lo", "bytes"]
-    found.append(rows.where(F.col("k") <= GROUP).select(columns).repartition("key").sortWithinPartitions("key", "d", "t", "lo").mapInArrow(run, ddl))
+    found.append(rows.where(F.col("k") <= GROUP).select(columns).repartition("key").sortWithinPartitions("key", "d", "t", "lo").mapInArrow(run, types))
     hot = rows.where(F.col("k") > GROUP)
     if not shared.where(F.col("k") > GROUP).isEmpty():
-        run, ddl = _strings(span)
-        strings = store.put(hot.select(columns).mapInArrow(run, ddl), "strings")
+        run, types = _strings(span)
+        strings = store.put(hot.select(columns).mapInArrow(run, types), "strings")
         often = strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x", "y")
         found.append(strings.join(often, ["x", "y"], "left_semi").select("d", "t", "lo", (F.col("lo") + span).alias("hi")))
     out = found[0]
@@ -289,9 +289,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans, kept_sha256, ``spans`` of removed bytes and the ``kept`` bytes."""
+    docs = ahead(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
     per = repeated_spans(docs, span).groupBy(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_wl_spans"))
-    joined = keyed(docs).join(per, ["_wl_d", "_wl_t"], "left").select(*docs.columns, "_wl_spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    joined = keyed(docs).join(per, ["_wl_d", "_wl_t"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_wl_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 mine = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(mine + [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*batch.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return joined.mapInArrow(run, kinds + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>, kept binary")
+    return joined.mapInArrow(run, ddl(docs, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "spans array<struct<lo:long,hi:long>>", "kept binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
