@@ -1,8 +1,14 @@
 """Registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
+from watchloom.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions matched by the cascade and scored against their labels."""
     return QUERIES["mention_prf1"](spark, sf_dir)
