@@ -19,6 +19,8 @@ rows. Other columns of the documents are carried along untouched by ``apply``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -121,19 +123,35 @@ def _keys(lines) -> F.Column:
 class LineIndex:
     """The index over some documents; every method returns a new state and leaves this one as it is."""
 
-    def __init__(self, store: Store, postings: DataFrame, min_chars: int, min_docs: int, shards: int | None = None):
-        self.store, self.min_chars, self.min_docs = store, min_chars, min_docs
-        n = store.root.rsplit("-", 1)[1] + f"-{id(self):x}"
-        self.postings = postings
+    def __init__(self, store: Store, postings: DataFrame, min_chars: int, min_docs: int, before: LineIndex | None = None):
+        self.store, self.min_chars, self.min_docs, self.postings = store, min_chars, min_docs, postings
         sums = postings.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("refs"), F.max("doc_id").alias("last_doc"))
-        self.counts = store.put(sums.where(F.col("refs") >= min_docs), f"counts-{n}")
-        self.shards = shards or max(1, -(-self.counts.count() // (SHARD_KEYS * 3 // 4)))
-        shard = F.pmod(F.col("hi"), F.lit(self.shards)).cast("int")
-        self.filters = store.put(self.counts.select(shard.alias("shard"), "hi").groupBy("shard").applyInPandas(_build, "shard int, n_keys long, filter binary"), f"filters-{n}")
+        self.counts = store.put(sums.where(F.col("refs") >= min_docs), self._name("counts"))
+        n = self.counts.count()
+        old = before is not None and before.shards and n <= SHARD_KEYS * before.shards
+        self.shards = before.shards if old else max(1, -(-n // (SHARD_KEYS * 3 // 4)))
+        shard = F.pmod(F.col("hi"), F.lit(self.shards)).cast("int").alias("shard")
+        keys = self.counts.select(shard, "hi", "lo")
+        if not old:
+            filters = keys.groupBy("shard").applyInPandas(_build, FILTER)
+        else:  # only the keys whose counts crossed the bound go in or out; a filter that gets full is built anew
+            held = before.counts.select(shard, "hi", "lo")
+            turned = keys.join(held, ["hi", "lo"], "left_anti").withColumn("out", F.lit(False)).unionByName(held.join(keys, ["hi", "lo"], "left_anti").withColumn("out", F.lit(True)))
+            changed = turned.groupBy("shard").cogroup(before.filters.groupBy("shard")).applyInPandas(_change, FILTER)
+            changed = store.put(changed, self._name("changed"))
+            filters = changed.where("filter IS NOT NULL").unionByName(keys.join(changed.where("filter IS NULL").select("shard"), "shard", "left_semi").groupBy("shard").applyInPandas(_build, FILTER))
+        self.filters = store.put(filters, self._name("filters"))
+
+    @staticmethod
+    def _name(what: str) -> str:
+        return f"{what}-{uuid.uuid4().hex[:10]}"
 
     @classmethod
     def empty(cls, spark: SparkSession, min_chars: int = 40, min_docs: int = 5) -> LineIndex:
-        return cls(Store(spark, "lines"), spark.createDataFrame([], "doc_id long, hi long, lo long"), min_chars, min_docs)
+        index = cls.__new__(cls)
+        index.store, index.min_chars, index.min_docs, index.shards = Store(spark, "lines"), min_chars, min_docs, 0
+        index.postings = None
+        return index
 
     def line_keys(self, docs: DataFrame) -> DataFrame:
         """(doc_id, hi, lo): the distinct long keys of each document."""
@@ -143,14 +161,15 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents; those of a doc_id that the index has already add the lines it did not have."""
-        new = self.store.put(self.line_keys(docs), f"postings-{id(docs):x}-{np.random.randint(1 << 30):x}")
-        held = self.postings
-        return LineIndex(self.store, new if held.isLocal() or held.isEmpty() else held.unionByName(new).distinct(), self.min_chars, self.min_docs)
+        new = self.store.put(self.line_keys(docs), self._name("postings"))
+        if self.postings is None:
+            return LineIndex(self.store, new, self.min_chars, self.min_docs)
+        return LineIndex(self.store, self.store.put(self.postings.unionByName(new).distinct(), self._name("postings")), self.min_chars, self.min_docs, self)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes the documents of these doc_ids out again: counts fall, and keys below the bound leave the filters."""
-        left = self.store.put(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), f"postings-{np.random.randint(1 << 30):x}")
-        return LineIndex(self.store, left, self.min_chars, self.min_docs)
+        left = self.store.put(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), self._name("postings"))
+        return LineIndex(self.store, left, self.min_chars, self.min_docs, self)
 
     def rounds(self) -> list[tuple[int, int]]:
         """Ranges of shards whose filters together stay within FILTER_BYTES."""
@@ -192,6 +211,27 @@ class LineIndex:
         )
 
 
+FILTER = "shard int, n_keys long, filter binary"
+
+
+def _change(turned: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter with keys taken out and put in; null where it has no room or does not exist yet."""
+    shard = int((turned if len(turned) else held)["shard"].iloc[0])
+    out = turned["hi"].to_numpy(np.int64).view(U)[turned["out"].to_numpy(bool)] if len(turned) else np.zeros(0, U)
+    new = turned["hi"].to_numpy(np.int64).view(U)[~turned["out"].to_numpy(bool)] if len(turned) else np.zeros(0, U)
+    blob, n = None, len(new)
+    if len(held):
+        f, n = CuckooFilter.load(bytes(held["filter"].iloc[0])), int(held["n_keys"].iloc[0]) + len(new) - len(out)
+        if n <= 0.9 * f.table.size:
+            try:
+                f.delete(out)
+                f.insert(new)
+                blob = f.dump()
+            except OverflowError:
+                blob = None
+    return pd.DataFrame({"shard": [shard], "n_keys": [n], "filter": [blob]})
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = pdf["hi"].to_numpy(np.int64).view(U)
     room = len(keys)

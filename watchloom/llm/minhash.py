@@ -10,10 +10,10 @@ Steps, over tables (nothing about documents is collected):
 1. signatures, next to the scan: set size, a 128-bit hash of the set, band hashes, 16 bits of each slot;
 2. texts with equal sets form a class, represented by its least doc_id; only representatives go on;
 3. within each band bucket every member is paired with the bucket's least member (a star, linear in the bucket); a pair
-   whose signatures agree in far fewer slots than the threshold is dropped (``margin`` is more than six standard
-   deviations), and of each member's pairs the likeliest is verified on the full shingle sets;
+   whose signatures agree in far fewer slots than the threshold is dropped (``margin`` is close to five standard
+   deviations of independent hashes, and more of these), and of each member's pairs the likeliest is verified on the full shingle sets;
 4. components of the verified links; members of a bucket that are still in different components are then compared with the
-   bucket's members by signature, in blocks, and every likely pair between two components is verified;
+   bucket's members by signature and parity map, in blocks, and every likely pair between two components is verified;
 5. components of all links; a class takes its representative's.
 
 With 32 bands of 5 slots, a pair at the threshold of 0.8 shares no bucket with a probability of about 3 in a million.
@@ -41,6 +41,7 @@ from watchloom.llm.store import Store, table
 BANDS, DEPTH = 32, 5
 SLOTS = BANDS * DEPTH
 CHUNK = 2048
+MAP = 4096  # bits of the parity map of a set
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +106,23 @@ def _describe(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a.view(np.int64), b.view(np.int64), band.view(np.int64), (mix(low) >> U(48)).astype(np.uint16)
 
 
+def parity_maps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, MAP / 8) bytes: each shingle flips one bit. Two maps differ in at most as many bits as their sets in shingles."""
+    n = len(first) - 1
+    own = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(own * MAP + (mix(h + U(21)) & U(MAP - 1)).astype(np.int64), minlength=n * MAP) & 1
+    return np.packbits(odd.astype(bool).reshape(n, MAP), axis=1)
+
+
 def signatures(docs: DataFrame, ngram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in blocks(batch, max_bytes=1 << 19, max_rows=4096):
+            for lo, hi, data, offs in blocks(batch, max_bytes=1 << 19, max_rows=512):
                 h, first = shingles(data, offs, ngram)
                 a, b, band, bits = _describe(h, first)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n_shingles": pa.array(np.diff(first)), "set_a": a, "set_b": b, "bands": pa.array(list(band), pa.list_(pa.int64())), "bits": [x.tobytes() for x in bits]})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n_shingles": pa.array(np.diff(first)), "set_a": a, "set_b": b, "bands": pa.array(list(band), pa.list_(pa.int64())), "bits": [x.tobytes() for x in bits], "parity": [x.tobytes() for x in parity_maps(h, first)]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary, parity binary")
 
 
 def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, threshold: float) -> np.ndarray:
@@ -123,12 +132,22 @@ def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
     return np.where(fits & (share >= least), share, -1.0)
 
 
+def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the parity maps leave the pair's similarity a chance to reach the threshold; never wrong about a no."""
+    most = (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9
+    return np.bitwise_count(a ^ b).sum(-1) <= most
+
+
+def _maps(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), MAP // 64)
+
+
 def _bits(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint16).reshape(len(col), SLOTS)
 
 
 class NearDuplicates:
-    def __init__(self, docs: DataFrame, ngram: int = 2, percent: int = 80, margin: float = 0.25):
+    def __init__(self, docs: DataFrame, ngram: int = 2, percent: int = 80, margin: float = 0.15):
         self.spark, self.docs, self.ngram, self.percent = docs.sparkSession, docs, ngram, percent
         self.least, self.store = percent / 100 - margin, Store(docs.sparkSession, "minhash")
 
@@ -174,23 +193,25 @@ class NearDuplicates:
         """Likely pairs between members of one bucket that are in different components.
 
         A member outside its bucket's largest component meets all the bucket's members, in chunks of members: chunks and
-        the members sent to them are dealt over tasks, and only likely pairs come out.
+        the members sent to them are dealt over tasks. Only pairs come out that neither the slots nor the parity maps rule
+        out: these bound the sets' difference from below, so hardly any pair under the threshold is left.
         """
         sizes = open_rows.groupBy("key", "root").count()
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", F.negative("root"))).alias("main"), F.sum("count").alias("n"))
-        rows = self.store.put(open_rows.join(main, "key").join(reps.select("doc_id", "n_shingles", "bits"), "doc_id"), "open-rows")
+        rows = self.store.put(open_rows.join(main, "key").join(reps.select("doc_id", "n_shingles", "bits", "parity"), "doc_id"), "open-rows")
         again = self.spark.read.schema(rows.schema).parquet(self.store.path("open-rows"))
         chunks = F.ceil(F.col("n") / CHUNK).cast("int")
         held = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
         sent = again.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        least, threshold, cols = self.least, self.percent / 100, ["key", "chunk", "doc_id", "root", "n_shingles", "bits"]
+        least, threshold, cols = self.least, self.percent / 100, ["key", "chunk", "doc_id", "root", "n_shingles", "bits", "parity"]
 
         def run(sent: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(sent) and len(held):
-                bits, n, ids, roots = _bits(held["bits"]), held["n_shingles"].to_numpy(), held["doc_id"].to_numpy(), held["root"].to_numpy()
-                for d, r, k, b in zip(sent["doc_id"], sent["root"], sent["n_shingles"], _bits(sent["bits"]), strict=True):
-                    ok = (_agree(bits, b, n, np.int64(k), least, threshold) >= 0) & (roots != r)
+                bits, maps, n = _bits(held["bits"]), _maps(held["parity"]), held["n_shingles"].to_numpy()
+                ids, roots = held["doc_id"].to_numpy(), held["root"].to_numpy()
+                for d, r, k, b, m in zip(sent["doc_id"], sent["root"], sent["n_shingles"], _bits(sent["bits"]), _maps(sent["parity"]), strict=True):
+                    ok = (_agree(bits, b, n, np.int64(k), least, threshold) >= 0) & _near(maps, m, n, np.int64(k), threshold) & (roots != r)
                     out += [(min(d, x), max(d, x)) for x in ids[ok]]
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -203,7 +224,7 @@ class NearDuplicates:
         full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = store.put(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes")
         picked = full.join(classes, (full.doc_id == classes.class_id) & (full.set_a == classes.set_a) & (full.set_b == classes.set_b), "left_semi")
-        reps = store.put(picked.dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "bands", "bits"), "representatives")
+        reps = store.put(picked.dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "bands", "bits", "parity"), "representatives")
         rows = reps.select(F.explode("bands").alias("key"), "doc_id")
         centres = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
         members = store.put(rows.join(centres, "key"), "members")
