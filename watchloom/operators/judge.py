@@ -57,7 +57,7 @@ def rule(query: Column, candidate: Column, context: Column, similarity: Column |
         .when(q == c, pair("exact", 0.98))
         .when(F.array_sort(q) == F.array_sort(c), pair("out_of_order", 0.90))
         .when(initial, pair("initial", 0.80))
-        .when(same_last & (F.size(q) >= 2) & (F.size(c) >= 2) & (long(first(q)) == long(first(c))), pair("nickname", 0.85))
+        .when(same_last & (F.size(q) >= 2) & (F.size(c) >= 2) & (first(q) != first(c)) & (long(first(q)) == long(first(c))), pair("nickname", 0.85))
         .when((F.size(F.array_except(q, c)) == 0) & (F.size(q) >= 2), pair("missing_components", 0.80))
         .when((F.size(q) == 1) & same_last & (F.size(c) >= 2), pair("partial_last", 0.60))
         .when(sounds == F.transform(c, lambda t: F.soundex(t)), pair("phonetic", 0.75))
