@@ -120,41 +120,47 @@ TITLE_WORDS = [
 ]
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (name, start, stop) of a pattern's matches: lengths of matches and of the gaps between them, summed up."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
 
-    def one(m: Column, i: Column) -> Column:
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-        start = total(F.slice(gaps, 1, i + 1)) + total(F.slice(found, 1, i))
-        return F.struct(m.alias("name"), start.alias("start"), (start + F.length(m)).alias("stop"))
+    def places(z: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            start = total(F.slice(z.gaps, 1, i + 1)) + total(F.slice(z.found, 1, i))
+            return F.struct(m.alias("name"), start.alias("start"), (start + F.length(m)).alias("stop"))
 
-    return F.transform(found, one)
+        return F.transform(z.found, one)
+
+    # bound once, so that the text is searched once however many matches there are
+    bound = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.call_function("split", text, p, F.lit(-1)).alias("gaps"))
+    return F.flatten(F.transform(F.array(bound), places))
 
 
 def _any_in(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
 
 
-def title_confidence(name: Column, context: Column, category: str) -> Column:
+def title_confidence(name: Column, context: Column, category: Column) -> Column:
     c = F.lit(0.7) + F.when(_any_in(name, SPECIFIC_TITLES), 0.1).otherwise(0.0)
-    if category in CATEGORY_WORDS:
-        c = c + F.when(_any_in(context, CATEGORY_WORDS[category]), 0.15).otherwise(0.0)
-    return F.least(F.lit(1.0), c)
+    near = reduce(lambda a, b: a | b, [(category == k) & _any_in(context, w) for k, w in CATEGORY_WORDS.items()])
+    return F.least(F.lit(1.0), c + F.when(near, 0.15).otherwise(0.0))
+
+
+def _span(category, confidence):
+    """What makes a span of a match."""
+    c = F.lit(category) if isinstance(category, str) else category
+    return lambda m: F.struct(m["name"].alias("name"), c.alias("category"), m.start.alias("start"), m.stop.alias("stop"), confidence(m).alias("confidence"))
 
 
 def titles(text: Column) -> Column:
-    """All title matches of all categories, unresolved."""
-    parts = []
-    for category, patterns in TITLES.items():
-        for p in patterns:
-            parts.append(F.transform(matches(text, f"(?i){p}"), _span(category, lambda m, c=category: title_confidence(m["name"], window(text, m.start, m.stop), c))))
-    return F.concat(*parts)
+    """All title matches of all categories, unresolved. The patterns are an array, so the plan does not grow with them."""
+    every = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(f"(?i){p}").alias("pattern")) for c, patterns in TITLES.items() for p in patterns])
 
+    def of(t: Column) -> Column:
+        return F.transform(matches(text, t.pattern), _span(t.category, lambda m: title_confidence(m["name"], window(text, m.start, m.stop), t.category)))
 
-def _span(category: str, confidence):
-    """What makes a span of a match."""
-    return lambda m: F.struct(m["name"].alias("name"), F.lit(category).alias("category"), m.start.alias("start"), m.stop.alias("stop"), confidence(m).alias("confidence"))
+    return F.flatten(F.transform(every, of))
 
 
 def clean_organisation(name: Column) -> Column:
