@@ -139,3 +139,14 @@ def phrase_in(term_tokens, text_tokens) -> Column:
 def matched_share(term_tokens, text_tokens) -> Column:
     x = F.array_distinct(col(term_tokens))
     return F.size(F.array_intersect(x, col(text_tokens))) / F.size(x)
+
+
+# Language editions to ask, in this order.
+LANGUAGES = ["en", "ru", "ar", "zh", "ja", "ko", "hi", "es", "fr", "de"]
+
+
+def language_order(detected) -> Column:
+    """English, the detected language, then the others."""
+    d = col(detected)
+    first = F.when(d.isNotNull(), F.array(F.lit("en"), d)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(first, F.array(*[F.lit(x) for x in LANGUAGES])))

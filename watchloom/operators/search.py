@@ -52,11 +52,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, where=None) -> DataF
     return top(pairs.select("query", "doc", cosine("_q", "_v").alias("score")), k)
 
 
-def char_trigram_vector(text) -> F.Column:
-    """Hashed counts of character trigrams in 64 places: the default for names when no encoder is given."""
+def trigrams(text) -> F.Column:
     t = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.substring(t, i, F.lit(3)).cast("binary")), F.lit(64)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(grams, lambda g: g == i)).cast("double"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+
+
+def trigram_nearest(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Top-k by cosine of trigram counts, the default "semantic" ranking of names. queries: query; docs: doc, text. Only
+    pairs that share a trigram have a cosine above 0, so the pairs come from an equi-join and sums over it."""
+    q = queries.select("query", F.explode(trigrams(F.col("query"))).alias("g")).groupBy("query", "g").agg(F.count(F.lit(1)).alias("x"))
+    d = docs.select("doc", F.explode(trigrams(F.col("text"))).alias("g")).groupBy("doc", "g").agg(F.count(F.lit(1)).alias("y"))
+    nq = q.groupBy("query").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    nd = d.groupBy("doc").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
+    both = q.join(d, "g").groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    return top(both.join(nq, "query").join(nd, "doc").select("query", "doc", (F.col("xy") / (F.col("nx") * F.col("ny"))).alias("score")), k)
+
+
+def bm25_fields(queries: DataFrame, docs: DataFrame, query: str, query_text: str, doc: str, fields: dict[str, float], best: bool = False) -> DataFrame:
+    """BM25 of several fields, weighted; their sum, or the best field."""
+    every = None
+    for field, weight in fields.items():
+        one = bm25(queries, docs, query, query_text, doc, field).withColumn("score", F.col("score") * weight)
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("query", "doc").agg((F.max if best else F.sum)("score").alias("score"))
+
+
+def hybrid(names: DataFrame, entities: DataFrame, k: int = 2) -> DataFrame:
+    """(name, entity_id, score) for the cascade: lexical ranks (name 3, description 1.5) and trigram ranks, fused."""
+    q = names.select(F.col("name").alias("query"))
+    lexical = top(bm25_fields(q.withColumn("t", F.col("query")), entities, "query", "t", "entity_id", {"name": 3.0, "description": 1.5}), 50)
+    near = trigram_nearest(q, entities.select(F.col("entity_id").alias("doc"), F.col("name").alias("text")), 50)
+    return fuse([lexical, near], k).select(F.col("query").alias("name"), F.col("doc").alias("entity_id"), "score")
 
 
 def text_score(q, name, full: bool = True) -> F.Column:

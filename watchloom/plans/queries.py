@@ -341,6 +341,59 @@ def bm25_topk(spark, sf):
     return S.top(_bm25(spark, sf), 8).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_cte(name: str, field: str, weight: float) -> str:
+    """BM25 of one field of wl for the names of q1, in SQL."""
+    return f"""d_{name} AS (SELECT entity_id AS doc, {tok(field)} AS ts FROM wl), tot_{name} AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d_{name}),
+tf_{name} AS (SELECT term, doc, dl, count(*) AS tf FROM (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM d_{name}) GROUP BY ALL),
+df_{name} AS (SELECT term, count(*) AS df FROM tf_{name} GROUP BY term),
+s_{name} AS (SELECT query, doc, {weight}e0 * sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * dl / av))) AS score
+  FROM q1 JOIN tf_{name} USING (term) JOIN df_{name} USING (term) CROSS JOIN tot_{name} GROUP BY query, doc)"""
+
+
+FIELDS = f"q1 AS (SELECT DISTINCT name AS query, unnest(list_distinct({tok('name')})) AS term FROM mentions WHERE mention_id < 200), {bm25_cte('name', 'name', 3.0)}, {bm25_cte('text', 'description', 1.5)}"
+
+
+@query("bm25_field_boost", f"+ {FIELDS} SELECT query, doc, round(sum(score), 6) AS score FROM (SELECT * FROM s_name UNION ALL SELECT * FROM s_text) GROUP BY query, doc")
+def bm25_field_boost(spark, sf):
+    q = mentions(spark, sf).where("mention_id < 200").select(F.col("name").alias("query"), F.col("name").alias("t")).distinct()
+    return S.bm25_fields(q, entities(spark, sf), "query", "t", "entity_id", {"name": 3.0, "description": 1.5}).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+@query("bm25_best_field", f"+ {FIELDS} SELECT query, doc, round(max(score), 6) AS score FROM (SELECT * FROM s_name UNION ALL SELECT * FROM s_text) GROUP BY query, doc")
+def bm25_best_field(spark, sf):
+    q = mentions(spark, sf).where("mention_id < 200").select(F.col("name").alias("query"), F.col("name").alias("t")).distinct()
+    return S.bm25_fields(q, entities(spark, sf), "query", "t", "entity_id", {"name": 3.0, "description": 1.5}, best=True).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+GRAMS = "list_transform(range(1, greatest(length({0}) + 2 - 2, 1) + 1), lambda i: substr(' ' || lower({0}) || ' ', i, 3))"
+
+
+@query(
+    "trigram_nearest",
+    f"""+ q AS (SELECT query, g, count(*) AS x FROM (SELECT name AS query, unnest({GRAMS.format('name')}) AS g FROM (SELECT DISTINCT name FROM mentions)) GROUP BY ALL),
+d AS (SELECT doc, g, count(*) AS y FROM (SELECT entity_id AS doc, unnest({GRAMS.format('name')}) AS g FROM wl) GROUP BY ALL),
+s AS (SELECT query, doc, sum(x * y) / ((SELECT sqrt(sum(x * x)) FROM q a WHERE a.query = q.query) * (SELECT sqrt(sum(y * y)) FROM d b WHERE b.doc = d.doc)) AS score FROM q JOIN d USING (g) GROUP BY query, doc)
+SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 3""",
+)
+def trigram_nearest(spark, sf):
+    q = mentions(spark, sf).select(F.col("name").alias("query")).distinct()
+    d = entities(spark, sf).select(F.col("entity_id").alias("doc"), F.col("name").alias("text"))
+    return S.trigram_nearest(q, d, 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("mention_cascade_hybrid")
+def mention_cascade_hybrid(spark, sf):
+    """The whole cascade: exact, alias, then the two best of the fused lexical and trigram ranks."""
+    e = entities(spark, sf)
+    found = C.cascade(mentions(spark, sf), e, lambda names: S.hybrid(names, e))
+    return found.select("mention_id", "entity_id", "match_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query("language_priority", "SELECT doc_id, array_to_string(list_distinct_order, ',') AS languages FROM (SELECT doc_id, CASE lang WHEN 'en' THEN ['en','ru','ar','zh','ja','ko','hi','es','fr','de'] WHEN 'de' THEN ['en','de','ru','ar','zh','ja','ko','hi','es','fr'] WHEN 'fr' THEN ['en','fr','ru','ar','zh','ja','ko','hi','es','de'] ELSE ['en','es','ru','ar','zh','ja','ko','hi','fr','de'] END AS list_distinct_order FROM documents)", cte=False)
+def language_priority(spark, sf):
+    return parquet(spark, sf, "documents").select("doc_id", F.array_join(T.language_order("lang"), ",").alias("languages"))
+
+
 COSQ = """
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 cs AS (SELECT a.id AS query, b.id AS doc, greatest(0e0, list_cosine_similarity(a.v, b.v)) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id < 10),
