@@ -71,7 +71,9 @@ def test_minhash_matches_all_pairs(spark, ngram):
     assert got == minhash.brute_force(ROWS, ngram)
 
 
-def test_minhash_links_a_chain_whose_ends_are_far_apart(spark):
+@pytest.mark.parametrize("chunk", [2, 2048])
+def test_minhash_links_a_chain_whose_ends_are_far_apart(spark, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)  # buckets over a chunk go another way
     words = [f"u{i}" for i in range(400)]
     rows = [(100 + i, " ".join(words[20 * i : 20 * i + 200])) for i in range(8)]  # neighbours share 90 % of their words
     R.shuffle(rows)
@@ -103,6 +105,17 @@ def test_superminhash_estimates_similarity():
     assert (tiny < 2**63).all()  # every slot is filled, even from three elements
 
 
+def test_parity_maps_never_rule_out_a_near_pair():
+    r = np.random.RandomState(3)
+    for n in (3, 40, 700, 9000):
+        x = np.unique(r.randint(0, 2**63, n + n // 4).astype(np.uint64))
+        a, b = x[:n], x[len(x) - n :]
+        both = len(np.intersect1d(a, b))
+        maps = minhash._maps([m.tobytes() for m in minhash.parity_maps(np.concatenate([a, b]), np.array([0, n, 2 * n]))])
+        threshold = both / (2 * n - both)
+        assert minhash._near(maps[:1], maps[1], np.array([n]), np.int64(n), threshold)[0]
+
+
 # --- lines
 
 

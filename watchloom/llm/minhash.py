@@ -13,7 +13,8 @@ Steps, over tables (nothing about documents is collected):
    whose signatures agree in far fewer slots than the threshold is dropped (``margin`` is close to five standard
    deviations of independent hashes, and more of these), and of each member's pairs the likeliest is verified on the full shingle sets;
 4. components of the verified links; members of a bucket that are still in different components are then compared with the
-   bucket's members by signature and parity map, in blocks, and every likely pair between two components is verified;
+   bucket's members by signature and parity map, in blocks: first the likeliest pairs that would join components are
+   verified, then every likely pair between components that are apart even so;
 5. components of all links; a class takes its representative's.
 
 With 32 bands of 5 slots, a pair at the threshold of 0.8 shares no bucket with a probability of about 3 in a million.
@@ -142,6 +143,25 @@ def _maps(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), MAP // 64)
 
 
+def _forest(pairs: list[tuple]) -> list[tuple]:
+    """Of (share, root, other root, ...) those that join components, likeliest first."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for p in sorted(pairs, key=lambda p: (-p[0], *p[1:])):
+        a, b = top(p[1]), top(p[2])
+        if a != b:
+            up[b] = a
+            out.append(p)
+    return out
+
+
 def _bits(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint16).reshape(len(col), SLOTS)
 
@@ -189,33 +209,82 @@ class NearDuplicates:
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
-    def rest(self, open_rows: DataFrame, reps: DataFrame) -> DataFrame:
+    def open_rows(self, members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """(key, doc_id, root) of buckets whose members are in different components; of buckets with the same members one."""
+        rooted = members.join(roots, members.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y")]
+        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+        return self.store.put(rooted.join(split, "key", "left_semi"), f"open-{name}")
+
+    def rest(self, open_rows: DataFrame, reps: DataFrame, name: str, forest: bool) -> DataFrame:
         """Likely pairs between members of one bucket that are in different components.
 
-        A member outside its bucket's largest component meets all the bucket's members, in chunks of members: chunks and
-        the members sent to them are dealt over tasks. Only pairs come out that neither the slots nor the parity maps rule
-        out: these bound the sets' difference from below, so hardly any pair under the threshold is left.
+        A member outside its bucket's largest component meets all the bucket's members. Buckets of up to ``CHUNK`` members
+        stream through their tasks, sorted; larger ones are cut into chunks of members, and the chunks and the members sent
+        to them are dealt over tasks. Only pairs come out that neither the slots nor the parity maps rule
+        out: these bound the sets' difference from below, so hardly any pair under the threshold is left. ``forest`` puts out
+        only the likeliest of them that would join components, a pair for each joining; else all come out.
         """
         sizes = open_rows.groupBy("key", "root").count()
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", F.negative("root"))).alias("main"), F.sum("count").alias("n"))
-        rows = self.store.put(open_rows.join(main, "key").join(reps.select("doc_id", "n_shingles", "bits", "parity"), "doc_id"), "open-rows")
-        again = self.spark.read.schema(rows.schema).parquet(self.store.path("open-rows"))
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        held = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-        sent = again.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        least, threshold, cols = self.least, self.percent / 100, ["key", "chunk", "doc_id", "root", "n_shingles", "bits", "parity"]
-
-        def run(sent: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = self.store.put(open_rows.join(main, "key").join(reps.select("doc_id", "n_shingles", "bits", "parity"), "doc_id"), f"rows-{name}")
+        again = self.spark.read.schema(rows.schema).parquet(self.store.path(f"rows-{name}"))
+        least, threshold = self.least, self.percent / 100
+
+        def links(ids, roots, n, bits, maps, sent) -> list[tuple]:
+            """Of the members ``sent`` (doc_id, root, size, slots, map) against the others: (share, root, root, a, b)."""
+            out = []
+            for d, r, k, b, m in sent:
+                at = np.flatnonzero((roots != r) & _near(maps, m, n, np.int64(k), threshold))
+                if not len(at):
+                    continue
+                share = _agree(bits[at], b, n[at], np.int64(k), least, threshold)
+                at, share = at[share >= 0], share[share >= 0]
+                if forest and len(at):  # the likeliest of each component
+                    order = np.lexsort((ids[at], -share))
+                    _, first = np.unique(roots[at[order]], return_index=True)
+                    at, share = at[order[first]], share[order[first]]
+                out += [(s, int(r), int(roots[i]), int(min(d, ids[i])), int(max(d, ids[i]))) for i, s in zip(at, share, strict=True)]
+            return _forest(out) if forest else out
+
+        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def work(t: pa.Table) -> pa.RecordBatch:
+                key, ids, roots, main, n = (t[c].to_numpy() for c in ("key", "doc_id", "root", "main", "n_shingles"))
+                bits, maps, out = _bits(t["bits"].to_pylist()), _maps(t["parity"].to_pylist()), []
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    at = a + np.flatnonzero(roots[a:b] != main[a:b])
+                    out += links(ids[a:b], roots[a:b], n[a:b], bits[a:b], maps[a:b], zip(ids[at], roots[at], n[at], bits[at], maps[at], strict=True))
+                pairs = sorted({x[3:] for x in out})
+                return pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in pairs], pa.int64()) for i, c in enumerate("ab")})
+
+            left = None
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                t = t if left is None else pa.concat_tables([left, t])
+                edge = np.flatnonzero(np.diff(t["key"].to_numpy())) + 1
+                cut = int(edge[-1]) if len(edge) else 0
+                left = t.slice(cut)
+                if cut:
+                    yield work(t.slice(0, cut))
+            if left is not None and len(left):
+                yield work(left)
+
+        def large(sent: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(sent) and len(held):
-                bits, maps, n = _bits(held["bits"]), _maps(held["parity"]), held["n_shingles"].to_numpy()
-                ids, roots = held["doc_id"].to_numpy(), held["root"].to_numpy()
-                for d, r, k, b, m in zip(sent["doc_id"], sent["root"], sent["n_shingles"], _bits(sent["bits"]), _maps(sent["parity"]), strict=True):
-                    ok = (_agree(bits, b, n, np.int64(k), least, threshold) >= 0) & _near(maps, m, n, np.int64(k), threshold) & (roots != r)
-                    out += [(min(d, x), max(d, x)) for x in ids[ok]]
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-        return sent.select(cols).groupBy("key", "chunk").cogroup(held.select(cols).groupBy("key", "chunk")).applyInPandas(run, "a long, b long").distinct()
+                mine = zip(sent["doc_id"], sent["root"], sent["n_shingles"], _bits(sent["bits"]), _maps(sent["parity"]), strict=True)
+                out = links(held["doc_id"].to_numpy(), held["root"].to_numpy(), held["n_shingles"].to_numpy(), _bits(held["bits"]), _maps(held["parity"]), mine)
+            return pd.DataFrame([x[3:] for x in out], columns=["a", "b"], dtype="int64")
+
+        cols = ["key", "doc_id", "root", "main", "n_shingles", "bits", "parity"]
+        few = rows.where(F.col("n") <= CHUNK).select(cols).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(small, "a long, b long")
+        chunks, many = F.ceil(F.col("n") / CHUNK).cast("int"), F.col("n") > CHUNK
+        held = rows.where(many).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+        sent = again.where(many & (F.col("root") != F.col("main"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        cols = ["key", "chunk", *cols[1:]]
+        lots = sent.select(cols).groupBy("key", "chunk").cogroup(held.select(cols).groupBy("key", "chunk")).applyInPandas(large, "a long, b long")
+        return few.unionByName(lots).distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id and class_id (least doc_id with the same set), a row for each row of the input."""
@@ -235,13 +304,15 @@ class NearDuplicates:
         texts = store.put(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
         store.release()
         links = store.put(self.verify(best, texts).select("u", "v"), "links")
-        first = components(links, store, "first")
-        rooted = members.join(first, members.doc_id == first.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_rows = store.put(rooted.join(split, "key", "left_semi"), "open")
-        more = store.put(self.verify(self.rest(open_rows, reps), texts).select("u", "v"), "more")
-        roots = components(links.unionByName(more), store, "all")
-        store.drop("members", "texts", "best", "open")
+        roots = components(links, store, "first")
+        for name, forest in (("likeliest", True), ("rest", False)):
+            rows = self.open_rows(members, roots, name)
+            more = store.put(self.verify(self.rest(rows, reps, name, forest), texts).select("u", "v"), f"links-{name}")
+            links = links.unionByName(more)
+            store.drop(f"open-{name}", f"rows-{name}")
+            if not more.isEmpty():
+                roots = components(links, store, name)
+        store.drop("members", "texts", "best")
         own = sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
         out = own.join(roots, F.col("class_id") == F.col("node"), "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class_id")).alias("component_id"), "class_id")
