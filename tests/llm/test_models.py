@@ -83,6 +83,24 @@ def test_ann_recall_and_order(spark):
         assert all(abs(s - float(x[q].astype(float) @ x[v].astype(float))) < 1e-9 for v, s in found)
 
 
+def ann_recall(spark, x, k=10, bucket=100):
+    """Share of its k nearest that each of 200 queries finds."""
+    df, ids = vectors(spark, x), np.arange(len(x))
+    got = {}
+    for r in ann.search(df, df.where(f"vec_id % {len(x) // 200} = 0"), k, bucket=bucket).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = ann.brute_force(ids, x.astype(np.float32).astype(float), ids[:: len(x) // 200], k)
+    return {q: len(got.get(q, set()) & set(w)) / k for q, w in want.items()}
+
+
+def test_ann_recall_beside_groups_of_near_copies(spark):
+    r = np.random.RandomState(3)
+    x = r.standard_normal((8000, 32))
+    x[:4800] = np.repeat(x[:48], 100, axis=0) + 0.002 * r.standard_normal((4800, 32))
+    recall = ann_recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert np.mean(list(recall.values())) >= 0.9 and np.mean([v for q, v in recall.items() if q >= 4800]) >= 0.9
+
+
 def test_ann_copies_and_odd_vectors(spark):
     x = np.tile(np.array([[1.0, 2.0, 2.0]]), (6000, 1))
     df = vectors(spark, x)

@@ -2,16 +2,20 @@
 
 Largest inner product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2), with M the largest norm (the
 query's is 0). A table hashes a vector by ``depth`` Gaussian (2-stable) projections, each cut into cells of a random offset.
-``depth`` follows the number of vectors so that a bucket holds about ``bucket`` of them. A query visits a table's buckets
-in falling order of the estimated chance that a neighbour lies there (the neighbour's projection is normal around the
-query's, with the similarity that a bounded sample shows), until ``mass`` of that chance is covered; the best-first search
-over perturbations never lists buckets that it does not visit. Candidates of all tables are merged and ranked by their
-inner products in double precision.
+``depth`` follows the number of vectors so that a bucket holds about ``bucket`` of them; few vectors are one bucket, which
+every query visits.
 
-Fit on a bounded sample of at most ``SAMPLE`` vectors: the projections' spread and the similarity of near neighbours.
-Every vector is indexed. Buckets are dealt over tasks in blocks of at most about ``BLOCK`` vectors, by their counts, so a
-vector that a third of all rows share makes many blocks and no large group; a block puts out one row for each query that
-visits it, with its best candidates.
+A score that ``k`` others of a bounded sample reach bounds each query's k-th best from below, so no neighbour has less. A
+range whose norms cannot reach it is left out. In the others the query visits a table's buckets in falling order of the
+estimated chance that a neighbour of a given similarity lies there (its projection is normal around the query's, moved by
+the range's mean added coordinate), until ``mass`` of that chance is covered, for each similarity of ``LEVELS`` down to the
+bound: near copies and far neighbours of one query are both looked for. The best-first search over perturbations never
+lists buckets that it does not visit. Candidates of all tables are merged and ranked by their inner products in double
+precision. Queries that found fewer than ``k``, or that the sample cannot bound, are compared with every vector.
+
+Every vector is indexed; the sample of at most ``2 * SAMPLE`` vectors gives bounds only. Buckets are dealt over tasks in
+blocks of at most about ``BLOCK`` vectors, by their counts, so a vector that a third of all rows share makes many blocks and
+no large group; a block puts out one row for each query that visits it, with its best candidates.
 
 Defined cases: vectors that are null, empty, of a length other than the first query's, zero, or hold null or non-finite
 components take no part; null vec_ids neither; repeated rows are candidates of their own unless all their columns are
@@ -23,7 +27,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erf, sqrt
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -33,81 +37,162 @@ from pyspark.sql import functions as F
 from watchloom.llm.store import Store, table
 
 SAMPLE, BLOCK = 20_000, 4096
+#: Norms are counted in bins of this ratio; a range spans bins of up to RANGE.
+BIN, RANGE = 1.02, 1.25
+LEVELS = (1.0, 0.97, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.05, -0.1, -0.25, -0.4, -0.55, -0.7, -0.85)
+#: Width of a cell; projections of unit vectors are standard normal.
+WIDTH = 2.2
+SIDE = np.arange(-4, 5)
 
 
-def _cdf(x: float) -> float:
-    return 0.5 * (1 + erf(x / sqrt(2)))
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """Normal distribution to seven digits (Abramowitz and Stegun 7.1.26)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return np.where(x > 0, 1 - tail / 2, tail / 2)
 
 
-@dataclass
-class Hashing:
-    """``tables`` tables of ``depth`` projections; cells are numbered from floor((x - offset) / width)."""
+def _norms(v: np.ndarray) -> np.ndarray:
+    peak = np.abs(v).max(1, keepdims=True)
+    return peak * np.sqrt(((v / peak) ** 2).sum(1, keepdims=True))
 
+
+@dataclass
+class Range:
+    """Vectors of like norms; cells are numbered from floor((x - offset) / WIDTH). Without depth, one bucket of all."""
+
+    first: int  # number of its first table
+    floor: int  # its lowest bin
+    norm: float  # largest
+    added: float  # mean of the added coordinate
+    varied: float  # and its variance
     direction: np.ndarray  # (tables, depth, dims + 1)
     offset: np.ndarray  # (tables, depth)
-    width: float
-    norm: float  # largest of all
-    near: float  # cosine (after the added coordinate) of a near neighbour
-    mass: float
-
-    @classmethod
-    def fit(cls, sample: np.ndarray, n: int, norm: float, tables: int, bucket: int, k: int, mass: float, seed: int = 3) -> Hashing:
-        r = np.random.RandomState(seed)
-        x = np.concatenate([sample, np.sqrt(np.maximum(0, norm**2 - (sample**2).sum(1, keepdims=True)))], axis=1) / norm
-        depth = max(1, int(round(np.log2(max(2, n / bucket)))))
-        direction = r.standard_normal((tables, depth, x.shape[1]))
-        width = 2.2 * float((x @ direction.reshape(-1, x.shape[1]).T).std() or 1.0)
-        q = sample[:: max(1, len(sample) // 200)]
-        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        s = np.sort(unit @ sample.T / norm, axis=1)
-        near = float(np.clip(np.median(s[:, -min(k + 1, s.shape[1])]), 0.05, 0.999))
-        return cls(direction, r.uniform(0, width, (tables, depth)), width, norm, near, mass)
 
     def project(self, v: np.ndarray, query: bool) -> np.ndarray:
         """(rows, tables, depth)"""
-        n = np.sqrt((v**2).sum(1, keepdims=True))
-        x = np.concatenate([v / n, np.zeros_like(n)], axis=1) if query else np.concatenate([v, np.sqrt(np.maximum(0, self.norm**2 - n**2))], axis=1) / self.norm
+        n = _norms(v)
+        x = np.concatenate([v / n, np.zeros_like(n)], axis=1) if query else np.concatenate([v / self.norm, np.sqrt(np.maximum(0, 1 - (n / self.norm) ** 2))], axis=1)
         t, d, w = self.direction.shape
         return (x @ self.direction.reshape(t * d, w).T).reshape(len(v), t, d)
 
-    def cells(self, p: np.ndarray) -> np.ndarray:
-        return np.floor((p - self.offset) / self.width).astype(np.int64)
-
-    @staticmethod
-    def key(cells: np.ndarray) -> np.ndarray:
-        """One number for the cells of a table."""
-        h = np.full(cells.shape[:-1], 17, np.int64)
-        for j in range(cells.shape[-1]):
-            h = (h * np.int64(1_000_003) + cells[..., j] + 64) % np.int64((1 << 61) - 1)
-        return h
-
-    def probes(self, p: np.ndarray, t: int) -> list[tuple[int, ...]]:
-        """The buckets of table t that a query with projections p visits, likeliest first."""
-        spread, options = sqrt(1 - self.near**2), []
-        for j, x in enumerate(p):
-            mean, got = self.near * x, []
-            base = int(np.floor((mean - self.offset[t, j]) / self.width))
-            for c in range(base - 4, base + 5):
-                lo = (c * self.width + self.offset[t, j] - mean) / spread
-                chance = _cdf(lo + self.width / spread) - _cdf(lo)
-                if chance > 1e-6:
-                    got.append((chance, c))
-            options.append(sorted(got, reverse=True))
-        out, covered = [], 0.0
-        first = (0,) * len(options)
-        heap, seen = [(-float(np.prod([o[0][0] for o in options])), first)], {first}
-        while heap and covered < self.mass:
-            chance, at = heapq.heappop(heap)
-            covered -= chance
-            out.append(tuple(options[j][i][1] for j, i in enumerate(at)))
-            for j, i in enumerate(at):
-                if i + 1 < len(options[j]):
-                    more = (*at[:j], i + 1, *at[j + 1 :])
-                    if more not in seen:
-                        seen.add(more)
-                        heapq.heappush(heap, (chance * options[j][i + 1][0] / options[j][i][0], more))
+    def keys(self, v: np.ndarray) -> np.ndarray:
+        """(rows, tables): the buckets of vectors."""
+        return key(np.floor((self.project(v, False) - self.offset) / WIDTH).astype(np.int64))
+
+    def chances(self, p: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, tables, depth, cells): cells, likeliest first, and the chances that a neighbour of the given similarity lies there."""
+        last, s = self.direction[..., -1], near[:, None, None]
+        mean = s * p + self.added * last
+        spread = np.sqrt(np.maximum(1 - s**2 - self.added**2 - self.varied, 1e-6) + self.varied * last**2)[..., None]
+        cells = np.floor((mean - self.offset) / WIDTH).astype(np.int64)[..., None] + SIDE
+        lo = (cells * WIDTH + self.offset[..., None] - mean[..., None]) / spread
+        chance = _cdf(lo + WIDTH / spread) - _cdf(lo)
+        order = np.argsort(-chance, axis=-1, kind="stable")
+        return np.take_along_axis(cells, order, -1), np.take_along_axis(chance, order, -1)
+
+
+def key(cells: np.ndarray) -> np.ndarray:
+    """One number for the cells of a table."""
+    h = np.full(cells.shape[:-1], 17, np.int64)
+    for j in range(cells.shape[-1]):
+        h = (h * np.int64(1_000_003) + cells[..., j] + 64) % np.int64((1 << 61) - 1)
+    return h
+
+
+def likeliest(cells: np.ndarray, chance: np.ndarray, mass: float) -> Iterator[tuple[int, ...]]:
+    """Buckets (depth, cells) in falling order of their chance, until ``mass`` is covered."""
+    first = (0,) * len(cells)
+    covered, heap, seen = 0.0, [(-float(chance[:, 0].prod()), first)], {first}
+    while heap and covered < mass:
+        c, at = heapq.heappop(heap)
+        covered -= c
+        yield tuple(int(cells[j, i]) for j, i in enumerate(at))
+        for j, i in enumerate(at):
+            if i + 1 < cells.shape[1] and chance[j, i + 1] > 1e-6:
+                more = (*at[:j], i + 1, *at[j + 1 :])
+                if more not in seen:
+                    seen.add(more)
+                    heapq.heappush(heap, (c * float(chance[j, i + 1] / chance[j, i]), more))
+
+
+@dataclass
+class Hashing:
+    ranges: list[Range]  # by rising norms
+    ids: np.ndarray  # of the sample
+    sample: np.ndarray
+    mass: float
+
+    @classmethod
+    def fit(cls, bins: list[tuple[int, int, float, float, float]], ids: np.ndarray, sample: np.ndarray, tables: int, bucket: int, mass: float, seed: int = 3) -> Hashing:
+        """From (bin, vectors, least, mean and largest norm) of each bin of norms."""
+        groups: list[list] = []
+        for b in sorted(bins, reverse=True):
+            if groups:
+                groups[-1].append(b)
+            else:
+                groups.append([b])  # one range of all norms
+        count = lambda g: sum(b[1] for b in g)
+        depth = lambda g: max(0, int(round(np.log2(count(g) / bucket))))
+        merged: list[list] = []
+        for g in groups:
+            if merged and not depth(g) and not depth(merged[-1]) and count(g) + count(merged[-1]) <= min(bucket, BLOCK):
+                merged[-1] = merged[-1] + g
+            else:
+                merged.append(g)
+        r, out, first = np.random.RandomState(seed), [], 0
+        for g in reversed(merged):
+            d, norm = depth(g), g[0][4]
+            t = tables if d else 1
+            n = np.array([b[1] for b in g], float)
+            added = np.sqrt(np.maximum(0, 1 - (np.array([b[3] for b in g]) / norm) ** 2))
+            mean = float((n * added).sum() / n.sum())
+            direction = r.standard_normal((t, d, sample.shape[1] + 1))
+            out.append(Range(first, g[-1][0], norm, mean, float((n * (added - mean) ** 2).sum() / n.sum()), direction, r.uniform(0, WIDTH, (t, d))))
+            first += t
+        return cls(out, ids, sample, mass)
+
+    def buckets(self, bins: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(rows, first table, keys of the rows in the tables from there) by ranges."""
+        at = np.searchsorted([r.floor for r in self.ranges], bins, "right") - 1
+        for i in np.unique(at):
+            rows = np.flatnonzero(at == i)
+            yield rows, self.ranges[i].first, self.ranges[i].keys(v[rows])
+
+    def bounds(self, ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+        """A score that k others of the sample reach; -inf where it has fewer."""
+        out = np.full(len(v), -np.inf)
+        if k <= len(self.sample):
+            s = v @ self.sample.T
+            s[ids[:, None] == self.ids] = -np.inf
+            out = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         return out
 
+    def visits(self, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, table, keys) of the buckets that queries visit; none for those without a bound."""
+        bound, n = self.bounds(ids, v, k), _norms(v)[:, 0]
+        for r in self.ranges:
+            near = bound / n / r.norm
+            rows = np.flatnonzero((bound > -np.inf) & (near <= 1 + 1e-9))
+            if not r.offset.size:
+                yield from ((i, r.first, np.array([17])) for i in rows)
+                continue
+            near, p = near[rows], r.project(v[rows], True) if len(rows) else None
+            found = [[set() for _ in r.direction] for _ in rows]
+            for s in (*LEVELS, -1.0):
+                # the last level of a row is its own bound
+                at = np.flatnonzero(near < s - 0.03) if s > -1 else np.arange(len(rows))
+                if not len(at):
+                    continue
+                cells, chance = r.chances(p[at], np.full(len(at), s) if s > -1 else np.clip(near, -0.999, 1))
+                alone = chance[..., 0].prod(-1) >= self.mass
+                for j, i in enumerate(at):
+                    for t, into in enumerate(found[i]):
+                        into.update((tuple(cells[j, t, :, 0].tolist()),) if alone[j, t] else likeliest(cells[j, t], chance[j, t], self.mass))
+            for i, of in zip(rows, found, strict=True):
+                yield from ((i, r.first + t, key(np.array(sorted(cells), np.int64))) for t, cells in enumerate(of))
+
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     e = F.col(embedding).cast("array<double>")
@@ -127,37 +212,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
     head = asked.select(F.size("v")).head()
     dims = head[0] if head else 0
     rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, norm = rows.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).head()
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = peak * F.sqrt(F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.withColumn("norm", norm).withColumn("bin", F.floor(F.log("norm") / log(BIN)))
+    bins = [tuple(b) for b in rows.groupBy("bin").agg(F.count(F.lit(1)), F.min("norm"), F.avg("norm"), F.max("norm")).collect()]
+    rows, n = rows.drop("norm"), sum(b[1] for b in bins)
     if not n or not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     top = min(2**63 - 1, -(2**63) + int(min(1.0, SAMPLE / n) * 2**64))
-    sample = _matrix(rows.where(F.xxhash64("vec_id") <= F.lit(top).cast("long")).orderBy("vec_id").limit(2 * SAMPLE).toPandas()["v"]) if n > 1 else np.ones((1, dims))
-    h = spark.sparkContext.broadcast(Hashing.fit(sample, n, norm, tables, bucket, k, mass))
+    sample = rows.where(F.xxhash64("vec_id") <= F.lit(top).cast("long")).select("vec_id", "v").orderBy("vec_id").limit(2 * SAMPLE).toPandas()
+    fitted = Hashing.fit(bins, sample["vec_id"].to_numpy(), _matrix(sample["v"]) if len(sample) else np.zeros((0, dims)), tables, bucket, mass)
+    h = spark.sparkContext.broadcast(fitted)
 
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                keys = h.value.key(h.value.cells(h.value.project(_matrix(p["v"]), False)))
-                yield pd.DataFrame({"t": np.tile(np.arange(tables, dtype=np.int32), len(p)), "b": keys.ravel(), "vec_id": np.repeat(p["vec_id"].to_numpy(), tables)})
+                ids = p["vec_id"].to_numpy()
+                for at, first, keys in h.value.buckets(p["bin"].to_numpy(), _matrix(p["v"])):
+                    t = keys.shape[1]
+                    yield pd.DataFrame({"t": np.tile(np.arange(first, first + t, dtype=np.int32), len(at)), "b": keys.ravel(), "vec_id": np.repeat(ids[at], t)})
 
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = []
-            if len(p):
-                x = h.value.project(_matrix(p["v"]), True)
-                for q, row in zip(p["query_id"], x, strict=True):
-                    for t in range(tables):
-                        out.append((q, t, h.value.key(np.array(h.value.probes(row[t], t), np.int64))))
-            yield pd.DataFrame(out, columns=["query_id", "t", "bs"])
+            ids = p["query_id"].to_numpy()
+            for lo in range(0, len(p), 128):
+                out = [(ids[lo + i], t, bs) for i, t, bs in h.value.visits(ids[lo : lo + 128], _matrix(p["v"].iloc[lo : lo + 128]), k)]
+                yield pd.DataFrame(out, columns=["query_id", "t", "bs"])
 
     entries = store.put(rows.mapInPandas(index, "t int, b long, vec_id long"), "index")
     sizes = entries.groupBy("t", "b").count().select("t", "b", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     sizes = store.put(sizes, "buckets")
-    visits = asked.mapInPandas(probe, "query_id long, t int, bs array<long>").select("query_id", "t", F.explode("bs").alias("b"))
-    visits = visits.join(sizes, ["t", "b"]).select("query_id", "t", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.drop("bin")
     held = entries.join(sizes, ["t", "b"]).join(rows, "vec_id").select("t", "b", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    sent = visits.join(asked, "query_id").select("t", "b", "block", "query_id", F.col("v").alias("qv"))
 
     def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -177,9 +263,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
                     out.append((name, exact[best].tolist(), ids[at][best].tolist()))
         return pd.DataFrame(out, columns=["query_id", "s", "ids"])
 
-    found = sent.groupBy("t", "b", "block").cogroup(held.groupBy("t", "b", "block")).applyInPandas(rank, "query_id long, s array<double>, ids array<long>")
-    pairs = F.transform(F.arrays_zip("s", "ids"), lambda z: F.struct((-z.s).alias("s"), z.ids.alias("id")))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k).alias("best"))
+    def best_of(visits: DataFrame, held: DataFrame) -> DataFrame:
+        """(query_id, best) from the query_id, t, b and blocks of the buckets visited."""
+        visits = visits.select("query_id", "t", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        sent = visits.join(asked, "query_id").select("t", "b", "block", "query_id", F.col("v").alias("qv"))
+        found = sent.groupBy("t", "b", "block").cogroup(held.groupBy("t", "b", "block")).applyInPandas(rank, "query_id long, s array<double>, ids array<long>")
+        pairs = F.transform(F.arrays_zip("s", "ids"), lambda z: F.struct((-z.s).alias("s"), z.ids.alias("id")))
+        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k).alias("best"))
+
+    visits = asked.mapInPandas(probe, "query_id long, t int, bs array<long>").select("query_id", "t", F.explode("bs").alias("b"))
+    best = store.put(best_of(visits.join(sizes, ["t", "b"]), held), "best")
+    full = best.where(F.size("best") >= k)
+    few = asked.select("query_id").distinct().join(full, "query_id", "left_anti")
+    if not few.isEmpty():
+        once = F.col("t").isin([r.first for r in fitted.ranges])
+        best = full.unionByName(best_of(few.crossJoin(sizes.where(once)), held.where(once)))
     return best.select("query_id", F.posexplode("best").alias("rank", "z")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("z.id").alias("vec_id"), (-F.col("z.s")).alias("score"))
 
 
