@@ -101,6 +101,22 @@ def test_ann_recall_beside_groups_of_near_copies(spark):
     assert np.mean(list(recall.values())) >= 0.9 and np.mean([v for q, v in recall.items() if q >= 4800]) >= 0.9
 
 
+def test_ann_recall_beside_one_long_vector(spark):
+    x = np.random.RandomState(3).standard_normal((5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 50
+    assert np.mean(list(ann_recall(spark, x, bucket=200).values())) >= 0.9
+
+
+def test_ann_compares_all_where_the_sample_gives_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 3)
+    x = np.random.RandomState(5).standard_normal((400, 8)) * 2.0 ** np.arange(-2, 2).repeat(100)[:, None]
+    df = vectors(spark, x)
+    found = ann.search(df, df.where("vec_id % 100 = 0"), 20, bucket=20).collect()
+    got = {q: [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in range(0, 400, 100)}
+    assert got == ann.brute_force(np.arange(400), x.astype(np.float32).astype(float), np.arange(0, 400, 100), 20)
+
+
 def test_ann_copies_and_odd_vectors(spark):
     x = np.tile(np.array([[1.0, 2.0, 2.0]]), (6000, 1))
     df = vectors(spark, x)

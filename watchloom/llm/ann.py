@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, with exact reranking.
 
-Largest inner product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2), with M the largest norm (the
-query's is 0). A table hashes a vector by ``depth`` Gaussian (2-stable) projections, each cut into cells of a random offset.
-``depth`` follows the number of vectors so that a bucket holds about ``bucket`` of them; few vectors are one bucket, which
-every query visits.
+Vectors are dealt to ranges of norms: a range holds norms down to its largest divided by ``RANGE``. In a range, largest inner
+product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2), with M the range's largest norm (the query's is
+0); so one long vector changes only its own range. A table hashes a vector by ``depth`` Gaussian (2-stable) projections,
+each cut into cells of a random offset. ``depth`` follows the range's vectors so that a bucket holds about ``bucket`` of
+them; ranges of few vectors are one bucket each, which every query visits.
 
 A score that ``k`` others of a bounded sample reach bounds each query's k-th best from below, so no neighbour has less. A
 range whose norms cannot reach it is left out. In the others the query visits a table's buckets in falling order of the
@@ -129,10 +130,10 @@ class Hashing:
         """From (bin, vectors, least, mean and largest norm) of each bin of norms."""
         groups: list[list] = []
         for b in sorted(bins, reverse=True):
-            if groups:
+            if groups and groups[-1][0][4] <= RANGE * b[2]:
                 groups[-1].append(b)
             else:
-                groups.append([b])  # one range of all norms
+                groups.append([b])
         count = lambda g: sum(b[1] for b in g)
         depth = lambda g: max(0, int(round(np.log2(count(g) / bucket))))
         merged: list[list] = []
