@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -198,3 +199,23 @@ def test_exact_candidates_are_a_plain_equi_join(spark, entities):
     m = spark.createDataFrame([(1, "Ann Lee")], "mention_id int, name string")
     plan = C.exact(m, entities)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_text_pairs_hold_every_pair_with_a_score(spark):
+    words = ["", "!!", "b", "ab", "abc", "ABCD", "abxd", "acme corp", "acme", "me co", "acne corp", "acme corp inc", "corp, acme", "Dr. Ann Lee", "Ann Lee", "an lee", "ann leex", "xann lee", "anm leee", "ünal şen", "unal sen", "Ünal Şenx", "rp"]
+    q = spark.createDataFrame([(w,) for w in words], "query string")
+    n = spark.createDataFrame([(f"d{i}", w) for i, w in enumerate(words)], "doc string, name string")
+    scored = lambda p: {tuple(r) for r in p.where(S.text_score(F.col("query"), F.col("name")) > 0).select("query", "doc").collect()}
+    assert scored(S.text_pairs(q, n)) == scored(q.crossJoin(n)) and S.text_pairs(q, n).count() < q.count() * n.count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_enhanced_text_search_meets_every_entity(spark):
+    from watchloom.plans import fixtures, queries
+
+    sf = "/root/testdata/sf0.001"
+    q = fixtures.mentions(spark, sf).select(F.col("name").alias("query")).distinct()
+    p = q.crossJoin(fixtures.entities(spark, sf).select(F.col("entity_id").alias("doc"), "name"))
+    want = {tuple(r) for r in p.where(S.text_score(F.col("query"), F.col("name")) > 0).select("query", "doc").collect()}
+    got = queries.enhanced_text_search(spark, sf).select("query", "doc").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -97,6 +97,27 @@ def text_score(q, name, full: bool = True) -> F.Column:
     return on(q == name, 5.0) + on(phrase_in(tokens(q), tokens(name)), 4.0) + on(close, 3.0) + on(F.contains(nl, ql), 2.0) + variants * 1.5
 
 
+def text_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, doc, name): every pair that can have a ``text_score`` above 0, from an equi-join on keys.
+
+    A pair is equal, shares a token of the query or of its variations, holds the whole query (keyed by the query's first
+    three characters among the name's grams), or is within two edits: then one of the name's three parts stands in the
+    query, moved by at most two.
+    """
+    ql, nl = F.lower("query"), F.lower("name")
+    keyed = lambda tag, a: F.transform(a, lambda x: F.concat(F.lit(tag), x))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(nl) - n + 1, F.lit(1))), lambda i: F.substring(nl, i, F.lit(n)))
+    part = lambda t, n, i, move: F.concat_ws(" ", n.cast("string"), F.lit(str(i)), F.substring(t, F.floor(n * i / 3).cast("int") + 1 + move, (F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)).cast("int")))
+    size = F.length(ql)
+    moved = [F.when((size + d >= 0) & (F.floor((size + d) * i / 3) + m >= 0), part(ql, size + d, i, m)) for d in range(-2, 3) for i in range(3) for m in range(-2, 3)]
+    sought = F.concat(F.flatten(F.transform(F.concat(F.array("query"), name_variations("query")), tokens)), tokens("query"))
+    asked = F.concat(F.array(F.concat(F.lit("="), "query"), F.concat(F.lit("g"), F.left(ql, F.lit(3)))), keyed("t", sought), keyed("p", F.array_compact(F.array(*moved))))
+    held = F.concat(F.array(F.concat(F.lit("="), "name"), F.lit("g")), keyed("t", tokens("name")), keyed("g", F.concat(grams(3), grams(2), grams(1))), keyed("p", F.array(*[part(nl, F.length(nl), i, 0) for i in range(3)])))
+    q = queries.select("query", F.explode(F.array_distinct(asked)).alias("_k"))
+    n = names.select("doc", "name", F.explode(F.array_distinct(held)).alias("_k"))
+    return q.join(n, "_k").select("query", "doc", "name").distinct()
+
+
 def fuzzy_score(q, name) -> F.Column:
     """Fuzzy match of any token 2, of the whole name within two edits 1.5, three fifths of the tokens 1."""
     ql, nl = F.lower(q), F.lower(name)

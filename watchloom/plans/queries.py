@@ -468,7 +468,9 @@ def fuzzy_search(spark, sf):
 
 @query("enhanced_text_search")
 def enhanced_text_search(spark, sf):
-    p = _pairs(spark, sf).withColumn("s", S.text_score(F.col("query"), F.col("name"))).where("s > 0")
+    q = mentions(spark, sf).select(F.col("name").alias("query")).distinct()
+    w = entities(spark, sf).select(F.col("entity_id").alias("doc"), "name")
+    p = S.text_pairs(q, w).withColumn("s", S.text_score(F.col("query"), F.col("name"))).where("s > 0")
     return p.select("query", "doc", F.round(S.combined(F.col("s"), T.edit_similarity(F.lower("query"), F.lower("name")), 0.8), 6).alias("score"))
 
 
