@@ -219,3 +219,11 @@ def test_enhanced_text_search_meets_every_entity(spark):
     want = {tuple(r) for r in p.where(S.text_score(F.col("query"), F.col("name")) > 0).select("query", "doc").collect()}
     got = queries.enhanced_text_search(spark, sf).select("query", "doc").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_slug_ids_of_more_than_999_rows(spark, tmp_path):
+    from watchloom.plans import queries
+
+    spark.range(1, 1206).selectExpr("id AS p_partkey", "IF(id <= 1200, 'BIG-RED BOX', 'x') AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.part: r.entity_id for r in queries.watch_list_slug_ids(spark, str(tmp_path)).collect()}
+    assert len(got) == 1205 and (got[999], got[1000], got[1200], got[1205]) == ("big_red_box_999", "big_red_box_1000", "big_red_box_1200", "x_005")

@@ -51,7 +51,7 @@ def watch_list_build(spark: SparkSession, sf: str) -> DataFrame:
 )
 def watch_list_slug_ids(spark, sf):
     p = parquet(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("name"))
-    return W.with_ids(p, "part").select("part", "entity_id").where(F.length(F.substring_index("entity_id", "_", -1)) == 3)
+    return W.with_ids(p, "part").select("part", "entity_id")
 
 
 @query(
