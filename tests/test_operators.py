@@ -227,3 +227,11 @@ def test_slug_ids_of_more_than_999_rows(spark, tmp_path):
     spark.range(1, 1206).selectExpr("id AS p_partkey", "IF(id <= 1200, 'BIG-RED BOX', 'x') AS p_type").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.part: r.entity_id for r in queries.watch_list_slug_ids(spark, str(tmp_path)).collect()}
     assert len(got) == 1205 and (got[999], got[1000], got[1200], got[1205]) == ("big_red_box_999", "big_red_box_1000", "big_red_box_1200", "x_005")
+
+
+def test_gazetteer_finds_names_of_many_words(spark):
+    articles = spark.createDataFrame([(1, "The EUROPEAN Central Bank, and Acme; the Trust of the Lake-Side Towns. European Central"), (2, None), (3, "")], "article_id int, text string")
+    surfaces = spark.createDataFrame([("European Central Bank", "a"), ("trust of the lake-side towns", "b"), ("Acme", "c"), ("central bank", "d"), ("?", "e"), (None, "f")], "surface string, entity_id string")
+    got = sorted((r.article_id, r.position, r.name, r.entity_id) for r in X.gazetteer(articles, surfaces).collect())
+    assert got == [(1, 4, "EUROPEAN Central Bank", "a"), (1, 13, "Central Bank", "d"), (1, 31, "Acme", "c"), (1, 41, "Trust of the Lake-Side Towns", "b")]
+    assert X.gazetteer(articles, surfaces.limit(0)).count() == 0

@@ -264,15 +264,18 @@ def is_mention(name: Column, kind: Column) -> Column:
 
 
 def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """The default extractor: words pairs and single words of a text that are a surface of the watch list, with offsets.
+    """The default extractor: words and runs of words of a text that are a surface of the watch list, with offsets.
 
-    Joined on the lower-cased text of one or two consecutive words, so the list may be of any size.
+    Joined on the lower-cased text of one, two, or as many consecutive words as some surface has, so the list may be of any
+    size. The word counts of the list are read at once.
     """
-    w = F.transform(matches(F.col("text"), r"[\p{L}\p{N}]+"), lambda m: m)
+    word = r"[\p{L}\p{N}]+"
+    w = F.transform(matches(F.col("text"), word), lambda m: m)
     a = articles.select("article_id", "text", w.alias("_w"))
-    ones = F.transform("_w", lambda m: F.struct(m.start.alias("start"), m.stop.alias("stop")))
-    twos = F.transform("_w", lambda m, i: F.struct(m.start.alias("start"), F.get("_w", i + 1).stop.alias("stop")))
-    spans = a.select("article_id", "text", F.explode(F.concat(ones, F.filter(twos, lambda s: s.stop.isNotNull()))).alias("s"))
+    counts = surfaces.select(F.size(F.regexp_extract_all("surface", F.lit(word), F.lit(0))).alias("n")).where("n > 2").distinct().collect()
+    sizes = F.array(*[F.lit(n) for n in sorted({1, 2} | {r.n for r in counts})])
+    runs = F.flatten(F.transform(sizes, lambda n: F.transform("_w", lambda m, i: F.struct(m.start.alias("start"), F.get("_w", i + n - 1).stop.alias("stop")))))
+    spans = a.select("article_id", "text", F.explode(F.filter(runs, lambda s: s.stop.isNotNull())).alias("s"))
     named = spans.select("article_id", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("name"), F.col("s.start").alias("position"))
     s = surfaces.select(F.lower("surface").alias("_s"), "entity_id")
     return named.join(s, F.lower("name") == F.col("_s")).select("article_id", "name", "position", "entity_id")
