@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from watchloom.llm import chat_tree, decontaminate, line_dedup, minhash, packing, suffix_dedup, token_store
+from watchloom.llm import chat_tree, decontaminate, line_dedup, minhash, packing, skew, suffix_dedup, token_store
 from watchloom.llm.kernel import window_min
 from watchloom.llm.line_dedup import CuckooFilter, LineIndex
 from watchloom.llm.store import Store
@@ -88,6 +88,28 @@ def test_minhash_edges(spark):
     assert minhash.NearDuplicates(frame(spark, [])).run().count() == 0
 
 
+def test_minhash_ties_the_texts_of_one_id(spark):
+    other = sentence(90)
+    rows = [(1, BASE), (3, other), (5, BASE), (5, other), (8, other), (9, sentence(50))]
+    got = set(collect(minhash.NearDuplicates(frame(spark, rows)).run(), "doc_id", "component_id"))
+    assert got == {(1, 1), (3, 1), (5, 1), (8, 1), (9, 9)}
+
+
+@pytest.mark.parametrize("part", [3, 2048])
+def test_minhash_compares_a_large_bucket_of_dissimilar_members_in_bounded_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(skew, "PART", part)
+    # one shingle is the least of all in most slots of every text: buckets of texts that are hardly alike, with pairs among them
+    r, rows = random.Random(4), []
+    for i in range(60):
+        words = ["same"] * 8 + [f"v{i}-{j}" for j in range(3)]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join([*words, f"x{r.random()}"])))
+    got = dict(collect(minhash.NearDuplicates(frame(spark, rows)).run(), "doc_id", "component_id"))
+    assert got == {d: c for d, (_, c) in minhash.brute_force(rows).items()}
+
+
 def test_minhash_dedup_keeps_one_of_each_group_and_other_columns(spark):
     out = minhash.dedup(frame(spark, clash=["n_shingles", "component_id"]))
     assert out.columns == ["doc_id", "text", "n_shingles", "component_id"]

@@ -20,9 +20,13 @@ Steps, over tables (nothing about documents is collected):
 With 32 bands of 5 slots, a pair at the threshold of 0.8 shares no bucket with a probability of about 3 in a million.
 Buckets have no cap: a bucket that is one component after step 3 needs nothing more, any other is compared in full.
 
+Buckets and centres may be hot: joins on them are salted (``spread_join``), and a bucket that has to be compared is cut
+into chunks on both sides, so a task holds at most about two times ``CHUNK`` members of it.
+
 Defined cases: null or blank text has an empty set and links with nothing; a text of fewer words than ``ngram`` is one
-shingle; rows with a null doc_id link with nothing, get a null component and are kept; repeated rows of one doc_id get that
-id's component; an empty table gives no rows.
+shingle; rows with a null doc_id link with nothing, get a null component and are kept; a doc_id is one node whatever the
+number of its rows and texts, so all its rows get one component and it links what any of its texts links; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm.graph import components
 from watchloom.llm.kernel import GOLD, LOWER, SPACED, U, blocks, mix, ngram_hashes, word_hashes, word_runs
+from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store, table
 
 BANDS, DEPTH = 32, 5
@@ -184,7 +189,9 @@ class NearDuplicates:
                     share = _agree(_bits(p["ba"]), _bits(p["bb"]), p["na"].to_numpy(), p["nb"].to_numpy(), least, threshold)
                     yield pd.DataFrame({"a": p["a"], "b": p["b"], "share": share})[share >= 0]
 
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long, share double")
+        hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        both = spread_join(pairs.join(two, "b"), one, ["a"], hot)
+        return both.select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long, share double")
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Of pairs (a, b) those with 100 * intersection >= percent * union of the full shingle sets."""
@@ -207,27 +214,32 @@ class NearDuplicates:
 
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+        hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        both = spread_join(pairs.select("a", "b").join(b, "b"), a, ["a"], hot)
+        return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
     def open_rows(self, members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """(key, doc_id, root) of buckets whose members are in different components; of buckets with the same members one."""
         rooted = members.join(roots, members.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y")]
-        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-        return self.store.put(rooted.join(split, "key", "left_semi"), f"open-{name}")
+        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+        split = self.store.put(split, f"split-{name}")
+        return self.store.put(spread_join(rooted, split.select("key"), ["key"], split, how="left_semi"), f"open-{name}")
 
     def rest(self, open_rows: DataFrame, reps: DataFrame, name: str, forest: bool) -> DataFrame:
         """Likely pairs between members of one bucket that are in different components.
 
         A member outside its bucket's largest component meets all the bucket's members. Buckets of up to ``CHUNK`` members
-        stream through their tasks, sorted; larger ones are cut into chunks of members, and the chunks and the members sent
-        to them are dealt over tasks. Only pairs come out that neither the slots nor the parity maps rule
+        stream through their tasks, sorted; of larger ones both the members and those sent to them are cut into chunks, and
+        each pair of chunks is a group of its own. Only pairs come out that neither the slots nor the parity maps rule
         out: these bound the sets' difference from below, so hardly any pair under the threshold is left. ``forest`` puts out
         only the likeliest of them that would join components, a pair for each joining; else all come out.
         """
         sizes = open_rows.groupBy("key", "root").count()
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", F.negative("root"))).alias("main"), F.sum("count").alias("n"))
-        rows = self.store.put(open_rows.join(main, "key").join(reps.select("doc_id", "n_shingles", "bits", "parity"), "doc_id"), f"rows-{name}")
+        main = self.store.put(main, f"main-{name}")
+        rows = spread_join(open_rows, main, ["key"], main.select("key", "n")).join(reps.select("doc_id", "n_shingles", "bits", "parity"), "doc_id")
+        rows = self.store.put(rows, f"rows-{name}")
         again = self.spark.read.schema(rows.schema).parquet(self.store.path(f"rows-{name}"))
         least, threshold = self.least, self.percent / 100
 
@@ -280,10 +292,11 @@ class NearDuplicates:
         cols = ["key", "doc_id", "root", "main", "n_shingles", "bits", "parity"]
         few = rows.where(F.col("n") <= CHUNK).select(cols).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(small, "a long, b long")
         chunks, many = F.ceil(F.col("n") / CHUNK).cast("int"), F.col("n") > CHUNK
-        held = rows.where(many).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-        sent = again.where(many & (F.col("root") != F.col("main"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        cols = ["key", "chunk", *cols[1:]]
-        lots = sent.select(cols).groupBy("key", "chunk").cogroup(held.select(cols).groupBy("key", "chunk")).applyInPandas(large, "a long, b long")
+        own, all_ = F.pmod(F.xxhash64("doc_id"), chunks).cast("int"), F.explode(F.sequence(F.lit(0), chunks - 1))
+        held = rows.where(many).withColumn("chunk", own).withColumn("block", all_)
+        sent = again.where(many & (F.col("root") != F.col("main"))).withColumn("block", own).withColumn("chunk", all_)
+        by, cols = ["key", "chunk", "block"], ["key", "chunk", "block", *cols[1:]]
+        lots = sent.select(cols).groupBy(by).cogroup(held.select(cols).groupBy(by)).applyInPandas(large, "a long, b long")
         return few.unionByName(lots).distinct()
 
     def run(self) -> DataFrame:
@@ -295,24 +308,27 @@ class NearDuplicates:
         picked = full.join(classes, (full.doc_id == classes.class_id) & (full.set_a == classes.set_a) & (full.set_b == classes.set_b), "left_semi")
         reps = store.put(picked.dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "bands", "bits", "parity"), "representatives")
         rows = reps.select(F.explode("bands").alias("key"), "doc_id")
-        centres = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-        members = store.put(rows.join(centres, "key"), "members")
+        centres = store.put(rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centres")
+        members = store.put(spread_join(rows, centres.select("key", "a"), ["key"], centres.select("key", "n")), "members")
         star = self.likely(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), reps)
         best = store.put(star.groupBy("b").agg(F.max_by("a", F.struct("share", F.negative("a"))).alias("a")).select("a", "b"), "best")
         store.release()
         wanted = members.select("doc_id").distinct()
         texts = store.put(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
         store.release()
-        links = store.put(self.verify(best, texts).select("u", "v"), "links")
+        # a doc_id with several sets is one node: it is tied to the class of each
+        several = full.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo <> hi").select("doc_id")
+        ties = full.join(several, "doc_id", "left_semi").join(classes, ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).where("u <> v")
+        links = store.put(self.verify(best, texts).select("u", "v").unionByName(ties), "links")
         roots = components(links, store, "first")
         for name, forest in (("likeliest", True), ("rest", False)):
             rows = self.open_rows(members, roots, name)
             more = store.put(self.verify(self.rest(rows, reps, name, forest), texts).select("u", "v"), f"links-{name}")
             links = links.unionByName(more)
-            store.drop(f"open-{name}", f"rows-{name}")
+            store.drop(f"open-{name}", f"rows-{name}", f"main-{name}", f"split-{name}")
             if not more.isEmpty():
                 roots = components(links, store, name)
-        store.drop("members", "texts", "best")
+        store.drop("members", "centres", "texts", "best")
         own = sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
         out = own.join(roots, F.col("class_id") == F.col("node"), "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class_id")).alias("component_id"), "class_id")

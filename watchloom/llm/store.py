@@ -1,7 +1,8 @@
 """Written tables in the folder that the cluster shares, used to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a folder under
-``/tmp/checkpoints`` is used. Every table is written by Spark's committed Parquet writer, so a lost executor costs a
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all of Spark runs in one process
+(``local``, as in tests) a folder under ``/tmp/checkpoints`` is used; on a cluster a missing setting is an error, because
+executors would write to their own disks. Every table is written by Spark's committed Parquet writer, so a lost executor costs a
 task, never a table.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return "file:///tmp/checkpoints"
+    raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
 
 
 class Store:
