@@ -210,22 +210,58 @@ def test_suffix_dedup_repeated_rows_and_nulls(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_suffix_dedup_counts_strings_where_a_group_is_large(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
-    rows = [(i, f"{sentence(8, random.Random(i))} {BASE[:230]} {sentence(8, random.Random(i + 99))}") for i in range(12)]
+@pytest.mark.parametrize("group", [3, 2048])
+def test_suffix_dedup_deals_a_large_group_over_arrays(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(skew, "PART", group)
+    rows = [(i, f"{sentence(8, random.Random(i))} {BASE[:230 + i % 4]} {sentence(8, random.Random(i + 99))}") for i in range(14)]
+    rows += [(i, f"{sentence(8, random.Random(i))}{BASE[40:280]}") for i in range(20, 24)]
     want = {d: w for (d, _), w in zip(rows, suffix_dedup.brute_force([t for _, t in rows]), strict=True)}
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_spans_come_from_groups_that_hold_all_occurrences(spark):
+    rows = [*ROWS, *((100 + i, f"{sentence(6)} {PASSAGE} {sentence(6)}") for i in range(10))]
+    data = {d: (t or "").encode() for d, t in rows}
+    found = suffix_dedup.Repeats(frame(spark, rows))
+    groups, covered = {}, {d: set() for d in data}
+    for r in found.occurrences().collect():
+        groups.setdefault((r.g1, r.g2, r.length), set()).add((r.d, r.lo))
+        covered[r.d].update(range(r.lo, r.lo + r.length))
+    for (_, _, n), places in groups.items():
+        strings = {data[d][lo : lo + n] for d, lo in places}
+        assert len(strings) == 1 and len(places) > 1 and n >= 200
+        (x,) = strings
+        at = set()
+        for d, t in data.items():
+            p = t.find(x)
+            while p >= 0:
+                at.add((d, p))
+                p = t.find(x, p + 1)
+        assert places == at  # all occurrences, not only neighbours
+    want = {d: w for (d, _), w in zip(rows, suffix_dedup.brute_force([t for _, t in rows]), strict=True)}
+    assert {d: len(c) for d, c in covered.items()} == {d: w[1] for d, w in want.items()}
+
+
+@pytest.mark.parametrize("group", [256, 2048])
+def test_suffix_dedup_of_one_passage_in_ten_thousand_rows(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    passage = " ".join(f"p{i}" for i in range(80))[:260]
+    rows = [(i, f"{i:05d} {passage} {i * 7919 % 10007:05d}") for i in range(10_000)]
+    out = suffix_dedup.remove_repeats(frame(spark, rows)).groupBy("n_removed", "n_spans").count().collect()
+    want = suffix_dedup.brute_force([t for _, t in rows])
+    assert sorted((r.n_removed, r.n_spans, r["count"]) for r in out) == sorted((a, b, sum(w[1:3] == (a, b) for w in want)) for a, b in {w[1:3] for w in want})
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=6))
-def test_intervals_are_the_maximal_repeats(texts):
-    texts = [t.encode() for t in texts]
-    sa = suffix_dedup.SuffixArray(texts)
+@given(st.lists(st.tuples(st.text("ab\0", max_size=40), st.integers(1, 2)), min_size=1, max_size=6))
+def test_intervals_are_the_maximal_repeats(rows):
+    texts, times = [t.encode() for t, _ in rows], np.array([k for _, k in rows])
+    sa = suffix_dedup.SuffixArray(texts, 3, times)
     got = set()
-    for length, lo, hi in sa.maximal_repeats(3):
-        places = frozenset((int(sa.own[p]), int(p - sa.first[sa.own[p]])) for p in sa.sa[lo : hi + 1])
+    for length, lo, hi in sa.maximal_repeats():
+        places = frozenset((int(sa.own[p]), int(sa.at[p])) for p in sa.sa[lo : hi + 1])
         assert (length, places) not in got
         got.add((length, places))
     want, seen = set(), {}
@@ -233,10 +269,10 @@ def test_intervals_are_the_maximal_repeats(texts):
         for a in range(len(t)):
             for b in range(a + 3, len(t) + 1):
                 seen.setdefault(t[a:b], set()).add((i, a))
-    for s, places in seen.items():
-        left = {texts[i][a - 1] if a else ("start", i) for i, a in places}
-        right = {texts[i][a + len(s)] if a + len(s) < len(texts[i]) else ("end", i) for i, a in places}
-        if len(places) > 1 and len(left) > 1 and len(right) > 1:
+    for s, places in seen.items():  # copies of a text are extended alike, but not over its ends
+        left = {texts[i][a - 1] if a else ("start", i, k) for i, a in places for k in range(times[i])}
+        right = {texts[i][a + len(s)] if a + len(s) < len(texts[i]) else ("end", i, k) for i, a in places for k in range(times[i])}
+        if sum(times[i] for i, _ in places) > 1 and len(left) > 1 and len(right) > 1:
             want.add((len(s), frozenset(places)))
     assert got == want
 

@@ -1,19 +1,27 @@
-"""Exact substring dedup: repeats of at least ``span`` bytes, from common-prefix interval trees of enhanced suffix arrays.
+"""Exact substring dedup: maximal repeat groups of at least ``span`` bytes, from common-prefix interval trees.
 
 A corpus has no single suffix array here; its suffixes are dealt out so that suffixes which share ``span`` bytes meet:
 
 1. Next to the scan every possible start of a ``span``-byte string is given to an anchor: the least 32-byte gram (by hash,
    then leftmost) inside the string. Equal strings have equal anchors at equal places. Consecutive starts with one anchor
    form a context (the bytes of all their strings), one per about 85 bytes; only its place and two hashes are kept.
-2. Anchors that occur once repeat nothing. Contexts that occur twice or more repeat in full. Both are settled by counting,
-   with partial aggregates, so a text with millions of copies is counted and not collected.
-3. Of the other contexts one of each kind is cut out of its text, in two halves, each keyed by the 117 bytes that all
-   strings of the half share; halves alone with their key repeat nothing.
-4. Halves that share a key go into one enhanced suffix array (suffix array by prefix doubling, common prefixes of
-   neighbours); a stack scan walks its common-prefix intervals, tests whether the bytes to the left differ, and puts out
-   the maximal repeat groups with all their occurrences. Arrays are built over whole groups, up to ``CHUNK`` bytes at once.
-   A group of more than ``GROUP`` halves is counted string by string (128-bit hashes) instead, so no task holds it.
-5. Each text's covered bytes are united and removed.
+2. Anchors that occur once repeat nothing. Equal contexts of the others form a class with a multiplicity (partial
+   aggregates, so a text with millions of copies is counted and not collected); a class is cut out of one text, once.
+3. A class is cut in two halves, each keyed by the 117 bytes that all strings of the half share. Halves that share a key go
+   into one enhanced suffix array, as strings with the multiplicity of their class: its suffixes of at least ``span`` bytes,
+   sorted, and the common prefixes of neighbours. A stack scan walks the common-prefix intervals, tests whether the bytes to
+   the left differ, and puts out the maximal repeat groups with all their occurrences; a leaf of a multiplicity over one is
+   a group as well, and left-maximal where its string begins. Equal strings have their anchor at equal places, so no string
+   of a half repeats in the half itself: of a half that is alone with its key only the whole enters the array.
+4. A key of more than ``GROUP`` halves is dealt over several arrays. These also put out all intervals at the depth of
+   ``span`` bytes (leaves too), labelled by a 128-bit hash of the bytes; labels that several arrays hold are one interval.
+   It is extended to both sides as far as its least and largest bytes there agree, which gives the maximal repeat with
+   these occurrences. So every array is bounded, and shared strings leave an array as one row each, whatever the number
+   of texts.
+5. Spans of a class are those of its occurrences in the groups, united; every text takes them from its contexts' classes.
+
+Groups are maximal within a context (up to 368 bytes); ``Repeats.groups`` holds them as class rows with counts,
+``Repeats.occurrences`` as places in texts. Removed bytes come from the groups alone and are exact.
 
 Defined cases: a null text is empty; texts under ``span`` bytes lose nothing; matches never cross texts; repeated rows are
 texts of their own, so each loses what the other holds; rows with a null doc_id take part like any other; an empty table
@@ -31,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.kernel import BASE, GOLD, U, blocks, mix, powers, window_min
+from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store, ahead, ddl, table
 
 SPAN, GRAM = 200, 32
 PLACE = U((1 << 24) - 1)
 PIECE = 1 << 22  # starts of a very long text that are worked on at once
-CHUNK, GROUP = 1 << 20, 2048
+CHUNK, GROUP = 1 << 19, 2048  # bytes of the strings of small arrays together; halves of one array
 
 
 def gram32(data: np.ndarray) -> np.ndarray:
@@ -94,80 +103,71 @@ def _places(span: int):
 
 
 def _halves(span: int):
-    """Cuts contexts out of their text; (key, half's hash, text's id, first byte, bytes)."""
+    """Cuts classes out of their text; (key, class, multiplicity, place in the context, bytes)."""
     mid = (span - GRAM) // 2  # starts up to this far before the anchor form one half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
+            wanted = batch.column(1)
             for lo, hi, data, offs in blocks(batch):
-                d, t = (batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (0, 1))
                 w = wanted.slice(lo, hi - lo)
                 own = np.repeat(np.arange(hi - lo), w.value_lengths().to_numpy())
                 s = w.flatten()
-                at, n, p = (s.field(i).to_numpy().astype(np.int64) for i in range(3))
+                at, n, p, a, c, k = (s.field(i).to_numpy().astype(np.int64) for i in range(6))
                 first = offs[own] + at
                 anchor, end = first + p, first + n  # end: behind the last start
                 cut = np.clip(anchor - mid, first, end)
-                own, p0 = np.concatenate([own, own]), np.concatenate([anchor - mid - 1, anchor])
-                a, b = np.concatenate([first, cut]), np.concatenate([cut, end])
-                late = np.arange(len(a)) >= len(first)
-                ok = b > a
-                own, p0, a, b, late = own[ok], p0[ok], a[ok], b[ok], late[ok]
-                sums, b = Sums(data), b - 1 + span
+                p0 = np.concatenate([anchor - mid - 1, anchor])
+                x, y = np.concatenate([first, cut]), np.concatenate([cut, end])
+                late = np.arange(len(x)) >= len(first)
+                ok = y > x
+                first, a, c, k = (np.concatenate([z, z])[ok] for z in (first, a, c, k))
+                p0, x, y, late = p0[ok], x[ok], y[ok] - 1 + span, late[ok]
                 # shared by all strings of the half that starts before, and of the half that starts close to the anchor
-                key = sums.of(p0, np.where(late, p0 + span - mid, p0 + mid + 1 + GRAM), 7)
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "sub": sums.of(a, b, 9).view(np.int64), "d": d[own], "t": t[own], "lo": pa.array(a - offs[own], pa.int32()), "bytes": pa.array([data[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())})
+                key = Sums(data).of(p0, np.where(late, p0 + span - mid, p0 + mid + 1 + GRAM), 7)
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "a": a, "c": c, "k": k, "lo": pa.array(x - first, pa.int32()), "bytes": pa.array([data[i:j].tobytes() for i, j in zip(x, y, strict=True)], pa.binary())})
 
-    return run, "key long, sub long, d long, t long, lo int, bytes binary"
+    return run, "key long, a long, c long, k long, lo int, bytes binary"
 
 
 class SuffixArray:
-    """Enhanced suffix array over several strings; no common prefix reaches over a string's end."""
+    """Enhanced suffix array of the suffixes of at least ``least`` bytes of several strings, each with a multiplicity."""
 
-    def __init__(self, strings: list[bytes], deep: int = 512):
+    def __init__(self, strings: list[bytes], least: int, times: np.ndarray | None = None, alone: np.ndarray | None = None):
         lens = np.array([len(x) for x in strings], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-        flat = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        flat[self.first + lens] = 0
-        self.flat, n = flat, len(flat)
-        self.own = np.repeat(np.arange(len(strings)), lens + 1)
-        room = (self.first + lens)[self.own] - np.arange(n)
-        pad = np.concatenate([flat, np.zeros(8, np.int64)])
-        key = np.zeros(n, np.int64)
-        for j in range(4):
-            key = key * 257 + pad[j : j + n]
-        depth, ranks = 4, []
-        while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            ranks.append((depth, rank))
-            if depth >= deep or rank[order[-1]] == n - 1:
-                break
-            key = rank * (n + 1) + np.concatenate([rank[depth:] + 1, np.zeros(min(depth, n), np.int64)])[:n]
-            depth *= 2
-        self.sa = order
-        i, j = order[:-1].copy(), order[1:].copy()
-        lcp = np.zeros(n - 1, np.int64)
-        for depth, rank in reversed(ranks):  # a common prefix is a sum of falling powers of two
-            r = np.append(rank, -1)
-            for _ in range(2 if depth == 4 or depth == ranks[-1][0] else 1):
-                same = (r[np.minimum(i, n)] == r[np.minimum(j, n)]) & (np.maximum(i, j) < n)
-                i, j, lcp = i + same * depth, j + same * depth, lcp + same * depth
-        f = np.append(flat, -1)
-        for _ in range(4):
-            same = (f[np.minimum(i, n)] == f[np.minimum(j, n)]) & (np.maximum(i, j) < n)
-            i, j, lcp = i + same, j + same, lcp + same
+        first = np.cumsum(lens) - lens
+        self.flat, self.least = np.frombuffer(b"".join(strings), np.uint8), least
+        n = np.maximum(lens - least + 1, 0)
+        if alone is not None:  # nothing but the whole can repeat
+            n = np.where(alone, np.minimum(n, 1), n)
+        #: string of each suffix, its place there and in all bytes, its length
+        self.own = np.repeat(np.arange(len(strings)), n)
+        self.at = np.arange(len(self.own)) - np.repeat(np.cumsum(n) - n, n)
+        self.pos = first[self.own] + self.at
+        self.room = lens[self.own] - self.at
+        self.times = np.ones(len(strings), np.int64) if times is None else times
+        width = int(self.room.max(initial=1))
+        padded = np.concatenate([self.flat, np.zeros(width, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[self.pos]
+        rows[np.arange(width) >= self.room[:, None]] = 0
+        #: the suffixes in order; of suffixes that differ in zero bytes at their ends the shorter comes first
+        self.sa = np.argsort(self.room, kind="stable")
+        self.sa = self.sa[np.argsort(rows[self.sa].view(f"S{width}").ravel(), kind="stable")]
+        rows = rows[self.sa]
+        unlike = rows[1:] != rows[:-1]
+        same = np.where(unlike.any(1), unlike.argmax(1), width) if len(rows) > 1 else np.zeros(0, np.int64)
+        room = self.room[self.sa]
         #: common prefix of each suffix and the one before it in the array, 0 for the first
-        self.lcp = np.concatenate([[0], np.minimum(lcp, np.minimum(room[order[:-1]], room[order[1:]]))])
-        before = np.concatenate([[0], flat[:-1]])
+        self.lcp = np.concatenate([[0], np.minimum(same, np.minimum(room[1:], room[:-1]))])[: len(room)]
         #: the byte to the left, or a value of its own where a string begins
-        self.left = np.where(before == 0, -1 - np.arange(n), before)
+        self.left = np.where(self.at == 0, -1 - np.arange(len(self.at)), self.flat[self.pos - 1] if len(self.flat) else 0)
 
-    def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
+    def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
         """(length, lo, hi): the suffixes sa[lo..hi] share ``length`` bytes, which can be extended to neither side."""
-        lcp, left, sa = self.lcp, self.left, self.sa
+        lcp, left, sa, least = self.lcp, self.left, self.sa, self.least
+        whole = np.maximum(lcp, np.append(lcp[1:], 0)) < self.room[sa]
+        for i in np.flatnonzero(whole & (self.at[sa] == 0) & (self.times[self.own[sa]] > 1)):
+            yield int(self.room[sa[i]]), int(i), int(i)
         inside = lcp >= least
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -190,55 +190,74 @@ class SuffixArray:
                 else:
                     stack.append([height, lo, char])
 
-    def covered(self, least: int) -> np.ndarray:
-        """(string, from, to) of all occurrences of maximal repeats, united."""
-        reach = np.zeros(len(self.sa), np.int64)
-        for length, lo, hi in self.maximal_repeats(least):
-            part = reach[lo : hi + 1]
-            np.maximum(part, length, out=part)
-        pos = np.flatnonzero(reach)
-        marks = np.zeros(len(self.flat) + 1, np.int64)
-        np.add.at(marks, self.sa[pos], 1)
-        np.add.at(marks, self.sa[pos] + reach[pos], -1)
-        on = np.concatenate([[False], np.cumsum(marks)[:-1] > 0, [False]])
-        edges = np.flatnonzero(np.diff(on.astype(np.int8)))
-        a, b = edges[::2], edges[1::2]
-        s = self.own[a] if len(a) else np.zeros(0, np.int64)
-        return np.stack([s, a - self.first[s], b - self.first[s]], axis=1)
-
+    def labels(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place in the array of the intervals at the depth of ``least`` bytes of the marked strings."""
+        keep = of[self.own[self.sa]]
+        edge = np.flatnonzero(self.lcp < self.least)
+        lo, hi = edge, np.append(edge[1:], len(self.sa)) - 1
+        return lo[keep[lo]], hi[keep[lo]]
 
-def _arrays(span: int):
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        got = SuffixArray([r[4] for r in rows]).covered(span)
-        d, t, lo = (np.array([r[i] for r in rows], np.int64)[got[:, 0]] for i in (1, 2, 3))
-        return pa.RecordBatch.from_pydict({"d": d, "t": t, "lo": lo + got[:, 1], "hi": lo + got[:, 2]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size >= CHUNK and row[0] != rows[-1][0]:
-                    yield work(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield work(rows)
+OCCURRENCE = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("k", pa.int64())])
+GROUPS = "part boolean, g1 long, g2 long, length int, left_lo binary, left_hi binary, rest_lo binary, rest_hi binary, occurrences array<struct<a:long,c:long,lo:int,k:long>>"
 
-    return run, "d long, t long, lo long, hi long"
 
-
-def _strings(span: int):
-    """Every string of a half by hash."""
+def _arrays(span: int):
+    """Halves by key and chunk -> maximal repeat groups, and labelled intervals (``part``) of keys in several chunks."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, a, c, k, at = (t[x].to_numpy().astype(np.int64) for x in ("n", "a", "c", "k", "lo"))
+        sa = SuffixArray(t["bytes"].to_pylist(), span, k, n == 1)
+        if not len(sa.sa):
+            return
+        sums, gram = Sums(sa.flat), gram32(sa.flat)
+
+        def rows(length, lo, hi, part: bool) -> pa.RecordBatch:
+            size = hi - lo + 1
+            ends = np.cumsum(size)
+            each = sa.sa[np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(lo, size)]
+            own = sa.own[each]
+            of = pa.StructArray.from_arrays([pa.array(a[own]), pa.array(c[own]), pa.array(at[own] + sa.at[each], pa.int32()), pa.array(k[own])], fields=list(OCCURRENCE))
+            occ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), of)
+            head = sa.pos[sa.sa[lo]]
+            g1, g2 = sums.of(head, head + length, 13).view(np.int64), gram[head].view(np.int64)
+            left_lo = left_hi = rest_lo = rest_hi = pa.nulls(len(lo), pa.binary())
+            if part:  # least and largest of the bytes before, read backwards, and of the bytes behind
+                left = [sa.flat[p - i : p][::-1].tobytes() for p, i in zip(sa.pos[each], sa.at[each], strict=True)]
+                begin = (ends - size).tolist()
+                pick = lambda f: pa.array([f(left[x:y]) for x, y in zip(begin, ends.tolist(), strict=True)], pa.binary())
+                left_lo, left_hi = pick(min), pick(max)
+                tail = lambda i: pa.array([sa.flat[p + span : p + r].tobytes() for p, r in zip(sa.pos[sa.sa[i]], sa.room[sa.sa[i]], strict=True)], pa.binary())
+                rest_lo, rest_hi = tail(lo), tail(hi)
+            columns = [pa.array(np.full(len(lo), part)), pa.array(g1), pa.array(g2), pa.array(length, pa.int32()), left_lo, left_hi, rest_lo, rest_hi, occ]
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in GROUPS.split(", ")])
+
+        found = np.array(list(sa.maximal_repeats()), np.int64).reshape(-1, 3)
+        if len(found):
+            yield rows(found[:, 0], found[:, 1], found[:, 2], False)
+        lo, hi = sa.labels(n > GROUP)
+        for i in range(0, len(lo), 1 << 14):
+            x, y = lo[i : i + (1 << 14)], hi[i : i + (1 << 14)]
+            yield rows(np.full(len(x), span), x, y, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for batch in batches:
-            for d, t, lo, x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                s = Sums(np.frombuffer(x, np.uint8))
-                at = np.arange(len(x) - span + 1)
-                yield pa.RecordBatch.from_pydict({"x": s.of(at, at + span, 13).view(np.int64), "y": gram32(np.frombuffer(x, np.uint8))[at].view(np.int64), "d": np.full(len(at), d), "t": np.full(len(at), t), "lo": lo + at})
-
-    return run, "x long, y long, d long, t long, lo long"
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            key, chunk = t["key"].to_numpy(), t["chunk"].to_numpy()
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1
+            size = np.cumsum(np.array([len(x) for x in t["bytes"].to_pylist()], np.int64))
+            at = 0
+            for e in edges:
+                if size[e - 1] - (size[at - 1] if at else 0) >= CHUNK:
+                    yield from work(t.slice(at, e - at).combine_chunks())
+                    at = int(e)
+            left = t.slice(at)
+        if left is not None and len(left):
+            yield from work(left.combine_chunks())
+
+    return run, GROUPS
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -246,51 +265,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_wl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_wl_t": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(d, t, lo, hi): stretches of bytes of the rows ``keyed`` names that strings of ``span`` bytes found elsewhere cover."""
-    store = Store(docs.sparkSession, "suffix")
-    base = keyed(docs).select(F.col("_wl_d").alias("d"), F.col("_wl_t").alias("t"), "text")
-    run, types = _places(span)
-    places = store.put(base.mapInArrow(run, types), "places")
-    anchors = store.put(places.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1").select("a", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
-    store.release()
-    again = store.put(places.join(anchors, "a"), "again")
-    store.drop("places")
-    store.release()
-    whole = lambda df: df.select("d", "t", F.col("at").cast("long").alias("lo"), (F.col("at") + F.col("n") - 1 + span).cast("long").alias("hi"))
-    mixed = again.where("mixed")
-    kinds = store.put(mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "t", "at", "n", "p")).alias("r")), "kinds")
-    twice = mixed.join(kinds.where("k > 1").select("a", "c"), ["a", "c"], "left_semi")
-    found = [store.put(whole(again.where("NOT mixed")).unionByName(whole(twice)), "whole")]
-    wanted = kinds.groupBy("r.d", "r.t").agg(F.collect_list(F.struct("r.at", "r.n", "r.p")).alias("wanted"))
-    run, types = _halves(span)
-    halves = store.put(base.join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "wanted").mapInArrow(run, types), "halves")
-    store.drop("again")
-    store.release()
-    shared = store.put(halves.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
-    rows = halves.join(shared, "key")
-    run, types = _arrays(span)
-    columns = ["key", "d", "t", "lo", "bytes"]
-    found.append(rows.where(F.col("k") <= GROUP).select(columns).repartition("key").sortWithinPartitions("key", "d", "t", "lo").mapInArrow(run, types))
-    hot = rows.where(F.col("k") > GROUP)
-    if not shared.where(F.col("k") > GROUP).isEmpty():
-        run, types = _strings(span)
-        strings = store.put(hot.select(columns).mapInArrow(run, types), "strings")
-        often = strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x", "y")
-        found.append(strings.join(often, ["x", "y"], "left_semi").select("d", "t", "lo", (F.col("lo") + span).alias("hi")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = store.put(out, "spans")
-    store.drop("whole", "halves", "kinds", "strings")
-    store.release()
-    return out
+def united(spans) -> F.Column:
+    """Spans (lo, hi) as disjoint ones, in order."""
+    kind = "array<struct<lo:bigint,hi:bigint>>"
+
+    def add(done, x):
+        top = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(top.lo.alias("lo"), F.greatest(top.hi, x.hi).alias("hi"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).hi >= x.lo), longer).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), add)
+
+
+class Repeats:
+    """Maximal repeat groups of the texts of some documents."""
+
+    def __init__(self, docs: DataFrame, span: int = SPAN):
+        self.span, self.store = span, Store(docs.sparkSession, "suffix")
+        store = self.store
+        base = keyed(docs).select(F.col("_wl_d").alias("d"), F.col("_wl_t").alias("t"), "text")
+        run, types = _places(span)
+        places = store.put(base.mapInArrow(run, types), "places")
+        anchors = store.put(places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+        store.release()
+        #: contexts whose anchor is found more than once
+        self.contexts = store.put(spread_join(places, anchors.select("a"), ["a"], anchors), "contexts")
+        store.drop("places")
+        store.release()
+        #: classes of equal contexts: how many, and where one of them is
+        self.classes = store.put(self.contexts.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "t", "at", "n", "p")).alias("r")), "classes")
+        wanted = self.classes.groupBy("r.d", "r.t").agg(F.collect_list(F.struct("r.at", "r.n", "r.p", "a", "c", "k")).alias("wanted"))
+        run, types = _halves(span)
+        halves = store.put(base.join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("text", "wanted").mapInArrow(run, types), "halves")
+        store.release()
+        shared = store.put(halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("of")).where("of > 1").select("key", "n"), "shared")
+        chunk = F.pmod(F.xxhash64("a", "c"), F.ceil(F.col("n") / GROUP)).cast("int")
+        rows = spread_join(halves, shared.withColumnRenamed("n", "of"), ["key"], shared).withColumnRenamed("of", "n").withColumn("chunk", chunk)
+        run, types = _arrays(span)
+        rows = rows.select("key", "chunk", "n", "a", "c", "k", "lo", "bytes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "a", "c")
+        found = store.put(rows.mapInArrow(run, types), "found")
+        store.drop("halves", "shared")
+        store.release()
+        #: (g1, g2, length, occurrences): the repeated bytes by hash, and where classes hold them; a group may have several rows
+        self.groups = found.where("NOT part").select("g1", "g2", "length", "occurrences").unionByName(self._merged(found.where("part")))
+
+    def _merged(self, parts: DataFrame) -> DataFrame:
+        """Groups of intervals that several arrays hold."""
+        ends = [f(x).alias(x) for f, x in ((F.min, "left_lo"), (F.max, "left_hi"), (F.min, "rest_lo"), (F.max, "rest_hi"))]
+        several = parts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("arrays"), *ends).where("arrays > 1")
+
+        def shared(lo, hi) -> list[int]:
+            return [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(lo, hi, strict=True)]
+
+        def extend(batches):
+            for p in batches:
+                yield p[["g1", "g2"]].assign(before=shared(p["left_lo"], p["left_hi"]), behind=shared(p["rest_lo"], p["rest_hi"]))
+
+        several = several.drop("arrays").mapInPandas(extend, "g1 long, g2 long, before int, behind int")
+        moved = F.transform("occurrences", lambda o: o.withField("lo", o.lo - F.col("before")))
+        both = parts.select("g1", "g2", "length", "occurrences").join(several, ["g1", "g2"])
+        return both.select("g1", "g2", (F.col("length") + F.col("before") + F.col("behind")).alias("length"), moved.alias("occurrences"))
+
+    def occurrences(self) -> DataFrame:
+        """(g1, g2, length, d, t, lo): every group with all its places, in texts as ``keyed`` names them."""
+        of = self.groups.select("g1", "g2", "length", F.explode("occurrences").alias("o")).select("g1", "g2", "length", "o.a", "o.c", "o.lo").distinct()
+        held = self.contexts.select("a", "c", "d", "t", "at")
+        both = spread_join(held, of, ["a", "c"], self.classes.select("a", "c", F.col("k").alias("n")))
+        return both.select("g1", "g2", "length", "d", "t", (F.col("at") + F.col("lo")).cast("long").alias("lo")).distinct()
+
+    def spans(self) -> DataFrame:
+        """(d, t, spans): the bytes of each text that strings of ``span`` bytes found elsewhere cover."""
+        one = self.groups.select("length", F.explode("occurrences").alias("o")).select("o.a", "o.c", "o.lo", (F.col("o.lo") + F.col("length")).alias("hi"))
+        of = self.store.put(one.groupBy("a", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select("a", "c", united(F.col("spans")).alias("spans")), "covers")
+        held = spread_join(self.contexts.select("a", "c", "d", "t", "at"), of, ["a", "c"], self.classes.select("a", "c", F.col("k").alias("n")))
+        moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("at")).alias("lo"), (s.hi + F.col("at")).alias("hi")))
+        return held.select("d", "t", moved.alias("spans")).groupBy("d", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans, kept_sha256, ``spans`` of removed bytes and the ``kept`` bytes."""
     docs = ahead(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
-    per = repeated_spans(docs, span).groupBy(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_wl_spans"))
+    per = Repeats(docs, span).spans().select(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t"), F.col("spans").alias("_wl_spans"))
     joined = keyed(docs).join(per, ["_wl_d", "_wl_t"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_wl_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
