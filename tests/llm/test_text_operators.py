@@ -351,36 +351,43 @@ def test_token_files_round_trip(spark):
 ITEMS = [(1, PASSAGE), (2, sentence(13)), (3, "two words"), (4, None), (5, "..."), (6, PASSAGE), (10, sentence(5))]
 
 
-@pytest.mark.parametrize("limit", [1 << 18, 20])
-def test_winnowing_finds_every_shared_window(spark, limit):
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_winnowing_finds_every_shared_window(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITS", bits)
     docs = [*ROWS, (30, f"x {ITEMS[1][1].upper()}! y {ITEMS[6][1]}, and Two, words")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontaminate.find(frame(spark, docs, clash=["spans"]), items, limit)
+    out = decontaminate.find(frame(spark, docs, clash=["spans"]), items)
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in out.collect()}
     want = {d: decontaminate.brute_force(t, ITEMS) for d, t in docs}
     assert got == want and want[20][1] >= 60 and want[30][2] == ["10", "2", "3"]
     assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in out.collect())
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=60), st.lists(st.sampled_from("abcd"), min_size=1, max_size=30))
-def test_winnowing_loses_no_window_of_repetitive_words(doc, item):
-    text, items = " ".join(doc), [(1, " ".join(item))]
-    windows, prints = {}, {}
-    data = np.frombuffer(items[0][1].encode(), np.uint8)
-    s, e, h, _ = decontaminate.words(data, np.array([0, len(data)]))
-    n = min(13, len(h))
-    k, w = (5, 9) if n == 13 else (n, 1)
+@pytest.mark.parametrize("part", [5, 2048])
+def test_a_benchmark_as_large_as_the_documents(spark, monkeypatch, part):
+    monkeypatch.setattr(skew, "PART", part)  # hot fingerprints are salted
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 15)
+    r = random.Random(8)
+    word = lambda: r.choice("abcd")  # noqa: E731  few words: fingerprints and windows that many rows share
+    some = lambda: " ".join(word() for _ in range(r.randint(0, 60)))
+    docs = [(i, some()) for i in range(60)] + [(100 + i, f"{PASSAGE} {some()}") for i in range(40)] + [(100, PASSAGE), (None, PASSAGE), (7, None)]
+    items = [(i, some()) for i in range(60)] + [(200 + i, f"{sentence(3)} {PASSAGE}") for i in range(40)] + [(None, "d c b a d c b")]
+    out = decontaminate.find(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    named = [("" if i is None else i, t) for i, t in items]
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in out.collect())
+    assert got == sorted((str(d), *decontaminate.brute_force(t, named)) for d, t in docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=13, max_size=60), st.integers(0, 47))
+def test_winnowing_loses_no_window_of_repetitive_words(doc, at):
+    data = np.frombuffer(" ".join(doc).encode(), np.uint8)
+    _, _, h, _ = decontaminate.words(data, np.array([0, len(data)]))
+    at = min(at, len(doc) - 13)
     from watchloom.llm.kernel import ngram_hashes
 
-    g = ngram_hashes(h, k)
-    prints[n] = {int(x) for x in g[decontaminate.fingerprints(h, k, w)]}
-    windows[n] = {int(x): {decontaminate.clean_words(data, s, e, q, n): {"1"}} for q, x in enumerate(ngram_hashes(h, n))}
-    block = decontaminate.Block.build(windows, prints)
-    data = np.frombuffer(text.encode(), np.uint8)
-    s, e, h, first = decontaminate.words(data, np.array([0, len(data)]))
-    hit, _ = block.hits(data, s, e, h, first)
-    assert int(hit.sum()) == decontaminate.brute_force(text, items)[1]
+    prints = lambda x: {int(g) for g in ngram_hashes(x, 5)[decontaminate.fingerprints(x, 5, 9)]}
+    assert prints(h[at : at + 13]) & prints(h)  # a shared window shares a fingerprint
 
 
 def test_decontaminate_keeps_clean_rows_and_columns(spark):

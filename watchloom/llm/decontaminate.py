@@ -1,15 +1,22 @@
-"""Benchmark decontamination by winnowing.
+"""Benchmark decontamination by winnowing and a join of fingerprints.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z lowered. A span of ``WINDOW`` words is
 covered by k-grams of ``K`` words; of each ``WINDOW - K + 1`` consecutive k-gram hashes the least is a fingerprint, so
-two texts that share a whole window share a fingerprint. Documents are winnowed where they are scanned and their
-fingerprints looked up among the benchmark's; around a hit, every window of the document that holds the fingerprint is
-extended to its full length, looked up among the benchmark's windows by hash and confirmed on the words themselves.
-An item of fewer words than a window is one window of its own length; such lengths keep every gram of the document
-(a winnowing window of one), since nothing shorter than the item may be skipped.
-
-The benchmark goes to the executors in blocks of at most ``BLOCK_WINDOWS`` windows, each block one pass over the
-documents; a document's hits and items of all blocks are then put together. With one block there is no shuffle.
+two texts that share a whole window share a fingerprint. An item of fewer words than a window is one window of its own
+length; such lengths (at most ``WINDOW - 1`` of them) keep every gram of the document (a winnowing window of one), since
+nothing shorter than the item may be skipped.
+
+1. Items are winnowed where they are scanned: a table of fingerprints and a table of windows (128-bit hash, the words).
+2. Documents are winnowed where they are scanned. A bitmap of the benchmark's fingerprints drops most others at once; it
+   has 64 bits a fingerprint and never more than ``BITS`` bits (16 MB), however large the benchmark is. What passes
+   comes out with the words around it.
+3. Both tables of fingerprints are joined; hot ones are salted.
+4. Around a hit every window that holds the fingerprint is extended to its full length and joined to the benchmark's
+   windows by hash and by the words themselves. Windows that are hit give the hit words and, by one more join, the items.
+5. A row's hits are put together by its doc_id and a 128-bit hash of its text (rows alike in both have the same result)
+   and joined to the documents; where the table of hits is small, the planner sends it to the documents.
+
+Nothing of the benchmark is built on the driver but the bitmap.
 
 Defined cases: null or empty text has no words and is clean; items without words match nothing; a null item_id counts as
 an item named by the empty string; repeated items count once, by item_id; an empty benchmark leaves every document clean;
@@ -20,18 +27,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.kernel import ALNUM, LOWER, U, blocks, ngram_hashes, window_min, word_hashes, word_runs
+from watchloom.llm.kernel import ALNUM, GOLD, LOWER, U, blocks, mix, ngram_hashes, window_min, word_hashes, word_runs
+from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store, ahead, ddl, table
 
 WINDOW, K = 13, 5
-BLOCK_WINDOWS = 1 << 18
+BITS = 1 << 27
+PAGE = 1 << 15  # bits of one page of a bitmap, as Spark's bitmap functions have it
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,113 +64,156 @@ def clean_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, at: int, n: int)
     return b" ".join(data[s[i] : e[i]].tobytes() for i in range(at, at + n))
 
 
-@dataclass
-class Block:
-    """Windows of some items, by length: the fingerprints, the windows' hashes, and the items of each window."""
-
-    prints: dict[int, np.ndarray] = field(default_factory=dict)
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
-    items: dict[int, list[dict[bytes, list[str]]]] = field(default_factory=dict)
+def scheme(n: int) -> tuple[int, int]:
+    """Words of a gram and grams of a winnowing window, for windows of n words."""
+    return (K, WINDOW - K + 1) if n == WINDOW else (n, 1)
+
+
+def windows_of(words_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each n consecutive words."""
+    return ngram_hashes(words_, n).view(np.int64), ngram_hashes(mix(words_ ^ U(GOLD)), n).view(np.int64)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> a row for each window: length, item, two hashes, words, and the fingerprints that start in it."""
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for lo, hi, data, offs in blocks(batch):
+            data = LOWER[data]
+            s, e, h, first = words(data, offs)
+            out: list[list] = [[] for _ in range(6)]
+            for i, (x, y) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                n = min(WINDOW, y - x)
+                if not n:
+                    continue
+                k, w = scheme(n)
+                prints = ngram_hashes(h[x:y], k)
+                picked = set(fingerprints(h[x:y], k, w).tolist())
+                w1, w2 = windows_of(h[x:y], n)
+                last = len(w1) - 1  # grams behind the last window's start belong to it
+                for q in range(len(w1)):
+                    mine = [j for j in range(q, len(prints) if q == last else q + 1) if j in picked]
+                    row = (n, names[lo + i] or "", int(w1[q]), int(w2[q]), clean_words(data, s, e, x + q, n), prints[mine].view(np.int64).tolist())
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_pydict({"n": pa.array(out[0], pa.int32()), "item": pa.array(out[1], pa.string()), "w1": pa.array(out[2], pa.int64()), "w2": pa.array(out[3], pa.int64()), "words": pa.array(out[4], pa.binary()), "prints": pa.array(out[5], pa.list_(pa.int64()))})
+
+
+class Bitmap:
+    """Which fingerprints may be the benchmark's; pages without any are left out."""
+
+    def __init__(self, bits: int, pages: dict[int, bytes]):
+        self.bits = bits
+        self.number = np.array(sorted(pages), np.int64)
+        self.pages = np.frombuffer(b"".join(pages[i] for i in sorted(pages)), np.uint8).reshape(len(pages), PAGE // 8)
 
     @classmethod
-    def build(cls, windows: dict[int, dict[int, dict[bytes, set[str]]]], prints: dict[int, set[int]]) -> Block:
-        out = cls()
-        for n, by in windows.items():
-            order = sorted(by)
-            out.hashes[n] = np.array(order, U)
-            out.items[n] = [{k: sorted(v) for k, v in by[h].items()} for h in order]
-            out.prints[n] = np.array(sorted(prints[n]), U)
-        return out
-
-    def hits(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Which words are hit, and the items found in each text."""
-        marks, found = np.zeros(len(h) + 1, np.int64), defaultdict(set)
-        last = np.repeat(first[1:], np.diff(first))  # the word behind each word's text
-        for n, prints in self.prints.items():
-            k, w = (K, WINDOW - K + 1) if n == WINDOW else (n, 1)
-            at = fingerprints(h, k, w)
-            if not len(at):
-                continue
-            g = ngram_hashes(h, k)[at]
-            p = np.minimum(np.searchsorted(prints, g), len(prints) - 1)
-            at = at[prints[p] == g]
-            start = np.unique((at[:, None] - np.arange(n - k + 1)).ravel())
-            start = start[(start >= 0) & (start + n <= len(h))]
-            start = start[start + n <= last[start]] if len(start) else start
-            if not len(start):
-                continue
-            full = np.zeros(len(start), U)
-            for j in range(n):  # the same hash as ngram_hashes(h, n), at these places only
-                full = _roll(full, h[start + j], j)
-            p = np.minimum(np.searchsorted(self.hashes[n], full), len(self.hashes[n]) - 1)
-            for q, i in zip(start[self.hashes[n][p] == full], p[self.hashes[n][p] == full], strict=True):
-                names = self.items[n][i].get(clean_words(data, s, e, q, n))
-                if names:
-                    marks[q] += 1
-                    marks[q + n] -= 1
-                    found[int(np.searchsorted(first, q, "right")) - 1].update(names)
-        return np.cumsum(marks[:-1]) > 0, found
-
-
-def _roll(h: np.ndarray, word: np.ndarray, j: int) -> np.ndarray:
-    from watchloom.llm.kernel import BASE, mix
-
-    return mix(h * U(BASE) + word + U(j + 1))
-
-
-def benchmark_blocks(items: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """Streams the items to the driver, one partition at a time, and yields blocks of at most about ``limit`` windows."""
-    windows: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    prints: dict = defaultdict(set)
-    held = 0
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        data = LOWER[np.frombuffer((row["text"] or "").encode(), np.uint8)]
-        s, e, h, _ = words(data, np.array([0, len(data)]))
-        if not len(h):
-            continue
-        n = min(WINDOW, len(h))
-        k, w = (K, WINDOW - K + 1) if n == WINDOW else (n, 1)
-        g = ngram_hashes(h, k)
-        prints[n].update(int(x) for x in g[fingerprints(h, k, w)])
-        for q, x in enumerate(ngram_hashes(h, n)):
-            windows[n][int(x)][clean_words(data, s, e, q, n)].add(row["item_id"] or "")
-        held += len(h) - n + 1
-        if held >= limit:
-            yield Block.build(windows, prints)
-            windows.clear()
-            prints.clear()
-            held = 0
-    if held:
-        yield Block.build(windows, prints)
+    def build(cls, prints: DataFrame) -> Bitmap:
+        """From a written table of (n, g); at most ``BITS`` bits come to the driver."""
+        bits = min(BITS, max(PAGE, 1 << int(64 * prints.count()).bit_length()))
+        place = F.pmod(F.col("g"), F.lit(bits)) + 1  # the functions count from one
+        got = prints.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        return cls(bits, {r["page"] - 1: bytes(r["bits"]) for r in got})
 
+    def holds(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.number):
+            return np.zeros(len(g), bool)
+        at = (g & U(self.bits - 1)).astype(np.int64)
+        page = np.minimum(np.searchsorted(self.number, at // PAGE), len(self.number) - 1)
+        byte = self.pages[page, at % PAGE // 8]
+        return (self.number[page] == at // PAGE) & (byte >> (at % 8).astype(np.uint8) & 1).astype(bool)
 
-FOUND = ("n_words", "n_hit", "item_ids", "spans")
+
+def _prints(held, lengths: list[int]):
+    """Documents -> (d, t, u, n, g, at, left, words): a fingerprint, its place, the words before it there and all words around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = held.value
+        for batch in batches:
+            for lo, hi, data, offs in blocks(batch):
+                data = LOWER[data]
+                s, e, h, first = words(data, offs)
+                for n in lengths:
+                    k, w = scheme(n)
+                    at = fingerprints(h, k, w)
+                    g = ngram_hashes(h, k)[at]
+                    ok = bitmap.holds(g)
+                    at, g = at[ok], g[ok]
+                    own = np.searchsorted(first, at, "right") - 1
+                    inside = at + k <= first[own + 1]
+                    at, g, own = at[inside], g[inside], own[inside]
+                    if not len(at):
+                        continue
+                    x, y = np.maximum(at - (n - k), first[own]), np.minimum(at + n, first[own + 1])
+                    ids = [batch.column(i).slice(lo, hi - lo).take(pa.array(own)) for i in range(3)]
+                    around = pa.array([clean_words(data, s, e, int(p), int(q - p)) for p, q in zip(x, y, strict=True)], pa.binary())
+                    columns = [*ids, pa.array(np.full(len(at), n, np.int32)), pa.array(g.view(np.int64)), pa.array(at - first[own]), pa.array(at - x, pa.int32()), around]
+                    yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "u", "n", "g", "at", "left", "words"])
+
+    return run, "d long, t long, u long, n int, g long, at long, left int, words binary"
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with the words around them -> every window that holds the fingerprint."""
+    for batch in batches:
+        n, at, left = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "at", "left"))
+        out: list[list] = [[] for _ in range(5)]
+        for i, text in enumerate(batch.column(batch.schema.get_field_index("words")).to_pylist()):
+            data = np.frombuffer(text, np.uint8)
+            s, e, h, _ = words(data, np.array([0, len(data)]))
+            w1, w2 = windows_of(h, int(n[i]))
+            for q in range(len(w1)):
+                row = (i, int(at[i] - left[i] + q), int(w1[q]), int(w2[q]), clean_words(data, s, e, q, int(n[i])))
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+        own = pa.array(out[0], pa.int64())
+        kept = [batch.column(batch.schema.get_field_index(c)).take(own) for c in ("d", "t", "u", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["d", "t", "u", "n", "at", "w1", "w2", "words"])
 
 
-def find(docs: DataFrame, items: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
+FOUND = ("n_words", "n_hit", "item_ids", "spans")
+KEY = ["_wl_d", "_wl_t", "_wl_u"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns(dict(zip(KEY, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(_wl_d, _wl_t, _wl_u, _wl_items, _wl_spans) of the rows with a hit: sorted items, and merged spans of words (written)."""
+    spark, store = docs.sparkSession, Store(docs.sparkSession, "winnow")
+    held = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    windows = store.put(held.mapInArrow(_items, "n int, item string, w1 long, w2 long, words binary, prints array<long>"), "items")
+    prints = store.put(windows.select("n", F.explode("prints").alias("g")).distinct(), "prints")
+    lengths = sorted((r["n"] for r in prints.select("n").distinct().collect()), reverse=True)  # at most WINDOW
+    run, types = _prints(spark.sparkContext.broadcast(Bitmap.build(prints)), lengths)
+    found = store.put(keyed(docs.select("doc_id", "text")).select(*[F.col(k).alias(k[-1]) for k in KEY], "text").mapInArrow(run, types), "found")
+    often = found.groupBy("n", "g").agg(F.count(F.lit(1)).alias("of"))
+    shared = spread_join(found, prints, ["n", "g"], often, "of", "left_semi")
+    tries = store.put(shared.mapInArrow(_extend, "d long, t long, u long, n int, at long, w1 long, w2 long, words binary").distinct(), "tries")
+    whole = windows.select("n", "w1", "w2", "words").distinct()
+    often = tries.groupBy("n", "w1", "w2", "words").agg(F.count(F.lit(1)).alias("of"))
+    same = ["n", "w1", "w2", "words"]
+    hit = store.put(spread_join(tries, whole, same, often, "of", "left_semi"), "hit")
+    spans = hit.groupBy("d", "t", "u").agg(F.collect_set(F.struct(F.col("at").cast("int").alias("start"), (F.col("at") + F.col("n")).cast("int").alias("end"))).alias("s"))
+    each = hit.select("d", "t", "u", *same).distinct()
+    often = each.groupBy(*same).agg(F.count(F.lit(1)).alias("of"))
+    names = spread_join(each, windows.select(*same, "item").distinct(), same, often, "of").groupBy("d", "t", "u").agg(F.array_sort(F.collect_set("item")).alias("_wl_items"))
+    kind = "array<struct<start:int,end:int>>"
+    merged = F.aggregate(F.array_sort("s"), F.array().cast(kind), _merge)
+    out = spans.select("d", "t", "u", merged.alias("_wl_spans")).join(names, ["d", "t", "u"])
+    return store.put(out.select(*[F.col(k[-1]).alias(k) for k in KEY], "_wl_items", "_wl_spans"), "hits")
+
+
+def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents with ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and ``spans`` of hit words [start, end)."""
     docs = ahead(docs, *FOUND)
-    spark, columns = docs.sparkSession, docs.columns
-    added = ("n_words long", "n_hit long", "item_ids array<string>", "spans array<struct<start:int,end:int>>")
-    scan = lambda d, block: d.mapInArrow(_scan(spark.sparkContext.broadcast(block)), ddl(d, *added))
-    stream = benchmark_blocks(items, limit)
-    first, second = next(stream, Block()), next(stream, None)
-    if second is None:
-        return scan(docs, first)
-    # several blocks: a document's spans and items of all of them meet by its place, which is written down
-    placed = Store(spark, "winnow").put(docs.withColumn("_wl_at", F.monotonically_increasing_id()), "placed")
-    passes = [scan(placed, block) for block in (first, second, *stream)]
-    slim = passes[1].select("_wl_at", "item_ids", "spans")
-    for p in passes[2:]:
-        slim = slim.unionByName(p.select("_wl_at", "item_ids", "spans"))
-    more = slim.where(F.size("spans") > 0).groupBy("_wl_at").agg(F.flatten(F.collect_list("item_ids")).alias("_wl_items"), F.flatten(F.collect_list("spans")).alias("_wl_spans"))
-    both = passes[0].join(more, "_wl_at", "left")
-    ids = F.array_sort(F.array_union("item_ids", F.coalesce("_wl_items", F.array().cast("array<string>"))))
-    spans = F.array_sort(F.concat("spans", F.coalesce("_wl_spans", F.array().cast("array<struct<start:int,end:int>>"))))
-    merged = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), _merge)
-    out = both.select(*columns, "n_words", ids.alias("item_ids"), merged.alias("spans"))
+    both = keyed(docs).join(hits(docs, items), KEY, "left").drop(*KEY)
+    counted = both.mapInArrow(_count, ddl(both, "n_words long"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start)
-    return out.select(*columns, "n_words", hit.alias("n_hit"), "item_ids", "spans")
+    out = counted.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce("_wl_items", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("_wl_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", hit.alias("n_hit"), "item_ids", "spans")
 
 
 def _merge(done, x):
@@ -172,25 +223,12 @@ def _merge(done, x):
     return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).end >= x.start), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
 
-def _scan(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        for batch in batches:
-            for lo, hi, data, offs in blocks(batch):
-                data = LOWER[data]
-                s, e, h, first = words(data, offs)
-                hit, items = block.hits(data, s, e, h, first)
-                count = np.concatenate([[0], np.cumsum(hit)])
-                spans: list[list] = [[] for _ in range(hi - lo)]
-                for d in items:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[first[d] : first[d + 1]], [False]]).astype(np.int8)))
-                    spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
-                out = [pa.array(np.diff(first)), pa.array(count[first[1:]] - count[first[:-1]]), pa.array([sorted(items.get(i, ())) for i in range(hi - lo)], pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
-                yield pa.RecordBatch.from_arrays(own + out, names=[*batch.schema.names, "n_words", "n_hit", "item_ids", "spans"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offs in blocks(batch):
+            s, _ = word_runs(LOWER[data], offs, ALNUM)
+            own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(np.searchsorted(s, offs)))], names=[*batch.schema.names, "n_words"])
 
 
 def contaminated() -> F.Column:
