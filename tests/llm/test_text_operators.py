@@ -170,6 +170,31 @@ def test_lines_inserts_and_deletions_undo_each_other(spark):
     back = both.delete(frame(spark, second))
     assert sorted(collect(back.postings, "doc_id", "hi", "lo")) == sorted(collect(a.postings, "doc_id", "hi", "lo"))
     assert sorted(collect(back.counts, "hi", "refs", "last_doc")) == sorted(collect(a.counts, "hi", "refs", "last_doc"))
+    assert {r.doc_id: r.n_dropped for r in back.apply(frame(spark, first)).collect()} == {d: n for d, (_, n, _) in brute_lines(first).items()}
+
+
+def test_lines_of_one_document_touch_only_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LAYERS", 3)
+    monkeypatch.setattr(line_dedup, "PROBE", 4)  # a shard's lines are dealt over parts
+    lines = [f"{i} line that is long enough to be counted as one of them" for i in range(30)]
+    held = [(i, "\n".join(lines[i : i + 6])) for i in range(25)]
+    index = LineIndex.empty(spark).insert(frame(spark, held))
+    before = dict(held)
+    for step, row in enumerate([(50, "\n".join(lines[:3])), (50, lines[7]), (3, lines[29]), (60, lines[2])]):
+        index = index.insert(frame(spark, [row]))
+        if len(index.changes) > 1:
+            assert index.changes[-1].count() == index.levels[-1].count() == len(row[1].split("\n"))
+        before[row[0]] = before.get(row[0], "") + "\n" + row[1]
+        if step == 1:
+            index = index.delete(frame(spark, [(4, None), (5, None)]))
+            before = {d: t for d, t in before.items() if d not in (4, 5)}
+    want = {}
+    for d, t in before.items():
+        for x in set(t.strip("\n").split("\n")):
+            want.setdefault(x, set()).add(d)
+    assert sorted(collect(index.counts, "refs", "last_doc")) == sorted((len(x), max(x)) for x in want.values())
+    rows = list(before.items())
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in index.apply(frame(spark, rows)).collect()} == brute_lines(rows)
 
 
 def test_lines_edges(spark):

@@ -1,16 +1,19 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
-State of the index (written tables):
+State of the index (written tables, in layers; the newest layer that has a key or shard is right about it):
 
-* ``postings(doc_id, hi, lo)`` - the lines each document holds, by the 128-bit hash of the line's key;
-* ``counts(hi, lo, refs, last_doc)`` - the exact reference counts that have reached ``min_docs``, from the postings;
-* ``filters(shard, buckets, table)`` - one cuckoo filter per shard, holding the keys whose count has reached
+* ``postings(doc_id, hi, lo, sign)`` - the lines each document holds, by the 128-bit hash of the line's key;
+* ``counts(hi, lo, refs, last_doc)`` - the exact reference counts of all keys;
+* ``filters(shard, n_keys, filter)`` - one cuckoo filter per shard, holding the keys whose count has reached
   ``min_docs``. A filter has at most ``SHARD_KEYS`` keys; the number of shards follows the number of keys.
 
+``insert`` and ``delete`` add a layer with the postings that come or go, the new counts of their keys alone, and the
+filters of the shards in which a key crossed ``min_docs``: what they write follows the change, not the index. After
+``LAYERS`` layers the state is written anew as one. Deleting what was inserted gives back the state before.
+
 A line probes its shard's filter first; only lines that the filter may hold are joined to the exact counts, which decide.
-Filters are broadcast in rounds of at most ``FILTER_BYTES``, each round over the lines of its own shards, so nothing
-broadcast grows with the input. ``insert`` and ``delete`` change postings and counts, and put into or take out of the
-filters the keys whose count crosses ``min_docs``; deleting what was inserted gives back the state before.
+Postings are dealt by shard, a large shard over several parts of about ``PROBE`` postings that each get the shard's
+filter, so filters meet their lines in the executors and nothing is collected. The join to the counts is salted.
 
 Defined cases: null or empty text is one empty line; rows with a null doc_id keep all their lines and count nowhere;
 repeated rows of one doc_id count as one document; equal lines in the last document all stay; an empty table gives no
@@ -20,18 +23,22 @@ rows. Other columns of the documents are carried along untouched by ``apply``.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from watchloom.llm.kernel import GOLD, U, mix
+from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store, ahead, table
 
 BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 18
-FILTER_BYTES = 32 << 20
+PROBE = 1 << 18
+LAYERS = 8
 SLOTS = 4
 KICKS = 200
 
@@ -120,77 +127,144 @@ def _keys(lines) -> F.Column:
     return F.transform(F.transform(lines, key), lambda k: F.struct(F.xxhash64(k).alias("hi"), F.xxhash64(F.lit(1), k).alias("lo"), F.length(k).alias("n")))
 
 
+def _newest(layers: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Of the rows of all layers the last one for each key."""
+    if len(layers) == 1:
+        return layers[0]
+    rest = [c for c in layers[0].columns if c not in keys]
+    rows = [x.withColumn("_wl_v", F.lit(i)) for i, x in enumerate(layers)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_wl_v").alias("_wl_z")).select(*keys, *[F.col("_wl_z")[c].alias(c) for c in rest])
+
+
+@dataclass(frozen=True)
 class LineIndex:
     """The index over some documents; every method returns a new state and leaves this one as it is."""
 
-    def __init__(self, store: Store, postings: DataFrame, min_chars: int, min_docs: int, before: LineIndex | None = None):
-        self.store, self.min_chars, self.min_docs, self.postings = store, min_chars, min_docs, postings
-        sums = postings.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("refs"), F.max("doc_id").alias("last_doc"))
-        self.counts = store.put(sums.where(F.col("refs") >= min_docs), self._name("counts"))
-        n = self.counts.count()
-        old = before is not None and before.shards and n <= SHARD_KEYS * before.shards
-        self.shards = before.shards if old else max(1, -(-n // (SHARD_KEYS * 3 // 4)))
-        shard = F.pmod(F.col("hi"), F.lit(self.shards)).cast("int").alias("shard")
-        keys = self.counts.select(shard, "hi", "lo")
-        if not old:
-            filters = keys.groupBy("shard").applyInPandas(_build, FILTER)
-        else:  # only the keys whose counts crossed the bound go in or out; a filter that gets full is built anew
-            held = before.counts.select(shard, "hi", "lo")
-            turned = keys.join(held, ["hi", "lo"], "left_anti").withColumn("out", F.lit(False)).unionByName(held.join(keys, ["hi", "lo"], "left_anti").withColumn("out", F.lit(True)))
-            changed = turned.groupBy("shard").cogroup(before.filters.groupBy("shard")).applyInPandas(_change, FILTER)
-            changed = store.put(changed, self._name("changed"))
-            filters = changed.where("filter IS NOT NULL").unionByName(keys.join(changed.where("filter IS NULL").select("shard"), "shard", "left_semi").groupBy("shard").applyInPandas(_build, FILTER))
-        self.filters = store.put(filters, self._name("filters"))
-
-    @staticmethod
-    def _name(what: str) -> str:
-        return f"{what}-{uuid.uuid4().hex[:10]}"
+    store: Store
+    min_chars: int
+    min_docs: int
+    changes: tuple[DataFrame, ...] = ()  # layers of postings
+    levels: tuple[DataFrame, ...] = ()  # layers of counts
+    tables: tuple[DataFrame, ...] = ()  # layers of filters
+    shards: int = 0
+    keys: int = 0  # in the filters
 
     @classmethod
     def empty(cls, spark: SparkSession, min_chars: int = 40, min_docs: int = 5) -> LineIndex:
-        index = cls.__new__(cls)
-        index.store, index.min_chars, index.min_docs, index.shards = Store(spark, "lines"), min_chars, min_docs, 0
-        index.postings = None
-        return index
+        return cls(Store(spark, "lines"), min_chars, min_docs)
+
+    def _put(self, df: DataFrame, what: str) -> DataFrame:
+        return self.store.put(df, f"{what}-{uuid.uuid4().hex[:10]}")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, hi, lo) of the documents now in the index."""
+        if len(self.changes) == 1:
+            return self.changes[0].select("doc_id", "hi", "lo")
+        rows = self.changes[0]
+        for more in self.changes[1:]:
+            rows = rows.unionByName(more)
+        return rows.groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(hi, lo, refs, last_doc) of all keys now in the index."""
+        return _newest(list(self.levels), ["hi", "lo"]).where("refs > 0")
+
+    @property
+    def repeated(self) -> DataFrame:
+        """The counts that have reached ``min_docs``."""
+        return self.counts.where(F.col("refs") >= self.min_docs)
+
+    @property
+    def filters(self) -> DataFrame:
+        return _newest(list(self.tables), ["shard"])
+
+    def _shard(self) -> F.Column:
+        return F.pmod(F.col("hi"), F.lit(self.shards)).cast("int")
+
+    def _built(self) -> LineIndex:
+        """With filters made anew from the counts."""
+        n = self.repeated.count()
+        out = replace(self, shards=max(1, -(-n // (SHARD_KEYS * 3 // 4))), keys=n)
+        filters = out.repeated.select(out._shard().alias("shard"), "hi").groupBy("shard").applyInPandas(_build, FILTER)
+        return replace(out, tables=(self._put(filters, "filters"),))
 
     def line_keys(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, hi, lo): the distinct long keys of each document."""
+        """(doc_id, hi, lo): the distinct long keys of each row."""
         long = F.filter(_keys(_lines(F.col("text"))), lambda k: k.n >= self.min_chars)
         pairs = F.array_distinct(F.transform(long, lambda k: F.struct(k.hi.alias("hi"), k.lo.alias("lo"))))
         return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(pairs).alias("k")).select("doc_id", "k.hi", "k.lo")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents; those of a doc_id that the index has already add the lines it did not have."""
-        new = self.store.put(self.line_keys(docs), self._name("postings"))
-        if self.postings is None:
-            return LineIndex(self.store, new, self.min_chars, self.min_docs)
-        return LineIndex(self.store, self.store.put(self.postings.unionByName(new).distinct(), self._name("postings")), self.min_chars, self.min_docs, self)
+        found = self.line_keys(docs)
+        if not self.changes:
+            new = self._put(found.withColumn("sign", F.lit(1)), "postings")
+            sums = new.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("refs"), F.max("doc_id").alias("last_doc"))
+            return replace(self, changes=(new,), levels=(self._put(sums, "counts"),))._built()
+        found = self._put(found.distinct(), "found")
+        held = self.postings.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+        new = self._put(found.join(held, ["doc_id", "hi", "lo"], "left_anti").withColumn("sign", F.lit(1)), "postings")
+        delta = new.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("by"), F.max("doc_id").alias("newest"))
+        return self._layer(new, delta, F.greatest("newest", "last_doc"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes the documents of these doc_ids out again: counts fall, and keys below the bound leave the filters."""
-        left = self.store.put(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), self._name("postings"))
-        return LineIndex(self.store, left, self.min_chars, self.min_docs, self)
-
-    def rounds(self) -> list[tuple[int, int]]:
-        """Ranges of shards whose filters together stay within FILTER_BYTES."""
-        per = max(1, FILTER_BYTES // (SHARD_KEYS * 5 // 2))
-        return [(lo, min(lo + per, self.shards)) for lo in range(0, self.shards, per)]
+        if not self.changes:
+            return self
+        gone = self.postings.distinct().join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # a document's rows may repeat in the first layer; all of them go
+        gone = self._put(gone.withColumn("sign", F.lit(-1)), "gone")
+        rows = self.changes[0].join(gone.select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
+        for more in self.changes[1:]:
+            rows = rows.unionByName(more.join(gone.select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi"))
+        gone = self._put(rows.groupBy("doc_id", "hi", "lo").agg((-F.sum("sign")).cast("int").alias("sign")), "postings")
+        touched = gone.select("hi", "lo").distinct()
+        left = self.postings.join(touched, ["hi", "lo"], "left_semi").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+        left = left.groupBy("hi", "lo").agg(F.max("doc_id").alias("newest"))
+        delta = gone.groupBy("hi", "lo").agg((-F.count(F.lit(1))).alias("by")).join(left, ["hi", "lo"], "left")
+        return self._layer(gone, delta, F.col("newest"))
+
+    def _layer(self, changed: DataFrame, delta: DataFrame, last_doc: F.Column) -> LineIndex:
+        """The state behind a change: ``delta`` has the touched keys (hi, lo, by, newest)."""
+        delta = self._put(delta, "delta")
+        old = _newest([x.join(delta.select("hi", "lo"), ["hi", "lo"], "left_semi") for x in self.levels], ["hi", "lo"])
+        both = delta.join(old, ["hi", "lo"], "left").withColumn("was", F.coalesce("refs", F.lit(0)))
+        level = self._put(both.select("hi", "lo", (F.col("was") + F.col("by")).alias("refs"), last_doc.alias("last_doc"), "was"), "counts")
+        crossed = level.where((F.col("was") >= self.min_docs) != (F.col("refs") >= self.min_docs)).select(self._shard().alias("shard"), "hi", "lo", (F.col("was") >= self.min_docs).alias("out"))
+        n = {r["out"]: r["count"] for r in crossed.groupBy("out").count().collect()}
+        out = replace(self, changes=(*self.changes, changed), levels=(*self.levels, level.drop("was")), keys=self.keys + n.get(False, 0) - n.get(True, 0))
+        if len(out.changes) > LAYERS:
+            whole = out._put(out.postings.withColumn("sign", F.lit(1)), "postings")
+            return replace(out, changes=(whole,), levels=(out._put(out.counts, "counts"),))._built()
+        if out.keys > SHARD_KEYS * self.shards:
+            return out._built()
+        if not n:
+            return out
+        held = self.filters.join(crossed.select("shard").distinct(), "shard", "left_semi")
+        made = out._put(crossed.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_change, FILTER), "changed")
+        # a filter without room is built anew
+        full = out.repeated.select(self._shard().alias("shard"), "hi").join(made.where("filter IS NULL").select("shard"), "shard", "left_semi")
+        filters = made.where("filter IS NOT NULL").unionByName(full.groupBy("shard").applyInPandas(_build, FILTER))
+        return replace(out, tables=(*self.tables, out._put(filters, "filters")))
 
     def candidates(self, keys: DataFrame) -> DataFrame:
         """The keys that the filters may hold; a superset of the repeated ones by about one in ten thousand."""
-        sc, found = keys.sparkSession.sparkContext, None
-        for lo, hi in self.rounds():
-            got = self.filters.where((F.col("shard") >= lo) & (F.col("shard") < hi)).select("shard", "filter").collect()  # at most FILTER_BYTES
-            held = sc.broadcast({r[0]: bytes(r[1]) for r in got})
-            own = F.pmod(F.col("hi"), F.lit(self.shards))
-            part = keys if len(self.rounds()) == 1 else keys.where((own >= lo) & (own < hi))
-            part = part.mapInPandas(_probe(held, self.shards), keys.schema)
-            found = part if found is None else found.unionByName(part)
-        return found
+        rows = keys.withColumn("shard", self._shard())
+        # 12 bytes for each 200,000 repeated keys
+        parts = F.broadcast(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE).cast("int").alias("parts")))
+        dealt = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+        held = self.filters.select("shard", "filter").join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter")
+        return dealt.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInPandas(_probe, keys.schema)
 
     def drops(self) -> DataFrame:
         """(doc_id, hi, lo): the lines that each indexed document loses."""
-        exact = self.candidates(self.postings.select("doc_id", "hi", "lo")).join(self.counts, ["hi", "lo"])
+        maybe, held = self.candidates(self.postings), self.repeated
+        exact = spread_join(maybe, held.select("hi", "lo", "last_doc"), ["hi", "lo"], held.select("hi", "lo", "refs"), "refs")
         return exact.where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "hi", "lo")
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -199,18 +273,32 @@ class LineIndex:
         docs = ahead(docs, "n_lines", "n_dropped", "kept_text")
         d = docs.join(lost, F.col("doc_id").cast("long") == F.col("_wl_id"), "left")
         lines = _lines(F.col("text"))
-        marked = F.when(F.col("_wl_lost").isNotNull(), F.zip_with(lines, _keys(lines), lambda x, k: F.struct(x.alias("x"), ((k.n >= self.min_chars) & F.array_contains(F.col("_wl_lost"), F.struct(k.hi.alias("hi"), k.lo.alias("lo")))).alias("out"))))
-        d = d.withColumn("_wl_lines", marked)
-        some = F.col("_wl_lines").isNotNull()
-        left = F.filter("_wl_lines", lambda z: ~z.out)
+        keys = F.when(F.col("_wl_lost").isNotNull(), _keys(lines))
+        field = lambda name: F.transform(keys, lambda k: k[name])
+        d = d.withColumn("_wl_out", _lost(field("hi"), field("lo"), F.col("_wl_lost.hi"), F.col("_wl_lost.lo")))
+        some = F.col("_wl_out").isNotNull()
+        left = F.filter(F.zip_with(lines, "_wl_out", lambda x, out: F.when(~out, x)), lambda x: x.isNotNull())
         return d.select(
             *[F.col(f"`{c}`") for c in docs.columns],
-            F.when(some, F.size("_wl_lines")).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-            F.when(some, F.size("_wl_lines") - F.size(left)).otherwise(0).cast("long").alias("n_dropped"),
-            F.when(some, F.array_join(F.transform(left, lambda z: z.x), "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept_text"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.when(some, F.size(F.filter("_wl_out", lambda x: x))).otherwise(0).cast("long").alias("n_dropped"),
+            F.when(some, F.array_join(left, "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("kept_text"),
         )
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _lost(hi: pd.Series, lo: pd.Series, lost_hi: pd.Series, lost_lo: pd.Series) -> pd.Series:
+    """For each line whether it is among the lost; null where a document loses none."""
+    out = []
+    for a, b, x, y in zip(hi, lo, lost_hi, lost_lo, strict=True):
+        if x is None:
+            out.append(None)
+            continue
+        gone = set(zip(x.tolist(), y.tolist(), strict=True))
+        out.append([k in gone for k in zip(a.tolist(), b.tolist(), strict=True)])
+    return pd.Series(out, dtype=object)
+
+
 FILTER = "shard int, n_keys long, filter binary"
 
 
@@ -245,20 +333,12 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n_keys": [len(keys)], "filter": [f.dump()]})
 
 
-def _probe(held, shards: int):
-    def run(parts):
-        filters = {s: CuckooFilter.load(b) for s, b in held.value.items()}
-        for pdf in parts:
-            hi = pdf["hi"].to_numpy(np.int64)
-            own = hi % shards  # numpy's remainder has the sign of the divisor, as pmod has
-            keep = np.zeros(len(pdf), bool)
-            for s in np.unique(own):
-                if (f := filters.get(int(s))) is not None:
-                    at = np.flatnonzero(own == s)
-                    keep[at] = f.contains(hi[at].view(U))
-            yield pdf[keep]
-
-    return run
+def _probe(keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """The keys of a part of a shard that the shard's filter may hold."""
+    keys = keys.drop(columns=["shard", "part"])
+    if not len(held) or not len(keys):
+        return keys[:0]
+    return keys[CuckooFilter.load(bytes(held["filter"].iloc[0])).contains(keys["hi"].to_numpy(np.int64).view(U))]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
