@@ -364,6 +364,11 @@ def test_token_files_round_trip(spark):
         ids = np.append(e.encode([t or ""])[0], 1).astype("<u4")
         assert got[d] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    import os
+
+    named = {r.uri.rsplit("/", 1)[1] for r in shards.collect()}
+    there = os.listdir(folder.removeprefix("file://"))
+    assert {x.rsplit(".", 1)[0] for x in there} == named and len(there) == 2 * len(named)
     reader = token_store.ShardReader(shards.first().uri)
     ids, mask = reader.sequences(0)
     assert ids.shape == mask.shape and ids.shape[1] == 64 and not ids.flags.owndata
@@ -439,9 +444,9 @@ CHATS = [
 
 def test_chat_tree_round_trip_and_sharing(spark):
     rows = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
-    for size in (1 << 19, 100):
-        tree = chat_tree.build(rows, size)
-        got = {r.conv_id: r for r in chat_tree.read_back(tree).collect()}
+    for size, tokenizer in ((1 << 19, BYTE), (100, BYTE), (100, None)):
+        tree = chat_tree.build(rows, tokenizer, size)
+        got = {r.conv_id: r for r in chat_tree.read_back(tree, tokenizer).collect()}
         by = {}
         for c, t, role, text in CHATS:
             by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -452,20 +457,31 @@ def test_chat_tree_round_trip_and_sharing(spark):
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             g = got[c]
             assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss))
-            assert g.formatted_chars == sum(len(chat_tree.format_turn(r, x)[0]) for r, x in turns)
-    nodes = chat_tree.build(rows.coalesce(1), 1 << 19).where("kind = 'node'")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        nodes = [r for r in chat_tree.build(rows).where("kind = 'node'").collect()]
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert sum("hello" in r.text for r in nodes) == 1  # shared by 33 conversations
+            assert g.formatted_chars == sum(len("".join(chat_tree.turn_parts(r, x))) for r, x in turns)
+    nodes = [r for r in chat_tree.build(rows).where("kind = 'node'").collect()]
+    assert sum("hello" in "".join(map(chr, r.ids)) for r in nodes) == 1  # shared by 33 conversations
     for r in nodes:
-        assert r.position == sum(a.end - a.start for a in r.ancestors)
+        assert r.position == sum(a.end - a.start for a in r.ancestors) and r.length == len(r.ids)
     assert chat_tree.read_back(chat_tree.build(rows.limit(0))).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text("<|\\>\nim_endstar ", max_size=30), st.text("<|\\>\nim_endstar ", max_size=40)), max_size=4))
 def test_template_is_undone_exactly(turns):
-    assert chat_tree.parse("".join(chat_tree.format_turn(r, t)[0] for r, t in turns)) == turns
+    assert chat_tree.parse("".join("".join(chat_tree.turn_parts(r, t)) for r, t in turns)) == turns
+
+
+def test_shared_turns_are_emitted_once_whatever_the_partitions(spark):
+    first = sentence(40)
+    rows = [(i, 0, "user", first) for i in range(400)] + [(i, 1, "assistant", f"{i % 7} {sentence(3)}") for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tree = chat_tree.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTE)
+        assert tree.where("kind = 'node' AND parent = -1").count() == tree.select("pack").distinct().count() == 1
+        small = chat_tree.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTE, 10_000)
+        packs = small.select("pack").distinct().count()
+        assert packs > 3 and small.where("kind = 'node' AND parent = -1").count() == packs
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -210,8 +210,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8,
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "ann")
     rows = usable(vectors, vec_id, embedding)
     asked = usable(queries, vec_id, embedding).withColumnRenamed("vec_id", "query_id")
-    head = asked.select(F.size("v")).head()
-    dims = head[0] if head else 0
+    # the commonest length of the queries, of equally common ones the smaller
+    head = asked.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").head()
+    dims = head["d"] if head else 0
     rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
     peak = F.array_max(F.transform("v", F.abs))
     norm = peak * F.sqrt(F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x))

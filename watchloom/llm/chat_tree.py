@@ -4,15 +4,21 @@ A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts,
 gets one more backslash, so a control string never appears in content and the step is undone exactly; roles also escape
 newlines. Assistant texts are under the loss mask.
 
-A node of the tree is a turn behind given earlier turns, named by a hash of all of them. Conversations are sorted by their
-paths of node hashes (range-partitioned, conv_id last, so a conversation with many copies spreads over tasks); neighbours
-then share the longest prefixes, and one pass with a stack emits the tree depth-first. Output is cut into packs of at most
-about ``PACK`` units (code points, and members by ``MEMBER``); a pack is one training sequence. Each node has its place in
-the pack, the position id of its first unit (positions go on from its parent's end) and its ancestors' intervals: a unit
-attends to these intervals and to what stands before it in its own node. A conversation is the list of its nodes' intervals.
+A node of the tree is a turn behind given earlier turns, found by a hash of all of them and compared by role and text.
+Conversations are sorted by their paths of node hashes (range-partitioned, conv_id last, so a conversation with many copies
+spreads over tasks); neighbours then share the longest prefixes. A first pass weighs each conversation by what it adds to
+the one before (bytes, and ``MEMBER`` for the member itself); running sums over all partitions, of which only one row a
+partition is needed, cut the sorted conversations into packs of about ``PACK``. A pack is dealt to one task, so where the
+partitions' borders were does not matter: a shared turn is emitted once, and again only where a pack ends within it. One pass
+with a stack emits a pack's tree depth-first; a pack is one training sequence.
+
+Units are token ids of a public tokenizer, or code points where none is given. The head, text and end of a turn are encoded
+apart, so masks fall on whole units. Each node has its place in the pack, the position id of its first unit (positions go on
+from its parent's end) and its ancestors' intervals: a unit attends to these intervals and to what stands before it in its
+own node. A conversation is the list of its nodes' intervals.
 
 Two tables come out, in one DataFrame by ``kind``: nodes and conversations. ``read_back`` rebuilds the conversations from
-them alone.
+their ids alone.
 
 Defined cases: null role or text is empty; turns of equal number are ordered by role and text; rows with a null conv_id
 form one conversation with a null id; repeated rows are turns of their own; an empty table gives no rows. One
@@ -25,12 +31,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.store import Store, table
+from watchloom.llm.tokens import Encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 PACK, MEMBER = 1 << 19, 64
@@ -55,10 +63,26 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def format_turn(role: str, text: str) -> tuple[str, tuple[int, int] | None]:
-    """The formatted turn, and where its text is if it is under the loss mask."""
-    head, body = f"{START}{escape_role(role)}\n", escape(text)
-    return f"{head}{body}{END}\n", (len(head), len(head) + len(body)) if role == "assistant" else None
+def turn_parts(role: str, text: str) -> tuple[str, str, str]:
+    """Head, text and end of the formatted turn."""
+    return f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"
+
+
+class Units:
+    """Texts as ids and back."""
+
+    def __init__(self, tokenizer: str | None):
+        self.encoder = Encoder.get(tokenizer) if tokenizer else None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.encoder:
+            return [x.astype(np.int32) for x in self.encoder.encode(texts)]
+        return [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.int32) for x in texts]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        if self.encoder:
+            return self.encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return ["".join(map(chr, x)) for x in ids]
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -101,82 +125,134 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-TREE = "kind string, pack long, node int, parent int, start long, length long, position long, ancestors array<struct<start:long,end:long>>, text string, mask array<struct<start:long,end:long>>, conv_id long"
+SORTED = "conv_id long, path array<long>, roles array<string>, texts array<string>, part int, run long"
 
 
-def _tree(pack_size: int):
-    schema = pa.schema([("kind", pa.string()), ("pack", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("position", pa.int64()), ("ancestors", SPANS), ("text", pa.string()), ("mask", SPANS), ("conv_id", pa.int64())])
-    span = lambda a, b: {"start": a, "end": b}
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted conversations with the partition's number and the weight of those before in it."""
+    from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    part, run, before = TaskContext.get().partitionId(), 0, []
+    for batch in batches:
+        runs = []
+        for path, roles, texts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            depth = 0
+            while depth < min(len(before), len(path)) and before[depth] == path[depth]:
+                depth += 1
+            before = path
+            runs.append(run)
+            run += MEMBER + 16 * len(path) + sum(len("".join(turn_parts(r, t)).encode("utf-8", "surrogatepass")) for r, t in zip(roles[depth:], texts[depth:], strict=True))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(runs), part, np.int32)), pa.array(runs, pa.int64())], names=[x.split()[0] for x in SORTED.split(", ")])
+    # one row without a conversation tells the partition's whole weight
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.array([part], pa.int32()), pa.array([run], pa.int64())], names=[x.split()[0] for x in SORTED.split(", ")])
+
+
+TREE = "kind string, pack long, node int, parent int, start long, length long, position long, ancestors array<struct<start:long,end:long>>, ids array<int>, mask array<struct<start:long,end:long>>, conv_id long"
+
+
+class Node:
+    """A turn behind given turns; its number, place and positions are set when its ids are known."""
 
-        pack = TaskContext.get().partitionId() << 32
-        stack: list[tuple[int, int, dict, int]] = []  # hash, node, interval, position behind it
-        at = used = node = 0
+    __slots__ = ("end", "hash", "ids", "mask", "node", "parent", "path", "role", "start", "text")
+
+    def __init__(self, hash_: int, role: str, text: str, parent: Node | None):
+        self.hash, self.role, self.text, self.parent = hash_, role, text, parent
+
+    def span(self) -> dict:
+        return {"start": self.start, "end": self.start + len(self.ids)}
+
+
+def _tree(tokenizer: str | None):
+    schema = pa.schema([("kind", pa.string()), ("pack", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("position", pa.int64()), ("ancestors", SPANS), ("ids", pa.list_(pa.int32())), ("mask", SPANS), ("conv_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, now, placed, stack, at, number = Units(tokenizer), None, None, [], 0, 0
         for batch in batches:
-            out = []
-            for conv, path, roles, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if used >= pack_size:
-                    pack, stack, at, used, node = pack + 1, [], 0, 0, 0
-                depth = 0
-                while depth < min(len(stack), len(path)) and stack[depth][0] == path[depth]:
+            events, new = [], []
+            for pack, conv, path, roles, texts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if pack != now:
+                    now, stack = pack, []
+                turns, depth = list(zip(path, roles, texts, strict=True)), 0
+                while depth < min(len(stack), len(turns)) and (stack[depth].hash, stack[depth].role, stack[depth].text) == turns[depth]:
                     depth += 1
-                del stack[depth:]
-                for h, role, text in zip(path[depth:], roles[depth:], texts[depth:], strict=True):
-                    formatted, mask = format_turn(role, text)
-                    before = stack[-1] if stack else (0, -1, None, 0)
-                    out.append({"kind": "node", "pack": pack, "node": node, "parent": before[1], "start": at, "length": len(formatted), "position": before[3], "ancestors": [s[2] for s in stack], "text": formatted, "mask": [span(*mask)] if mask else []})
-                    stack.append((h, node, span(at, at + len(formatted)), before[3] + len(formatted)))
-                    at, used, node = at + len(formatted), used + len(formatted), node + 1
-                out.append({"kind": "conversation", "pack": pack, "node": stack[-1][1], "ancestors": [s[2] for s in stack], "conv_id": conv})
-                used += MEMBER + 16 * len(stack)
+                stack = stack[:depth]
+                for turn in turns[depth:]:
+                    stack.append(Node(*turn, stack[-1] if stack else None))
+                    new.append(stack[-1])
+                    events.append((pack, None, list(stack)))
+                events.append((pack, conv, list(stack)))
+            ids = iter(units.encode([p for x in new for p in turn_parts(x.role, x.text)]))
+            out: list[dict] = []
+            for pack, conv, path in events:
+                me = path[-1]
+                if not hasattr(me, "ids"):
+                    if pack != placed:
+                        placed, at, number = pack, 0, 0
+                    head, body, tail = next(ids), next(ids), next(ids)
+                    me.ids, me.start, me.node = np.concatenate([head, body, tail]), at, number
+                    me.end = (me.parent.end if me.parent else 0) + len(me.ids)
+                    me.mask = [{"start": len(head), "end": len(head) + len(body)}] if me.role == "assistant" else []
+                    at, number = at + len(me.ids), number + 1
+                    out.append({"kind": "node", "pack": pack, "node": me.node, "parent": me.parent.node if me.parent else -1, "start": me.start, "length": len(me.ids), "position": me.end - len(me.ids), "ancestors": [x.span() for x in path[:-1]], "ids": me.ids, "mask": me.mask})
+                else:
+                    out.append({"kind": "conversation", "pack": pack, "node": me.node, "ancestors": [x.span() for x in path], "conv_id": conv})
             yield pa.RecordBatch.from_pylist([{**dict.fromkeys(schema.names), **r} for r in out], schema)
 
     return run
 
 
-def build(rows: DataFrame, pack_size: int = PACK) -> DataFrame:
+def build(rows: DataFrame, tokenizer: str | None = None, pack_size: int = PACK) -> DataFrame:
     """The packed prefix trees of all conversations (written)."""
     store = Store(rows.sparkSession, "chat")
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     whole = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_conversations, "conv_id long, path array<long>, roles array<string>, texts array<string>")
     whole = store.put(whole, "conversations")
-    return store.put(whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(_tree(pack_size), TREE), "tree")
-
-
-def _digests(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Conversations of one pack, rebuilt from its nodes."""
-    nodes = pdf[pdf["kind"] == "node"].sort_values("start")
-    text = "".join(nodes["text"])
-    masks = {int(s): [(m["start"], m["end"]) for m in ms] for s, ms in zip(nodes["start"], nodes["mask"], strict=True)}
-    known: dict[tuple, tuple] = {}
-    out = []
-    members = pdf[pdf["kind"] == "conversation"]
-    for conv, spans in zip(members["conv_id"], members["ancestors"], strict=True):
-        key = tuple((s["start"], s["end"]) for s in spans)
-        if key not in known:
-            formatted = "".join(text[a:b] for a, b in key)
-            turns = parse(formatted)
-            whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-            loss = "".join(unescape(text[a + x : a + y]) for a, _ in key for x, y in masks[a])
-            digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-            known[key] = (len(turns), digest(whole), len(loss), digest(loss), len(formatted))
-        out.append((conv, *known[key]))
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
-
-
-def read_back(tree: DataFrame) -> DataFrame:
+    weighed = store.put(whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(_weigh, SORTED), "sorted")
+    sums = weighed.where("path IS NULL").select("part", (F.sum("run").over(Window.orderBy("part")) - F.col("run")).alias("before"))  # a row for each partition
+    packed = weighed.where("path IS NOT NULL").join(F.broadcast(sums), "part").withColumn("pack", F.floor((F.col("before") + F.col("run")) / pack_size))
+    packed = packed.select("pack", "conv_id", "path", "roles", "texts").repartition("pack").sortWithinPartitions("pack", "path", "conv_id")
+    return store.put(packed.mapInArrow(_tree(tokenizer), TREE), "tree")
+
+
+def _digests(tokenizer: str | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Conversations of one pack, rebuilt from its nodes."""
+        units, nodes = Units(tokenizer), pdf[pdf["kind"] == "node"]
+        text = dict(zip(nodes["start"], units.decode([x.tolist() for x in nodes["ids"]]), strict=True))
+        masked = [(int(s), x[m["start"] : m["end"]].tolist()) for s, x, ms in zip(nodes["start"], nodes["ids"], nodes["mask"], strict=True) for m in ms]
+        said = dict(zip((s for s, _ in masked), map(unescape, units.decode([x for _, x in masked])), strict=True))
+        known: dict[tuple, tuple] = {}
+        out = []
+        members = pdf[pdf["kind"] == "conversation"]
+        for conv, spans in zip(members["conv_id"], members["ancestors"], strict=True):
+            key = tuple(s["start"] for s in spans)
+            if key not in known:
+                formatted = "".join(text[s] for s in key)
+                turns = parse(formatted)
+                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+                loss = "".join(said.get(s, "") for s in key)
+                digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+                known[key] = (len(turns), digest(whole), len(loss), digest(loss), len(formatted))
+            out.append((conv, *known[key]))
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+
+    return run
+
+
+def read_back(tree: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row for each conversation, from the packs alone; a pack is bounded, so is its group."""
-    return tree.groupBy("pack").applyInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return tree.groupBy("pack").applyInPandas(_digests(tokenizer), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
 
+def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(build(rows.unionByName(extra)))
+    return read_back(build(rows.unionByName(extra), tokenizer), tokenizer)
 
 
 SQL = r"""

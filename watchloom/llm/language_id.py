@@ -74,7 +74,7 @@ def sample_by_label(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     for value, count in n.items():
         top = min(2**63 - 1, -(2**63) + int(min(1.0, per_label / count) * 2**64))
         share = share | ((F.col(label) == F.lit(value)) & (F.xxhash64("doc_id") <= F.lit(top).cast("long")))
-    return rows.where(share).limit(2 * per_label * max(1, len(n)))
+    return rows.where(share)
 
 
 def fit(rows: DataFrame, per_language: int = 600, centroids: int = 3, slack: float = 0.6) -> Model | None:
@@ -132,8 +132,13 @@ def identify(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFram
 
 
 def keep_identified(docs: DataFrame, per_language: int = 600) -> DataFrame:
-    """The documents that the model does not reject, with what it found as their ``lang``; learned from their own labels."""
+    """The documents that the model does not reject, with what it found as their ``lang``; learned from their own labels.
+
+    Without any label to learn from all documents stay as they are.
+    """
     model = fit(docs.where(F.coalesce(remainder("doc_id", 5) != 0, F.lit(False))), per_language)
+    if model is None:  # nothing to learn from, so nothing to reject by
+        return docs
     found = identify(docs, model, "_wl_").where("NOT _wl_rejected")
     return found.select(*[F.col("_wl_lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -110,7 +110,7 @@ class Placer:
 
 def _cut(path: str, end_id: int, size: int, with_ids: bool):
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())]
-    kinds += [("ids", pa.list_(pa.int64()))] * with_ids
+    kinds += [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _cut(path: str, end_id: int, size: int, with_ids: bool):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<long>" * with_ids
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids
     return run, ddl
 
 
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE, wit
             sequence, offset = placer.value.place(pdf["length"].to_numpy(), pdf["before"].to_numpy() + pdf["nth"].to_numpy())
             yield pdf.drop(columns=["nth", "before"]).assign(sequence_id=sequence, offset=offset)
 
-    kept = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
+    kept = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     columns = [c.split()[0] for c in kept.split(", ")]
     return ranked.select(*columns[:-2], "nth", "before").mapInPandas(place, kept).select(*columns)
 

@@ -6,9 +6,10 @@ same shape (false on the padding of the shard's last row), and a second, small A
 in the stream. Nothing is compressed, so a memory-mapped reader gets any row or document without copying. Ids take two
 bytes where the vocabulary allows it. Batches are flushed as they fill, so a task holds one batch, not one shard.
 
-Files are written under another name and renamed, with names that depend only on the shard: a task that runs again
-writes the same file. Only (shard, path, first doc_id, counts) come back as rows, and starts over the whole corpus are a
-running sum of these.
+A task writes its two files under names of its own attempt and hands back one row with the name and the counts. The
+committed table of these rows is the manifest: it alone says which files belong to the store, so nothing has to be renamed or
+replaced, and files of attempts that failed or lost are no part of it and are deleted once it is written. Starts over
+the whole corpus are a running sum over its rows.
 
 Defined cases: null or empty text is the end id alone; null doc_ids come first; rows of one doc_id stay neighbours in the
 order of their texts; an empty table gives no files and no rows.
@@ -43,13 +44,13 @@ def open_store(uri: str):
 
 class ShardWriter:
     def __init__(self, uri: str, dtype, sequence: int = SEQUENCE):
-        self.fs, self.path = open_store(uri)
-        self.tmp = f"{self.path}.{uuid.uuid4().hex}"
+        self.uri = f"{uri}-{uuid.uuid4().hex[:12]}"
+        self.fs, self.path = open_store(self.uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.dtype, self.sequence = dtype, sequence
         kind = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
-        self.sinks = [self.fs.open_output_stream(self.tmp + x) for x in (".ids", ".docs")]
+        self.sinks = [self.fs.open_output_stream(self.path + x) for x in (".ids", ".docs")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_file(self.sinks[1], INDEX)
         self.wait: list[np.ndarray] = []
@@ -85,9 +86,8 @@ class ShardWriter:
         self._flush(True)
         self.ids.close()
         self.docs.close()
-        for sink, name in zip(self.sinks, (".ids", ".docs"), strict=True):
+        for sink in self.sinks:
             sink.close()
-            self.fs.move(self.tmp + name, self.path + name)
 
 
 class ShardReader:
@@ -148,13 +148,24 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, sequenc
                     count += 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": pa.array([count], pa.int64()), "n_tokens": pa.array([out.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [out.uri], "n_docs": pa.array([count], pa.int64()), "n_tokens": pa.array([out.total], pa.int64())})
 
     written = Store(spark, "tokens").put(sorted_docs.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long"), "shards")
+    _sweep(folder, {r["uri"].rsplit("/", 1)[1] for r in written.select("uri").collect()})  # one name per shard
     start = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")  # one row per shard file
     return written.withColumn("start", start)
 
 
+def _sweep(folder: str, kept: set[str]) -> None:
+    """Deletes files of this folder that the manifest does not name."""
+    from pyarrow.fs import FileSelector
+
+    fs, path = open_store(folder)
+    for f in fs.get_file_info(FileSelector(path, allow_not_found=True)):
+        if f.is_file and f.base_name.rsplit(".", 1)[0] not in kept:
+            fs.delete_file(f.path)
+
+
 def read(shards: DataFrame) -> DataFrame:
     """Reads shards back: doc_id, start, n_tokens, ids_crc32 for each document."""
 
