@@ -20,7 +20,8 @@ A corpus has no single suffix array here; its suffixes are dealt out so that suf
    of texts.
 5. Spans of a class are those of its occurrences in the groups, united; every text takes them from its contexts' classes.
 
-Groups are maximal within a context (up to 368 bytes); ``Repeats.groups`` holds them as class rows with counts,
+Groups are maximal within a context (up to 368 bytes). ``Repeats.arrays`` holds them as intervals of the sorted suffixes of
+class rows with counts, so nested groups share their occurrences; ``Repeats.groups`` spells them out, and
 ``Repeats.occurrences`` as places in texts. Removed bytes come from the groups alone and are exact.
 
 Defined cases: a null text is empty; texts under ``span`` bytes lose nothing; matches never cross texts; repeated rows are
@@ -198,47 +199,89 @@ class SuffixArray:
         return lo[keep[lo]], hi[keep[lo]]
 
 
-OCCURRENCE = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("k", pa.int64())])
-GROUPS = "part boolean, g1 long, g2 long, length int, left_lo binary, left_hi binary, rest_lo binary, rest_hi binary, occurrences array<struct<a:long,c:long,lo:int,k:long>>"
+def _lists(rows: list[tuple[str, str]]) -> str:
+    return "array<struct<" + ",".join(f"{n}:{t}" for n, t in rows) + ">>"
+
+
+def _list(ends: np.ndarray, **columns) -> pa.ListArray:
+    fields = [pa.array(v) for v in columns.values()]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(fields, names=list(columns)))
+
+
+STRINGS = [("a", "bigint"), ("c", "bigint"), ("lo", "bigint"), ("k", "bigint")]
+SUFFIXES = [("string", "int"), ("at", "int")]
+GROUPS = [("g1", "bigint"), ("g2", "bigint"), ("length", "bigint"), ("lo", "bigint"), ("hi", "bigint"), ("shift", "bigint")]
+COVERED = [("a", "bigint"), ("c", "bigint"), ("lo", "bigint"), ("hi", "bigint")]
+ARRAY = f"array long, strings {_lists(STRINGS)}, suffixes {_lists(SUFFIXES)}, groups {_lists(GROUPS)}, covered {_lists(COVERED)}, labels array<struct<lo:bigint,hi:bigint>>"
+LABEL = "label int, g1 long, g2 long, left_lo binary, left_hi binary, rest_lo binary, rest_hi binary"
+
+
+def _united(string: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of strings, united."""
+    order = np.lexsort((lo, string))
+    string, lo, hi = string[order], lo[order], hi[order]
+    base = string * np.int64(1 << 20)  # strings are far shorter
+    reach = np.maximum.accumulate(base + hi) if len(hi) else hi
+    new = np.flatnonzero(np.concatenate([[True], (base + lo)[1:] > reach[:-1]])) if len(hi) else np.zeros(0, np.int64)
+    end = reach[np.append(new[1:], len(hi)) - 1] if len(hi) else hi
+    return string[new], lo[new], end - base[new]
 
 
 def _arrays(span: int):
-    """Halves by key and chunk -> maximal repeat groups, and labelled intervals (``part``) of keys in several chunks."""
+    """Halves by key and chunk -> arrays with their maximal repeat groups, and the labelled intervals of keys in several chunks.
+
+    An array's row has its strings, its suffixes in order, the groups as intervals of these, and the united spans of the
+    groups' occurrences in each string: an occurrence is written once, in however many groups of the tree it is.
+    """
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         n, a, c, k, at = (t[x].to_numpy().astype(np.int64) for x in ("n", "a", "c", "k", "lo"))
         sa = SuffixArray(t["bytes"].to_pylist(), span, k, n == 1)
         if not len(sa.sa):
             return
+        name = mix(t["key"].to_numpy()[:1].view(U) + t["chunk"].to_numpy()[:1].astype(U) * U(GOLD)).view(np.int64)
         sums, gram = Sums(sa.flat), gram32(sa.flat)
-
-        def rows(length, lo, hi, part: bool) -> pa.RecordBatch:
-            size = hi - lo + 1
-            ends = np.cumsum(size)
-            each = sa.sa[np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(lo, size)]
-            own = sa.own[each]
-            of = pa.StructArray.from_arrays([pa.array(a[own]), pa.array(c[own]), pa.array(at[own] + sa.at[each], pa.int32()), pa.array(k[own])], fields=list(OCCURRENCE))
-            occ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), of)
-            head = sa.pos[sa.sa[lo]]
-            g1, g2 = sums.of(head, head + length, 13).view(np.int64), gram[head].view(np.int64)
-            left_lo = left_hi = rest_lo = rest_hi = pa.nulls(len(lo), pa.binary())
-            if part:  # least and largest of the bytes before, read backwards, and of the bytes behind
-                left = [sa.flat[p - i : p][::-1].tobytes() for p, i in zip(sa.pos[each], sa.at[each], strict=True)]
-                begin = (ends - size).tolist()
-                pick = lambda f: pa.array([f(left[x:y]) for x, y in zip(begin, ends.tolist(), strict=True)], pa.binary())
-                left_lo, left_hi = pick(min), pick(max)
-                tail = lambda i: pa.array([sa.flat[p + span : p + r].tobytes() for p, r in zip(sa.pos[sa.sa[i]], sa.room[sa.sa[i]], strict=True)], pa.binary())
-                rest_lo, rest_hi = tail(lo), tail(hi)
-            columns = [pa.array(np.full(len(lo), part)), pa.array(g1), pa.array(g2), pa.array(length, pa.int32()), left_lo, left_hi, rest_lo, rest_hi, occ]
-            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in GROUPS.split(", ")])
-
         found = np.array(list(sa.maximal_repeats()), np.int64).reshape(-1, 3)
-        if len(found):
-            yield rows(found[:, 0], found[:, 1], found[:, 2], False)
         lo, hi = sa.labels(n > GROUP)
-        for i in range(0, len(lo), 1 << 14):
-            x, y = lo[i : i + (1 << 14)], hi[i : i + (1 << 14)]
-            yield rows(np.full(len(x), span), x, y, True)
+        used = np.zeros(len(sa.sa) + 1, np.int64)  # suffixes in a group or label
+        for x, y in ((found[:, 1], found[:, 2]), (lo, hi)):
+            np.add.at(used, x, 1)
+            np.add.at(used, y + 1, -1)
+        used = np.cumsum(used[:-1]) > 0
+        place = np.cumsum(used) - 1
+        kept = sa.sa[used]
+        length, glo, ghi = found.T
+        reach = np.zeros(len(sa.sa), np.int64)
+        for i in np.argsort(length, kind="stable"):
+            reach[glo[i] : ghi[i] + 1] = length[i]
+        on = np.flatnonzero(reach)
+        s, x, y = _united(sa.own[sa.sa[on]], sa.at[sa.sa[on]], sa.at[sa.sa[on]] + reach[on])
+        head = sa.pos[sa.sa[glo]]
+        one = np.array([0])
+        row = {
+            "array": pa.array(name),
+            "strings": _list(one + len(a), a=a, c=c, lo=at, k=k),
+            "suffixes": _list(one + len(kept), string=sa.own[kept].astype(np.int32), at=sa.at[kept].astype(np.int32)),
+            "groups": _list(one + len(found), g1=sums.of(head, head + length, 13).view(np.int64), g2=gram[head].view(np.int64), length=length, lo=place[glo], hi=place[ghi], shift=length * 0),
+            "covered": _list(one + len(s), a=a[s], c=c[s], lo=at[s] + x, hi=at[s] + y),
+            "labels": _list(one + len(lo), lo=place[lo], hi=place[hi]),
+        }
+        names = [x.split()[0] for x in LABEL.split(", ")]
+        none = {x: pa.nulls(1, t) for x, t in zip(names, [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)}
+        yield pa.RecordBatch.from_pydict({**row, **none})
+        for i in range(0, len(lo), 1 << 12):
+            x, y = lo[i : i + (1 << 12)], hi[i : i + (1 << 12)]
+            size = y - x + 1
+            ends = np.cumsum(size)
+            each = sa.sa[np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(x, size)]
+            # least and largest of the bytes before, read backwards, and of the bytes behind
+            left = [sa.flat[p - q : p][::-1].tobytes() for p, q in zip(sa.pos[each], sa.at[each], strict=True)]
+            pick = lambda f: pa.array([f(left[p:q]) for p, q in zip((ends - size).tolist(), ends.tolist(), strict=True)], pa.binary())  # noqa: B023,E731
+            tail = lambda z: pa.array([sa.flat[p + span : p + r].tobytes() for p, r in zip(sa.pos[sa.sa[z]], sa.room[sa.sa[z]], strict=True)], pa.binary())
+            head = sa.pos[sa.sa[x]]
+            columns = [pa.array(np.arange(i, i + len(x)), pa.int32()), pa.array(sums.of(head, head + span, 13).view(np.int64)), pa.array(gram[head].view(np.int64)), pick(min), pick(max), tail(x), tail(y)]
+            empty = {c: pa.nulls(len(x), row[c].type) for c in row if c != "array"}
+            yield pa.RecordBatch.from_pydict({"array": pa.array(np.repeat(name, len(x))), **empty, **dict(zip(names, columns, strict=True))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -257,7 +300,32 @@ def _arrays(span: int):
         if left is not None and len(left):
             yield from work(left.combine_chunks())
 
-    return run, GROUPS
+    return run, f"{ARRAY}, {LABEL}"
+
+
+def _merged(span: int):
+    """Arrays with the labels they share with others (``cross``) -> the groups of these labels and the spans they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                flat = lambda name, field: batch.column(batch.schema.get_field_index(name)).slice(r, 1).flatten().field(field).to_numpy().astype(np.int64)  # noqa: B023,E731
+                label, g1, g2, before, behind = (flat("cross", i) for i in range(5))
+                lo, hi = flat("labels", 0)[label], flat("labels", 1)[label]
+                a, c, at = (flat("strings", i) for i in range(3))
+                size = hi - lo + 1
+                ends = np.cumsum(size)
+                each = np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(lo, size)
+                string, x = flat("suffixes", 0)[each], flat("suffixes", 1)[each]
+                s, x, y = _united(string, x - np.repeat(before, size), x + span + np.repeat(behind, size))
+                one = np.array([0])
+                yield pa.RecordBatch.from_pydict({
+                    "array": batch.column(0).slice(r, 1),
+                    "groups": _list(one + len(label), g1=g1, g2=g2, length=span + before + behind, lo=lo, hi=hi, shift=-before),
+                    "covered": _list(one + len(s), a=a[s], c=c[s], lo=at[s] + x, hi=at[s] + y),
+                })
+
+    return run, f"array long, groups {_lists(GROUPS)}, covered {_lists(COVERED)}"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -306,13 +374,14 @@ class Repeats:
         found = store.put(rows.mapInArrow(run, types), "found")
         store.drop("halves", "shared")
         store.release()
-        #: (g1, g2, length, occurrences): the repeated bytes by hash, and where classes hold them; a group may have several rows
-        self.groups = found.where("NOT part").select("g1", "g2", "length", "occurrences").unionByName(self._merged(found.where("part")))
+        #: suffix arrays: strings (class, place, multiplicity), suffixes in order, groups as intervals, covered spans
+        self.arrays = found.where("label IS NULL").select("array", "strings", "suffixes", "groups", "covered", "labels")
+        #: groups of labels that several arrays hold, and what they cover
+        self.merged = store.put(self._merge(found.where("label IS NOT NULL")), "merged")
 
-    def _merged(self, parts: DataFrame) -> DataFrame:
-        """Groups of intervals that several arrays hold."""
+    def _merge(self, labels: DataFrame) -> DataFrame:
         ends = [f(x).alias(x) for f, x in ((F.min, "left_lo"), (F.max, "left_hi"), (F.min, "rest_lo"), (F.max, "rest_hi"))]
-        several = parts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("arrays"), *ends).where("arrays > 1")
+        several = labels.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
 
         def shared(lo, hi) -> list[int]:
             return [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(lo, hi, strict=True)]
@@ -321,21 +390,37 @@ class Repeats:
             for p in batches:
                 yield p[["g1", "g2"]].assign(before=shared(p["left_lo"], p["left_hi"]), behind=shared(p["rest_lo"], p["rest_hi"]))
 
-        several = several.drop("arrays").mapInPandas(extend, "g1 long, g2 long, before int, behind int")
-        moved = F.transform("occurrences", lambda o: o.withField("lo", o.lo - F.col("before")))
-        both = parts.select("g1", "g2", "length", "occurrences").join(several, ["g1", "g2"])
-        return both.select("g1", "g2", (F.col("length") + F.col("before") + F.col("behind")).alias("length"), moved.alias("occurrences"))
+        several = several.drop("n").mapInPandas(extend, "g1 long, g2 long, before int, behind int")
+        cross = labels.select("array", "label", "g1", "g2").join(several, ["g1", "g2"]).groupBy("array").agg(F.collect_list(F.struct("label", "g1", "g2", "before", "behind")).alias("cross"))
+        run, types = _merged(self.span)
+        return self.arrays.join(cross, "array").select("array", "strings", "suffixes", "labels", "cross").mapInArrow(run, types)
+
+    def groups(self) -> DataFrame:
+        """(g1, g2, length, occurrences): the repeated bytes by hash, and the classes that hold them, with their counts.
+
+        A group whose labels several arrays hold has a row for each of them. Groups of one tree are nested, so this list may
+        be far longer than ``arrays`` and ``merged``, which hold each occurrence once.
+        """
+        rows = self.arrays.select("array", F.explode("groups").alias("g")).unionByName(self.merged.select("array", F.explode("groups").alias("g")))
+        both = rows.join(self.arrays.select("array", "strings", "suffixes"), "array")
+        inside = F.slice("suffixes", (F.col("g.lo") + 1).cast("int"), (F.col("g.hi") - F.col("g.lo") + 1).cast("int"))
+
+        def place(x):
+            s = F.element_at("strings", x.string + 1)
+            return F.struct(s.a.alias("a"), s.c.alias("c"), (s.lo + x.at + F.col("g.shift")).alias("lo"), s.k.alias("k"))
+
+        return both.select("g.g1", "g.g2", "g.length", F.transform(inside, place).alias("occurrences"))
 
     def occurrences(self) -> DataFrame:
         """(g1, g2, length, d, t, lo): every group with all its places, in texts as ``keyed`` names them."""
-        of = self.groups.select("g1", "g2", "length", F.explode("occurrences").alias("o")).select("g1", "g2", "length", "o.a", "o.c", "o.lo").distinct()
+        of = self.groups().select("g1", "g2", "length", F.explode("occurrences").alias("o")).select("g1", "g2", "length", "o.a", "o.c", "o.lo").distinct()
         held = self.contexts.select("a", "c", "d", "t", "at")
         both = spread_join(held, of, ["a", "c"], self.classes.select("a", "c", F.col("k").alias("n")))
-        return both.select("g1", "g2", "length", "d", "t", (F.col("at") + F.col("lo")).cast("long").alias("lo")).distinct()
+        return both.select("g1", "g2", "length", "d", "t", (F.col("at") + F.col("lo")).alias("lo")).distinct()
 
     def spans(self) -> DataFrame:
         """(d, t, spans): the bytes of each text that strings of ``span`` bytes found elsewhere cover."""
-        one = self.groups.select("length", F.explode("occurrences").alias("o")).select("o.a", "o.c", "o.lo", (F.col("o.lo") + F.col("length")).alias("hi"))
+        one = self.arrays.select(F.explode("covered").alias("o")).unionByName(self.merged.select(F.explode("covered").alias("o"))).select("o.*")
         of = self.store.put(one.groupBy("a", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select("a", "c", united(F.col("spans")).alias("spans")), "covers")
         held = spread_join(self.contexts.select("a", "c", "d", "t", "at"), of, ["a", "c"], self.classes.select("a", "c", F.col("k").alias("n")))
         moved = F.transform("spans", lambda s: F.struct((s.lo + F.col("at")).alias("lo"), (s.hi + F.col("at")).alias("hi")))
