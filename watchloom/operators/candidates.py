@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import auto_fuzziness, edit_similarity
+from watchloom.operators.search import edit_keys, edit_probes
 from watchloom.operators.watchlist import first_wins
 
 BLOCK = 4
@@ -45,12 +46,16 @@ def unmatched(mentions: DataFrame, found: DataFrame) -> DataFrame:
     return mentions.join(found, "mention_id", "left_anti")
 
 
+def _edit_pairs(names: DataFrame, entities: DataFrame, head) -> DataFrame:
+    """(name, _q, entity_id, entity, _e): pairs with equal ``head`` that may be within two edits, from an equi-join on keys."""
+    n = names.select("name", F.lower("name").alias("_q")).withColumn("_k", F.explode(F.transform(edit_probes(F.col("_q")), lambda k: F.concat(head("_q"), F.lit("|"), k))))
+    e = entities.select("entity_id", F.col("name").alias("entity"), F.lower("name").alias("_e")).withColumn("_k", F.explode(F.array_distinct(F.transform(edit_keys(F.col("_e")), lambda k: F.concat(head("_e"), F.lit("|"), k)))))
+    return n.distinct().join(e, "_k").drop("_k").distinct()
+
+
 def fuzzy(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """Names within the edits that their length allows, the first letter being equal: an equi-join on the letter with the
-    bounded distance as residual condition."""
-    n = names.select("name", F.lower("name").alias("_q"), F.left(F.lower("name"), F.lit(1)).alias("_p"))
-    e = entities.select("entity_id", F.lower("name").alias("_e"), F.left(F.lower("name"), F.lit(1)).alias("_p"))
-    both = n.join(e, "_p").where(F.levenshtein("_q", "_e", 2) >= 0).withColumn("distance", F.levenshtein("_q", "_e"))
+    """Names within the edits that their length allows, the first letter being equal."""
+    both = _edit_pairs(names, entities, lambda c: F.left(F.col(c), F.lit(1))).where(F.levenshtein("_q", "_e", 2) >= 0).withColumn("distance", F.levenshtein("_q", "_e"))
     return both.where(F.col("distance") <= auto_fuzziness("_q")).select("name", "entity_id", "distance", edit_similarity("_q", "_e").alias("similarity"))
 
 
@@ -68,31 +73,27 @@ def edit_topk(names: DataFrame, entities: DataFrame, k: int) -> DataFrame:
 
 def phonetic(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Same sound of the first token, at most two edits."""
-    n = names.select("name", F.soundex(F.substring_index("name", " ", 1)).alias("_s"))
-    e = entities.select("entity_id", F.col("name").alias("entity"), F.soundex(F.substring_index("name", " ", 1)).alias("_s"))
-    return n.join(e, "_s").where(F.levenshtein(F.lower("name"), F.lower("entity"), 2) >= 0).select("name", "entity_id")
+    both = _edit_pairs(names, entities, lambda c: F.soundex(F.substring_index(F.col(c), " ", 1)))
+    return both.where(F.levenshtein("_q", "_e", 2) >= 0).select("name", "entity_id")
 
 
 def contained(articles: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities whose name stands anywhere in an article's text.
 
-    Blocked by the name's first ``BLOCK`` characters, which a text that contains the name contains too: an equi-join on the
-    text's grams, then the test itself. Shorter names block on all their characters, so nothing is lost.
+    Blocked by a name's rarest gram of ``BLOCK`` characters, which a text that contains the name contains too; a name with a
+    gram that no text has is in no text. Only (article, gram) rows meet the grams; texts are fetched for what is left, and
+    the test itself decides. Shorter names block on all their characters, so nothing is lost.
     """
-    found = None
-    for n in range(1, BLOCK + 1):
-        names = entities.where(F.length("name") == n if n < BLOCK else F.length("name") >= n)
-        places = F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
-        grams = F.array_distinct(F.transform(places, _gram(n)))
-        a = articles.select("article_id", "text", F.explode(grams).alias("_g"))
-        e = names.select("entity_id", F.col("name").alias("_name"), F.left("name", F.lit(n)).alias("_g"))
-        hits = a.join(e, "_g").where(F.contains("text", "_name")).select("article_id", "entity_id")
-        found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def _gram(n: int):
-    return lambda i: F.substring(F.col("text"), i, F.lit(n))
+    places = lambda t, n: F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+    grams = lambda t, n: F.array_distinct(F.transform(places(t, n), lambda i: F.substring(t, i, F.lit(n))))
+    every = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, BLOCK + 1)]))
+    a = articles.select("article_id", F.explode(F.array_distinct(every)).alias("_g"))
+    n = F.least(F.length("name"), F.lit(BLOCK))
+    e = entities.where(F.length("name") > 0).select("entity_id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n)))).alias("_g"))
+    often = a.join(e.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rare = e.join(often, "_g", "left").groupBy("entity_id", "name").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    pairs = a.join(rare, "_g").select("article_id", "entity_id", "name")
+    return pairs.join(articles.select("article_id", "text"), "article_id").where(F.contains("text", "name")).select("article_id", "entity_id")
 
 
 def dedup(found: DataFrame, order: list[str]) -> DataFrame:

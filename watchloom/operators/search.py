@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.functions.text import auto_fuzziness, cosine, dot, edit_similarity, matched_share, name_variations, phrase_in, tokens
+from watchloom.functions.text import auto_fuzziness, dot, edit_similarity, matched_share, name_variations, phrase_in, tokens
 
 K1, B = 1.2, 0.75
 
@@ -44,12 +46,40 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 20, window: int = 50
     return top(every.groupBy("query", "doc").agg(F.sum("_s").alias("score")), k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, where=None) -> DataFrame:
-    """Exact cosine top-k of stated queries against all vectors (the filter is applied before ranking). For large query
-    sets use an index; the query side is the stated set and is never all rows."""
+BLOCK, CHUNK = 512, 8192  # queries and vectors of one group of ``nearest``
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, where=None, least: float = 0.0) -> DataFrame:
+    """Exact cosine top-k of stated queries against all vectors (the filter is applied before ranking), floored at ``least``.
+
+    The stated set meets all rows in blocks: queries and vectors are dealt into blocks and chunks by hash, each pair of them is
+    a group of bounded size that keeps its k best, and the best of these are ranked. id, vector, in both tables.
+    """
     v = vectors if where is None else vectors.where(where)
-    pairs = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q")).join(v.select(F.col("id").alias("doc"), F.col("vector").alias("_v")), F.col("query") != F.col("doc"))
-    return top(pairs.select("query", "doc", cosine("_q", "_v").alias("score")), k)
+    parts = lambda df, size, name: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name))  # noqa: E731  one row
+    blocks, chunks = F.broadcast(parts(queries, BLOCK, "blocks")), F.broadcast(parts(v, CHUNK, "chunks"))
+    side = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector")).crossJoin(blocks).crossJoin(chunks)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = side(queries).withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).drop("blocks", "chunks")
+    d = side(v).withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).drop("blocks", "chunks")
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            x, ids = np.stack(held["v"].to_numpy()), held["i"].to_numpy()
+            size = np.sqrt((x * x).sum(1))
+            for name, one in zip(asked["id"], asked["vector"], strict=True):
+                norm = size * np.sqrt((one * one).sum())
+                score = np.maximum(np.divide((x * one).sum(1), norm, out=np.zeros(len(x)), where=norm > 0), least)
+                at = np.flatnonzero(ids != name)
+                at = at[np.lexsort((ids[at], -score[at].round(9)))[:k]]
+                out.append(pd.DataFrame({"query": name, "doc": ids[at], "score": score[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "doc": [], "score": []}).astype({"query": "int64", "doc": "int64", "score": "float64"})
+
+    d = d.select(F.col("id").alias("i"), F.col("vector").alias("v"), F.col("block").alias("b"), F.col("chunk").alias("c"))
+    pairs = q.groupBy("block", "chunk").cogroup(d.groupBy("b", "c")).applyInPandas(best, "query long, doc long, score double")
+    return top(pairs, k)
 
 
 def trigrams(text) -> F.Column:
@@ -97,22 +127,38 @@ def text_score(q, name, full: bool = True) -> F.Column:
     return on(q == name, 5.0) + on(phrase_in(tokens(q), tokens(name)), 4.0) + on(close, 3.0) + on(F.contains(nl, ql), 2.0) + variants * 1.5
 
 
-def text_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+def _part(t, n, i: int, move: int) -> F.Column:
+    """The i-th of three parts of a text of n characters, taken ``move`` characters on; named by n and i."""
+    return F.concat_ws(" ", n.cast("string"), F.lit(str(i)), F.substring(t, F.floor(n * i / 3).cast("int") + 1 + move, (F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)).cast("int")))
+
+
+def edit_keys(t) -> F.Column:
+    """Keys of a text; one of them is among ``edit_probes`` of any text within two edits."""
+    return F.array(*[_part(t, F.length(t), i, 0) for i in range(3)])
+
+
+def edit_probes(t) -> F.Column:
+    """Two edits leave one of three parts untouched, moved by at most two, and change the length by at most two."""
+    n = F.length(t)
+    return F.array_compact(F.array(*[F.when((n + d >= 0) & (F.floor((n + d) * i / 3) + m >= 0), _part(t, n + d, i, m)) for d in range(-2, 3) for i in range(3) for m in range(-2, 3)]))
+
+
+def text_pairs(queries: DataFrame, names: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(query, doc, name): every pair that can have a ``text_score`` above 0, from an equi-join on keys.
 
     A pair is equal, shares a token of the query or of its variations, holds the whole query (keyed by the query's first
-    three characters among the name's grams), or is within two edits: then one of the name's three parts stands in the
-    query, moved by at most two.
+    three characters among the name's grams), or is within two edits. With ``fuzzy`` also every pair that can have a
+    ``fuzzy_score`` above 0: some tokens with equal first letters are within two edits.
     """
     ql, nl = F.lower("query"), F.lower("name")
     keyed = lambda tag, a: F.transform(a, lambda x: F.concat(F.lit(tag), x))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(nl) - n + 1, F.lit(1))), lambda i: F.substring(nl, i, F.lit(n)))
-    part = lambda t, n, i, move: F.concat_ws(" ", n.cast("string"), F.lit(str(i)), F.substring(t, F.floor(n * i / 3).cast("int") + 1 + move, (F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)).cast("int")))
-    size = F.length(ql)
-    moved = [F.when((size + d >= 0) & (F.floor((size + d) * i / 3) + m >= 0), part(ql, size + d, i, m)) for d in range(-2, 3) for i in range(3) for m in range(-2, 3)]
+    by_token = lambda t, keys: F.flatten(F.transform(tokens(t), lambda x: F.transform(keys(x), lambda k: F.concat(F.lit("w"), F.left(x, F.lit(1)), k))))
     sought = F.concat(F.flatten(F.transform(F.concat(F.array("query"), name_variations("query")), tokens)), tokens("query"))
-    asked = F.concat(F.array(F.concat(F.lit("="), "query"), F.concat(F.lit("g"), F.left(ql, F.lit(3)))), keyed("t", sought), keyed("p", F.array_compact(F.array(*moved))))
-    held = F.concat(F.array(F.concat(F.lit("="), "name"), F.lit("g")), keyed("t", tokens("name")), keyed("g", F.concat(grams(3), grams(2), grams(1))), keyed("p", F.array(*[part(nl, F.length(nl), i, 0) for i in range(3)])))
+    asked = F.concat(F.array(F.concat(F.lit("="), "query"), F.concat(F.lit("g"), F.left(ql, F.lit(3)))), keyed("t", sought), keyed("p", edit_probes(ql)))
+    held = F.concat(F.array(F.concat(F.lit("="), "name"), F.lit("g")), keyed("t", tokens("name")), keyed("g", F.concat(grams(3), grams(2), grams(1))), keyed("p", edit_keys(nl)))
+    if fuzzy:
+        asked, held = F.concat(asked, by_token("query", edit_probes)), F.concat(held, by_token("name", edit_keys))
     q = queries.select("query", F.explode(F.array_distinct(asked)).alias("_k"))
     n = names.select("doc", "name", F.explode(F.array_distinct(held)).alias("_k"))
     return q.join(n, "_k").select("query", "doc", "name").distinct()
@@ -156,12 +202,52 @@ def modes(parts: dict[str, DataFrame], most: int = 10) -> DataFrame:
     return top(g.withColumn("relevance", edit_similarity(F.lower("query"), "_k")).withColumn("score", combined(F.col("best"), F.col("relevance"), 0.7)), most)
 
 
-def group_similar(vectors: DataFrame, above: float, block: str) -> DataFrame:
-    """(doc, leader): each vector's least-id vector of its block that is closer than ``above``, itself included."""
-    a = vectors.select(F.col("id").alias("doc"), F.col("vector").alias("_a"), F.col(block).alias("_b"))
-    b = vectors.select(F.col("id").alias("other"), F.col("vector").alias("_v"), F.col(block).alias("_b"))
-    near = a.join(b, "_b").where((F.col("other") < F.col("doc")) & (cosine("_a", "_v") > above)).groupBy("doc").agg(F.min("other").alias("leader"))
-    return a.select("doc").join(near, "doc", "left").select("doc", F.coalesce("leader", "doc").alias("leader"))
+BANDS, ROWS = 48, 12
+
+
+def group_similar(vectors: DataFrame, above: float, seed: int = 11) -> DataFrame:
+    """(doc, leader): each vector's least-id vector that is closer than ``above``, itself included.
+
+    Equal vectors collapse first. Candidates share a band of ``ROWS`` signs of random projections (at 0.95 all ``BANDS`` are
+    missed with a probability of 2 in a million); a bucket of more than ``CHUNK`` members is compared in pairs of chunks.
+    """
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    same = rows.groupBy("vector").agg(F.min("id").alias("rep"))
+
+    def bands(parts):
+        for p in parts:
+            if len(p):
+                x = np.stack(p["vector"].to_numpy())
+                plane = np.random.RandomState(seed).standard_normal((x.shape[1], BANDS * ROWS))
+                bits = ((x @ plane) > 0).reshape(len(x), BANDS, ROWS) @ (1 << np.arange(ROWS))
+                yield pd.DataFrame({"rep": np.repeat(p["rep"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(x)), "bucket": bits.ravel().astype(np.int32)})
+
+    def unit(p: pd.DataFrame) -> np.ndarray:
+        x = np.stack(p["vector"].to_numpy())
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    def lesser(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            held = held.set_axis(asked.columns, axis=1).sort_values("rep")
+            x, ids = unit(held), held["rep"].to_numpy()
+            for name, one in zip(asked["rep"], unit(asked), strict=True):
+                near = np.flatnonzero(x[: np.searchsorted(ids, name)] @ one > above)
+                if len(near):
+                    out.append((name, ids[near[0]]))
+        return pd.DataFrame(out, columns=["rep", "leader"], dtype="int64")
+
+    keys = same.mapInPandas(bands, "rep long, band int, bucket int")
+    sizes = keys.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own, every = F.pmod(F.xxhash64("rep"), chunks).cast("int"), F.explode(F.sequence(F.lit(0), chunks - 1))
+    dealt = keys.join(sizes, ["band", "bucket"]).join(same, "rep")
+    cols = ["band", "bucket", "chunk", "block", "rep", "vector"]
+    held = dealt.withColumn("chunk", own).withColumn("block", every).select(*[F.col(c).alias(f"h_{c}") for c in cols])
+    asked = dealt.withColumn("block", own).withColumn("chunk", every).select(cols)
+    near = asked.groupBy(cols[:4]).cogroup(held.groupBy([f"h_{c}" for c in cols[:4]])).applyInPandas(lesser, "rep long, leader long").groupBy("rep").agg(F.min("leader").alias("leader"))
+    led = same.join(near, "rep", "left").select("vector", F.coalesce("leader", "rep").alias("leader"))
+    return rows.join(led, "vector").select(F.col("id").alias("doc"), "leader")
 
 
 def inner_product(a, b) -> F.Column:

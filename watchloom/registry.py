@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from watchloom.plans import more  # noqa: F401  registers its queries
 from watchloom.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -133,3 +133,46 @@ def report(rows: DataFrame) -> DataFrame:
     counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in rows.columns])
     pairs = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("n")) for f in rows.schema])
     return counts.select("_n", F.explode(pairs).alias("p")).select("p.field", "p.type", F.col("p.n").alias("n_values"), F.col("_n").alias("n_rows"))
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Deletes a written table if it is there; says whether it was. What is written is visible at once, so there is no refresh."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and bool(fs.delete(p, True))
+
+
+def reset(spark: SparkSession, folder: str, stages: list[str]) -> list[str]:
+    """Deletes the saved stages of these names; returns those that were there."""
+    return [s for s in stages if drop_table(spark, f"{folder.rstrip('/')}/{s}")]
+
+
+# A small list of our own to try the engine with: invented people and organisations.
+SAMPLE_ENTITIES = [
+    ("Mara Ellison", "person", "head of the harbour authority", ["M. Ellison", "Ellison, Mara"], None, "high"),
+    ("Jonas Wedekind", "person", "geologist and author", ["Dr. Wedekind"], "Jonas Wedekind surveys glaciers in the north", "medium"),
+    ("Irina Sokolova", "person", "chess grandmaster", ["Ирина Соколова"], None, "medium"),
+    ("Tarek Haddad", "person", "editor of a newspaper", ["T. Haddad"], None, "low"),
+    ("Northlight Shipping", "organization", "freight line on the coast", ["Northlight"], None, "high"),
+    ("Bluefern Labs", "organization", "maker of sensors", ["Bluefern", "Bluefern Labs Inc"], "Bluefern Labs builds sensors for rivers", "medium"),
+    ("Port Alder", "location", "harbour town", ["Alder"], None, "medium"),
+    ("Marsh fever", "disease", "illness of wet lowlands", ["marsh ague"], None, "low"),
+]
+SAMPLE_ARTICLES = [
+    ("s1", "Harbour plan", "Mara Ellison opened the new quay at Port Alder. Northlight Shipping will use it.", "en"),
+    ("s2", "Sensors", "Bluefern Labs sold river sensors to Dr. Wedekind.", "en"),
+    ("s3", "Шахматы", "Ирина Соколова выиграла турнир.", "ru"),
+    ("s4", "Lowlands", "Doctors report marsh ague near Port Alder, writes T. Haddad.", "en"),
+    ("s5", "Hafen", "Northlight baut am Hafen von Port Alder.", "de"),
+]
+
+
+def sample_entities(spark: SparkSession) -> DataFrame:
+    """The built-in watch list."""
+    return spark.createDataFrame(SAMPLE_ENTITIES, "name string, entity_type string, description string, aliases array<string>, explicit_context string, priority string")
+
+
+def sample_articles(spark: SparkSession) -> DataFrame:
+    """The built-in articles."""
+    return spark.createDataFrame(SAMPLE_ARTICLES, "article_id string, title string, content string, language string").withColumn("text", F.concat_ws("\n\n", "title", "content"))
