@@ -157,3 +157,44 @@ def test_pipeline(spark):
         assert 0.5 * n < docs.count() <= n
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+ODD = [
+    (1, "the cat and the dog went over there", "en", "s", 36), (1, "the cat and the dog went over there", "en", "s", 36), (1, "another text of the same id", "en", None, None),
+    (2, None, None, None, None), (3, "", "en", "s", 0), (None, "a text without an id", "en", "s", 20), (None, None, None, None, None), (4, "\n \n", None, "s", 3),
+    (5, "one very long text of words " * 20_000, "en", "s", None), (6, "!!! 12", "en", "s", 6), *[(10 + i, f"short text number {i}", "en", "s", 20) for i in range(10)],
+]
+
+
+@need_data
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_rows_and_clashing_columns(spark, rows):
+    import corpus_pipeline
+
+    clash = [(*r, "own", ["own"], 7) for r in rows]
+    docs = spark.createDataFrame(clash, "doc_id long, text string, lang string, source string, n_chars long, n_words string, spans array<string>, component_id long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert len(kept) <= len(rows) and all(r.n_words == "own" and r.component_id == 7 for r in kept)
+        if rows and name != "language_id":
+            assert {10 + i for i in range(10)} <= {r.doc_id for r in kept}, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows} and all(r.length == len(r.ids) for r in packed)
+
+
+def test_models_on_long_and_repeated_texts(spark):
+    rows = [(i, f"the cat and the dog {i} went over there with words", "en") for i in range(30)] + [(100 + i, f"le chat et le chien {i} sont partis avec des mots", "fr") for i in range(30)]
+    rows += [(300, "the dog went over there with words " * 30_000, "en")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang_pred, r.score) for r in language_id.identify(docs, language_id.fit(docs)).where("doc_id = 300").collect()]
+    assert len(got) == 2 and got[0] == got[1] and got[0][0] == "en"
+    scored = [r.score for r in quality.score(docs, quality.Model(None, 0.25)).where("doc_id = 300").collect()]
+    assert len(scored) == 2 and scored[0] == scored[1]
+
+
+def test_ann_takes_the_commonest_length_of_the_queries(spark):
+    x = np.random.RandomState(2).standard_normal((60, 4))
+    df = vectors(spark, x).unionByName(vectors(spark, x[:2, :2], [900, 901]))
+    assert {r.query_id for r in ann.search(df, df.where("vec_id IN (0, 20, 900)"), 3).collect()} == {0, 20}

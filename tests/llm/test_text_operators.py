@@ -375,6 +375,16 @@ def test_token_files_round_trip(spark):
     assert token_store.read(token_store.write(frame(spark, []), WORD, folder + "-empty", shards=2)).count() == 0
 
 
+def test_packing_and_token_files_of_repeated_rows_with_clashing_columns(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, None), (None, ""), (2, "w " * 30_000)]
+    docs = frame(spark, rows, clash=["piece", "ids", "start", "sequence_id"])
+    packed = packing.pack(docs, BYTE, with_ids=True).collect()
+    assert sum(r.doc_id == 1 for r in packed) == 3 and sum(r.length for r in packed if r.doc_id == 2) == 1 + len(Encoder(BYTE).encode(["w " * 30_000])[0])
+    back = token_store.read(token_store.write(docs, WORD, Store(spark, "test-clash").path("files"), shards=2)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in back) == sorted((str(d), 1 + len(Encoder(WORD).encode([t or ""])[0])) for d, t in rows)
+    assert len({r.start for r in back}) == len(rows)
+
+
 # --- decontamination
 
 

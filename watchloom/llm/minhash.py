@@ -347,6 +347,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "class_id")
 
 
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),
+class AS (SELECT doc_id, list_sort(s) AS s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class_id FROM sets),
+rep AS (SELECT doc_id, s, len(s) AS n FROM class WHERE doc_id = class_id AND len(s) > 0),
+item AS (SELECT doc_id, n, unnest(s) AS x FROM rep),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT doc_id, doc_id FROM rep UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+root AS (SELECT a AS class_id, min(b) AS root FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE root END AS component_id, doc_id = CASE WHEN len(s) = 0 THEN doc_id ELSE root END AS kept,
+  CASE WHEN len(s) = 0 THEN doc_id ELSE class_id END AS class_id
+FROM class LEFT JOIN root USING (class_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], ngram: int = 2, percent: int = 80) -> dict[int, tuple[int, int]]:
     """{doc_id: (n_shingles, component_id)} from all pairs; for tests."""
     import re

@@ -29,6 +29,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash_dedup": minhash.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_chat_format": chat_tree.SQL,
+    "op8_decontaminate": decontaminate.SQL,
 }

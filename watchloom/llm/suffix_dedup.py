@@ -467,6 +467,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+st AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+x AS (SELECT doc_id, i, sha256(array_slice(b, i, i + 199)) AS h FROM st),
+again AS (SELECT doc_id, i FROM x WHERE h IN (SELECT h FROM x GROUP BY h HAVING count(*) > 1)),
+mark AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark) GROUP BY doc_id, r),
+ends AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+kept AS (SELECT e.doc_id, string_agg(hex(array_slice(b, before + 1, lo - 1)), '' ORDER BY lo) || hex(array_slice(any_value(b), max(hi) + 1, octet_length(any_value(b)))) AS k, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans
+  FROM ends e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN k IS NULL THEN b ELSE from_hex(k) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def brute_force(texts: list[str | None], span: int = SPAN) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) of each text by counting all strings; for tests."""
     raw, seen = [(t or "").encode() for t in texts], {}
