@@ -153,7 +153,7 @@ TREE = "kind string, pack long, node int, parent int, start long, length long, p
 class Node:
     """A turn behind given turns; its number, place and positions are set when its ids are known."""
 
-    __slots__ = ("end", "hash", "ids", "mask", "node", "parent", "path", "role", "start", "text")
+    __slots__ = ("end", "hash", "ids", "node", "parent", "role", "start", "text")
 
     def __init__(self, hash_: int, role: str, text: str, parent: Node | None):
         self.hash, self.role, self.text, self.parent = hash_, role, text, parent
@@ -182,7 +182,8 @@ def _tree(tokenizer: str | None):
                     events.append((pack, None, list(stack)))
                 events.append((pack, conv, list(stack)))
             ids = iter(units.encode([p for x in new for p in turn_parts(x.role, x.text)]))
-            out: list[dict] = []
+            out: dict[str, list] = {c: [] for c in schema.names if c != "ids"}
+            units_of, none = [], np.zeros(0, np.int32)
             for pack, conv, path in events:
                 me = path[-1]
                 if not hasattr(me, "ids"):
@@ -191,12 +192,19 @@ def _tree(tokenizer: str | None):
                     head, body, tail = next(ids), next(ids), next(ids)
                     me.ids, me.start, me.node = np.concatenate([head, body, tail]), at, number
                     me.end = (me.parent.end if me.parent else 0) + len(me.ids)
-                    me.mask = [{"start": len(head), "end": len(head) + len(body)}] if me.role == "assistant" else []
+                    mask = [{"start": len(head), "end": len(head) + len(body)}] if me.role == "assistant" else []
                     at, number = at + len(me.ids), number + 1
-                    out.append({"kind": "node", "pack": pack, "node": me.node, "parent": me.parent.node if me.parent else -1, "start": me.start, "length": len(me.ids), "position": me.end - len(me.ids), "ancestors": [x.span() for x in path[:-1]], "ids": me.ids, "mask": me.mask})
+                    row = ("node", pack, me.node, me.parent.node if me.parent else -1, me.start, len(me.ids), me.end - len(me.ids), [x.span() for x in path[:-1]], mask, None)
+                    units_of.append(me.ids)
                 else:
-                    out.append({"kind": "conversation", "pack": pack, "node": me.node, "ancestors": [x.span() for x in path], "conv_id": conv})
-            yield pa.RecordBatch.from_pylist([{**dict.fromkeys(schema.names), **r} for r in out], schema)
+                    row = ("conversation", pack, me.node, None, None, None, None, [x.span() for x in path], None, conv)
+                    units_of.append(none)
+                for c, v in zip(out.values(), row, strict=True):
+                    c.append(v)
+            flat = pa.array(np.concatenate(units_of) if units_of else none, pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in units_of])]), pa.int32()), flat)
+            columns = [lists if f.name == "ids" else pa.array(out[f.name], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -218,9 +226,18 @@ def _digests(tokenizer: str | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Conversations of one pack, rebuilt from its nodes."""
         units, nodes = Units(tokenizer), pdf[pdf["kind"] == "node"]
-        text = dict(zip(nodes["start"], units.decode([x.tolist() for x in nodes["ids"]]), strict=True))
-        masked = [(int(s), x[m["start"] : m["end"]].tolist()) for s, x, ms in zip(nodes["start"], nodes["ids"], nodes["mask"], strict=True) for m in ms]
-        said = dict(zip((s for s, _ in masked), map(unescape, units.decode([x for _, x in masked])), strict=True))
+        # before, under and behind the mask, decoded apart and once; masks fall on whole characters
+        starts, cuts, ids = nodes["start"].tolist(), [], []
+        for x, ms in zip(nodes["ids"], nodes["mask"], strict=True):
+            edges = [0, *(e for m in ms for e in (m["start"], m["end"])), len(x)]
+            ids += [x[i:j].tolist() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            cuts.append(len(edges) - 1)
+        parts, text, said, at = units.decode(ids), {}, {}, 0
+        for start, n in zip(starts, cuts, strict=True):
+            text[start] = "".join(parts[at : at + n])
+            if n > 1:
+                said[start] = "".join(map(unescape, parts[at + 1 : at + n : 2]))
+            at += n
         known: dict[tuple, tuple] = {}
         out = []
         members = pdf[pdf["kind"] == "conversation"]
