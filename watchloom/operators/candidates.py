@@ -86,7 +86,8 @@ def contained(articles: DataFrame, entities: DataFrame) -> DataFrame:
     """
     places = lambda t, n: F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
     grams = lambda t, n: F.array_distinct(F.transform(places(t, n), lambda i: F.substring(t, i, F.lit(n))))
-    every = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, BLOCK + 1)]))
+    sizes = sorted(r.n for r in entities.select(F.least(F.length("name"), F.lit(BLOCK)).alias("n")).where("n > 0").distinct().collect())  # at most BLOCK
+    every = F.flatten(F.array(*[grams(F.col("text"), n) for n in sizes or [BLOCK]]))
     a = articles.select("article_id", F.explode(F.array_distinct(every)).alias("_g"))
     n = F.least(F.length("name"), F.lit(BLOCK))
     e = entities.where(F.length("name") > 0).select("entity_id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n)))).alias("_g"))
