@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,7 +109,6 @@ class Placer:
 
 def _cut(path: str, end_id: int, size: int, with_ids: bool):
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())]
-    kinds += [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +119,21 @@ def _cut(path: str, end_id: int, size: int, with_ids: bool):
             col = batch.column(batch.schema.get_field_index("text"))
             for lo, hi, _, _ in blocks(batch):
                 out: list[list] = [[] for _ in kinds]
+                parts = [np.empty(0, "<u4")]
                 for i, ids in enumerate(encoder.encode([x or "" for x in col.slice(lo, hi - lo).to_pylist()])):
                     ids = np.concatenate([ids, tail])
                     for k, (s, n) in enumerate(pieces_of(len(ids), size)):
                         part = ids[s : s + n]
-                        row = (names[lo + i].as_py(), k, s, n, zlib.crc32(part.tobytes()), int(seen[n])) + ((part.tolist(),) if with_ids else ())
+                        row = (names[lo + i].as_py(), k, s, n, zlib.crc32(part.tobytes()), int(seen[n]))
                         seen[n] += 1
+                        parts.append(part)
                         for c, v in zip(out, row, strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                arrays = [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)]
+                if with_ids:
+                    ends = np.cumsum([len(x) for x in parts], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names + ["ids"] * with_ids)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids
     return run, ddl
@@ -148,14 +152,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE, wit
     ranked = cut.join(stats.select("task", "length", before.alias("before")), ["task", "length"])
     placer = docs.sparkSession.sparkContext.broadcast(Placer(bins))
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            sequence, offset = placer.value.place(pdf["length"].to_numpy(), pdf["before"].to_numpy() + pdf["nth"].to_numpy())
-            yield pdf.drop(columns=["nth", "before"]).assign(sequence_id=sequence, offset=offset)
-
     kept = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     columns = [c.split()[0] for c in kept.split(", ")]
-    return ranked.select(*columns[:-2], "nth", "before").mapInPandas(place, kept).select(*columns)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rank = b.column("before").to_numpy() + b.column("nth").to_numpy()
+            placed = placer.value.place(b.column("length").to_numpy(), rank)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns[:-2]] + [pa.array(x) for x in placed], names=columns)
+
+    return ranked.select(*columns[:-2], "nth", "before").mapInArrow(place, kept).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
