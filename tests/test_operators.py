@@ -286,3 +286,53 @@ def test_no_search_plan_holds_a_cartesian_product(spark):
     for name in ("cosine_topk", "knn_filtered", "rrf_hybrid_top2", "vector_dedup", "containment_join", "candidate_fuzzy", "candidate_phonetic", "fuzzy_search", "text_search", "search_mode_union"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_stages_keep_a_backup_and_know_their_version(spark, tmp_path):
+    stages = R.Stages(spark, str(tmp_path / "st"))
+    assert not stages.valid("a")
+    stages.save("a", spark.range(3))
+    stages.save("a", stages.load("a").where("id > 0"))
+    assert stages.load("a").count() == 2 and spark.read.parquet(str(tmp_path / "st/a.bak")).count() == 3
+    assert stages.valid("a") and not stages.valid("a", "0") and not stages.valid("b")
+
+
+def test_config_from_files_and_variables(tmp_path):
+    base = {"a": {"x": 1, "y": 2}, "b": 3}
+    (tmp_path / "c.json").write_text(json.dumps({"a": {"x": 5}, "c": [1]}))
+    got = R.load_config(str(tmp_path / "c.json"), base, {"KEY": "k", "NONE": ""}, {"KEY": ["a", "key"], "NONE": ["b"]})
+    assert got == {"a": {"x": 5, "y": 2, "key": "k"}, "b": 3, "c": [1]} and base == {"a": {"x": 1, "y": 2}, "b": 3}
+    assert R.load_config(str(tmp_path / "none.json"), base) == base == R.load_config(None, base)
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a:\n  y: 7\n")
+    assert R.load_config(str(tmp_path / "c.yaml"), base)["a"] == {"x": 1, "y": 7}
+
+
+def test_analysed_tokens_fold_and_drop_stop_words(spark):
+    rows = spark.createDataFrame([("The Café of Łódź, Straße and Ænima",), ("Йод και ψωμί",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(T.analysed("t")).collect()]
+    assert got == [["cafe", "lodz", "strasse", "aenima"], ["йод", "και", "ψωμί"], [], None]
+
+
+def test_cosine_fallback_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(5)
+    vec = rng.randn(60, 4)
+    vec[7] = 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vec)], "id long, vector array<double>")
+    hits = {(int(q), int(d)): float(rng.rand() * 2) for q in (0, 20, 40) for d in rng.choice(60, 9, replace=False) if d != q}
+    h = spark.createDataFrame([(*k, s) for k, s in hits.items()] + [(0, 0, 9.0), (0, 999, 9.0)], "query long, doc long, score double")
+    got = {}
+    for r in S.cosine_fallback(v.where("id IN (0, 20, 40)"), v, h, 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["doc"])
+    for q in (0, 20, 40):
+        norm = np.linalg.norm(vec, axis=1) * np.linalg.norm(vec[q])
+        s = np.divide(vec @ vec[q], norm, out=np.zeros(60), where=norm > 0) + 1 + np.array([hits.get((q, d), 0.0) for d in range(60)])
+        order = [int(d) for d in np.lexsort((np.arange(60), -s.round(9))) if d != q]
+        assert got[q] == order[:5]
+
+
+def test_compound_needs_a_word_or_the_end_behind(spark):
+    get = lambda t: [s[0] for s in spans_of(spark, t, X.compounds)]
+    assert get("CEO of Acme, who left") == [] and get("Meet the CEO of Acme") == ["Acme CEO"] == get("CEO of Acme who left")

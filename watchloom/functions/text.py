@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,27 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+# English stop words of the standard analyser, and letters that fold into several or do not decompose.
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on",
+    "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
+PLAIN_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i"}
+
+
+def ascii_folded(text) -> Column:
+    """Lower case, Latin letters without their marks; letters of other scripts stay as they are."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for a, b in ((0xE0, 0x250), (0x1E00, 0x1F00)) for i in range(a, b)]
+    pairs = [(x, y) for x, y in pairs if x != y and y.isascii()] + [(x, y) for x, y in PLAIN_LETTERS.items() if len(y) == 1]
+    folded = F.translate(F.lower(col(text)), "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), [kv for kv in PLAIN_LETTERS.items() if len(kv[1]) > 1], folded)
+
+
+def analysed(text, stop: list[str] | None = None) -> Column:
+    """Tokens as the name index analyses them: folded, without stop words."""
+    return F.filter(tokens(ascii_folded(text)), lambda t: ~t.isin(STOP_WORDS if stop is None else stop))
+
+
 def words(text) -> Column:
     return F.filter(F.split(F.trim(F.lower(col(text))), r"\s+"), lambda t: t != "")
 

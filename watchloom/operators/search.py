@@ -46,6 +46,31 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 20, window: int = 50
     return top(every.groupBy("query", "doc").agg(F.sum("_s").alias("score")), k)
 
 
+def cosine_fallback(queries: DataFrame, vectors: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Top-k by cosine + 1 plus the text score of ``hits`` (query, doc, score), over all vectors.
+
+    The cosine alone ranks documents without a text hit, so the best k of them come from ``nearest``; documents with a hit get
+    their cosine by an equi-join on ids. The union of both holds the best k of the sum. id, vector, in both tables; a query
+    without a vector has no result, a hit without one is left out.
+    """
+    plain = nearest(queries, vectors, k, least=-1.0).select("query", "doc", (F.col("score") + 1).alias("score"), F.lit(0.0).alias("hit"))
+    a = queries.select(F.col("id").cast("long").alias("query"), F.col("vector").cast("array<double>").alias("_a"))
+    b = vectors.select(F.col("id").cast("long").alias("doc"), F.col("vector").cast("array<double>").alias("_b"))
+    scored = hits.where("query <> doc").join(a, "query").join(b, "doc")
+    norm = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))  # the cosine may be below 0 here
+    scored = scored.select("query", "doc", (F.when(norm > 0, dot("_a", "_b") / norm).otherwise(0.0) + 1).alias("c"), F.col("score").cast("double").alias("hit"))
+    every = plain.unionByName(scored.select("query", "doc", F.col("c").alias("score"), "hit"))
+    best = every.groupBy("query", "doc").agg((F.max("score") + F.max("hit")).alias("score"))
+    return top(best, k)
+
+
+def enriched_search(queries: DataFrame, enriched: DataFrame, k: int = 10) -> DataFrame:
+    """Enriched entities by the likeness of their context to a query. queries: query; enriched: entity_id, name, context,
+    confidence, source. Trigram cosine is the default measure, as for names."""
+    near = trigram_nearest(queries, enriched.select(F.col("entity_id").alias("doc"), F.col("context").alias("text")), k)
+    return near.join(enriched.select(F.col("entity_id").alias("doc"), "name", "context", "confidence", "source"), "doc")
+
+
 BLOCK, CHUNK = 512, 8192  # queries and vectors of one group of ``nearest``
 
 

@@ -71,9 +71,10 @@ TITLES = {
         r"\bofficer\b",
     ],
 }
-# An organisation and a title, in either order; only the title may be of any case.
+# An organisation and a title, in either order; only the title may be of any case. An organisation named last
+# is followed by another word or by the end of the text, not by a mark.
 ORGANISATION_TITLE = r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?)\s+((?i:CEO|CTO|CFO|COO|President|Founder|Chairman))\b"
-TITLE_OF_ORGANISATION = r"\b((?i:CEO|CTO|CFO|President|Founder))\s+of\s+([A-Z][a-zA-Z]+)\b"
+TITLE_OF_ORGANISATION = r"\b((?i:CEO|CTO|CFO|President|Founder))\s+of\s+([A-Z][a-zA-Z]+)(?=\s+[A-Za-z]{2}|\s*$)"
 # Words that place something.
 PLACES = [
     "headquarters", "office", "facility", "campus", "building",

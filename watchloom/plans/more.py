@@ -11,7 +11,7 @@ from watchloom.operators import report as R
 from watchloom.operators import search as S
 from watchloom.operators import spans as X
 from watchloom.plans.fixtures import articles, entities, mentions
-from watchloom.plans.queries import CASCADE, GRAMS, _vectors, query, tok
+from watchloom.plans.queries import BM25, CASCADE, GRAMS, _bm25, _vectors, query, tok
 from watchloom.sources.tables import parquet, sample_articles, sample_entities
 
 # --- enrichment -----------------------------------------------------------------------------------------------------
@@ -212,3 +212,44 @@ def sample_matches(spark, sf):
     e = sample_entities(spark).withColumn("entity_id", T.slug("name"))
     surfaces = e.select("entity_id", F.explode(F.array_append("aliases", F.col("name"))).alias("surface"))
     return X.gazetteer(sample_articles(spark), surfaces).select("article_id", "entity_id", "name", "position")
+
+
+# --- retrieval over enriched entities, the analyser -----------------------------------------------------------------
+
+
+@query(
+    "enriched_context_search",
+    f"""+ q AS (SELECT query, g, count(*) AS x FROM (SELECT query, unnest({GRAMS.format('query')}) AS g FROM (SELECT DISTINCT p_type AS query FROM part WHERE p_type IS NOT NULL)) GROUP BY ALL),
+d AS (SELECT doc, g, count(*) AS y FROM (SELECT entity_id AS doc, unnest({GRAMS.format('description')}) AS g FROM wl) GROUP BY ALL),
+nq AS (SELECT query, sqrt(sum(x * x)) AS nx FROM q GROUP BY query), nd AS (SELECT doc, sqrt(sum(y * y)) AS ny FROM d GROUP BY doc),
+s AS (SELECT query, doc, sum(x * y) / any_value(nx * ny) AS score FROM q JOIN d USING (g) JOIN nq USING (query) JOIN nd USING (doc) GROUP BY query, doc),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s)
+SELECT query, rank, wl.name, wl.description AS context, 1e0 AS confidence, 'Original Description' AS source, round(score, 6) AS score FROM r JOIN wl ON wl.entity_id = r.doc WHERE rank <= 10""",
+)
+def enriched_context_search(spark, sf):
+    q = parquet(spark, sf, "part").where("p_type IS NOT NULL").select(F.col("p_type").alias("query")).distinct()
+    found = S.enriched_search(q, E.keep_description(entities(spark, sf)), 10)
+    return found.select("query", "rank", "name", "context", "confidence", "source", F.round("score", 6).alias("score"))
+
+
+@query(
+    "cosine_fallback",
+    f"""WITH {BM25}, v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.id AS query, b.id AS doc, list_cosine_similarity(a.v, b.v) + 1 + coalesce(sc.score, 0) AS score FROM v a JOIN v b ON a.id <> b.id LEFT JOIN sc ON sc.query = a.id AND sc.doc = b.id WHERE a.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s)
+SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+    cte=False,
+)
+def cosine_fallback(spark, sf):
+    v = _vectors(spark, sf)
+    return S.cosine_fallback(v.where("id % 100 = 0"), v, _bm25(spark, sf), 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+ACCENTED = "'The ' || p_name || ' of São Öre and ' || p_brand"
+
+
+@query("analysed_tokens", f"SELECT p_partkey, array_to_string(list_filter({tok(f'strip_accents({ACCENTED})')}, lambda t: t NOT IN ({STOPS})), ' ') AS terms FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL")
+def analysed_tokens(spark, sf):
+    p = parquet(spark, sf, "part").where("p_name IS NOT NULL AND p_brand IS NOT NULL")
+    return p.select("p_partkey", F.array_join(T.analysed(F.expr(ACCENTED)), " ").alias("terms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +65,10 @@ def golden_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Stages:
-    """Stage outputs as Parquet under one folder, with a manifest row for each save; the clock is given by the caller."""
+    """Stage outputs as Parquet under one folder, with a manifest row for each save; the clock is given by the caller.
+
+    A save is written beside the stage and then takes its place; what was there before stays as ``<stage>.bak``.
+    """
 
     VERSION = "1"
 
@@ -71,7 +76,12 @@ class Stages:
         self.spark, self.folder, self.clock = spark, folder, clock
 
     def save(self, stage: str, rows: DataFrame, success: bool = True) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+        path = f"{self.folder}/{stage}"
+        rows.write.mode("overwrite").parquet(f"{path}.new")
+        if _exists(self.spark, path):
+            drop_table(self.spark, f"{path}.bak")
+            _move(self.spark, path, f"{path}.bak")
+        _move(self.spark, f"{path}.new", path)
         out = self.load(stage)
         line = [(stage, self.clock().isoformat(), self.VERSION, success, out.count())]
         self.spark.createDataFrame(line, "stage string, saved_at string, version string, success boolean, n_rows long").write.mode("append").parquet(f"{self.folder}/_manifest_rows")
@@ -85,6 +95,12 @@ class Stages:
         rows = self.spark.read.parquet(f"{self.folder}/_manifest_rows")
         return last_saved(rows)
 
+    def valid(self, stage: str, version: str | None = None) -> bool:
+        """Whether the stage is there and its last save is of the version wanted, by default of this one."""
+        if not (_exists(self.spark, f"{self.folder}/{stage}") and _exists(self.spark, f"{self.folder}/_manifest_rows")):
+            return False
+        return not self.manifest().where((F.col("stage") == stage) & (F.col("version") == (version or self.VERSION))).isEmpty()
+
     def missing(self, needed: list[str]) -> DataFrame:
         want = self.spark.createDataFrame([(s,) for s in needed], "stage string")
         return missing_stages(want, self.manifest())
@@ -121,6 +137,30 @@ def merge_config(base: dict, over: dict) -> dict:
     return out
 
 
+def load_config(path: str | None, defaults: dict, environment: dict[str, str] | None = None, names: dict[str, list[str]] | None = None) -> dict:
+    """``defaults``, under a JSON or YAML file if there is one, under variables: ``names`` maps each to its place in the dict.
+
+    The defaults stay as they are. A file that is not there changes nothing; one that cannot be read is an error.
+    """
+    out = merge_config(defaults, {})
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                out = merge_config(out, yaml.safe_load(f) or {})
+            else:
+                out = merge_config(out, json.load(f))
+    for name, place in (names or {}).items():
+        value = (environment or {}).get(name)
+        if value:
+            over: dict | str = value
+            for key in reversed(place):
+                over = {key: over}
+            out = merge_config(out, over)
+    return out
+
+
 def guarded(rows: DataFrame, checks: dict[str, F.Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that pass all checks, and the others with ``_error`` naming the first check they fail (the dead letters)."""
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
@@ -135,11 +175,25 @@ def report(rows: DataFrame) -> DataFrame:
     return counts.select("_n", F.explode(pairs).alias("p")).select("p.field", "p.type", F.col("p.n").alias("n_values"), F.col("_n").alias("n_rows"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _hadoop(spark, source)
+    if not fs.rename(p, _hadoop(spark, target)[1]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def drop_table(spark: SparkSession, path: str) -> bool:
     """Deletes a written table if it is there; says whether it was. What is written is visible at once, so there is no refresh."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _hadoop(spark, path)
     return bool(fs.exists(p)) and bool(fs.delete(p, True))
 
 
