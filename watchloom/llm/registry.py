@@ -1,4 +1,4 @@
-"""The ten operators' queries, and their SQL where SQL can express them."""
+"""The operators' queries, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from watchloom.llm import (
     ann,
     chat_tree,
     decontaminate,
+    fill_middle,
     language_id,
     line_dedup,
     minhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
     "op10_token_store": token_store.query,
+    "op13_fill_in_middle": fill_middle.query,
 }
 
 SQL = {
@@ -34,4 +36,5 @@ SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_chat_format": chat_tree.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op13_fill_in_middle": fill_middle.SQL,
 }
