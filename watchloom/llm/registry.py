@@ -7,6 +7,7 @@ from watchloom.llm import (
     chat_tree,
     decontaminate,
     fill_middle,
+    importance,
     language_id,
     line_dedup,
     minhash,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
     "op10_token_store": token_store.query,
+    "op12_importance_resampling": importance.query,
     "op13_fill_in_middle": fill_middle.query,
 }
 
@@ -36,5 +38,6 @@ SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_chat_format": chat_tree.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op12_importance_resampling": importance.SQL,
     "op13_fill_in_middle": fill_middle.SQL,
 }
