@@ -9,6 +9,7 @@ from watchloom.llm import (
     fill_middle,
     importance,
     language_id,
+    lattice_lm,
     line_dedup,
     minhash,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
     "op10_token_store": token_store.query,
+    "op11_lattice_lm": lattice_lm.query,
     "op12_importance_resampling": importance.query,
     "op13_fill_in_middle": fill_middle.query,
 }

@@ -25,8 +25,8 @@ from watchloom.llm.kernel import LOWER, blocks, word_runs
 from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store
 
-SIZE = 1 << 23
-SCHEMA = "block long, words array<binary>, uses array<long>, learned array<long>, row array<long>, doc_id array<long>, learn array<boolean>, first array<int>, word array<int>, times array<int>"
+SIZE = 1 << 24
+SCHEMA = "block long, words array<binary>, uses array<long>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
 
 
 def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray]:
@@ -48,29 +48,28 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: n
     return pa.concat_arrays(found), np.concatenate(at)
 
 
-def _block(number: int, data: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, learn: np.ndarray) -> dict:
+def _block(number: int, data: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, group: np.ndarray, groups: int) -> dict:
     found, at = features(data, s, e, order, last, until)
     coded = found.dictionary_encode()
     index, n, width = coded.indices.to_numpy(), len(row), max(1, len(coded.dictionary))
     cells, times = np.unique(own[at] * width + index, return_counts=True)
     word, first = cells % width, np.searchsorted(cells, np.arange(n + 1) * width)
-    taught = np.repeat(learn, np.diff(first)) * times
+    owner = np.repeat(group, np.diff(first))
     return {
         "block": number,
         "words": coded.dictionary,
         "uses": np.bincount(word, times, len(coded.dictionary)).astype(np.int64),
-        "learned": np.bincount(word, taught, len(coded.dictionary)).astype(np.int64),
         "row": row,
         "doc_id": docs,
-        "learn": learn.tolist(),
         "first": first,
         "word": word,
         "times": times,
+        **{f"uses_{g}": np.bincount(word, times * (owner == g), len(coded.dictionary)).astype(np.int64) for g in range(groups)},
     }
 
 
 def _arrow(b: dict) -> pa.RecordBatch:
-    kinds = {"uses": pa.int64(), "learned": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "learn": pa.bool_(), "first": pa.int32(), "word": pa.int32(), "times": pa.int32()}
+    kinds = {"uses": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "first": pa.int32(), "word": pa.int32(), "times": pa.int32(), **{k: pa.int64() for k in b if k.startswith("uses_")}}
 
     def one(values, kind: pa.DataType) -> pa.Array:
         values = values if isinstance(values, pa.Array) else pa.array(values, kind)
@@ -79,11 +78,11 @@ def _arrow(b: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"block": pa.array([b["block"]], pa.int64()), "words": one(b["words"], pa.binary()), **{k: one(b[k], t) for k, t in kinds.items()}})
 
 
-def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, learn: F.Column | None = None) -> DataFrame:
-    """The blocks of ``docs`` (doc_id, text). Words are runs of bytes of the class ``inside``, with A-Z lower-cased; ``learn`` says
-    whose words count in ``learned``, by default all."""
-    flag = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), flag.alias("learn"))
+def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, group: F.Column | None = None, groups: int = 0) -> DataFrame:
+    """The blocks of ``docs`` (doc_id, text). Words are runs of bytes of the class ``inside``, with A-Z lower-cased. A document's
+    ``group`` is a number under ``groups``, or null for none; uses_0, uses_1 ... count the uses in the documents of each."""
+    told = F.coalesce(group, F.lit(-1)) if group is not None else F.lit(-1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), told.cast("int").alias("group"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -91,7 +90,7 @@ def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, l
         base = TaskContext.get().partitionId() << 33
         number, seen = base, base
         for batch in batches:
-            ids, flags = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            ids, of = batch.column(0), batch.column(2).to_numpy()
             for lo, hi, data, offs in blocks(batch, max_bytes=size):
                 data = LOWER[data]
                 s, e = word_runs(data, offs, inside)
@@ -102,26 +101,30 @@ def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, l
                 for w in range(0, max(1, len(s)), step):
                     until, reach = min(len(s), w + step), min(len(s), w + step + order - 1)
                     a, b = (int(s[w]), int(e[reach - 1])) if reach > w else (0, 0)
-                    yield _arrow(_block(number, data[a:b], s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo).to_pylist(), flags[lo:hi]))
+                    yield _arrow(_block(number, data[a:b], s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo).to_pylist(), of[lo:hi], groups))
                     number += 1
             seen += batch.num_rows
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA + "".join(f", uses_{g} array<long>" for g in range(groups)))
+
+
+def counters(table: DataFrame) -> list[str]:
+    return [c for c in table.columns if c == "uses" or c.startswith("uses_")]
 
 
 def entries(table: DataFrame) -> DataFrame:
-    """(block, at, word, uses, learned): a row for each block and distinct feature of it."""
-    each = F.posexplode(F.arrays_zip("words", "uses", "learned")).alias("at", "x")
-    return table.select("block", each).select("block", "at", F.col("x.words").alias("word"), F.col("x.uses").alias("uses"), F.col("x.learned").alias("learned"))
+    """(block, at, word, uses, uses_0 ...): a row for each block and distinct feature of it."""
+    each = F.posexplode(F.arrays_zip("words", *counters(table))).alias("at", "x")
+    return table.select("block", each).select("block", "at", F.col("x.words").alias("word"), *[F.col(f"x.{c}").alias(c) for c in counters(table)])
 
 
 def dictionary(entry_rows: DataFrame) -> DataFrame:
-    """(word, uses, learned, blocks): each distinct feature of the corpus once."""
-    return entry_rows.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("learned").alias("learned"), F.count(F.lit(1)).alias("blocks"))
+    """(word, uses, uses_0 ..., blocks): each distinct feature of the corpus once."""
+    return entry_rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in counters(entry_rows)], F.count(F.lit(1)).alias("blocks"))
 
 
 def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, columns: list[str], sums: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]], made: str) -> DataFrame:
-    """(row, doc_id, learn and ``made``): for each document the sums that ``sums`` makes from the values of its features.
+    """(row, doc_id and ``made``): for each document the sums that ``sums`` makes from the values of its features.
 
     ``values`` has each feature once: word, blocks and ``columns``. ``sums`` gets the times a cell's feature stands in its document and the
     feature's values, and returns for each name of ``made`` what each cell adds. Repeated rows stay apart by their row number.
@@ -129,11 +132,11 @@ def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, c
     names = [x.split()[0] for x in made.split(",")]
     found = spread_join(entries(table).select("block", "at", "word"), values.select("word", *columns), ["word"], values.select("word", "blocks"), "blocks")
     found = found.select("block", "at", *columns)
-    cells = store.spark.read.schema(table.schema).parquet(store.path(name)).select("block", "row", "doc_id", "learn", "first", "word", "times")
+    cells = store.spark.read.schema(table.schema).parquet(store.path(name)).select("block", "row", "doc_id", "first", "word", "times")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         get = lambda c: right.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        row, learn, first, word, times = (get(c) for c in ("row", "learn", "first", "word", "times"))
+        row, first, word, times = (get(c) for c in ("row", "first", "word", "times"))
         at = left.column("at").to_numpy()
         value = {}
         for c in columns:
@@ -143,10 +146,10 @@ def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, c
             value[c] = value[c][word]
         added = sums(times.astype(np.int64), value)
         total = {n: _segments(added[n], first) for n in names}
-        return pa.table({"row": row, "doc_id": right.column("doc_id").combine_chunks().flatten(), "learn": learn, **total})
+        return pa.table({"row": row, "doc_id": right.column("doc_id").combine_chunks().flatten(), **total})
 
-    summed = found.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(join, f"row long, doc_id long, learn boolean, {made}")
-    return summed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("learn").alias("learn"), *[F.sum(n).alias(n) for n in names])
+    summed = found.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(join, f"row long, doc_id long, {made}")
+    return summed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(n).alias(n) for n in names])
 
 
 def _segments(x: np.ndarray, first: np.ndarray) -> np.ndarray:
