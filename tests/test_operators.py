@@ -58,11 +58,11 @@ def test_compounds_keep_case_and_whole_words(spark):
 
 def test_extraction_leaves_no_overlap(spark):
     text = "Yesterday the vice president of Austria met Acme CEO at Acme's Oslo headquarters near the regional center."
-    rows = X.extract(spark.createDataFrame([(text,)], "text string")).select(F.explode("spans").alias("s")).select("s.*").collect()
+    rows = X.extract(spark.createDataFrame([(1, text)], "article_id int, text string")).select(F.explode("spans").alias("s")).select("s.*").collect()
     assert len(rows) >= 4
     for a, b in zip(rows, rows[1:], strict=False):
         assert a.stop <= b.start
-    assert all(text[r.start : r.stop] == r["name"] or r.category == "COMPOUND_EXECUTIVE" for r in rows)
+    assert all(text[r.start : r.stop] == r["name"] or r.kind in X.COMPOUND_KINDS for r in rows)
 
 
 def test_surfaces_and_namesakes(spark, entities):

@@ -1,17 +1,23 @@
 """Spans in text: titles, organisations with titles, locations, their overlaps and neighbours, and mention clean-up.
 
-A span is a struct of name, category, start, stop, confidence. Offsets count from 0. Spans of a text are an array, so overlap
-and adjacency, which depend on order, are folds over a small array and not joins.
+A span is a struct of name, category, start, stop, confidence. Offsets count from 0. Spans of a text are an array: overlap and
+adjacency depend on order, so they are sweeps over the spans of one text, in time linear in them but for the sorting. Patterns are
+matched inside Arrow batches, which gives offsets without counting through the text again for each match; an article is a row, and
+its extractor's mentions reach it by a join.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from watchloom.functions.text import window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Title patterns by category, matched whatever the case.
 TITLES = {
@@ -121,141 +127,268 @@ TITLE_WORDS = [
 ]
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """Array of (name, start, stop) of a pattern's matches: lengths of matches and of the gaps between them, summed up."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+MATCH = "array<struct<name:string,start:int,stop:int>>"
+SPAN = "array<struct<name:string,category:string,start:int,stop:int,confidence:double>>"
+#: kind is what the span is (TITLE, COMPOUND_TITLE, ..., PERSON), category the group of patterns or the extractor's class.
+EXTRACTED = "array<struct<span_id:int,name:string,kind:string,category:string,start:int,stop:int,confidence:double>>"
+COMPOUND_KINDS = ["COMPOUND_TITLE", "NATIONAL_TITLE", "DESCRIPTIVE_TITLE", "ORGANIZATIONAL_TITLE"]
 
-    def places(z: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            start = total(F.slice(z.gaps, 1, i + 1)) + total(F.slice(z.found, 1, i))
-            return F.struct(m.alias("name"), start.alias("start"), (start + F.length(m)).alias("stop"))
 
-        return F.transform(z.found, one)
+def _rows(kind: str, f: Callable[..., Iterable[tuple]]) -> Callable[..., Column]:
+    """A column function that makes an array of structs of its arguments, row by row inside Arrow batches; null gives none."""
 
-    # bound once, so that the text is searched once however many matches there are
-    bound = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.call_function("split", text, p, F.lit(-1)).alias("gaps"))
-    return F.flatten(F.transform(F.array(bound), places))
+    target = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
 
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        at, flat = [0], []
+        for args in zip(*(c.to_pylist() for c in columns), strict=True):
+            if args[0] is not None:
+                flat.extend(f(*args))
+            at.append(len(flat))
+        fields = list(target.value_type)
+        values = zip(*flat, strict=True) if flat else [()] * len(fields)
+        struct = pa.StructArray.from_arrays([pa.array(v, t.type) for v, t in zip(values, fields, strict=True)], fields=fields)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), struct, type=target)
 
-def _any_in(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
+    return run
 
 
-def title_confidence(name: Column, context: Column, category: Column) -> Column:
-    c = F.lit(0.7) + F.when(_any_in(name, SPECIFIC_TITLES), 0.1).otherwise(0.0)
-    near = reduce(lambda a, b: a | b, [(category == k) & _any_in(context, w) for k, w in CATEGORY_WORDS.items()])
-    return F.least(F.lit(1.0), c + F.when(near, 0.15).otherwise(0.0))
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (name, start, stop) of a pattern's matches, in Python's syntax; offsets count characters from 0."""
+    p = re.compile(pattern)
+    return _rows(MATCH, lambda t: ((m.group(), m.start(), m.end()) for m in p.finditer(t)))(text)
 
 
-def _span(category, confidence):
-    """What makes a span of a match."""
-    c = F.lit(category) if isinstance(category, str) else category
-    return lambda m: F.struct(m["name"].alias("name"), c.alias("category"), m.start.alias("start"), m.stop.alias("stop"), confidence(m).alias("confidence"))
+class Follows:
+    """A pattern that asks for a word later in its line. Looking ahead from each match would read the line again and again, so the
+    places of the word are found once, and a binary search tells whether one stands between the match and the line's end."""
 
+    def __init__(self, pattern: str):
+        base, _, ahead = pattern.partition("(?=.*")
+        self.base, self.ahead = re.compile(base, re.IGNORECASE), re.compile(ahead.removesuffix(")"), re.IGNORECASE) if ahead else None
 
-def titles(text: Column) -> Column:
-    """All title matches of all categories, unresolved. The patterns are an array, so the plan does not grow with them."""
-    every = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(f"(?i){p}").alias("pattern")) for c, patterns in TITLES.items() for p in patterns])
+    def finditer(self, text: str) -> Iterable[re.Match]:
+        found = self.base.finditer(text)
+        if self.ahead is None:
+            return found
+        found = list(found)
+        places = [m.start() for m in self.ahead.finditer(text)] if found else []
 
-    def of(t: Column) -> Column:
-        return F.transform(matches(text, t.pattern), _span(t.category, lambda m: title_confidence(m["name"], window(text, m.start, m.stop), t.category)))
+        def on(m: re.Match) -> bool:
+            at = bisect_left(places, m.end())
+            return at < len(places) and "\n" not in text[m.end() : places[at]]
 
-    return F.flatten(F.transform(every, of))
+        return (m for m in found if on(m))
 
 
-def clean_organisation(name: Column) -> Column:
-    return F.regexp_replace(name, r"^(?i:the|a|an)\s+(?=\S)", "")
+_TITLES = [(category, Follows(p)) for category, patterns in TITLES.items() for p in patterns]
+_COMPOUNDS = [(re.compile(ORGANISATION_TITLE), 1, 2), (re.compile(TITLE_OF_ORGANISATION), 2, 1)]
+# a word is read once: a run of word characters starts where none stands before it, and gives nothing back
+_WORD = r"(?<!\w)(\w++)"
+_PLACES = "|".join(PLACES)
+_LOCATIONS = [
+    (re.compile(rf"{_WORD}'s\s+(\w++)\s+({_PLACES})", re.IGNORECASE), "COMPOUND_LOCATION", 0.85),
+    (re.compile(rf"{_WORD}\s+(\w++)\s+({_PLACES})", re.IGNORECASE), "COMPOUND_LOCATION", 0.80),
+    (re.compile(rf"\b({_PLACES})\b", re.IGNORECASE), "LOCATION_DESCRIPTOR", 0.75),
+]
 
 
-def compound_confidence(organisation: Column, title: Column, context: Column) -> Column:
-    c = F.lit(0.75) + F.when(F.lower(organisation).isin(KNOWN_ORGANISATIONS), 0.08).otherwise(0.0)
-    c = c + F.when(F.lower(title).isin(EXECUTIVE_TITLES), 0.05).otherwise(0.0)
-    c = c + F.when(_any_in(context, BUSINESS_WORDS), 0.03).otherwise(0.0) + F.when(_any_in(context, NEWS_WORDS), 0.02).otherwise(0.0)
-    return F.least(c, F.lit(0.90))
+def _near(text: str, start: int, stop: int, around: int = 50) -> str:
+    return text[max(0, start - around) : stop + around].lower()
 
 
-def is_organisation(name: Column) -> Column:
-    """No article, pronoun or generic word, and no connective among its words (whole words)."""
-    n = F.lower(name)
-    return ~n.isin(NOT_ORGANISATIONS + GENERIC_WORDS) & ~F.arrays_overlap(F.split(n, r"\s+"), F.array(*[F.lit(c) for c in CONNECTIVES]))
+def _has(text: str, words: list[str]) -> bool:
+    return any(w in text for w in words)
 
 
-def compounds(text: Column) -> Column:
-    """Organisation-with-title spans (name is "Organisation Title" for either order), valid ones only."""
-    parts = []
-    for pattern, org, title in ((ORGANISATION_TITLE, 1, 2), (TITLE_OF_ORGANISATION, 2, 1)):
-        parts.append(F.filter(F.transform(matches(text, pattern), _compound(text, pattern, org, title)), lambda s: is_organisation(s.organisation)))
-    return F.concat(*parts)
+def _title_confidence(name: str, near: str, category: str) -> float:
+    c = 0.7 + (0.1 if _has(name.lower(), SPECIFIC_TITLES) else 0.0)
+    return min(1.0, c + (0.15 if _has(near, CATEGORY_WORDS.get(category, [])) else 0.0))
 
 
-def _compound(text: Column, pattern: str, org: int, title: int):
-    def one(m: Column) -> Column:
-        o, t = clean_organisation(F.regexp_extract(m["name"], pattern, org)), F.regexp_extract(m["name"], pattern, title)
-        conf = compound_confidence(o, t, window(text, m.start, m.stop))
-        return F.struct(F.concat_ws(" ", o, t).alias("name"), F.lit("COMPOUND_EXECUTIVE").alias("category"), m.start.alias("start"), m.stop.alias("stop"), conf.alias("confidence"), o.alias("organisation"), t.alias("title"))
+def _compound_confidence(organisation: str, title: str, near: str) -> float:
+    c = 0.75 + (0.08 if organisation.lower() in KNOWN_ORGANISATIONS else 0.0) + (0.05 if title.lower() in EXECUTIVE_TITLES else 0.0)
+    return min(0.90, c + (0.03 if _has(near, BUSINESS_WORDS) else 0.0) + (0.02 if _has(near, NEWS_WORDS) else 0.0))
 
-    return one
 
+def _title_spans(text: str) -> list[tuple]:
+    return [(m.group(), category, m.start(), m.end(), _title_confidence(m.group(), _near(text, m.start(), m.end()), category)) for category, p in _TITLES for m in p.finditer(text)]
 
-def locations(text: Column) -> Column:
-    words = "|".join(PLACES)
-    parts = []
-    for pattern, category, conf in ((rf"(\w+)'s\s+(\w+)\s+({words})", "COMPOUND_LOCATION", 0.85), (rf"(\w+)\s+(\w+)\s+({words})", "COMPOUND_LOCATION", 0.80), (rf"\b({words})\b", "LOCATION_DESCRIPTOR", 0.75)):
-        parts.append(F.transform(matches(text, f"(?i){pattern}"), _span(category, lambda m, f=conf: F.lit(f))))
-    return F.concat(*parts)
 
+def _is_organisation(name: str) -> bool:
+    n = name.lower()
+    return n not in NOT_ORGANISATIONS + GENERIC_WORDS and not any(w in CONNECTIVES for w in n.split())
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a.start < b.stop) & (b.start < a.stop)
 
+def _names_person(name: str, people: dict[str, list[list[str]]]) -> bool:
+    """Whether the words of a person stand in the name, or the name's words in a person's, one after the other."""
+    w = name.lower().split()
+    inside = lambda a, b: any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+    return any(inside(w, p) or inside(p, w) for x in dict.fromkeys(w) for p in people.get(x, ()))
 
-SPAN = "array<struct<name:string,category:string,start:int,stop:int,confidence:double>>"
 
+def _people(names: Iterable[str]) -> dict[str, list[list[str]]]:
+    """People by each of their words: names that share no word with an organisation are never looked at."""
+    out: dict[str, list[list[str]]] = {}
+    for n in dict.fromkeys(x.lower() for x in names):
+        for w in dict.fromkeys(n.split()):
+            out.setdefault(w, []).append(n.split())
+    return out
 
-def resolve(spans: Column, priority) -> Column:
-    """Greedy: in order of priority (least first), then start, then longest, a span stays unless it overlaps one that stays."""
-    keyed = F.transform(spans, lambda s: F.struct(priority(s).alias("p"), s.start.alias("a"), (-s.stop).alias("b"), s["name"].alias("n"), s.alias("s")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k.s)
-    kept = F.aggregate(ordered, F.array().cast(SPAN), lambda done, s: F.when(F.exists(done, lambda d: overlaps(d, s)), done).otherwise(F.concat(done, F.array(s))))
-    return F.array_sort(kept, lambda x, y: (x.start - y.start).cast("int"))
+
+def _compound_spans(text: str, people: dict[str, list[list[str]]] | None = None) -> list[tuple]:
+    out = []
+    for p, org, title in _COMPOUNDS:
+        for m in p.finditer(text):
+            o, t = re.sub(r"^(?i:the|a|an)\s+(?=\S)", "", m.group(org)), m.group(title)
+            if _is_organisation(o) and not (people and _names_person(o, people)):
+                out.append((f"{o} {t}", "COMPOUND_EXECUTIVE", m.start(), m.end(), _compound_confidence(o, t, _near(text, m.start(), m.end())), o, t))
+    return out
 
 
-def plain(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["name"].alias("name"), s.category.alias("category"), s.start.cast("int").alias("start"), s.stop.cast("int").alias("stop"), s.confidence.cast("double").alias("confidence"))).cast(SPAN)
+def _location_spans(text: str) -> list[tuple]:
+    return [(m.group(), category, m.start(), m.end(), conf) for p, category, conf in _LOCATIONS for m in p.finditer(text)]
 
 
-def extract(articles: DataFrame, text: str = "text") -> DataFrame:
-    """Articles with ``spans``: compounds first, then titles, then locations, overlaps resolved, by start."""
-    t = F.col(text)
-    every = F.concat(plain(compounds(t)), plain(titles(t)), plain(locations(t)))
-    rank = lambda s: F.when(s.category == "COMPOUND_EXECUTIVE", 0).when(s.category == "COMPOUND_LOCATION", 1).when(s.category == "LOCATION_DESCRIPTOR", 3).otherwise(2)
-    return articles.withColumn("spans", resolve(every, rank))
+def titles(text: Column) -> Column:
+    """All title matches of all categories, unresolved."""
+    return _rows(SPAN, _title_spans)(text)
 
 
-def merge_boost(first: Column, second: Column) -> Column:
-    """Confidence that a word in front adds to a title: nationality .15, descriptor .10, organisation .12, other .05; null if the pair is no compound."""
-    f, s = F.lower(first["name"]), F.lower(second["name"])
-    valid = first.category.isin("MISCELLANEOUS", "ORGANIZATION") & (second.category == "TITLE") & F.arrays_overlap(F.split(s, r"\s+"), F.array(*[F.lit(w) for w in TITLE_WORDS]))
-    return F.when(valid, F.when(f.isin(NATIONALITIES), 0.15).when(f.isin(DESCRIPTORS), 0.10).when(first.category == "ORGANIZATION", 0.12).otherwise(0.05))
+def compounds(text: Column, people: Column | None = None) -> Column:
+    """Organisation-with-title spans (name is "Organisation Title" for either order), valid ones only: an organisation that is part of a
+    person's name, or holds one, is none. people: an array of names."""
+    kind = SPAN.replace("confidence:double", "confidence:double,organisation:string,title:string")
+    return _rows(kind, _compound_spans)(text) if people is None else _rows(kind, lambda t, n: _compound_spans(t, _people(n or [])))(text, people)
+
+
+def locations(text: Column) -> Column:
+    return _rows(SPAN, _location_spans)(text)
+
+
+def compound_confidence(organisation: Column, title: Column, context: Column) -> Column:
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(F.lower(context), F.lit(w)) for w in words])
+    c = F.lit(0.75) + F.when(F.lower(organisation).isin(KNOWN_ORGANISATIONS), 0.08).otherwise(0.0)
+    c = c + F.when(F.lower(title).isin(EXECUTIVE_TITLES), 0.05).otherwise(0.0)
+    return F.least(c + F.when(has(BUSINESS_WORDS), 0.03).otherwise(0.0) + F.when(has(NEWS_WORDS), 0.02).otherwise(0.0), F.lit(0.90))
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a.start < b.stop) & (b.start < a.stop)
+
+
+def _greedy(spans: list[dict], ranks: list[float]) -> Iterable[tuple]:
+    """Kept spans never overlap, so a span meets at most the one that starts last before its end: a binary search finds it."""
+    starts, kept = [], []
+    for _, _, _, _, s in sorted((r, s["start"], -s["stop"], s["name"], i) for i, (s, r) in enumerate(zip(spans, ranks, strict=True))):
+        s = spans[s]
+        at = bisect_left(starts, s["stop"])
+        if not at or kept[at - 1]["stop"] <= s["start"]:
+            starts.insert(at, s["start"])
+            kept.insert(at, s)
+    return (tuple(s.values()) for s in kept)
+
+
+def resolve(spans: Column, priority) -> Column:
+    """Greedy: in order of priority (least first), then start, then longest, a span stays unless it overlaps one that stays; by start."""
+    ranks = F.transform(spans, lambda s: priority(s).cast("double"))
+    return _rows(SPAN, _greedy)(spans.cast(SPAN), ranks)
+
+
+def _boost(first: str, kind: str, second: str, second_kind: str) -> tuple[str, float] | None:
+    """The compound that two neighbours make, and what it adds to their confidence: (kind, boost), or None."""
+    first, second = first.strip().lower(), second.strip().lower()
+    if kind not in ("MISCELLANEOUS", "ORGANIZATION") or second_kind != "TITLE" or second not in TITLE_WORDS:
+        return None
+    if first in NATIONALITIES:
+        return "NATIONAL_TITLE", 0.15
+    if first in DESCRIPTORS:
+        return "DESCRIPTIVE_TITLE", 0.10
+    return ("ORGANIZATIONAL_TITLE", 0.12) if kind == "ORGANIZATION" else ("COMPOUND_TITLE", 0.05)
+
+
+def _neighbours(spans: list[tuple], gap: int) -> tuple[list[tuple], set[int]]:
+    """(name, kind, start, stop, confidence) of the compounds of consecutive spans (the same fields), and which spans they use."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i][2])
+    out, used = [], set()
+    for i, j in zip(order, order[1:], strict=False):
+        (n1, k1, a, end, c1), (n2, k2, start, b, c2) = spans[i], spans[j]
+        if i in used or not 0 <= start - end <= gap:
+            continue
+        made = _boost(n1, k1, n2, k2)
+        if made:
+            out.append((f"{n1} {n2}", made[0], a, b, min(0.90, (c1 + c2) / 2 + made[1])))
+            used |= {i, j}
+    return out, used
 
 
 def adjacent(spans: Column, gap: int = 10) -> Column:
-    """Compounds of consecutive spans at most ``gap`` characters apart, each span used once, from the left."""
-    ordered = F.array_sort(spans, lambda x, y: (x.start - y.start).cast("int"))
-    n = F.size(ordered)
+    """Compounds of consecutive spans at most ``gap`` characters apart, each span used once, from the left; category is the kind."""
+    return _rows(SPAN, lambda s: _neighbours([tuple(x.values()) for x in s], gap)[0])(spans.cast(SPAN))
+
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = F.get(ordered, i), F.get(ordered, i + 1)
-        near = (b.start - a.stop >= 0) & (b.start - a.stop <= gap) & (acc.free <= i)
-        boost = merge_boost(a, b)
-        both = F.struct(F.concat_ws(" ", a["name"], b["name"]).alias("name"), F.lit("COMPOUND_TITLE").alias("category"), a.start.alias("start"), b.stop.alias("stop"), F.least(F.lit(0.90), (a.confidence + b.confidence) / 2 + boost).alias("confidence"))
-        hit = near & boost.isNotNull()
-        return F.struct(F.when(hit, F.concat(acc.done, F.array(both))).otherwise(acc.done).alias("done"), F.when(hit, i + 2).otherwise(acc.free).alias("free"))
+def _admit(kept: list[tuple], new: Iterable[tuple]) -> list[tuple]:
+    """One sweep over two lists by start: of the new spans those that overlap neither a kept one nor a new one let in before."""
+    out, at, reach = [], 0, 0
+    for s in sorted(new, key=lambda x: x[3]):
+        while at < len(kept) and kept[at][4] <= s[3]:
+            out.append(kept[at])
+            at += 1
+        if s[3] >= reach and not (at < len(kept) and kept[at][3] < s[4]):
+            out.append(s)
+            reach = s[4]
+    return out + kept[at:]
 
-    start = F.struct(F.array().cast(SPAN).alias("done"), F.lit(0).alias("free"))
-    pairs = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(pairs, start, step, lambda acc: acc.done)
+
+def combine(text: str, mentions: list[dict], gap: int = 10) -> list[tuple]:
+    """The spans of one article: titles, compounds, locations and the extractor's mentions, without overlaps.
+
+    Every span has a number: mentions first, in the extractor's order by place, then titles, then locations. Neighbours are looked for among all of them;
+    what becomes part of a compound is used up. Then spans are let in by class: compounds of neighbours, compounds of the
+    patterns, titles, locations, mentions, each class in one sweep by start.
+    """
+    ner = sorted(((m["name"], m["category"], m["start"], m["stop"], m["confidence"]) for m in mentions), key=lambda m: (m[2], -m[3], m[1], m[0]))
+    people = _people(m[0] for m in ner if m[1] == "PERSON")
+    found = [(n, "COMPOUND_TITLE", c, a, b, x) for n, c, a, b, x, *_ in _compound_spans(text, people)]
+    found = _admit(_admit([], found), [(n, "TITLE", c, a, b, x) for n, c, a, b, x in _title_spans(text)])
+    places = _admit([], [(n, c, c, a, b, x) for n, c, a, b, x in _location_spans(text)])
+    every = [(n, c, c, a, b, x) for n, c, a, b, x in ner] + found + places
+    made, used = _neighbours([(n, k, a, b, x) for n, k, _, a, b, x in every], gap)
+    pattern, title = range(len(ner), len(ner) + len(found)), range(len(ner) + len(found), len(every))
+    spans = [(*every[i], i) for i in range(len(every))]
+    kept = _admit([], [(n, k, k, a, b, x, len(every) + i) for i, (n, k, a, b, x) in enumerate(made)])
+    kept = _admit(kept, [spans[i] for i in pattern if spans[i][1] == "COMPOUND_TITLE"])
+    kept = _admit(kept, [spans[i] for i in pattern if spans[i][1] == "TITLE" and i not in used])
+    kept = _admit(kept, [spans[i] for i in title])
+    kept = _admit(kept, [spans[i] for i in range(len(ner)) if i not in used])
+    return [(i, n, k, c, a, b, x) for n, k, c, a, b, x, i in kept]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table read as fewer parts than there are cores, dealt over them: matching costs far more than moving a small table."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def extract(articles: DataFrame, text: str = "text", extractor: Callable[[DataFrame], DataFrame] | None = None, key: str = "article_id") -> DataFrame:
+    """Articles with ``spans``, by start: what ``combine`` keeps, without mentions that are none (``is_mention``).
+
+    ``extractor`` is a function from articles (``key``, text) to rows of ``key``, name, category, start, stop, confidence (see
+    ``enrich.with_mentions``); the mentions of an article meet its text by a join on ``key``. Without one only the patterns are used.
+    An article whose key is null has no mentions. A null or empty text has no spans.
+    """
+    rows = articles
+    none = F.array().cast(SPAN)
+    if extractor is None:
+        rows = rows.withColumn("_wl_ner", none)
+    else:
+        found = extractor(articles.select(key, F.col(text).alias("text"))).where("start < stop")
+        per = found.groupBy(key).agg(F.collect_list(F.struct("name", "category", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("confidence").cast("double").alias("confidence"))).alias("_wl_ner"))
+        rows = rows.join(per, key, "left").withColumn("_wl_ner", F.coalesce("_wl_ner", none))
+    rows = spread(rows)
+    spans = _rows(EXTRACTED, combine)(F.col(text), F.col("_wl_ner"))
+    return rows.withColumn("spans", F.filter(spans, lambda s: is_mention(s["name"], s.kind))).drop("_wl_ner")
 
 
 def is_mention(name: Column, kind: Column) -> Column:
@@ -268,15 +401,18 @@ def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
     """The default extractor: words and runs of words of a text that are a surface of the watch list, with offsets.
 
     Joined on the lower-cased text of one, two, or as many consecutive words as some surface has, so the list may be of any
-    size. The word counts of the list are read at once.
+    size. The word counts of the list are read at once. Runs leave the text cut out, so no row carries the text along.
     """
     word = r"[\p{L}\p{N}]+"
-    w = F.transform(matches(F.col("text"), word), lambda m: m)
-    a = articles.select("article_id", "text", w.alias("_w"))
     counts = surfaces.select(F.size(F.regexp_extract_all("surface", F.lit(word), F.lit(0))).alias("n")).where("n > 2").distinct().collect()
-    sizes = F.array(*[F.lit(n) for n in sorted({1, 2} | {r.n for r in counts})])
-    runs = F.flatten(F.transform(sizes, lambda n: F.transform("_w", lambda m, i: F.struct(m.start.alias("start"), F.get("_w", i + n - 1).stop.alias("stop")))))
-    spans = a.select("article_id", "text", F.explode(F.filter(runs, lambda s: s.stop.isNotNull())).alias("s"))
-    named = spans.select("article_id", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("name"), F.col("s.start").alias("position"))
+    sizes = sorted({1, 2} | {r.n for r in counts})
+
+    def runs(text: str) -> Iterable[tuple]:
+        at = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+        for n in sizes:
+            for (a, _), (_, b) in zip(at, at[n - 1 :], strict=False):
+                yield text[a:b], a, b
+
+    named = spread(articles.select("article_id", "text")).select("article_id", F.explode(_rows(MATCH, runs)(F.col("text"))).alias("m")).select("article_id", "m.name", F.col("m.start").alias("position"))
     s = surfaces.select(F.lower("surface").alias("_s"), "entity_id")
     return named.join(s, F.lower("name") == F.col("_s")).select("article_id", "name", "position", "entity_id")

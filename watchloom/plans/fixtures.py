@@ -6,6 +6,7 @@ The expressions are written once, in the SQL that both engines read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from watchloom.sources.tables import parquet
 
@@ -38,6 +39,14 @@ ARTICLE = {
     f"ELSE 'The senator and Professor Lee of ' || {CAP} || ' university studied a ' || p_name || ' at the main office.' END",
 }
 
+#: A longer article: the text above and a sentence with mentions next to titles, people in front of titles, and places.
+NEWS = f"""{ARTICLE["text"]} || CASE p_partkey % 5
+ WHEN 0 THEN ' The French president and the interim manager met ' || {CAP} || ' president beside the ' || {CAP} || ' Austin office.'
+ WHEN 1 THEN ' A former minister of Norway spoke; ' || {CAP} || ' director and ' || {CAP} || ' Chairman left the main office site.'
+ WHEN 2 THEN ' The president of the company met the president near the college, said the {{}} professor.'
+ WHEN 3 THEN ' American  general, Russian leader and Interim CEO of ' || {CAP} || ' Works agreed.' || chr(10) || 'The chancellor left. The university stays.'
+ ELSE ' Acting ' || {CAP} || ' Founder, the vice president of sales, a team leader and the a CEO.' END""".replace("{}", "blue")
+
 
 def _sql(columns: dict[str, str], table: str) -> str:
     return f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {table}"
@@ -64,3 +73,16 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     return parquet(spark, sf, "part").where("p_name IS NOT NULL").selectExpr(*[f"{e} AS {c}" for c, e in ARTICLE.items()])
+
+
+def news(spark: SparkSession, sf: str) -> DataFrame:
+    """(article_id, text): articles for the whole extraction."""
+    return parquet(spark, sf, "part").where("p_name IS NOT NULL").selectExpr("p_partkey AS article_id", f"{NEWS} AS text")
+
+
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    """(surface, category): what the extractor of the fixtures knows, the watch list's nouns by their type and some adjectives."""
+    kind = "CASE entity_type WHEN 'person' THEN 'PERSON' WHEN 'organization' THEN 'ORGANIZATION' WHEN 'location' THEN 'LOCATION' ELSE 'MISCELLANEOUS' END"
+    nouns = entities(spark, sf).selectExpr("split_part(name, ' ', 2) AS surface", f"{kind} AS category").groupBy("surface").agg(F.min("category").alias("category"))
+    words = spark.createDataFrame([(w, "MISCELLANEOUS") for w in ("French", "former", "American", "Russian", "Interim", "Acting", "Austin", "Norway", "a")], "surface string, category string")
+    return nouns.unionByName(words)

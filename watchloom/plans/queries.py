@@ -14,7 +14,7 @@ from watchloom.operators import metrics as M
 from watchloom.operators import search as S
 from watchloom.operators import spans as X
 from watchloom.operators import watchlist as W
-from watchloom.plans.fixtures import CTE, articles, entities, mentions
+from watchloom.plans.fixtures import CTE, articles, entities, mentions, named, news
 from watchloom.sources.tables import last_saved, missing_stages, parquet, report
 from watchloom.streaming import alerts
 
@@ -559,35 +559,70 @@ def title_spans(spark, sf):
     return a.select("article_id", F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))).alias("name"))
 
 
+def known_mentions(spark, sf):
+    """The fixtures' extractor: names that it knows, by class, each occurrence with the name's share of letters as confidence."""
+
+    def extract(a):
+        found = X.gazetteer(a, named(spark, sf).withColumnRenamed("category", "entity_id"))
+        conf = 0.5 + F.least(F.length("name"), F.lit(20)) / 50
+        return found.select("article_id", "name", F.col("entity_id").alias("category"), F.col("position").alias("start"), (F.col("position") + F.length("name")).alias("stop"), conf.alias("confidence"))
+
+    return extract
+
+
 @query("hybrid_extraction")
 def hybrid_extraction(spark, sf):
-    a = X.extract(articles(spark, sf)).select("article_id", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
-    return a.select("article_id", "s.name", "s.category", "s.start", "s.stop", F.round("s.confidence", 6).alias("confidence"))
+    """The whole chain: the extractor's mentions, patterns, compounds, neighbours, overlaps, clean-up; a brute-force form is in the tests."""
+    a = X.extract(news(spark, sf), extractor=known_mentions(spark, sf)).select("article_id", F.explode("spans").alias("s"))
+    return a.select("article_id", "s.span_id", "s.name", "s.kind", "s.category", "s.start", "s.stop", F.round("s.confidence", 6).alias("confidence"))
 
 
-@query(
-    "span_overlap_resolve",
-    """+ w AS (SELECT article_id, position, length FROM (SELECT mention_id AS article_id, mention_id % 7 AS position, 4 AS length FROM mentions) ) SELECT article_id, 1 AS kept, (position + length)::INT AS reach FROM w""",
-)
+OVERLAP_SQL = """+ w AS (SELECT mention_id AS id, unnest(range(1, 4)) AS i FROM mentions),
+s AS (SELECT id, i, (id * (2 * i + 1)) % 11 AS a, (id * (2 * i + 1)) % 11 + 1 + (id * i) % 4 AS b, (id + 3 * i) % 9 AS conf FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conf DESC) AS k FROM s),
+p AS (SELECT x.id, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2, z.a AS a3, z.b AS b3 FROM r x, r y, r z WHERE x.id = y.id AND y.id = z.id AND x.k = 1 AND y.k = 2 AND z.k = 3),
+q AS (SELECT *, NOT (a2 < b1 AND a1 < b2) AS k2 FROM p), t AS (SELECT *, NOT (a3 < b1 AND a1 < b3) AND NOT (k2 AND a3 < b2 AND a2 < b3) AS k3 FROM q)
+SELECT id AS article_id, (1 + k2::INT + k3::INT)::INT AS kept, greatest(b1, CASE WHEN k2 THEN b2 END, CASE WHEN k3 THEN b3 END)::INT AS reach FROM t"""
+
+
+@query("span_overlap_resolve", OVERLAP_SQL)
 def span_overlap_resolve(spark, sf):
-    """Three spans, the second overlapping the first and the third inside the second: the first alone stays."""
-    s = lambda a, n, conf: F.struct(F.lit("x").alias("name"), F.lit("T").alias("category"), a.cast("int").alias("start"), (a + n).cast("int").alias("stop"), F.lit(conf).alias("confidence"))
-    p = F.col("mention_id") % 7
-    spans = F.array(s(p + 1, 5, 0.8), s(p, 4, 0.9), s(p + 2, 2, 0.7)).cast(X.SPAN)
-    kept = X.resolve(spans, lambda x: -x.confidence)
-    return mentions(spark, sf).select(F.col("mention_id").alias("article_id"), F.size(kept).alias("kept"), F.element_at(kept, -1).stop.alias("reach"))
+    """Three spans for each mention, their places and confidences following its id: the surest first, others where there is room."""
+    m = F.col("mention_id")
+
+    def s(i: int):
+        start = (m * (2 * i + 1)) % 11
+        return F.struct(F.lit("x").alias("name"), F.lit("T").alias("category"), start.cast("int").alias("start"), (start + 1 + (m * i) % 4).cast("int").alias("stop"), (((m + 3 * i) % 9) / 10).alias("confidence"))
+
+    kept = X.resolve(F.array(*[s(i) for i in (1, 2, 3)]).cast(X.SPAN), lambda x: -x.confidence)
+    return mentions(spark, sf).select(m.alias("article_id"), kept.alias("k")).select("article_id", F.size("k").alias("kept"), F.element_at("k", -1).stop.alias("reach"))
+
+
+#: Of a mention: a first word and its class, a gap, a second word; all by its id, alike in both engines.
+NEIGHBOURS = {
+    "first": "CASE mention_id % 7 WHEN 0 THEN 'French' WHEN 1 THEN 'Retired' WHEN 2 THEN name WHEN 3 THEN 'interim' WHEN 4 THEN 'Blue' WHEN 5 THEN upper(entity_type) ELSE 'Acting' END",
+    "kind": "CASE mention_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' ELSE 'MISCELLANEOUS' END",
+    "gap": "CAST(mention_id % 14 - 1 AS INT)",
+    "second": "CASE mention_id % 5 WHEN 0 THEN 'President' WHEN 1 THEN 'prime minister' WHEN 2 THEN 'leader' WHEN 3 THEN 'engineer' ELSE 'CEO' END",
+}
+_list = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
 @query(
     "adjacent_compound",
-    "SELECT mention_id AS article_id, CASE mention_id % 3 WHEN 0 THEN 'French president' WHEN 1 THEN 'former minister' END AS name, 0.9e0 AS confidence FROM mentions WHERE mention_id % 3 < 2",
+    f"""+ w AS (SELECT mention_id, confidence AS c, {", ".join(f"{e} AS {c}" for c, e in NEIGHBOURS.items())} FROM mentions),
+k AS (SELECT *, CASE WHEN lower(first) IN {_list(X.NATIONALITIES)} THEN 0.15e0 WHEN lower(first) IN {_list(X.DESCRIPTORS)} THEN 0.1e0 WHEN kind = 'ORGANIZATION' THEN 0.12e0 ELSE 0.05e0 END AS boost FROM w
+  WHERE kind <> 'PERSON' AND gap BETWEEN 0 AND 10 AND lower(second) IN {_list(X.TITLE_WORDS)})
+SELECT mention_id AS article_id, first || ' ' || second AS name, CASE boost WHEN 0.15e0 THEN 'NATIONAL_TITLE' WHEN 0.1e0 THEN 'DESCRIPTIVE_TITLE' WHEN 0.12e0 THEN 'ORGANIZATIONAL_TITLE' ELSE 'COMPOUND_TITLE' END AS kind,
+round(least(0.9e0, (c + 0.7e0) / 2 + boost), 6) AS confidence FROM k""",
 )
 def adjacent_compound(spark, sf):
-    word = F.when(F.col("mention_id") % 3 == 0, "French").when(F.col("mention_id") % 3 == 1, "former").otherwise("blue")
-    title = F.when(F.col("mention_id") % 3 == 0, "president").when(F.col("mention_id") % 3 == 1, "minister").otherwise("engineer")
-    s = lambda n, k, a, b, c: F.struct(n.alias("name"), F.lit(k).alias("category"), F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(c).alias("confidence"))
-    spans = F.array(s(word, "MISCELLANEOUS", 0, 6, 0.8), s(title, "TITLE", 7, 16, 0.7)).cast(X.SPAN)
-    return mentions(spark, sf).select(F.col("mention_id").alias("article_id"), F.explode(X.adjacent(spans)).alias("s")).select("article_id", "s.name", F.round("s.confidence", 6).alias("confidence"))
+    w = mentions(spark, sf).selectExpr("mention_id", "confidence AS c", *[f"{e} AS {c}" for c, e in NEIGHBOURS.items()])
+    end = F.length("first")
+    s = lambda n, k, a, b, c: F.struct(F.col(n).alias("name"), k.alias("category"), a.cast("int").alias("start"), b.cast("int").alias("stop"), c.cast("double").alias("confidence"))
+    pair = F.array(s("first", F.col("kind"), F.lit(0), end, F.col("c")), s("second", F.lit("TITLE"), end + F.col("gap"), end + F.col("gap") + F.length("second"), F.lit(0.7)))
+    found = w.select(F.col("mention_id").alias("article_id"), F.explode(X.adjacent(pair.cast(X.SPAN))).alias("s"))
+    return found.select("article_id", "s.name", F.col("s.category").alias("kind"), F.round("s.confidence", 6).alias("confidence"))
 
 
 # --- judging --------------------------------------------------------------------------------------------------------
