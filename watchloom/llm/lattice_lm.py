@@ -40,7 +40,7 @@ from watchloom.llm.lattice import Lattice, Trie, pieces
 from watchloom.llm.store import Store, table
 
 COMPONENTS, ROUNDS, SHARED, FLOOR = 8, 3, 0.1, 0.01
-CHUNK = 1 << 20  # bytes of words whose lattices are worked on together
+CHUNK = 1 << 19  # bytes of words whose lattices are worked on together
 LN10 = np.log(10.0)
 _loaded: dict[str, tuple[Trie, np.ndarray]] = {}
 
@@ -185,6 +185,7 @@ def score_documents(docs: DataFrame, path: str, learn: Column, components: int =
             yield from pa.table({"word": rows.column("word"), "blocks": rows.column("blocks"), "c": counts.sum(1).astype(np.int64), **{f"s{g}": scores[:, g].astype(np.float32) for g in range(groups)}}).to_batches()
 
     valued = store.put(known.select("word", "blocks", *[f"uses_{g}" for g in range(groups)]).mapInArrow(values, f"word binary, blocks long, c long, {made}"), "values")
+    store.drop("dictionary")
 
     def sums(times, v):
         out = {"n": times, "known": times * (v["c"] > 0), "base": times * np.log10(v["c"] + 1.0)}

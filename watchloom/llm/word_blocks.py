@@ -29,17 +29,16 @@ SIZE = 1 << 24
 SCHEMA = "block long, words array<binary>, uses array<long>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
 
 
-def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray]:
+def features(packed: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray]:
     """The runs of 1 to ``order`` consecutive words that start before word ``until``, and the word each starts with.
 
-    last: for each word, the word behind the last one of its document; no run reaches over it.
+    packed: the bytes of the words, one after the other; last: for each word, the word behind the last one of its document; no run
+    reaches over it.
     """
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, s, 1)
-    np.add.at(inside, e, -1)
-    packed = data[np.cumsum(inside[:-1]) > 0]
     offs = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(packed))])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offs), pa.py_buffer(packed)])
+    if order == 1:
+        return words, np.arange(until)
     found, at = [words.slice(0, until)], [np.arange(until)]
     for n in range(2, order + 1):
         here = np.arange(until)[np.arange(until) + n <= last[:until]]
@@ -48,8 +47,8 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: n
     return pa.concat_arrays(found), np.concatenate(at)
 
 
-def _block(number: int, data: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, group: np.ndarray, groups: int) -> dict:
-    found, at = features(data, s, e, order, last, until)
+def _block(number: int, packed: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, group: np.ndarray, groups: int) -> dict:
+    found, at = features(packed, s, e, order, last, until)
     coded = found.dictionary_encode()
     index, n, width = coded.indices.to_numpy(), len(row), max(1, len(coded.dictionary))
     cells, times = np.unique(own[at] * width + index, return_counts=True)
@@ -96,12 +95,12 @@ def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, g
                 s, e = word_runs(data, offs, inside)
                 first = np.searchsorted(s, offs)
                 own = np.repeat(np.arange(hi - lo), np.diff(first))
-                last = np.repeat(first[1:], np.diff(first))
+                last = np.repeat(first[1:], np.diff(first)) if order > 1 else own
                 step = max(1, size // 4) if hi - lo == 1 else max(1, len(s))  # a long text: so many words a block
                 for w in range(0, max(1, len(s)), step):
                     until, reach = min(len(s), w + step), min(len(s), w + step + order - 1)
                     a, b = (int(s[w]), int(e[reach - 1])) if reach > w else (0, 0)
-                    yield _arrow(_block(number, data[a:b], s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo).to_pylist(), of[lo:hi], groups))
+                    yield _arrow(_block(number, data[a:b][inside[data[a:b]]], s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo).to_pylist(), of[lo:hi], groups))
                     number += 1
             seen += batch.num_rows
 
