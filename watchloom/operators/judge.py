@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.functions.text import pair_key
 from watchloom.operators.spans import TITLE_WORDS
 
 # The match types of the contract.
@@ -131,6 +130,17 @@ def token_cost(calls: DataFrame, inputs: str, outputs: str) -> DataFrame:
     return calls.agg(F.sum(inputs).alias("input_tokens"), F.sum(outputs).alias("output_tokens"), F.bround(cost, 4).alias("cost"))
 
 
+FAILED = {"confidence": 0.0, "is_match": False, "match_type": "unlikely"}
+
+
+def keeps_contract(result: object) -> bool:
+    """``valid`` for a result of a judge in Python: a known type, a confidence within [0, 1], ten characters of reasoning."""
+    if not isinstance(result, dict) or result.get("match_type") not in MATCH_TYPES:
+        return False
+    c, why = result.get("confidence"), result.get("reasoning")
+    return isinstance(c, (int, float)) and not isinstance(c, bool) and 0 <= c <= 1 and isinstance(why, str) and len(why.strip()) >= 10
+
+
 def batched(call: Callable[[list[dict]], list[dict]], batch: int = 8) -> Callable[[DataFrame], DataFrame]:
     """A judge from a function that judges a list of pairs, called on batches inside the executors; a call that fails gives
     its pairs the fallback result."""
@@ -145,7 +155,8 @@ def batched(call: Callable[[list[dict]], list[dict]], batch: int = 8) -> Callabl
                         if len(got) != len(part):
                             raise ValueError("a judge returned another number of results")
                     except Exception as e:  # noqa: BLE001  a judge is foreign code
-                        got = [{"confidence": 0.0, "is_match": False, "match_type": "unlikely", "reasoning": f"judge unavailable: {e}"}] * len(part)
+                        got = [FAILED | {"reasoning": f"judge unavailable: {e}"}] * len(part)
+                    got = [g if keeps_contract(g) else FAILED | {"reasoning": "the judge's result breaks the contract"} for g in got]
                     yield pd.DataFrame([{"pair_id": p["pair_id"], "confidence": float(g["confidence"]), "is_match": g.get("is_match"), "match_type": g["match_type"], "reasoning": g["reasoning"]} for p, g in zip(part, got, strict=True)])
 
         return pairs.mapInPandas(run, "pair_id string, confidence double, is_match boolean, match_type string, reasoning string")
@@ -160,6 +171,7 @@ def rule_judge(pairs: DataFrame) -> DataFrame:
 
 
 def with_judge(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Judges each distinct (query, candidate, context) once and joins the result back."""
-    keyed = pairs.withColumn("pair_id", pair_key("query", "candidate", "context"))
+    """Judges each distinct (query, candidate, context), case and whole context included, once and joins the result back."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("query", "candidate", "context")]
+    keyed = pairs.withColumn("pair_id", F.md5(F.concat_ws("\x1f", *parts)))
     return keyed.join(judge(keyed.dropDuplicates(["pair_id"])), "pair_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.operators.ranks import ranked
+
 
 def _rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """Precision, recall and F1; 0 where undefined."""
@@ -81,8 +83,14 @@ def verification(mentions: DataFrame) -> DataFrame:
 
 
 def running_mean(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running_mean", F.avg(value).over(w))
+    """The mean of the values of ``by`` so far, by ranges and prefix sums; nulls count as nothing."""
+    summed = ranked(rows.withColumn("_one", F.col(value).isNotNull().cast("long")), [by], [F.col(order).asc()], "_rank", {"_sum": value, "_n": "_one"})
+    return summed.withColumn("running_mean", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_one", "_rank", "_sum", "_n")
+
+
+def batch_numbers(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
+    """``batch``: the number, from 0, of each row's batch of ``size`` among the rows of ``by``."""
+    return ranked(rows, [by], [F.col(order).asc()], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def top_values(rows: DataFrame, value: str, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import contextual_text, slug, strip_parentheses
+from watchloom.operators.ranks import ranked
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -19,11 +20,12 @@ def add(rows: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame
 
 
 def with_ids(rows: DataFrame, order: str, first: int = 1, until_parenthesis: bool = False) -> DataFrame:
-    """entity_id: the name's slug and a number among equal slugs, from ``first``."""
+    """entity_id: the name's slug and a number among equal slugs, from ``first``. Numbers come from ranges and prefix sums, so a slug that
+    many rows share is no task of its own."""
     base = slug(F.trim(F.substring_index("name", "(", 1)) if until_parenthesis else F.col("name"))
-    rows = rows.withColumn("_slug", base)
-    n = F.row_number().over(Window.partitionBy("_slug").orderBy(order)) - 1 + first
-    return rows.withColumn("entity_id", F.concat("_slug", F.lit("_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))).drop("_slug")
+    numbered = ranked(rows.withColumn("_slug", base), ["_slug"], [F.col(order).asc()], "_n").withColumn("_n", F.col("_n") - 1 + first)
+    n = F.col("_n").cast("string")
+    return numbered.withColumn("entity_id", F.concat("_slug", F.lit("_"), F.when(F.col("_n") < 1000, F.lpad(n, 3, "0")).otherwise(n))).drop("_slug", "_n")
 
 
 def index_rows(entities: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ ENTITY = {
 }
 MENTION = {
     "mention_id": "p_partkey",
-    "article_id": "'article_' || (p_partkey % 50)",
+    "article_id": "'article_' || CAST(floor(p_partkey / 50) AS BIGINT)",
     "name": f"CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN {NOUN} || ', ' || {ADJ} WHEN 3 THEN left({ADJ}, 1) || '. ' || {NOUN} "
     f"WHEN 4 THEN replace(p_name, 'e', '') WHEN 5 THEN {NOUN} WHEN 6 THEN p_name || ' inc' ELSE replace(p_name, ' ', '-') END",
     "entity": "translate(lower(p_name), ' -', '__') || '_001'",

@@ -822,8 +822,7 @@ def cache_hit_rate(spark, sf):
 
 @query("batch_numbers", "SELECT mention_id, CAST((row_number() OVER (PARTITION BY article_id ORDER BY mention_id) - 1) // 8 AS BIGINT) AS batch FROM mentions")
 def batch_numbers(spark, sf):
-    n = F.row_number().over(Window.partitionBy("article_id").orderBy("mention_id"))
-    return mentions(spark, sf).select("mention_id", F.floor((n - 1) / 8).alias("batch"))
+    return M.batch_numbers(mentions(spark, sf), "article_id", "mention_id", 8).select("mention_id", "batch")
 
 
 @query("confidence_factors", "+ f AS (SELECT mention_id, unnest(['name', 'type']) AS factor, unnest([confidence, confidence / 2]) AS value FROM mentions) SELECT factor, count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY factor")
