@@ -11,7 +11,7 @@ from watchloom.operators import report as R
 from watchloom.operators import search as S
 from watchloom.operators import spans as X
 from watchloom.plans.fixtures import articles, entities, mentions
-from watchloom.plans.queries import BM25, CASCADE, GRAMS, _bm25, _vectors, query, tok
+from watchloom.plans.queries import BM25, CASCADE, GRAMS, _index, _items, _vectors, query, tok
 from watchloom.sources.tables import parquet, sample_articles, sample_entities
 
 # --- enrichment -----------------------------------------------------------------------------------------------------
@@ -242,7 +242,7 @@ SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
 )
 def cosine_fallback(spark, sf):
     v = _vectors(spark, sf)
-    return S.cosine_fallback(v.where("id % 100 = 0"), v, _bm25(spark, sf), 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return S.cosine_fallback(v.where("id % 100 = 0"), v, _index(spark, sf, "documents").scores(_items(spark, sf), {"text": 1.0}), 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)

@@ -14,6 +14,7 @@ from watchloom.operators import metrics as M
 from watchloom.operators import search as S
 from watchloom.operators import spans as X
 from watchloom.operators import watchlist as W
+from watchloom.operators.index import TextIndex
 from watchloom.plans.fixtures import CTE, articles, entities, mentions, named, news
 from watchloom.sources.tables import last_saved, missing_stages, parquet, report
 from watchloom.streaming import alerts
@@ -338,13 +339,29 @@ bm AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 """.format(tok_text=tok("text"))
 
 
-def _bm25(spark, sf):
-    return S.bm25(parquet(spark, sf, "benchmark"), parquet(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
+_indices: dict = {}
+
+
+def _index(spark, sf, kind: str) -> TextIndex:
+    """The written index of the documents, or of the watch list's fields; made once for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _indices:
+        if kind == "documents":
+            _indices[key] = TextIndex.build(parquet(spark, sf, "documents"), "doc_id", {"text": F.col("text")})
+        else:
+            e = entities(spark, sf)
+            fields = {"name": F.col("name"), "name_lower": F.lower("name"), "description": F.col("description"), "aliases": F.array_join("aliases", " ")}
+            _indices[key] = TextIndex.build(e, "entity_id", fields)
+    return _indices[key]
+
+
+def _items(spark, sf) -> DataFrame:
+    return parquet(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query, doc, round(score, 6) AS score, rank FROM bm WHERE rank <= 8", cte=False)
 def bm25_topk(spark, sf):
-    return S.top(_bm25(spark, sf), 8).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return _index(spark, sf, "documents").top(_items(spark, sf), 8, {"text": 1.0}).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_cte(name: str, field: str, weight: float) -> str:
@@ -361,14 +378,28 @@ FIELDS = f"q1 AS (SELECT DISTINCT name AS query, unnest(list_distinct({tok('name
 
 @query("bm25_field_boost", f"+ {FIELDS} SELECT query, doc, round(sum(score), 6) AS score FROM (SELECT * FROM s_name UNION ALL SELECT * FROM s_text) GROUP BY query, doc")
 def bm25_field_boost(spark, sf):
-    q = mentions(spark, sf).select(F.col("name").alias("query"), F.col("name").alias("t")).distinct()
-    return S.bm25_fields(q, entities(spark, sf), "query", "t", "entity_id", {"name": 3.0, "description": 1.5}).select("query", "doc", F.round("score", 6).alias("score"))
+    q = mentions(spark, sf).select(F.col("name").alias("query"), F.col("name").alias("text")).distinct()
+    return _index(spark, sf, "entities").scores(q, {"name": 3.0, "description": 1.5}).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query("bm25_best_field", f"+ {FIELDS} SELECT query, doc, round(max(score), 6) AS score FROM (SELECT * FROM s_name UNION ALL SELECT * FROM s_text) GROUP BY query, doc")
 def bm25_best_field(spark, sf):
-    q = mentions(spark, sf).select(F.col("name").alias("query"), F.col("name").alias("t")).distinct()
-    return S.bm25_fields(q, entities(spark, sf), "query", "t", "entity_id", {"name": 3.0, "description": 1.5}, best=True).select("query", "doc", F.round("score", 6).alias("score"))
+    q = mentions(spark, sf).select(F.col("name").alias("query"), F.col("name").alias("text")).distinct()
+    return _index(spark, sf, "entities").scores(q, {"name": 3.0, "description": 1.5}, best=True).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+FOUR = f"q1 AS (SELECT DISTINCT name AS query, unnest(list_distinct({tok('name')})) AS term FROM mentions), {', '.join(bm25_cte(n, f, 1.0) for n, f in (('name', 'name'), ('lower', 'lower(name)'), ('text', 'description'), ('alias', "array_to_string(aliases, ' ')")))}"
+
+
+@query(
+    "search_entities",
+    f"""+ {FOUR}, m AS (SELECT query, doc, max(score) AS score FROM (SELECT * FROM s_name UNION ALL SELECT * FROM s_lower UNION ALL SELECT * FROM s_text UNION ALL SELECT * FROM s_alias) GROUP BY query, doc)
+SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10""",
+)
+def search_entities(spark, sf):
+    """Entities by their best field of four: name, lower-cased name, context, other names."""
+    q = mentions(spark, sf).select(F.col("name").alias("query"), F.col("name").alias("text")).distinct()
+    return _index(spark, sf, "entities").top(q, 10, {"name": 1.0, "name_lower": 1.0, "description": 1.0, "aliases": 1.0}, best=True).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 GRAMS = "list_transform(range(1, greatest(length({0}) + 2 - 2, 1) + 1), lambda i: substr(' ' || lower({0}) || ' ', i, 3))"
@@ -437,7 +468,7 @@ SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY que
 )
 def rrf_hybrid_top2(spark, sf):
     v = _vectors(spark, sf)
-    fused = S.fuse([S.top(_bm25(spark, sf), 50), S.nearest(v.where("id % 100 = 0"), v, 50)], 2)
+    fused = S.fuse([_index(spark, sf, "documents").top(_items(spark, sf), 50, {"text": 1.0}), S.nearest(v.where("id % 100 = 0"), v, 50)], 2)
     return fused.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
