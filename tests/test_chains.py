@@ -1,11 +1,15 @@
 """Ranks by prefix sums and the judge chain on small fixtures."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from watchloom.operators import groups as G
 from watchloom.operators import judge as J
 from watchloom.operators import judge_chain as H
+from watchloom.operators import metrics as M
 from watchloom.operators.ranks import ranked
 
 SCHEMA = "query string, candidate string, context string, score double"
@@ -77,3 +81,47 @@ def test_no_judges_no_pairs_and_answers_that_are_none(spark):
 @pytest.mark.parametrize("result, ok", [(good(), True), (good(0), True), (good(1.2), False), (good("0.5"), False), (good(True), False), (good(float("nan")), False), (good(reasoning="short"), False), ({}, False), (None, False)])
 def test_contract(result, ok):
     assert J.keeps_contract(result) is ok
+
+
+def plain_groups(names, above):
+    """Each name against the first names of all groups, in order, by the whole distance table."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    leaders, out = [], []
+    for n in names:
+        hit = [i for i, l in enumerate(leaders) if l == n or (max(len(l), len(n)) and 1 - edits(l, n) / max(len(l), len(n)) > above)]
+        out.append(hit[0] if hit else len(leaders))
+        leaders += [] if hit else [n]
+    return out
+
+
+@given(st.lists(st.text("ab", max_size=12), max_size=25), st.sampled_from([0.5, 0.7, 0.8, 0.95]))
+@settings(max_examples=200, deadline=None)
+def test_leaders_are_the_first_alike(names, above):
+    held = G.Leaders(above)
+    assert [held.group(n) for n in names] == plain_groups(names, above)
+
+
+def test_groups_differ_from_equal_names_and_lists_stay_apart(spark):
+    long = "the very long name of some limited company"
+    rows = [("a", long, "text", 1.0, 0), ("a", f"{long}s", "vector", 2.0, 1), ("a", long.upper(), "text", 2.0, 2), ("a", "other", "text", 0.5, 3), ("b", f"{long}s", "text", 1.0, 0), (None, None, "text", 0.1, 0)]
+    results = spark.createDataFrame(rows, "request string, name string, method string, score double, place int")
+    queries = spark.createDataFrame([("a", "other"), ("a", long), ("b", "x")], "request string, query string")
+    got = {(r.request, r.name): (r.duplicate_count, r.methods, r["rank"]) for r in G.dedup_and_rank(results, queries, "request").collect()}
+    assert got == {("a", f"{long}s"): (3, ["text", "vector"], 1), ("a", "other"): (1, ["text"], 2), ("b", f"{long}s"): (1, ["text"], 1), (None, None): (1, ["text"], 1)}
+    assert G.dedup_and_rank(results.limit(0), queries, "request").count() == 0
+
+
+def test_a_prediction_counts_for_each_label_of_its_article(spark):
+    gold = spark.createDataFrame([(1, "n", "e", "x"), (1, "m", "f", "y"), (2, "n", "e", "x"), (3, "k", "g", "z")], "article_id int, name string, entity string, label string")
+    predicted = spark.createDataFrame([(1, "n", "e"), (1, "n", "wrong"), (1, "n", "wrong"), (2, "n", "e"), (9, "n", "e"), (1, None, "e")], "article_id int, name string, entity string")
+    got = {r.label: (r.articles, r.gold, r.pred_in_articles, r.tp, r.fp, r.fn) for r in M.prf1_by_challenge(gold, predicted).collect()}
+    assert got == {"x": (2, 2, 3, 2, 1, 0), "y": (1, 1, 2, 0, 2, 1), "z": (1, 1, 0, 0, 0, 1)}

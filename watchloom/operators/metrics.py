@@ -43,6 +43,40 @@ def prf1_by_label(gold: DataFrame, predicted: DataFrame, label: str, least: int
     return counts.where(F.col("gold") >= least).select(label, "gold", "tp", "fp", "fn", *_rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def prf1_by_challenge(gold: DataFrame, predicted: DataFrame, article: str = "article_id", keys: tuple[str, ...] = ("name", "entity"), label: str = "label") -> DataFrame:
+    """By challenge label, false positives by article: a prediction in an article that has gold of the label, but is none of it, counts.
+
+    A prediction in an article of two labels counts once for each. gold: article, keys, label; predicted: article, keys; repeated rows
+    count once. Predictions are counted by article before they meet the labels of the article, so an article with many
+    predictions is one row there.
+    """
+    key = [article, *keys]
+    g, p = gold.select(label, *key).dropna().distinct(), predicted.select(*key).dropna().distinct()
+    bridge = g.select(label, article).distinct()
+    inside = bridge.join(p.groupBy(article).agg(F.count(F.lit(1)).alias("_n")), article, "left").groupBy(label).agg(F.count(F.lit(1)).alias("articles"), F.coalesce(F.sum("_n"), F.lit(0)).alias("pred_in_articles"))
+    hits = g.join(p.withColumn("_hit", F.lit(1)), key, "left").groupBy(label).agg(F.count(F.lit(1)).alias("gold"), F.count("_hit").alias("tp"))
+    both = hits.join(inside, label).withColumns({"fp": F.col("pred_in_articles") - F.col("tp"), "fn": F.col("gold") - F.col("tp")})
+    return both.select(label, "articles", "gold", "pred_in_articles", "tp", "fp", "fn", *_rates(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def extremes(by_label: DataFrame, label: str = "label", least: int = 8, most: int = 10) -> DataFrame:
+    """(side, place, label, gold, f1): the labels with the least and with the highest F1 among those with enough gold; ties to more gold."""
+    some = by_label.where(F.col("gold") >= least).select(label, "gold", "f1")
+    parts = []
+    for side, order in (("hardest", F.col("f1").asc()), ("best", F.col("f1").desc())):
+        few = some.orderBy(order, F.col("gold").desc(), label).limit(most)  # a report of a few labels
+        parts.append(few.withColumn("place", F.row_number().over(Window.orderBy(order, F.col("gold").desc(), label))).select(F.lit(side).alias("side"), "place", label, "gold", "f1"))
+    return parts[0].unionByName(parts[1])
+
+
+def decision_metrics(gold: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Sets of decisions with the judge's acceptance: judgments, positives, acceptance_rate, tp, fp, fn, precision, recall, f1."""
+    accepted = judged.where("is_match").select(keys)
+    n = judged.agg(F.count(F.lit(1)).alias("judgments"), F.count_if("is_match").alias("positives"))
+    rate = F.when(F.col("judgments") > 0, F.round(F.col("positives") / F.col("judgments"), 6)).otherwise(0.0).alias("acceptance_rate")
+    return n.select("judgments", "positives", rate).crossJoin(prf1_pairs(gold, accepted, keys))  # a row each
+
+
 def confusion(gold: DataFrame, predicted: DataFrame, key: str = "mention_id") -> DataFrame:
     """Mentions that got another entity than theirs, or none."""
     both = gold.select(key, F.col("entity").alias("expected")).join(predicted.select(key, F.col("entity").alias("got")), key, "left")

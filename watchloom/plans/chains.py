@@ -1,4 +1,4 @@
-"""Registered queries of the judge chain: candidates, distinct pairs, judges with planned failures, results joined back, accounts."""
+"""Registered queries of the judge chain (planned failures, results joined back, accounts), of grouped results and of challenges."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.operators import candidates as C
+from watchloom.operators import groups as G
 from watchloom.operators import judge_chain as H
-from watchloom.plans.fixtures import entities, mentions
-from watchloom.plans.queries import CASCADE, query
+from watchloom.operators import metrics as M
+from watchloom.plans.fixtures import CTE, entities, mentions
+from watchloom.plans.queries import CASCADE, PRF, query
 
 
 def _number(pair: dict) -> int:
@@ -87,3 +89,72 @@ UNION ALL SELECT 'second', batch, true, 1, own_down, sent, CASE WHEN own_down TH
 def judge_accounts(spark, sf):
     _, attempts = H.run(_pairs(spark, sf), _judges())
     return H.accounts(attempts)
+
+
+# --- results of several queries -------------------------------------------------------------------------------------
+
+#: The results of one request, an article's: long names that differ in a few letters, found by two methods.
+FOUND = {
+    "name": "CASE mention_id % 3 WHEN 0 THEN upper(entity) ELSE entity END || ' of the limited company number ' || (mention_id % 17)",
+    "method": "CASE mention_id % 2 WHEN 0 THEN 'text' ELSE 'vector' END",
+    "score": "confidence + (mention_id % 7) / 10e0",
+    "place": "mention_id",
+}
+
+
+@query(
+    "grouped_results",
+    f"""WITH RECURSIVE {CTE.strip()}, r AS (SELECT article_id, {", ".join(f"{e} AS {c}" for c, e in FOUND.items())}, lower({FOUND["name"]}) AS k, row_number() OVER (PARTITION BY article_id ORDER BY mention_id) AS i FROM mentions),
+f AS (SELECT article_id, i, k, [k] AS leaders, 1 AS grp FROM r WHERE i = 1
+  UNION ALL SELECT r.article_id, r.i, r.k, CASE WHEN hit IS NULL THEN list_append(leaders, r.k) ELSE leaders END, coalesce(hit, len(leaders) + 1) FROM
+  (SELECT f.article_id, f.i + 1 AS i, f.leaders, r.k, list_position(list_transform(f.leaders, lambda l: 1 - levenshtein(l, r.k) / greatest(length(l), length(r.k))::DOUBLE > 0.95), true) AS hit FROM f JOIN r ON r.article_id = f.article_id AND r.i = f.i + 1) r),
+g AS (SELECT r.*, grp FROM r JOIN f ON f.article_id = r.article_id AND f.i = r.i),
+b AS (SELECT article_id, grp, list(place ORDER BY score DESC, place)[1] AS place, count(*) AS duplicate_count, array_to_string(list_sort(list(DISTINCT method)), ',') AS methods FROM g GROUP BY ALL),
+v AS (SELECT b.article_id, r.name, r.method, r.score, b.place, duplicate_count, methods, (SELECT avg(greatest(0e0, 1 - levenshtein(lower(m.name), lower(r.name)) / greatest(length(m.name), length(r.name))::DOUBLE)) FROM mentions m WHERE m.article_id = b.article_id) AS relevance FROM b JOIN r USING (article_id, place))
+SELECT article_id, name, method, round(score, 6) AS score, duplicate_count, methods, round(relevance, 6) AS relevance, round(0.7e0 * score + 0.3e0 * relevance, 6) AS final,
+row_number() OVER (PARTITION BY article_id ORDER BY round(0.7e0 * score + 0.3e0 * relevance, 9) DESC, place)::INT AS rank FROM v""",
+    cte=False,
+)
+def grouped_results(spark, sf):
+    m = mentions(spark, sf)
+    results = m.selectExpr("article_id", *[f"{e} AS {c}" for c, e in FOUND.items()])
+    out = G.dedup_and_rank(results, m.select("article_id", F.col("name").alias("query")), "article_id")
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return out.select("article_id", "name", "method", r6("score"), "duplicate_count", F.array_join("methods", ",").alias("methods"), r6("relevance"), r6("final"), "rank")
+
+
+# --- challenges ----------------------------------------------------------------------------------------------------
+
+#: A judge's decisions: mostly the right entity, some another one of the article, accepted from a bound on.
+DECISIONS = "CASE WHEN mention_id % 6 = 0 THEN 'cold_bolt_001' ELSE entity END AS entity, confidence > 0.2 AS is_match"
+CHALLENGE = f"""g AS (SELECT DISTINCT label, article_id, name, entity FROM mentions), j AS (SELECT article_id, name, {DECISIONS} FROM mentions),
+p AS (SELECT DISTINCT article_id, name, entity FROM j WHERE is_match),
+i AS (SELECT label, count(DISTINCT b.article_id) AS articles, count(p.article_id) AS pred_in_articles FROM (SELECT DISTINCT label, article_id FROM g) b LEFT JOIN p USING (article_id) GROUP BY label),
+h AS (SELECT label, count(*) AS gold, count(p.name) AS tp FROM g LEFT JOIN p USING (article_id, name, entity) GROUP BY label),
+c AS (SELECT label, articles, gold, pred_in_articles, tp, pred_in_articles - tp AS fp, gold - tp AS fn FROM h JOIN i USING (label)),
+x AS (SELECT label, articles, gold, pred_in_articles, tp, fp, fn, {PRF} FROM c)"""
+
+
+def _challenges(spark, sf) -> DataFrame:
+    m = mentions(spark, sf)
+    return M.prf1_by_challenge(m, m.select("article_id", "name", F.expr(DECISIONS.split(" AS entity")[0]).alias("entity"), "confidence").where("confidence > 0.2"))
+
+
+@query("prf1_by_challenge", f"+ {CHALLENGE} SELECT * FROM x")
+def prf1_by_challenge(spark, sf):
+    return _challenges(spark, sf)
+
+
+@query("challenge_extremes", f"+ {CHALLENGE} SELECT * FROM (SELECT 'hardest' AS side, row_number() OVER (ORDER BY f1, gold DESC, label)::INT AS place, label, gold, f1 FROM x WHERE gold >= 8 UNION ALL SELECT 'best', row_number() OVER (ORDER BY f1 DESC, gold DESC, label)::INT, label, gold, f1 FROM x WHERE gold >= 8) WHERE place <= 10")
+def challenge_extremes(spark, sf):
+    return M.extremes(_challenges(spark, sf))
+
+
+@query(
+    "decision_metrics",
+    f"+ {CHALLENGE}, k AS (SELECT (SELECT count(*) FROM p JOIN (SELECT DISTINCT article_id, name, entity FROM g) USING (article_id, name, entity)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(DISTINCT (article_id, name, entity)) FROM g) AS ng), c2 AS (SELECT tp, np - tp AS fp, ng - tp AS fn FROM k) SELECT (SELECT count(*) FROM j) AS judgments, (SELECT count(*) FILTER (is_match) FROM j) AS positives, (SELECT round(avg(is_match::INT), 6) FROM j) AS acceptance_rate, tp, fp, fn, {PRF} FROM c2",
+)
+def decision_metrics(spark, sf):
+    m = mentions(spark, sf)
+    judged = m.select("article_id", "name", F.expr(DECISIONS.split(" AS entity")[0]).alias("entity"), (F.col("confidence") > 0.2).alias("is_match"))
+    return M.decision_metrics(m, judged, ["article_id", "name", "entity"])
