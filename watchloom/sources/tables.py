@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from datetime import datetime
+from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.sources.log import Log
+
 ENTITY = "name string, entity_type string, description string, aliases array<string>, explicit_context string, context string, priority string, metadata map<string,string>"
 ARTICLE = "id string, title string, content string, source string, language string, url string, published_date string, expected_matches array<struct<extracted_entity:string,mention:string,text:string,surface_form:string,watch_list_entity:string,entity_name:string,match_type:string>>, test_category string, challenge_type string, challenge_category string, category string, complexity string, metadata map<string,string>"
 
@@ -65,46 +69,79 @@ def golden_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Stages:
-    """Stage outputs as Parquet under one folder, with a manifest row for each save; the clock is given by the caller.
+    """Stage outputs as Parquet under one folder; the clock is given by the caller.
 
-    A save is written beside the stage and then takes its place; what was there before stays as ``<stage>.bak``.
+    A save writes a folder of its own, an attempt, and becomes current by an entry in a log: nothing is moved, so a crash leaves
+    the stage as it was, and of two saves at once both are whole and the later entry counts. The attempt before stays as the backup. An
+    entry also names the attempts of the stages that the saved one was made from.
     """
 
     VERSION = "1"
 
     def __init__(self, spark: SparkSession, folder: str, clock=datetime.now):
-        self.spark, self.folder, self.clock = spark, folder, clock
-
-    def save(self, stage: str, rows: DataFrame, success: bool = True) -> DataFrame:
-        path = f"{self.folder}/{stage}"
-        rows.write.mode("overwrite").parquet(f"{path}.new")
-        if _exists(self.spark, path):
-            drop_table(self.spark, f"{path}.bak")
-            _move(self.spark, path, f"{path}.bak")
-        _move(self.spark, f"{path}.new", path)
-        out = self.load(stage)
-        line = [(stage, self.clock().isoformat(), self.VERSION, success, out.count())]
-        self.spark.createDataFrame(line, "stage string, saved_at string, version string, success boolean, n_rows long").write.mode("append").parquet(f"{self.folder}/_manifest_rows")
+        self.spark, self.folder, self.clock, self.log = spark, folder.rstrip("/"), clock, Log(spark, folder)
+
+    def _stages(self) -> dict[str, dict]:
+        return self.log.head()[1].get("stages", {})
+
+    def save(self, stage: str, rows: DataFrame, success: bool = True, needs: list[str] | None = None) -> DataFrame:
+        made_from = {n: self.info(n)["attempt"] for n in needs or []}
+        attempt = f"{stage}/attempt-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{attempt}")
+        out = self.spark.read.parquet(f"{self.folder}/{attempt}")
+        line = {"stage": stage, "attempt": attempt, "saved_at": self.clock().isoformat(), "version": self.VERSION, "success": success, "n_rows": out.count(), "needs": made_from}
+
+        def change(state: dict) -> dict:
+            before = state.get("stages", {}).get(stage)
+            return state | {"stages": state.get("stages", {}) | {stage: line | {"backup": before and before["attempt"]}}}
+
+        self.log.commit(change)
         return out
 
-    def load(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{stage}")
+    def info(self, stage: str) -> dict:
+        """The entry of a stage's current save; an error where there is none."""
+        found = self._stages().get(stage)
+        if found is None:
+            raise KeyError(f"stage {stage} was never saved")
+        return found
+
+    def list(self) -> list[str]:
+        return sorted(self._stages())
+
+    def load(self, stage: str, backup: bool = False) -> DataFrame:
+        attempt = self.info(stage)["backup" if backup else "attempt"]
+        if attempt is None:
+            raise KeyError(f"stage {stage} has no backup")
+        return self.spark.read.parquet(f"{self.folder}/{attempt}")
 
     def manifest(self) -> DataFrame:
-        """The last save of each stage, newest first."""
-        rows = self.spark.read.parquet(f"{self.folder}/_manifest_rows")
-        return last_saved(rows)
+        """The last save of each stage, newest first, and whether a stage it was made from was saved again since."""
+        now = self._stages()
+        rows = [(s, x["saved_at"], x["version"], x["success"], x["n_rows"], any(now[n]["attempt"] != a for n, a in x["needs"].items() if n in now)) for s, x in now.items()]
+        return self.spark.createDataFrame(rows, "stage string, saved_at string, version string, success boolean, n_rows long, stale boolean").orderBy(F.col("saved_at").desc(), "stage")
+
+    def order(self) -> list[str]:
+        """All saved stages, each behind those it was made from."""
+        needs = {s: set(x["needs"]) for s, x in self._stages().items()}
+        return [s for s in TopologicalSorter(needs).static_order() if s in needs]
 
     def valid(self, stage: str, version: str | None = None) -> bool:
-        """Whether the stage is there and its last save is of the version wanted, by default of this one."""
-        if not (_exists(self.spark, f"{self.folder}/{stage}") and _exists(self.spark, f"{self.folder}/_manifest_rows")):
-            return False
-        return not self.manifest().where((F.col("stage") == stage) & (F.col("version") == (version or self.VERSION))).isEmpty()
+        """Whether the stage's last save is of the version wanted, by default of this one."""
+        found = self._stages().get(stage)
+        return found is not None and found["version"] == (version or self.VERSION)
 
     def missing(self, needed: list[str]) -> DataFrame:
         want = self.spark.createDataFrame([(s,) for s in needed], "stage string")
         return missing_stages(want, self.manifest())
 
+    def clean(self) -> list[str]:
+        """Deletes attempts that earlier entries named and the last does not, and those entries; returns the attempts."""
+        now = {a for x in self._stages().values() for a in (x["attempt"], x["backup"]) if a}
+        earlier = {a for v in self.log.versions() for x in (self.log.entry(v) or {}).get("stages", {}).values() for a in (x["attempt"], x["backup"]) if a}
+        gone = sorted(a for a in earlier - now if drop_table(self.spark, f"{self.folder}/{a}"))
+        self.log.forget(1)
+        return gone
+
 
 def last_saved(rows: DataFrame) -> DataFrame:
     s = rows.groupBy("stage").agg(F.max_by(F.struct(*rows.columns), "saved_at").alias("_s"))
@@ -180,17 +217,6 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
-    return bool(fs.exists(p))
-
-
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    fs, p = _hadoop(spark, source)
-    if not fs.rename(p, _hadoop(spark, target)[1]):
-        raise OSError(f"cannot move {source} to {target}")
-
-
 def drop_table(spark: SparkSession, path: str) -> bool:
     """Deletes a written table if it is there; says whether it was. What is written is visible at once, so there is no refresh."""
     fs, p = _hadoop(spark, path)
