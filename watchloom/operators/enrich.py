@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.functions.scan import SCHEMES, back, romaji, transduce
 from watchloom.functions.text import col, language_order
 from watchloom.operators.search import trigrams
 from watchloom.operators.watchlist import disambiguation_confidence
@@ -83,37 +84,21 @@ def corrected(text, words: dict[str, str], parts: dict[str, str]) -> Column:
     return F.when(fixed != t, F.initcap(fixed)).otherwise(t)
 
 
-def _letters(rows: str) -> dict[str, str]:
-    return dict(x.split("=") for x in rows.split())
-
-
-#: Letters and their Latin forms, by script; other schemes are passed in.
-SCHEMES = {
-    "cyrillic": _letters("а=a б=b в=v г=g д=d е=e ё=yo ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=kh ц=ts ч=ch ш=sh щ=shch ъ= ы=y ь= э=e ю=yu я=ya"),
-    "greek": _letters("α=a β=v γ=g δ=d ε=e ζ=z η=i θ=th ι=i κ=k λ=l μ=m ν=n ξ=x ο=o π=p ρ=r σ=s ς=s τ=t υ=y φ=f χ=ch ψ=ps ω=o"),
-}
-
-
 def to_latin(text, scheme: dict[str, str]) -> Column:
-    """Letter by letter in lower case; letters that the scheme lacks stay."""
-    table = F.create_map(*[F.lit(x) for kv in scheme.items() for x in kv])
-    return F.array_join(F.transform(F.split(F.lower(col(text)), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    """In lower case, the longest key first; letters that the scheme lacks stay."""
+    return transduce(text, scheme)
 
 
 def from_latin(text, scheme: dict[str, str]) -> Column:
-    """The way back: longest Latin forms first; a form that several letters share goes to the first of them."""
-    back: dict[str, str] = {}
-    for letter, latin in scheme.items():
-        if latin:
-            back.setdefault(latin, letter)
-    return reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(back[k])), sorted(back, key=lambda k: (-len(k), k)), F.lower(col(text)))
+    """The way back, longest Latin forms first; a form that several letters share goes to the first of them."""
+    return transduce(text, back(scheme))
 
 
 def transliterations(text, schemes: dict[str, dict[str, str]] | None = None) -> Column:
-    """The distinct forms of a text under all schemes, to and from Latin, without the text itself."""
+    """The distinct forms of a text under all schemes, to and from Latin, and as romaji, without the text itself."""
     schemes = SCHEMES if schemes is None else schemes
     forms = [f(text, s) for s in schemes.values() for f in (to_latin, from_latin)]
-    return F.array_sort(F.array_distinct(F.filter(F.array(*forms), lambda x: x != F.lower(col(text)))))
+    return F.array_sort(F.array_distinct(F.filter(F.array(*forms, romaji(text)), lambda x: x != F.lower(col(text)))))
 
 
 def hashed_vector(text, dims: int = 64) -> Column:

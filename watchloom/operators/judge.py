@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.scan import json_values
 from watchloom.operators.spans import TITLE_WORDS
 
 # The match types of the contract.
@@ -77,17 +78,22 @@ def fallback(reason: str) -> Column:
 
 
 def json_array(answer: Column) -> Column:
-    """The JSON array in a model's answer: without code fences, from the first [ to the last ]."""
-    bare = F.regexp_replace(answer, r"```(?:json)?", "")
-    return F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    """The results in a model's answer as one JSON array: of its outermost JSON values the first array of objects, or else all objects
+    in order (an object that holds an array under ``results`` stands for it). Code fences and prose around them do not count."""
+    found = json_values(answer)
+    whole = F.filter(found, lambda v: v.rlike(r"^\[\s*(\{|\])"))
+    objects = F.filter(found, lambda v: v.startswith("{"))
+    held = F.get_json_object(F.get(objects, F.lit(0)), "$.results")
+    return F.coalesce(F.get(whole, F.lit(0)), F.when(held.startswith("["), held), F.when(F.size(objects) > 0, F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))))
 
 
 def parse_answers(answers: DataFrame, batch: str = "batch_id", answer: str = "answer", size: str = "n_pairs") -> DataFrame:
     """One row for each pair of a batch (position from 0): the parsed result, or the error row if it is missing or breaks
     the contract. An answer with another number of results than pairs is an error as a whole."""
-    parsed = F.from_json(json_array(F.col(answer)), f"array<struct<{RESULT.replace(' ', ':').replace(',:', ', ')}>>")
-    fits = F.coalesce(F.size(parsed) == F.col(size), F.lit(False))
-    rows = answers.select(batch, F.when(fits, parsed).alias("_p"), F.posexplode(F.sequence(F.lit(1), F.col(size))).alias("position", "_i"))
+    parsed = F.from_json(F.col("_json"), f"array<struct<{RESULT.replace(' ', ':').replace(',:', ', ')}>>")
+    answers = answers.withColumn("_json", json_array(F.col(answer))).withColumn("_parsed", parsed)
+    fits = F.coalesce(F.size("_parsed") == F.col(size), F.lit(False))
+    rows = answers.select(batch, F.when(fits, F.col("_parsed")).alias("_p"), F.posexplode(F.sequence(F.lit(1), F.col(size))).alias("position", "_i"))
     r = F.get("_p", F.col("position"))
     ok = F.col("_p").isNotNull() & valid(r)
     rows = rows.select(batch, "position", ok.alias("ok"), r.alias("r"), F.col("_p").isNotNull().alias("read"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.plans import chains, more, stores  # noqa: F401  register their queries
+from watchloom.plans import chains, more, stores, texts  # noqa: F401  register their queries
 from watchloom.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
