@@ -18,6 +18,7 @@ the smoothed share 1 / buckets; an empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,7 @@ def weigh(docs: DataFrame, target: DataFrame, order: int = 1, buckets: int = BUC
     single = (F.instr(F.decode("word", "UTF-8"), " ") == 0).cast("long").alias("single")  # a word, not a run of several
     valued = known.join(F.broadcast(gains), "bucket").select("word", "blocks", "gain", single)
 
-    def sums(times, v):
-        return {"n_words": times * v["single"], "n_features": times, "weight": times * v["gain"]}
-
+    sums = {"n_words": lambda times, v: times * v("single"), "n_features": lambda times, v: times.astype(np.int64), "weight": lambda times, v: times * v("gain")}
     out = B.per_document(store, "documents", blocks, valued, ["gain", "single"], sums, "n_words long, n_features long, weight long")
     return out.select("row", "doc_id", "n_words", "n_features", "weight", (F.col("weight") + gumbel(F.col("doc_id"), seed)).alias("score"))
 

@@ -40,7 +40,7 @@ from watchloom.llm.lattice import Lattice, Trie, pieces
 from watchloom.llm.store import Store, table
 
 COMPONENTS, ROUNDS, SHARED, FLOOR = 8, 3, 0.1, 0.01
-CHUNK = 1 << 19  # bytes of words whose lattices are worked on together
+CHUNK = 1 << 18  # bytes of words whose lattices are worked on together
 LN10 = np.log(10.0)
 _loaded: dict[str, tuple[Trie, np.ndarray]] = {}
 
@@ -187,10 +187,8 @@ def score_documents(docs: DataFrame, path: str, learn: Column, components: int =
     valued = store.put(known.select("word", "blocks", *[f"uses_{g}" for g in range(groups)]).mapInArrow(values, f"word binary, blocks long, c long, {made}"), "values")
     store.drop("dictionary")
 
-    def sums(times, v):
-        out = {"n": times, "known": times * (v["c"] > 0), "base": times * np.log10(v["c"] + 1.0)}
-        return out | {f"s{g}": times * v[f"s{g}"].astype(np.float64) for g in range(groups)}
-
+    sums = {"n": lambda times, v: times.astype(np.int64), "known": lambda times, v: times * (v("c") > 0).astype(np.int64), "base": lambda times, v: times * np.log10(v("c") + 1.0)}
+    sums |= {f"s{g}": lambda times, v, g=g: times * v(f"s{g}").astype(np.float64) for g in range(groups)}
     out = B.per_document(store, "documents", blocks, valued, ["c", *[f"s{g}" for g in range(groups)]], sums, "n long, known long, base double, " + ", ".join(f"s{g} double" for g in range(groups)))
     n_docs, n_words = int(sizes.sum()), int(model.words.sum())
     distinct = valued.where("c > 0").count() + (n_docs > 0)

@@ -29,16 +29,17 @@ SIZE = 1 << 24
 SCHEMA = "block long, words array<binary>, uses array<long>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
 
 
-def features(packed: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray]:
+def features(packed: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray | slice]:
     """The runs of 1 to ``order`` consecutive words that start before word ``until``, and the word each starts with.
 
     packed: the bytes of the words, one after the other; last: for each word, the word behind the last one of its document; no run
     reaches over it.
     """
-    offs = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)
+    offs = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(e - s, out=offs[1:])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offs), pa.py_buffer(packed)])
     if order == 1:
-        return words, np.arange(until)
+        return words, slice(0, until)
     found, at = [words.slice(0, until)], [np.arange(until)]
     for n in range(2, order + 1):
         here = np.arange(until)[np.arange(until) + n <= last[:until]]
@@ -47,12 +48,21 @@ def features(packed: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last:
     return pa.concat_arrays(found), np.concatenate(at)
 
 
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x, in order, and how often each occurs; x itself is sorted, so that no copy of it is made."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new).astype(np.int32)
+    return x[at], np.diff(at, append=np.int32(len(x)))
+
+
 def _block(number: int, packed: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, group: np.ndarray, groups: int) -> dict:
     found, at = features(packed, s, e, order, last, until)
     coded = found.dictionary_encode()
-    index, n, width = coded.indices.to_numpy(), len(row), max(1, len(coded.dictionary))
-    cells, times = np.unique(own[at] * width + index, return_counts=True)
-    word, first = cells % width, np.searchsorted(cells, np.arange(n + 1) * width)
+    n, width = len(row), max(1, len(coded.dictionary))
+    cells, times = _counted(own[at].astype(np.int64) * width + coded.indices.to_numpy())
+    word, first = (cells % width).astype(np.int32), np.searchsorted(cells, np.arange(n + 1) * width)
     owner = np.repeat(group, np.diff(first))
     return {
         "block": number,
@@ -92,9 +102,9 @@ def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, g
             ids, of = batch.column(0), batch.column(2).to_numpy()
             for lo, hi, data, offs in blocks(batch, max_bytes=size):
                 data = LOWER[data]
-                s, e = word_runs(data, offs, inside)
+                s, e = (x.astype(np.int32) for x in word_runs(data, offs, inside))
                 first = np.searchsorted(s, offs)
-                own = np.repeat(np.arange(hi - lo), np.diff(first))
+                own = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
                 last = np.repeat(first[1:], np.diff(first)) if order > 1 else own
                 step = max(1, size // 4) if hi - lo == 1 else max(1, len(s))  # a long text: so many words a block
                 for w in range(0, max(1, len(s)), step):
@@ -122,11 +132,12 @@ def dictionary(entry_rows: DataFrame) -> DataFrame:
     return entry_rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in counters(entry_rows)], F.count(F.lit(1)).alias("blocks"))
 
 
-def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, columns: list[str], sums: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]], made: str) -> DataFrame:
+def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, columns: list[str], sums: dict[str, Callable[[np.ndarray, Callable[[str], np.ndarray]], np.ndarray]], made: str) -> DataFrame:
     """(row, doc_id and ``made``): for each document the sums that ``sums`` makes from the values of its features.
 
-    ``values`` has each feature once: word, blocks and ``columns``. ``sums`` gets the times a cell's feature stands in its document and the
-    feature's values, and returns for each name of ``made`` what each cell adds. Repeated rows stay apart by their row number.
+    ``values`` has each feature once: word, blocks and ``columns``. For each name of ``made`` a function of ``sums`` gets the times a cell's
+    feature stands in its document and, by column, the features' values, and returns what each cell adds; one after the other, so a
+    task holds the cells of one sum. Repeated rows stay apart by their row number.
     """
     names = [x.split()[0] for x in made.split(",")]
     found = spread_join(entries(table).select("block", "at", "word"), values.select("word", *columns), ["word"], values.select("word", "blocks"), "blocks")
@@ -137,14 +148,14 @@ def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, c
         get = lambda c: right.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         row, first, word, times = (get(c) for c in ("row", "first", "word", "times"))
         at = left.column("at").to_numpy()
-        value = {}
-        for c in columns:
+
+        def value(c: str) -> np.ndarray:
             x = left.column(c).to_numpy()
-            value[c] = np.zeros(int(at.max(initial=-1)) + 1, x.dtype)
-            value[c][at] = x
-            value[c] = value[c][word]
-        added = sums(times.astype(np.int64), value)
-        total = {n: _segments(added[n], first) for n in names}
+            placed = np.zeros(int(at.max(initial=-1)) + 1, x.dtype)
+            placed[at] = x
+            return placed[word]
+
+        total = {n: _segments(sums[n](times, value), first) for n in names}
         return pa.table({"row": row, "doc_id": right.column("doc_id").combine_chunks().flatten(), **total})
 
     summed = found.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(join, f"row long, doc_id long, {made}")
