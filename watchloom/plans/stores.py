@@ -13,6 +13,7 @@ from watchloom.plans.queries import CASCADE, query
 from watchloom.sources.layers import LayeredTable
 from watchloom.sources.scratch import Store
 from watchloom.sources.tables import Stages, parquet
+from watchloom.streaming import articles as A
 
 #: A stream of changes: four for each entity over three batches, some of them deletions, some that are errors.
 CHANGE = {
@@ -72,3 +73,28 @@ def stage_store(spark, sf):
     stages.save("entities", stages.load("entities"))
     place = F.create_map(*[F.lit(x) for i, s in enumerate(sorted(stages.order(), key=["entities", "mentions", "matches", "articles"].index)) for x in (s, i)])
     return stages.manifest().select("stage", "n_rows", place[F.col("stage")].alias("place"), "stale")
+
+
+#: Versions of articles as they come: three of each, some twice, some without a text.
+VERSIONS = {
+    "article_id": "CASE WHEN p_partkey % 41 > 0 THEN CAST(floor(p_partkey / 3) AS BIGINT) END",
+    "version": "(p_partkey * 7) % 3",
+    "text": "CASE WHEN p_partkey % 17 > 0 THEN 'The ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' senator met a mayor' WHEN 1 THEN ' general left' WHEN 2 THEN ' senator, senator' ELSE ' arrived' END || CASE WHEN p_partkey % 5 > 0 THEN '; Acme CEO' ELSE '.' END END",
+}
+
+
+@query(
+    "stream_enriched_articles",
+    f"""WITH v AS (SELECT {", ".join(f"{e} AS {c}" for c, e in VERSIONS.items())} FROM part), b AS (SELECT article_id, max(version) AS version, arg_max(text, version) AS text FROM v WHERE article_id IS NOT NULL AND text IS NOT NULL GROUP BY article_id)
+SELECT article_id, version, len(regexp_extract_all(text, 'senator|mayor|general|Acme CEO'))::INT AS n_spans, array_to_string(list_sort(list_distinct(regexp_extract_all(text, 'senator|mayor|general'))), ',') AS titles, nullif(regexp_extract(text, 'Acme CEO'), '') AS compound FROM b""",
+    cte=False,
+)
+def stream_enriched_articles(spark, sf):
+    """The table that a stream over the parts leaves, which is what one batch over them gives."""
+    store = Store(spark, "stream")
+    source = spark.readStream.schema(parquet(spark, sf, "part").schema).parquet(f"{sf}/[p]art.parquet")  # a pattern: a stream takes no path of a single file
+    rows = source.where("p_name IS NOT NULL").selectExpr(*[f"{e} AS {c}" for c, e in VERSIONS.items()], "timestamp_seconds(p_partkey) AS ts")
+    table = A.table(spark, store.path("table"))
+    A.run(rows, table, store.path("dead"), store.path("checkpoint")).awaitTermination()
+    out = table.read()
+    return out.select("article_id", "version", "n_spans", F.coalesce(F.array_join(F.col("by_class")["TITLE"], ","), F.lit("")).alias("titles"), F.get(F.col("by_class")["COMPOUND_TITLE"], F.lit(0)).alias("compound"))
