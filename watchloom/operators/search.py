@@ -152,20 +152,28 @@ def text_score(q, name, full: bool = True) -> F.Column:
     return on(q == name, 5.0) + on(phrase_in(tokens(q), tokens(name)), 4.0) + on(close, 3.0) + on(F.contains(nl, ql), 2.0) + variants * 1.5
 
 
-def _part(t, n, i: int, move: int) -> F.Column:
+#: (length shift, part, move) of the probes: two edits change the length by at most two and move what they leave by at most two.
+SHIFTS = [(d, i, m) for d in range(-2, 3) for i in range(3) for m in range(-2, 3)]
+
+
+def _part(t, n, i, move) -> F.Column:
     """The i-th of three parts of a text of n characters, taken ``move`` characters on; named by n and i."""
-    return F.concat_ws(" ", n.cast("string"), F.lit(str(i)), F.substring(t, F.floor(n * i / 3).cast("int") + 1 + move, (F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)).cast("int")))
+    start, stop = F.floor(n * i / 3).cast("int"), F.floor(n * (i + 1) / 3).cast("int")
+    return F.concat_ws(" ", n.cast("string"), i.cast("string"), F.substring(t, start + 1 + move, stop - start))
 
 
 def edit_keys(t) -> F.Column:
     """Keys of a text; one of them is among ``edit_probes`` of any text within two edits."""
-    return F.array(*[_part(t, F.length(t), i, 0) for i in range(3)])
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _part(t, F.length(t), i, F.lit(0)))
 
 
 def edit_probes(t) -> F.Column:
-    """Two edits leave one of three parts untouched, moved by at most two, and change the length by at most two."""
+    """Two edits leave one of three parts untouched, moved by at most two, and change the length by at most two. The shifts are an array of
+    constants, so the plan holds one expression and not one for each."""
+    shifts = F.expr(f"array({', '.join(f'struct({d} AS d, {i} AS i, {m} AS m)' for d, i, m in SHIFTS)})")
     n = F.length(t)
-    return F.array_compact(F.array(*[F.when((n + d >= 0) & (F.floor((n + d) * i / 3) + m >= 0), _part(t, n + d, i, m)) for d in range(-2, 3) for i in range(3) for m in range(-2, 3)]))
+    fits = F.filter(shifts, lambda x: (n + x.d >= 0) & (F.floor((n + x.d) * x.i / 3) + x.m >= 0))
+    return F.transform(fits, lambda x: _part(t, n + x.d, x.i, x.m))
 
 
 def text_pairs(queries: DataFrame, names: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -215,14 +223,14 @@ def confidence(score, semantic) -> F.Column:
     return F.least(F.when(semantic, score / 10.0).otherwise(score / 5.0), F.lit(1.0))
 
 
-def modes(parts: dict[str, DataFrame], most: int = 10) -> DataFrame:
-    """Results of several retrieval modes: one row for each name, with its best score, modes and number of hits."""
-    every = None
-    for mode, df in parts.items():
-        df = df.select("query", "doc", "name", "score", F.lit(mode).alias("_m"))
-        every = df if every is None else every.unionByName(df)
+def modes(pairs: DataFrame, scores: dict[str, F.Column], most: int = 10) -> DataFrame:
+    """Results of several retrieval modes: one row for each name, with its best score, modes and number of hits.
+
+    pairs: query, doc, name, worked out once; ``scores`` has each mode's score, above 0 for a hit."""
+    hits = F.filter(F.array(*[F.struct(F.lit(m).alias("mode"), s.cast("double").alias("score")) for m, s in scores.items()]), lambda x: x.score > 0)
+    every = pairs.select("query", "doc", "name", F.explode(hits).alias("h")).select("query", "doc", "name", "h.mode", "h.score")
     g = every.groupBy("query", F.lower(F.trim("name")).alias("_k")).agg(
-        F.max("score").alias("best"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("_m")).alias("modes"), F.count(F.lit(1)).alias("duplicate_count")
+        F.max("score").alias("best"), F.min("doc").alias("doc"), F.array_sort(F.collect_set("mode")).alias("modes"), F.count(F.lit(1)).alias("duplicate_count")
     )
     return top(g.withColumn("relevance", edit_similarity(F.lower("query"), "_k")).withColumn("score", combined(F.col("best"), F.col("relevance"), 0.7)), most)
 
@@ -273,7 +281,3 @@ def group_similar(vectors: DataFrame, above: float, seed: int = 11) -> DataFrame
     near = asked.groupBy(cols[:4]).cogroup(held.groupBy([f"h_{c}" for c in cols[:4]])).applyInPandas(lesser, "rep long, leader long").groupBy("rep").agg(F.min("leader").alias("leader"))
     led = same.join(near, "rep", "left").select("vector", F.coalesce("leader", "rep").alias("leader"))
     return rows.join(led, "vector").select(F.col("id").alias("doc"), "leader")
-
-
-def inner_product(a, b) -> F.Column:
-    return dot(a, b)

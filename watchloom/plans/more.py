@@ -218,7 +218,7 @@ def sample_matches(spark, sf):
 
 
 @query(
-    "enriched_context_search",
+    "enriched_context_columns",
     f"""+ q AS (SELECT query, g, count(*) AS x FROM (SELECT query, unnest({GRAMS.format('query')}) AS g FROM (SELECT DISTINCT p_type AS query FROM part WHERE p_type IS NOT NULL)) GROUP BY ALL),
 d AS (SELECT doc, g, count(*) AS y FROM (SELECT entity_id AS doc, unnest({GRAMS.format('description')}) AS g FROM wl) GROUP BY ALL),
 nq AS (SELECT query, sqrt(sum(x * x)) AS nx FROM q GROUP BY query), nd AS (SELECT doc, sqrt(sum(y * y)) AS ny FROM d GROUP BY doc),
@@ -226,7 +226,7 @@ s AS (SELECT query, doc, sum(x * y) / any_value(nx * ny) AS score FROM q JOIN d
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s)
 SELECT query, rank, wl.name, wl.description AS context, 1e0 AS confidence, 'Original Description' AS source, round(score, 6) AS score FROM r JOIN wl ON wl.entity_id = r.doc WHERE rank <= 10""",
 )
-def enriched_context_search(spark, sf):
+def enriched_context_columns(spark, sf):
     q = parquet(spark, sf, "part").where("p_type IS NOT NULL").select(F.col("p_type").alias("query")).distinct()
     found = S.enriched_search(q, E.keep_description(entities(spark, sf)), 10)
     return found.select("query", "rank", "name", "context", "confidence", "source", F.round("score", 6).alias("score"))

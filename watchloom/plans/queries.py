@@ -26,6 +26,8 @@ TOK = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda
 
 def query(name: str, sql: str | None = None, cte: bool = True):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql:
             SQL[name] = (f"WITH {CTE.strip()}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}" if cte else sql).strip()
@@ -530,10 +532,8 @@ s AS (SELECT *, 0.7e0 * best + 0.3e0 * greatest(0e0, 1 - levenshtein(lower(query
 SELECT query, doc, array_to_string(modes, ',') AS modes, duplicate_count, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 5""",
 )
 def search_mode_union(spark, sf):
-    p = _pairs(spark, sf, True)
     q, n = F.col("query"), F.col("name")
-    parts = {"text": p.withColumn("score", S.text_score(q, n, full=False)).where("score > 0"), "fuzzy": p.withColumn("score", S.fuzzy_score(q, n)).where("score > 0")}
-    return S.modes(parts, 5).select("query", "doc", F.array_join("modes", ",").alias("modes"), "duplicate_count", F.round("score", 6).alias("score"), "rank")
+    return S.modes(_pairs(spark, sf, True), {"text": S.text_score(q, n, full=False), "fuzzy": S.fuzzy_score(q, n)}, 5).select("query", "doc", F.array_join("modes", ",").alias("modes"), "duplicate_count", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_confidence", f"+ {PAIRS} SELECT query, doc, least({TEXT9} / CASE WHEN length(name) % 2 = 0 THEN 10e0 ELSE 5e0 END, 1e0) AS confidence FROM pr WHERE {TEXT9} >= 2")
