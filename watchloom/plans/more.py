@@ -208,10 +208,11 @@ def health_check(spark, sf):
 
 @query("sample_matches")
 def sample_matches(spark, sf):
-    """The built-in articles against the built-in watch list, by name and alias; the expected pairs are in the tests."""
+    """All documents and the built-in articles against the built-in watch list, by name and alias; the expected pairs are in the tests."""
     e = sample_entities(spark).withColumn("entity_id", T.slug("name"))
     surfaces = e.select("entity_id", F.explode(F.array_append("aliases", F.col("name"))).alias("surface"))
-    return X.gazetteer(sample_articles(spark), surfaces).select("article_id", "entity_id", "name", "position")
+    documents = parquet(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "text")
+    return X.gazetteer(sample_articles(spark).select("article_id", "text").unionByName(documents), surfaces).select("article_id", "entity_id", "name", "position")
 
 
 # --- retrieval over enriched entities, the analyser -----------------------------------------------------------------

@@ -206,7 +206,15 @@ def honorific_strip(spark, sf):
     return parquet(spark, sf, "nation").selectExpr("n_nationkey AS nation", f"{NAME} AS name").select("nation", T.without_honorifics("name").alias("bare"))
 
 
-@query("ambiguous_name", f"SELECT n_nationkey AS nation, (n_nationkey % 3 = 1 OR (n_nationkey % 3 = 2 AND NOT contains(n_name, ' ') AND length(n_name) <= 10)) AND NOT (n_nationkey % 3 = 1 AND contains(n_name, ' ')) AS ambiguous FROM (SELECT *, {NAME} AS name FROM nation)", cte=False)
+SURNAMES = ", ".join(f"'{x}'" for x in T.COMMON_SURNAMES)
+
+
+@query(
+    "ambiguous_name",
+    f"""WITH n AS (SELECT n_nationkey AS nation, {NAME} AS name FROM nation), w AS (SELECT *, list_filter(string_split_regex(trim(name), '\\s+'), lambda t: t <> '') AS w FROM n)
+SELECT nation, (len(w) = 2 AND lower(w[2]) IN ({SURNAMES})) OR (len(w) = 1 AND length(name) <= 10 AND len(list_filter(string_split(name, ''), lambda c: unicode(c) > 127)) = 0) AS ambiguous FROM w""",
+    cte=False,
+)
 def ambiguous_name(spark, sf):
     return parquet(spark, sf, "nation").selectExpr("n_nationkey AS nation", f"{NAME} AS name").select("nation", T.is_ambiguous_name("name").alias("ambiguous"))
 
@@ -214,7 +222,12 @@ def ambiguous_name(spark, sf):
 SCRIPT = "CASE c_custkey % 5 WHEN 0 THEN 'Москва ' || c_name WHEN 1 THEN '東京 ' || c_name WHEN 2 THEN 'とうきょう' WHEN 3 THEN 'Zürich' ELSE c_name END"
 
 
-@query("script_predicates", f"SELECT c_custkey, c_custkey % 5 IN (0, 1, 2) AS non_latin, c_custkey % 5 IN (1, 2) AS japanese FROM (SELECT c_custkey, {SCRIPT} AS name FROM customer)", cte=False)
+@query(
+    "script_predicates",
+    f"""WITH c AS (SELECT c_custkey, list_transform(string_split({SCRIPT}, ''), lambda x: unicode(x)) AS u FROM customer)
+SELECT c_custkey, len(list_filter(u, lambda x: x > 591)) > 0 AS non_latin, len(list_filter(u, lambda x: x BETWEEN 12352 AND 12543 OR x BETWEEN 19968 AND 40879 OR x BETWEEN 13312 AND 19903)) > 0 AS japanese FROM c""",
+    cte=False,
+)
 def script_predicates(spark, sf):
     c = parquet(spark, sf, "customer").selectExpr("c_custkey", f"{SCRIPT} AS name")
     return c.select("c_custkey", T.is_non_latin("name").alias("non_latin"), T.has_japanese("name").alias("japanese"))
@@ -452,13 +465,14 @@ def cosine_topk(spark, sf):
 
 @query(
     "knn_filtered",
-    "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), cs AS (SELECT a.id AS query, b.id AS doc, greatest(0e0, list_cosine_similarity(a.v, b.v)) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0 AND b.label >= 5) SELECT query, doc, round(0.7e0 * score + 0.3e0 * score, 6) AS combined, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM cs QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10",
+    "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), cs AS (SELECT a.id AS query, b.id AS doc, greatest(0e0, list_cosine_similarity(a.v, b.v)) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0 AND b.label >= 5) SELECT query, doc, round(0.7e0 * (1 + score) / 2 + 0.3e0 * score, 6) AS combined, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM cs QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10",
     cte=False,
 )
 def knn_filtered(spark, sf):
     v = _vectors(spark, sf)
     n = S.nearest(v.where("id % 100 = 0"), v, 10, F.col("label") >= 5)
-    return n.select("query", "doc", F.round(S.combined(F.col("score"), F.col("score"), 0.7), 6).alias("combined"), "rank")
+    # the search's own score of a cosine is (1 + cosine) / 2; the similarity beside it is the cosine
+    return n.select("query", "doc", F.round(S.combined((1 + F.col("score")) / 2, F.col("score"), 0.7), 6).alias("combined"), "rank")
 
 
 @query(
@@ -704,10 +718,17 @@ def judge_agreement(spark, sf):
     return J.agreement(a, b, "mention_id").select("n", *[F.round(c, 6).alias(c) for c in ("match_rate", "type_rate", "mean_difference")])
 
 
-@query("match_type_simple", "SELECT CASE label WHEN 'exact' THEN 'exact' WHEN 'initial' THEN 'role_based' WHEN 'partial' THEN 'semantic' ELSE 'other' END AS simple, count(*) AS n FROM mentions GROUP BY 1")
+#: Types as judges may write them, by the mention's own columns.
+WRITTEN = "CASE mention_id % 6 WHEN 0 THEN upper(label) WHEN 1 THEN label || '_title' WHEN 2 THEN 'Semantic ' || entity_type WHEN 3 THEN 'Role: ' || label WHEN 4 THEN label ELSE 'non_' || label END"
+
+
+@query(
+    "match_type_simple",
+    f"""+ k AS (SELECT lower({WRITTEN}) AS k FROM mentions)
+SELECT CASE WHEN k = 'exact' THEN 'exact' WHEN contains(k, 'role') OR contains(k, 'title') THEN 'role_based' WHEN contains(k, 'semantic') THEN 'semantic' ELSE 'other' END AS simple, count(*) AS n FROM k GROUP BY 1""",
+)
 def match_type_simple(spark, sf):
-    kind = F.when(F.col("label") == "exact", "exact").when(F.col("label") == "initial", "title_role").when(F.col("label") == "partial", "semantic").when(F.col("label") == "upper", "non_exact").otherwise("cultural")
-    return mentions(spark, sf).groupBy(J.simple_type(kind).alias("simple")).agg(F.count(F.lit(1)).alias("n"))
+    return mentions(spark, sf).groupBy(J.simple_type(F.expr(WRITTEN)).alias("simple")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("match_defaults", "SELECT mention_id, coalesce(CASE mention_id % 3 WHEN 0 THEN true WHEN 1 THEN false END, confidence > 0.5) AS is_match, mention_id % 3 = 1 AND confidence = 0 AS unavailable FROM mentions")
