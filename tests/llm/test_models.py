@@ -198,3 +198,13 @@ def test_ann_takes_the_commonest_length_of_the_queries(spark):
     x = np.random.RandomState(2).standard_normal((60, 4))
     df = vectors(spark, x).unionByName(vectors(spark, x[:2, :2], [900, 901]))
     assert {r.query_id for r in ann.search(df, df.where("vec_id IN (0, 20, 900)"), 3).collect()} == {0, 20}
+
+
+def test_few_vectors_are_hashed_too():
+    r = np.random.RandomState(0)
+    for n in (200, 500, 2000):
+        x = r.standard_normal((n, 16))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        h = ann.Hashing.fit([(0, n, 1.0, 1.0, 1.0)], np.arange(n), x, 6, 2048, 0.36)
+        keys = np.concatenate([k for _, _, k in h.buckets(np.zeros(n, int), x)])
+        assert keys.shape == (n, 6) and all(len(np.unique(keys[:, t])) > 1 for t in range(6))

@@ -3,8 +3,9 @@
 Vectors are dealt to ranges of norms: a range holds norms down to its largest divided by ``RANGE``. In a range, largest inner
 product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2), with M the range's largest norm (the query's is
 0); so one long vector changes only its own range. A table hashes a vector by ``depth`` Gaussian (2-stable) projections,
-each cut into cells of a random offset. ``depth`` follows the range's vectors so that a bucket holds about ``bucket`` of
-them; ranges of few vectors are one bucket each, which every query visits.
+each cut into cells of a random offset. ``depth`` follows the range's n vectors so that a bucket holds about ``PER_ROOT`` times the root of n
+of them, and never more than about ``bucket``: few vectors are hashed too. Only ranges of under about 160 vectors (as one long vector
+makes) are one bucket each, which every query visits.
 
 A score that ``k`` others of a bounded sample reach bounds each query's k-th best from below, so no neighbour has less. A
 range whose norms cannot reach it is left out. In the others the query visits a table's buckets in falling order of the
@@ -18,7 +19,7 @@ Every vector is indexed; the sample of at most ``2 * SAMPLE`` vectors gives boun
 blocks of at most about ``BLOCK`` vectors, by their counts, so a vector that a third of all rows share makes many blocks and
 no large group; a block puts out one row for each query that visits it, with its best candidates.
 
-Defined cases: vectors that are null, empty, of a length other than the first query's, zero, or hold null or non-finite
+Defined cases: vectors that are null, empty, of a length other than the queries' commonest, zero, or hold null or non-finite
 components take no part; null vec_ids neither; repeated rows are candidates of their own unless all their columns are
 equal; ties go to the smaller vec_id; an empty table gives no rows.
 """
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm.store import Store, table
 
-SAMPLE, BLOCK = 20_000, 4096
+SAMPLE, BLOCK, PER_ROOT = 20_000, 4096, 9.0
 #: Norms are counted in bins of this ratio; a range spans bins of up to RANGE.
 BIN, RANGE = 1.02, 1.25
 LEVELS = (1.0, 0.97, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.05, -0.1, -0.25, -0.4, -0.55, -0.7, -0.85)
@@ -135,7 +136,7 @@ class Hashing:
             else:
                 groups.append([b])
         count = lambda g: sum(b[1] for b in g)
-        depth = lambda g: max(0, int(round(np.log2(count(g) / bucket))))
+        depth = lambda g: max(0, int(round(np.log2(count(g) / min(bucket, PER_ROOT * np.sqrt(count(g)))))))
         merged: list[list] = []
         for g in groups:
             if merged and not depth(g) and not depth(merged[-1]) and count(g) + count(merged[-1]) <= min(bucket, BLOCK):
@@ -205,7 +206,7 @@ def _matrix(col) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, bucket: int = 2048, mass: float = 0.36, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 6, bucket: int = 2048, mass: float = 0.36, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each query, its own vec_id left out."""
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "ann")
     rows = usable(vectors, vec_id, embedding)
