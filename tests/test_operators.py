@@ -248,7 +248,7 @@ def test_default_encoder_counts_hashed_trigrams(spark):
 def test_sample_list_finds_its_names(spark):
     from watchloom.registry import QUERIES
 
-    got = {(r.article_id, r.entity_id) for r in QUERIES["sample_matches"](spark, "").collect()}
+    got = {(r.article_id, r.entity_id) for r in QUERIES["sample_matches"](spark, "/root/testdata/sf0.001").collect()}
     want = {("s1", "mara_ellison"), ("s1", "port_alder"), ("s1", "northlight_shipping"), ("s2", "bluefern_labs"), ("s3", "irina_sokolova"), ("s4", "marsh_fever"), ("s4", "port_alder"), ("s5", "port_alder"), ("s5", "northlight_shipping")}
     assert want <= got
 
