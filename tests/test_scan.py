@@ -79,5 +79,5 @@ def test_columns(spark):
     assert "moskva" in forms and "москва" not in forms
     odd = [('{"confidence": 0.9, "match_type": "exact", "reasoning": "the names are equal"} {"confidence": 0.8, "match_type": "exact", "reasoning": "the names are equal"}', 2), (None, 1), ("none", 1)]
     answers = spark.createDataFrame([(i, *x) for i, x in enumerate(odd)], "batch_id int, answer string, n_pairs int")
-    assert sorted((r.batch_id, r.position, r.confidence, r.match_type) for r in J.parse_answers(answers).collect()) == [(0, 0, 0.9, "exact"), (0, 1, 0.8, "exact"), (1, 0, 0.0, "error"), (2, 0, 0.0, "error")]
+    assert sorted((r.batch_id, r.position, r.confidence, r.match_type) for r in J.parse_answers(answers, objects=True).collect()) == [(0, 0, 0.9, "exact"), (0, 1, 0.8, "exact"), (1, 0, 0.0, "error"), (2, 0, 0.0, "error")]
     assert df.select(F.size(E.transliterations("t"))).collect()

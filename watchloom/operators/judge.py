@@ -77,21 +77,25 @@ def fallback(reason: str) -> Column:
     return F.struct(F.lit(0.0).alias("confidence"), F.lit(False).alias("is_match"), F.lit("unlikely").alias("match_type"), F.lit(reason).alias("reasoning"))
 
 
-def json_array(answer: Column) -> Column:
-    """The results in a model's answer as one JSON array: of its outermost JSON values the first array of objects, or else all objects
-    in order (an object that holds an array under ``results`` stands for it). Code fences and prose around them do not count."""
+def json_array(answer: Column, objects: bool = False) -> Column:
+    """The results in a model's answer as one JSON array: of its outermost JSON values the first array of objects. With ``objects``, where
+    there is no such array, all its objects in order (an object that holds an array under ``results`` stands for it). Code fences and prose
+    around them do not count; null where nothing is found."""
     found = json_values(answer)
-    whole = F.filter(found, lambda v: v.rlike(r"^\[\s*(\{|\])"))
-    objects = F.filter(found, lambda v: v.startswith("{"))
-    held = F.get_json_object(F.get(objects, F.lit(0)), "$.results")
-    return F.coalesce(F.get(whole, F.lit(0)), F.when(held.startswith("["), held), F.when(F.size(objects) > 0, F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))))
+    whole = F.get(F.filter(found, lambda v: v.rlike(r"^\[\s*(\{|\])")), F.lit(0))
+    if not objects:
+        return whole
+    every = F.filter(found, lambda v: v.startswith("{"))
+    held = F.get_json_object(F.get(every, F.lit(0)), "$.results")
+    return F.coalesce(whole, F.when(held.startswith("["), held), F.when(F.size(every) > 0, F.concat(F.lit("["), F.array_join(every, ","), F.lit("]"))))
 
 
-def parse_answers(answers: DataFrame, batch: str = "batch_id", answer: str = "answer", size: str = "n_pairs") -> DataFrame:
+def parse_answers(answers: DataFrame, batch: str = "batch_id", answer: str = "answer", size: str = "n_pairs", objects: bool = False) -> DataFrame:
     """One row for each pair of a batch (position from 0): the parsed result, or the error row if it is missing or breaks
-    the contract. An answer with another number of results than pairs is an error as a whole."""
+    the contract. An answer with another number of results than pairs is an error as a whole. ``objects``: for judges that may
+    answer with objects outside of an array."""
     parsed = F.from_json(F.col("_json"), f"array<struct<{RESULT.replace(' ', ':').replace(',:', ', ')}>>")
-    answers = answers.withColumn("_json", json_array(F.col(answer))).withColumn("_parsed", parsed)
+    answers = answers.withColumn("_json", json_array(F.col(answer), objects)).withColumn("_parsed", parsed)
     fits = F.coalesce(F.size("_parsed") == F.col(size), F.lit(False))
     rows = answers.select(batch, F.when(fits, F.col("_parsed")).alias("_p"), F.posexplode(F.sequence(F.lit(1), F.col(size))).alias("position", "_i"))
     r = F.get("_p", F.col("position"))

@@ -31,7 +31,7 @@ CASE k WHEN 0 THEN ']} [names: "' || name || '" {equal' WHEN 3 THEN 'found [in]
 )
 def judge_answer_scan(spark, sf):
     answers = mentions(spark, sf).select(F.col("mention_id").alias("batch_id"), F.expr(REPLY).alias("answer"), F.lit(1).alias("n_pairs"))
-    p = J.parse_answers(answers)
+    p = J.parse_answers(answers, objects=True)
     good = F.col("match_type") != "error"
     return p.select(F.col("batch_id").alias("mention_id"), "confidence", "match_type", F.when(good, F.col("reasoning")).alias("reasoning"))
 
