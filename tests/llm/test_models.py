@@ -129,6 +129,37 @@ def test_ann_copies_and_odd_vectors(spark):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_ann_puts_out_what_reaches_a_query_s_bound():
+    import pyarrow as pa
+
+    x = np.random.RandomState(2).standard_normal((600, 8))
+    held = pa.table({"b": np.arange(600) % 3, "vec_id": np.arange(600), "v": x.tolist()})
+    inf = float("inf")
+    asked = pa.table({"query_id": [0, 1, 2, 3], "qv": x[:4].tolist(), "least": [5.0, -inf, 1e9, 2.0], "bs": [[0, 2], [1, 7], [0, 1, 2], [9]]})
+    got = ann.rank(asked, held, 4).to_pylist()
+    s = x @ x.T
+    for q, bs, least in ((0, (0, 2), 5.0), (1, (1,), -inf)):
+        want = sorted((-s[q, i], i) for i in range(600) if i != q and i % 3 in bs and s[q, i] >= least)[:4]
+        assert want and [r["id"] for r in got if r["query_id"] == q] == [i for _, i in want]
+    assert {r["query_id"] for r in got} == {0, 1}
+
+
+def test_quality_moves_no_texts(spark, tmp_path, monkeypatch):
+    """The few labelled rows go to the texts, however large the tables are."""
+    spark.range(60).selectExpr("id AS doc_id", "concat('some words ', id) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(60).selectExpr("id AS doc_id", "id % 2 AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows) or quality.Model(None, 0.5))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.query(spark, str(tmp_path)).count() == 60
+        assert seen[0].count() == seen[0].select("doc_id").distinct().count() > 0
+        assert "BroadcastHashJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @need_data
 @pytest.mark.parametrize("name", list(SQL))
 def test_queries_match_their_sql(spark, name):

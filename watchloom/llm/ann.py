@@ -17,7 +17,8 @@ precision. Queries that found fewer than ``k``, or that the sample cannot bound,
 
 Every vector is indexed; the sample of at most ``2 * SAMPLE`` vectors gives bounds only. Buckets are dealt over tasks in
 blocks of at most about ``BLOCK`` vectors, by their counts, so a vector that a third of all rows share makes many blocks and
-no large group; a block puts out one row for each query that visits it, with its best candidates.
+no large group. Blocks of one table are put together into groups of at most about ``GROUP`` vectors: a query is sent to a group once, with the
+buckets that it visits there. It carries its bound along, so of a bucket only what reaches the bound is scored in full and put out.
 
 Defined cases: vectors that are null, empty, of a length other than the queries' commonest, zero, or hold null or non-finite
 components take no part; null vec_ids neither; repeated rows are candidates of their own unless all their columns are
@@ -33,12 +34,15 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.store import Store, table
 
-SAMPLE, BLOCK, PER_ROOT = 20_000, 4096, 9.0
+SAMPLE, BLOCK, GROUP, PER_ROOT = 20_000, 4096, 65_536, 9.0
+#: Inner products held at once, and candidates scored in full at once.
+PRODUCTS, SCORED = 1 << 22, 1 << 14
 #: Norms are counted in bins of this ratio; a range spans bins of up to RANGE.
 BIN, RANGE = 1.02, 1.25
 LEVELS = (1.0, 0.97, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.05, -0.1, -0.25, -0.4, -0.55, -0.7, -0.85)
@@ -171,9 +175,9 @@ class Hashing:
             out = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         return out
 
-    def visits(self, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    def visits(self, ids: np.ndarray, v: np.ndarray, k: int, bound: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
         """(row, table, keys) of the buckets that queries visit; none for those without a bound."""
-        bound, n = self.bounds(ids, v, k), _norms(v)[:, 0]
+        bound, n = self.bounds(ids, v, k) if bound is None else bound, _norms(v)[:, 0]
         for r in self.ranges:
             near = bound / n / r.norm
             rows = np.flatnonzero((bound > -np.inf) & (near <= 1 + 1e-9))
@@ -206,6 +210,60 @@ def _matrix(col) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64)
 
 
+def _flat(col: pa.ChunkedArray) -> np.ndarray:
+    """Rows of an Arrow column of lists of one length."""
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _best(row: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the k best, ties to the smaller id."""
+    order = np.lexsort((ids, -s, row))
+    row, s, ids = row[order], s[order], ids[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], s[place < k], ids[place < k]
+
+
+def rank(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """(query_id, s, id): the k best candidates of each query in a group's buckets that it visits. asked: query_id, qv, least, bs; held:
+    b, vec_id, v. What is under ``least``, a score that k others reach, is left out."""
+    found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    if len(asked) and len(held):
+        b = held.column("b").to_numpy()
+        order = np.argsort(b, kind="stable")
+        x, ids = _flat(held.column("v"))[order], held.column("vec_id").to_numpy()[order]
+        buckets, start = np.unique(b[order], return_index=True)
+        stop = np.append(start[1:], len(b))
+        q, names, least = _flat(asked.column("qv")), asked.column("query_id").to_numpy(), asked.column("least").to_numpy()
+        # near the limit rounding may differ from the final scores, so a little more is scored
+        limit = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
+        lists = asked.column("bs").combine_chunks()
+        owner, wanted = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
+        here = np.flatnonzero(buckets[at] == wanted)
+        here = here[np.argsort(at[here], kind="stable")]
+        at, owner = at[here], owner[here]
+        for j, lo, hi in zip(range(len(buckets)), np.searchsorted(at, np.arange(len(buckets))), np.searchsorted(at, np.arange(len(buckets)), "right"), strict=True):
+            y, own = x[start[j] : stop[j]], ids[start[j] : stop[j]]
+            step = max(1, PRODUCTS // len(y))
+            for first in range(lo, hi, step):
+                who = owner[first : min(hi, first + step)]
+                rough, bar = q[who] @ y.T, limit[who].copy()
+                for i in np.flatnonzero(bar == -np.inf):
+                    rough[i, own == names[who[i]]] = -np.inf
+                    if len(y) > k:
+                        edge = np.partition(rough[i], len(y) - k)[len(y) - k]
+                        bar[i] = edge - 1e-9 * max(1.0, abs(edge))
+                i, c = np.nonzero(rough >= bar[:, None])
+                other = own[c] != names[who[i]]
+                i, c = i[other], c[other]
+                # summed alike for equal vectors, wherever they stand
+                exact = [(y[c[n : n + SCORED]] * q[who[i[n : n + SCORED]]]).sum(1) for n in range(0, len(i), SCORED)]
+                found.append(_best(who[i], np.concatenate([np.zeros(0), *exact]), own[c], k))
+        found = [_best(*(np.concatenate(z) for z in zip(*found, strict=True)), k)]
+        found = [(names[found[0][0]], *found[0][1:])]
+    return pa.table({"query_id": pa.array(found[0][0], pa.int64()), "s": pa.array(found[0][1], pa.float64()), "id": pa.array(found[0][2], pa.int64())})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 6, bucket: int = 2048, mass: float = 0.36, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each query, its own vec_id left out."""
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "ann")
@@ -239,48 +297,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 6,
         for p in parts:
             ids = p["query_id"].to_numpy()
             for lo in range(0, len(p), 128):
-                out = [(ids[lo + i], t, bs) for i, t, bs in h.value.visits(ids[lo : lo + 128], _matrix(p["v"].iloc[lo : lo + 128]), k)]
-                yield pd.DataFrame(out, columns=["query_id", "t", "bs"])
+                part, v = ids[lo : lo + 128], _matrix(p["v"].iloc[lo : lo + 128])
+                bound = h.value.bounds(part, v, k)
+                out = [(part[i], bound[i], t, bs) for i, t, bs in h.value.visits(part, v, k, bound)]
+                yield pd.DataFrame(out, columns=["query_id", "least", "t", "bs"])
 
     entries = store.put(rows.mapInPandas(index, "t int, b long, vec_id long"), "index")
-    sizes = entries.groupBy("t", "b").count().select("t", "b", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    sizes = store.put(sizes, "buckets")
+    counts = entries.groupBy("t", "b").count()
+    # so many vectors a group that a small table has several groups, too
+    group = min(GROUP, max(BLOCK, n // 16))
+    tasks = -(-n // group) * sum(len(r.direction) for r in fitted.ranges)
+    tasks = min(tasks, 2 * -(-n // group) * tables)  # short ranges are a table each
+    groups = counts.groupBy("t").agg(F.ceil(F.sum("count") / group).cast("int").alias("groups"))  # a row for each hash table
+    sizes = store.put(counts.join(F.broadcast(groups), "t").select("t", "b", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "groups"), "buckets")
     rows = rows.drop("bin")
-    held = entries.join(sizes, ["t", "b"]).join(rows, "vec_id").select("t", "b", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-
-    def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            x, ids = _matrix(held["v"]), held["vec_id"].to_numpy()
-            for lo in range(0, len(asked), 256):
-                q = _matrix(asked["qv"].iloc[lo : lo + 256])
-                rough = q @ x.T
-                for i, name in enumerate(asked["query_id"].iloc[lo : lo + 256]):
-                    s = rough[i]
-                    s[ids == name] = -np.inf
-                    # near the limit rounding may differ from the final scores, so a little more is scored
-                    least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    at = np.flatnonzero((s >= least - 1e-9 * max(1.0, abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
-                    exact = (x[at] * q[i]).sum(1)  # summed alike for equal vectors, wherever they stand
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out.append((name, exact[best].tolist(), ids[at][best].tolist()))
-        return pd.DataFrame(out, columns=["query_id", "s", "ids"])
+    placed = F.pmod(F.xxhash64("b", "block"), F.col("groups")).cast("int").alias("g")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
+    held = entries.join(sizes, ["t", "b"]).withColumn("block", block).select("t", placed, "b", "vec_id").join(rows, "vec_id").select("t", "g", "b", "vec_id", "v")
 
     def best_of(visits: DataFrame, held: DataFrame) -> DataFrame:
-        """(query_id, best) from the query_id, t, b and blocks of the buckets visited."""
-        visits = visits.select("query_id", "t", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        sent = visits.join(asked, "query_id").select("t", "b", "block", "query_id", F.col("v").alias("qv"))
-        found = sent.groupBy("t", "b", "block").cogroup(held.groupBy("t", "b", "block")).applyInPandas(rank, "query_id long, s array<double>, ids array<long>")
-        pairs = F.transform(F.arrays_zip("s", "ids"), lambda z: F.struct((-z.s).alias("s"), z.ids.alias("id")))
-        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k).alias("best"))
-
-    visits = asked.mapInPandas(probe, "query_id long, t int, bs array<long>").select("query_id", "t", F.explode("bs").alias("b"))
+        """(query_id, best) from the query_id, least, t, b, blocks and groups of the buckets visited."""
+        visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("query_id", "least", "t", placed, "b")
+        visits = visits.groupBy("query_id", "t", "g").agg(F.min("least").alias("least"), F.collect_set("b").alias("bs"))
+        sent = visits.join(asked, "query_id").select("t", "g", "query_id", "least", "bs", F.col("v").alias("qv"))
+        # about a group a task: by its bytes a small table would be a task or two, but its work is in the products
+        sent, held = sent.repartition(tasks, "t", "g"), held.repartition(tasks, "t", "g")
+        found = sent.groupBy("t", "g").cogroup(held.groupBy("t", "g")).applyInArrow(lambda a, h: rank(a, h, k), "query_id long, s double, id long")
+        pairs = F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("s"), "id")))
+        return found.groupBy("query_id").agg(F.slice(pairs, 1, k).alias("best"))
+
+    visits = asked.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(probe, "query_id long, least double, t int, bs array<long>").select("query_id", "least", "t", F.explode("bs").alias("b"))
     best = store.put(best_of(visits.join(sizes, ["t", "b"]), held), "best")
     full = best.where(F.size("best") >= k)
     few = asked.select("query_id").distinct().join(full, "query_id", "left_anti")
     if not few.isEmpty():
         once = F.col("t").isin([r.first for r in fitted.ranges])
-        best = full.unionByName(best_of(few.crossJoin(sizes.where(once)), held.where(once)))
+        every = few.crossJoin(sizes.where(once)).withColumn("least", F.lit(float("-inf")))
+        best = full.unionByName(best_of(every, held.where(once)))
     return best.select("query_id", F.posexplode("best").alias("rank", "z")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("z.id").alias("vec_id"), (-F.col("z.s")).alias("score"))
 
 
