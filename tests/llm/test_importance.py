@@ -67,3 +67,30 @@ def test_sql_and_query_agree(spark):
     order = sorted(rel.columns)
     assert sorted(df.columns) == order
     assert rows_of([tuple(r) for r in df.collect()], df.columns, order) == rows_of(rel.fetchall(), rel.columns, order)
+
+
+def test_each_block_has_a_file_of_its_own(spark, tmp_path, monkeypatch):
+    """Readers decode whole batches of rows, and a block is a row of many MB."""
+    from pyspark.sql import functions as F
+
+    from watchloom.llm import importance as I
+    from watchloom.llm import lattice_lm as L
+    from watchloom.llm.store import Store
+
+    files = []
+
+    def put(self, df, name, *a, f=Store.put):
+        out = f(self, df, name, *a)
+        if name == "documents":
+            files.extend(r["count"] for r in out.groupBy(F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(Store, "put", put)
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "concat('aa bb word', id) AS text", "'en' AS lang")
+    assert I.weigh(docs, docs, size=64).count() == 40
+    assert len(files) > 3 and max(files) == 1
+    monkeypatch.setattr(L, "learned", lambda *a: 1 / 0)  # what follows needs a vocabulary file
+    files.clear()
+    with pytest.raises(ZeroDivisionError):
+        L.score_documents(docs, "", F.lit(True), size=64)
+    assert len(files) > 3 and max(files) == 1
