@@ -116,3 +116,26 @@ def test_a_long_article_and_odd_rows(spark):
     got = {i: n for i, n in X.extract(rows, extractor=extractor).select("article_id", F.size("spans")).collect()}
     assert time.perf_counter() - began < 60
     assert got[1] > 10_000 and got[2] in (0, -1) and got[3] == 0 and got[None] == 1 and got[5] == 20_000
+
+
+def test_runs_of_words_leave_in_bounded_batches_and_no_join_runs_twice(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from watchloom.operators import spans as X
+
+    monkeypatch.setattr(X, "RUNS", 100)
+    text = "blue sky over Oslo " * 400
+    articles = spark.createDataFrame([(i, text) for i in range(8)] + [(8, None), (9, ""), (None, "oslo")], "article_id long, text string").coalesce(1)
+    surfaces = spark.createDataFrame([("Oslo", "o"), ("over Oslo blue", "b"), ("sky over", "s")], "surface string, entity_id string")
+    got = X.gazetteer(articles, surfaces)
+    assert {(r.article_id, r.entity_id): r["count"] for r in got.groupBy("article_id", "entity_id").count().collect()} == {(i, e): n for i in range(8) for e, n in (("o", 400), ("b", 399), ("s", 400))} | {(None, "o"): 1}
+    assert got.where("article_id = 0").agg(F.min("position")).first()[0] == 5
+
+    def extractor(a):
+        return X.gazetteer(a, surfaces).select("article_id", "name", F.lit("LOCATION").alias("category"), F.col("position").alias("start"), (F.col("position") + 4).alias("stop"), F.lit(0.5).alias("confidence"))
+
+    spark.sparkContext.setJobGroup("extract", "")
+    X.extract(articles, extractor=extractor)
+    after = len(spark.sparkContext.statusTracker().getJobIdsForGroup("extract"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert after <= 2  # the word counts of the list are read, the join is not run

@@ -127,6 +127,8 @@ TITLE_WORDS = [
 ]
 
 
+#: Runs of words put out at once.
+RUNS = 1 << 16
 MATCH = "array<struct<name:string,start:int,stop:int>>"
 SPAN = "array<struct<name:string,category:string,start:int,stop:int,confidence:double>>"
 #: kind is what the span is (TITLE, COMPOUND_TITLE, ..., PERSON), category the group of patterns or the extractor's class.
@@ -365,10 +367,12 @@ def combine(text: str, mentions: list[dict], gap: int = 10) -> list[tuple]:
     return [(i, n, k, c, a, b, x) for n, k, c, a, b, x, i in kept]
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A table read as fewer parts than there are cores, dealt over them: matching costs far more than moving a small table."""
+def spread(rows: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """A table read as fewer parts than there are cores, dealt over them: matching costs far more than moving a small table.
+
+    ``read``: what ``rows`` were made from; counting the parts of a plan with joins would run them."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(2 * cores) if (rows if read is None else read).rdd.getNumPartitions() < cores else rows
 
 
 def extract(articles: DataFrame, text: str = "text", extractor: Callable[[DataFrame], DataFrame] | None = None, key: str = "article_id") -> DataFrame:
@@ -386,7 +390,7 @@ def extract(articles: DataFrame, text: str = "text", extractor: Callable[[DataFr
         found = extractor(articles.select(key, F.col(text).alias("text"))).where("start < stop")
         per = found.groupBy(key).agg(F.collect_list(F.struct("name", "category", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("confidence").cast("double").alias("confidence"))).alias("_wl_ner"))
         rows = rows.join(per, key, "left").withColumn("_wl_ner", F.coalesce("_wl_ner", none))
-    rows = spread(rows)
+    rows = spread(rows, articles)
     spans = _rows(EXTRACTED, combine)(F.col(text), F.col("_wl_ner"))
     return rows.withColumn("spans", F.filter(spans, lambda s: is_mention(s["name"], s.kind))).drop("_wl_ner")
 
@@ -401,18 +405,33 @@ def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
     """The default extractor: words and runs of words of a text that are a surface of the watch list, with offsets.
 
     Joined on the lower-cased text of one, two, or as many consecutive words as some surface has, so the list may be of any
-    size. The word counts of the list are read at once. Runs leave the text cut out, so no row carries the text along.
+    size. The word counts of the list are read at once. Runs leave the text cut out, so no row carries the text along, and in
+    batches of about ``RUNS``, however long the texts are.
     """
     word = r"[\p{L}\p{N}]+"
     counts = surfaces.select(F.size(F.regexp_extract_all("surface", F.lit(word), F.lit(0))).alias("n")).where("n > 2").distinct().collect()
     sizes = sorted({1, 2} | {r.n for r in counts})
 
-    def runs(text: str) -> Iterable[tuple]:
-        at = [m.span() for m in re.finditer(r"[^\W_]+", text)]
-        for n in sizes:
-            for (a, _), (_, b) in zip(at, at[n - 1 :], strict=False):
-                yield text[a:b], a, b
-
-    named = spread(articles.select("article_id", "text")).select("article_id", F.explode(_rows(MATCH, runs)(F.col("text"))).alias("m")).select("article_id", "m.name", F.col("m.start").alias("position"))
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            made = lambda rows, ids=ids: pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32())], names=["article_id", "name", "position"])
+            rows: tuple[list, list, list] = ([], [], [])
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                at = [m.span() for m in re.finditer(r"[^\W_]+", text)] if text else []
+                for n in sizes:
+                    for first in range(0, len(at) - n + 1, RUNS):
+                        part = range(first, min(first + RUNS, len(at) - n + 1))
+                        rows[0].extend([i] * len(part))
+                        rows[1].extend([text[at[j][0] : at[j + n - 1][1]] for j in part])
+                        rows[2].extend([at[j][0] for j in part])
+                        if len(rows[0]) >= RUNS:
+                            yield made(rows)
+                            rows = ([], [], [])
+            yield made(rows)
+
+    a = articles.select("article_id", F.col("text").cast("string").alias("text"))
+    named = spread(a).mapInArrow(runs, f"article_id {a.schema['article_id'].dataType.simpleString()}, name string, position int")
     s = surfaces.select(F.lower("surface").alias("_s"), "entity_id")
     return named.join(s, F.lower("name") == F.col("_s")).select("article_id", "name", "position", "entity_id")
