@@ -81,3 +81,27 @@ def test_equals_the_join_on_postings_and_empty_tables(spark, index):
     assert empty.top(q, 3, {"text": 1.0}).count() == 0 and index.top(q.limit(0), 3, {"text": 1.0}).count() == 0
     twice = TextIndex.build(spark.createDataFrame([(1, "a b"), (1, "b"), (None, "a")], "id int, text string"), "id", {"text": F.col("text")})
     assert [(r.doc, r.term, r.tf) for r in twice.table("forward").orderBy("term").collect()] == [(1, "a", 1), (1, "b", 2)]
+
+
+ODD = [(1, "a b a"), (1, "b c"), (1, "a a"), (2, None), (3, ""), (4, "  , A-b!"), (None, "a c"), (5, "Ünï b b b b"), (6, "a b"), (7, "a b"), (8, "a b")]
+
+
+@pytest.mark.parametrize("k, text", [(2, 1 << 22), (3, 4), (100, 8)])
+def test_ranking_in_chunks_equals_the_join_on_postings(spark, monkeypatch, k, text):
+    """Repeated ids, null and empty texts, equal scores, several blocks and chunks; no row for each query and document is shuffled."""
+    monkeypatch.setattr(S, "CHUNK_BYTES", text)
+    monkeypatch.setattr(S, "BLOCK", 2)
+    for rows, asked in ((ODD, [(0, "a b c"), (1, "B ünï"), (2, "nothing"), (3, None), (0, "c"), (4, "a")]), ([(d[0], d[1]) for d in DOCS], QUERIES)):
+        docs, q = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(asked, "query int, text string")
+        key = lambda r: (r["query"], r["rank"], r.doc, round(r.score, 9))
+        want = S.top(S.bm25(q, docs, "query", "text", "id", "text"), k)
+        assert sorted(map(key, S.bm25_top(q, docs, "query", "text", "id", "text", k).collect())) == sorted(map(key, want.collect()))
+    assert S.bm25_top(q.limit(0), docs, "query", "text", "id", "text", k).count() == 0 == S.bm25_top(q, docs.limit(0), "query", "text", "id", "text", k).count()
+
+
+def test_ranked_documents_write_no_postings(spark, monkeypatch):
+    from watchloom.registry import QUERIES as REGISTERED
+
+    monkeypatch.setattr(TextIndex, "build", lambda *a, **k: pytest.fail("an index of all postings is written"))
+    for name in ("bm25_topk", "rrf_hybrid_top2"):
+        assert REGISTERED[name](spark, "/root/testdata/sf0.001").count()
