@@ -336,3 +336,15 @@ def test_cosine_fallback_equals_brute_force(spark):
 def test_compound_needs_a_word_or_the_end_behind(spark):
     get = lambda t: [s[0] for s in spans_of(spark, t, X.compounds)]
     assert get("CEO of Acme, who left") == [] and get("Meet the CEO of Acme") == ["Acme CEO"] == get("CEO of Acme who left")
+
+
+def test_equal_texts_are_searched_for_names_once(spark, monkeypatch):
+    texts = ["a blue bolt", "a blue bolt", None, "", "x"] * 40 + ["bolt blue", "Üx blue bolts"]
+    articles = spark.createDataFrame(list(enumerate(texts)) + [(None, "a blue bolt")], "article_id int, text string")
+    names = ["blue bolt", "bolt", "x", "", None, "blue b"]
+    entities = spark.createDataFrame([(n, str(i)) for i, n in enumerate(names)], "name string, entity_id string")
+    seen, inner = [], C._contained
+    monkeypatch.setattr(C, "_contained", lambda a, e: seen.append(a.count()) or inner(a, e))
+    got = sorted(map(tuple, C.contained(articles, entities).collect()), key=repr)
+    want = [(i, str(j)) for i, t in [*enumerate(texts), (None, "a blue bolt")] for j, n in enumerate(names) if t and n and n in t]
+    assert got == sorted(want, key=repr) and seen == [5]
