@@ -44,3 +44,12 @@ def test_the_replayed_stream_is_one_batch(spark, tmp_path):
     assert len(table._layers()) == layers and state(table.read()) == state(A.latest(every))
     table.compact()
     assert state(table.read()) == state(A.latest(every))
+
+
+def test_a_batch_keeps_what_is_newer_than_the_table(spark):
+    """By joins: no call for each article."""
+    good = spark.createDataFrame(rows((1, 1, 0, "a"), (1, 3, 1, "b"), (1, 2, 2, "c"), (2, 5, 0, "d"), (3, 1, 0, "e"), (4, 2, 0, "f"), (4, 2, 0, "f")), A.COLUMNS)
+    held = spark.createDataFrame([(1, 2), (2, 5), (3, 9)], "article_id long, version long")
+    kept = A.newest(good, held)
+    assert sorted((r.article_id, r.version, r.text) for r in kept.collect()) == [(1, 3, "b"), (4, 2, "f")]
+    assert "Pandas" not in kept._jdf.queryExecution().executedPlan().toString()

@@ -1,24 +1,23 @@
 """Articles enriched as they are written: a stream of versions of articles into a table of their entities by class.
 
-A row is checked first; what fails goes to the dead letters of its micro-batch with the reason. A state per article holds the highest
-version seen, one number in the state store, so repeated and older versions are dropped at once, however late they come (a watermark would drop
-late rows that are newer, too). What is left is extracted and written as a layer of the table (``sources.layers``),
-which keeps of each article the highest version whatever the order of layers is: also where the stream starts anew without its states. Rows of one article and version are taken for
-equal. A micro-batch that is replayed after a
+A row is checked first; what fails goes to the dead letters of its micro-batch with the reason. The state is the table itself: a
+micro-batch keeps each article's highest version and joins it to the versions that the table has (two columns of it), so repeated and older
+versions are dropped at once, however late they come (a watermark would drop late rows that are newer, too), and no call is made for each article. What is
+left is extracted and written as a layer of the table (``sources.layers``), which keeps of each article the highest version whatever the order of
+layers is. Rows of one article and version are taken for equal. A micro-batch that is replayed after a
 crash finds its number in the table's log and changes nothing; its dead letters are written over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from watchloom.operators.spans import extract
 from watchloom.sources.layers import LayeredTable
+from watchloom.sources.scratch import Store
 
 COLUMNS = "article_id long, version long, ts timestamp, text string"
 ENTITIES = "version long, n_spans int, by_class map<string,array<string>>"
@@ -30,25 +29,11 @@ def checked(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", "version", "ts", "text").withColumn("_error", error)
 
 
-def newest(marked: DataFrame) -> DataFrame:
-    """Of a stream of checked articles the rows that are newer than all before them of their article; rows with an error pass."""
-
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else None
-        for pdf in parts:
-            bad = pdf["_error"].notna()
-            good = pdf[~bad]
-            if len(good):
-                best = good.loc[[good["version"].astype("int64").idxmax()]]
-                if seen is None or best["version"].iloc[0] > seen:
-                    seen = int(best["version"].iloc[0])
-                    yield best
-            if bad.any():
-                yield pdf[bad]
-        if seen is not None:
-            state.update((seen,))
-
-    return marked.groupBy("article_id").applyInPandasWithState(keep, f"{COLUMNS}, _error string", "version long", "append", GroupStateTimeout.NoTimeout)
+def newest(good: DataFrame, held: DataFrame) -> DataFrame:
+    """Of articles without an error each article's highest version, where it is newer than what ``held`` (article_id, version) has."""
+    best = good.groupBy("article_id").agg(F.max_by(F.struct("version", "ts", "text"), "version").alias("b")).select("article_id", "b.*")
+    seen = held.select("article_id", F.col("version").alias("_seen"))
+    return best.join(seen, "article_id", "left").where("_seen IS NULL OR version > _seen").drop("_seen")
 
 
 def entities(articles: DataFrame, extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -75,7 +60,9 @@ def run(stream: DataFrame, into: LayeredTable, dead_letters: str, checkpoint: st
 
     def sink(rows: DataFrame, batch: int) -> None:
         rows.where("_error IS NOT NULL").write.mode("overwrite").parquet(f"{dead_letters}/batch={batch}")
-        found = entities(rows.where("_error IS NULL").drop("_error"), extractor)
+        store = Store(rows.sparkSession, "batch")
+        found = entities(store.put(newest(rows.where("_error IS NULL"), into.read()), "rows"), extractor)
         into.apply(found.withColumns({"op": F.lit("upsert"), "seq": F.col("version")}), token=(name, batch))
+        store.drop("rows")
 
-    return newest(checked(stream)).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return checked(stream).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
