@@ -348,3 +348,15 @@ def test_equal_texts_are_searched_for_names_once(spark, monkeypatch):
     got = sorted(map(tuple, C.contained(articles, entities).collect()), key=repr)
     want = [(i, str(j)) for i, t in [*enumerate(texts), (None, "a blue bolt")] for j, n in enumerate(names) if t and n and n in t]
     assert got == sorted(want, key=repr) and seen == [5]
+
+
+def test_nearest_moves_vectors_in_their_own_type_and_scores_in_double(spark):
+    import numpy as np
+
+    vec = np.random.RandomState(3).randn(50, 8).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vec)], "id long, vector array<float>")
+    near = S.nearest(v.where("id < 3"), v, 4)
+    assert "array<double>" not in near._jdf.queryExecution().executedPlan().toString()
+    wide = v.withColumn("vector", F.col("vector").cast("array<double>"))
+    key = lambda r: (r["query"], r["rank"], r.doc, r.score)
+    assert sorted(map(key, near.collect())) == sorted(map(key, S.nearest(wide.where("id < 3"), wide, 4).collect()))
