@@ -94,3 +94,16 @@ def test_each_block_has_a_file_of_its_own(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         L.score_documents(docs, "", F.lit(True), size=64)
     assert len(files) > 3 and max(files) == 1
+
+
+def test_a_block_of_many_words_leaves_in_bounded_rows(spark):
+    """One block, gathered from several pieces; as one row it took an executor hundreds of MB."""
+    docs = spark.range(0, 4, 1, 1).selectExpr("IF(id = 3, NULL, id) AS doc_id", "concat_ws(' ', transform(sequence(id * 40000, id * 40000 + 60000), x -> concat('w', x, ' w', x % 7, ' the'))) AS text")
+    table = Store(spark, "test").put(word_blocks.cut(docs, ALNUM), "blocks")
+    assert table.select("block").distinct().count() == 1
+    assert table.selectExpr("max(size(words)) <= 65536 AND max(size(word)) <= 262144 AS small").first().small
+    known = word_blocks.dictionary(word_blocks.entries(table))
+    assert known.where("blocks <> 1").count() == 0 and known.selectExpr("sum(uses) AS n").first().n == 4 * 3 * 60001
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = importance.resample(docs, aims(spark), percent=50).drop("n_words").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(importance.brute_force(rows, TARGET, percent=50), key=repr)

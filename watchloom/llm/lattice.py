@@ -57,7 +57,7 @@ class Trie:
                     child.append({})
                 at = child[at][b]
             ends[at] = i
-        self.next = np.zeros((len(child), 256), np.int32)
+        self.next = np.zeros((len(child), 256), np.uint16 if len(child) <= 1 << 16 else np.int32)
         for k, c in enumerate(child):
             for b, to in c.items():
                 self.next[k, b] = to

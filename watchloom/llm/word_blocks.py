@@ -1,8 +1,9 @@
 """Words of whole documents as blocks: a dictionary and counts per document, joined to a corpus-wide dictionary.
 
-A scan task cuts its documents into blocks of at most ``SIZE`` bytes of text. A block is one row: its distinct features (words, or
-runs of words) once each, and for each of its documents which of them it holds how often (compressed sparse rows). What a
-statistic of the whole corpus needs is then a row for each *block and distinct feature*, not for each token or for each document
+A scan task cuts its documents into blocks of at most ``SIZE`` bytes of text. A block has its distinct features (words, or runs of
+words) once each, and for each of its documents which of them it holds how often (compressed sparse rows). It is gathered from
+pieces of ``STEP`` bytes, and leaves in rows that hold the next ``WORDS`` of its features, numbered from ``base``, and its next documents
+with about ``CELLS`` counts: neither a task nor a batch on its way holds arrays of one entry for each word of a block. What a statistic of the whole corpus needs is then a row for each *block and distinct feature*, not for each token or for each document
 and word: ``entries``. A feature stands in a block once, so the most frequent word of the corpus has as many rows as there are
 blocks, and ``spread_join`` deals those. Values found for features come back to their blocks by a co-grouping on the block:
 ``per_document`` holds one block and its values at a time, spills where it has to, and collects nothing.
@@ -14,6 +15,7 @@ over a document is summed up over its parts in the end. Row numbers hold within
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from watchloom.llm.skew import spread_join
 from watchloom.llm.store import Store
 
 SIZE = 1 << 24
-SCHEMA = "block long, words array<binary>, uses array<long>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
+STEP = 1 << 20  # bytes of text whose words are found together
+WORDS, CELLS = 1 << 16, 1 << 18  # features and counts in one row of a block
+SCHEMA = "block long, base int, words array<binary>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
 
 
 def features(packed: np.ndarray, s: np.ndarray, e: np.ndarray, order: int, last: np.ndarray, until: int) -> tuple[pa.Array, np.ndarray | slice]:
@@ -57,64 +61,105 @@ def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(at, append=np.int32(len(x)))
 
 
-def _block(number: int, packed: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: list, group: np.ndarray, groups: int) -> dict:
-    found, at = features(packed, s, e, order, last, until)
-    coded = found.dictionary_encode()
-    n, width = len(row), max(1, len(coded.dictionary))
-    cells, times = _counted(own[at].astype(np.int64) * width + coded.indices.to_numpy())
-    word, first = (cells % width).astype(np.int32), np.searchsorted(cells, np.arange(n + 1) * width)
-    owner = np.repeat(group, np.diff(first))
-    return {
-        "block": number,
-        "words": coded.dictionary,
-        "uses": np.bincount(word, times, len(coded.dictionary)).astype(np.int64),
-        "row": row,
-        "doc_id": docs,
-        "first": first,
-        "word": word,
-        "times": times,
-        **{f"uses_{g}": np.bincount(word, times * (owner == g), len(coded.dictionary)).astype(np.int64) for g in range(groups)},
-    }
-
-
-def _arrow(b: dict) -> pa.RecordBatch:
-    kinds = {"uses": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "first": pa.int32(), "word": pa.int32(), "times": pa.int32(), **{k: pa.int64() for k in b if k.startswith("uses_")}}
+@dataclass
+class _Piece:
+    """Some documents of a block: their distinct features, and for each document its cells (feature, times)."""
+
+    words: pa.Array
+    row: np.ndarray
+    docs: pa.Array
+    group: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, packed: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, last: np.ndarray, until: int, order: int, row: np.ndarray, docs: pa.Array, group: np.ndarray) -> _Piece:
+        found, at = features(packed, s, e, order, last, until)
+        coded = found.dictionary_encode()
+        n, width = len(row), max(1, len(coded.dictionary))
+        cells, times = _counted(own[at].astype(np.int64) * width + coded.indices.to_numpy())
+        return cls(coded.dictionary, row, docs, group, np.searchsorted(cells, np.arange(n + 1) * width), (cells % width).astype(np.int32), times)
+
+
+def _rows(number: int, pieces: list[_Piece], counters: list[str]) -> Iterator[pa.RecordBatch]:
+    """A block's rows: its distinct features in parts of ``WORDS``, its documents in parts of about ``CELLS`` cells."""
+    coded = pa.concat_arrays([p.words for p in pieces]).dictionary_encode()
+    starts = np.cumsum([0, *[len(p.words) for p in pieces]])
+    words, place = coded.dictionary, coded.indices.to_numpy()
+    word = np.concatenate([place[a:][p.word] for a, p in zip(starts, pieces, strict=False)])
+    times, row, group = (np.concatenate([getattr(p, c) for p in pieces]) for c in ("times", "row", "group"))
+    n = np.concatenate([np.diff(p.first) for p in pieces])
+    docs, first = pa.concat_arrays([p.docs for p in pieces]), np.concatenate([[0], np.cumsum(n)])
+    pieces.clear()
+    uses = {"uses": np.bincount(word, times, len(words)).astype(np.int32)} if counters == ["uses"] else {}
+    if not uses:
+        owner = np.repeat(group, n)
+        for g, c in enumerate(counters):
+            mine = owner == g
+            uses[c] = np.bincount(word[mine], times[mine], len(words)).astype(np.int32)
 
     def one(values, kind: pa.DataType) -> pa.Array:
         values = values if isinstance(values, pa.Array) else pa.array(values, kind)
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
-    return pa.RecordBatch.from_pydict({"block": pa.array([b["block"]], pa.int64()), "words": one(b["words"], pa.binary()), **{k: one(b[k], t) for k, t in kinds.items()}})
+    base, lo = 0, 0
+    while base < len(words) or lo < len(row):
+        hi = min(len(row), lo + CELLS, max(lo + 1, int(np.searchsorted(first, first[lo] + CELLS, "right")) - 1))
+        a, b, until = first[lo], first[hi], min(len(words), base + WORDS)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "block": pa.array([number], pa.int64()),
+                "base": pa.array([base], pa.int32()),
+                "words": one(words.slice(base, until - base), pa.binary()),
+                "row": one(row[lo:hi], pa.int64()),
+                "doc_id": one(docs.slice(lo, hi - lo), pa.int64()),
+                "first": one(first[lo : hi + 1] - a, pa.int32()),
+                "word": one(word[a:b], pa.int32()),
+                "times": one(times[a:b], pa.int32()),
+                **{c: one(x[base:until], pa.int32()) for c, x in uses.items()},
+            }
+        )
+        base, lo = until, hi
 
 
 def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, group: F.Column | None = None, groups: int = 0) -> DataFrame:
     """The blocks of ``docs`` (doc_id, text). Words are runs of bytes of the class ``inside``, with A-Z lower-cased. A document's
-    ``group`` is a number under ``groups``, or null for none; uses_0, uses_1 ... count the uses in the documents of each."""
+    ``group`` is a number under ``groups``, or null for none; uses_0, uses_1 ... count the uses in the documents of each. Without
+    groups, ``uses`` counts those in all documents."""
     told = F.coalesce(group, F.lit(-1)) if group is not None else F.lit(-1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), told.cast("int").alias("group"))
+    counters = [f"uses_{g}" for g in range(groups)] or ["uses"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        number, seen = base, base
+        number, seen, held, full = base, base, [], 0
         for batch in batches:
             ids, of = batch.column(0), batch.column(2).to_numpy()
-            for lo, hi, data, offs in blocks(batch, max_bytes=size):
+            for lo, hi, data, offs in blocks(batch, max_bytes=min(STEP, size), max_rows=max(1, min(STEP, size) // 16)):
                 data = LOWER[data]
                 s, e = (x.astype(np.int32) for x in word_runs(data, offs, inside))
                 first = np.searchsorted(s, offs)
                 own = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
                 last = np.repeat(first[1:], np.diff(first)) if order > 1 else own
-                step = max(1, size // 4) if hi - lo == 1 else max(1, len(s))  # a long text: so many words a block
+                step = max(1, min(STEP, size) // 4) if hi - lo == 1 else max(1, len(s))  # a long text: so many words a piece
                 for w in range(0, max(1, len(s)), step):
                     until, reach = min(len(s), w + step), min(len(s), w + step + order - 1)
                     a, b = (int(s[w]), int(e[reach - 1])) if reach > w else (0, 0)
-                    yield _arrow(_block(number, data[a:b][inside[data[a:b]]], s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo).to_pylist(), of[lo:hi], groups))
-                    number += 1
+                    if held and full + b - a > size:
+                        yield from _rows(number, held, counters)
+                        number, held, full = number + 1, [], 0
+                        pa.default_memory_pool().release_unused()  # else the worker keeps what its largest block took
+                    packed = data[a:b][inside[data[a:b]]]
+                    held.append(_Piece.of(packed, s[w:reach] - a, e[w:reach] - a, own[w:reach], last[w:reach] - w, until - w, order, seen + np.arange(lo, hi), ids.slice(lo, hi - lo), of[lo:hi]))
+                    full += b - a + 16 * (hi - lo)  # texts without words take room, too
             seen += batch.num_rows
+        if held:
+            yield from _rows(number, held, counters)
 
-    return rows.mapInArrow(run, SCHEMA + "".join(f", uses_{g} array<long>" for g in range(groups)))
+    return rows.mapInArrow(run, SCHEMA + "".join(f", {c} array<int>" for c in counters))
 
 
 def counters(table: DataFrame) -> list[str]:
@@ -124,11 +169,12 @@ def counters(table: DataFrame) -> list[str]:
 def entries(table: DataFrame) -> DataFrame:
     """(block, at, word, uses, uses_0 ...): a row for each block and distinct feature of it."""
     each = F.posexplode(F.arrays_zip("words", *counters(table))).alias("at", "x")
-    return table.select("block", each).select("block", "at", F.col("x.words").alias("word"), *[F.col(f"x.{c}").alias(c) for c in counters(table)])
+    out = table.select("block", "base", each)
+    return out.select("block", (F.col("base") + F.col("at")).alias("at"), F.col("x.words").alias("word"), *[F.col(f"x.{c}").alias(c) for c in counters(table)])
 
 
 def dictionary(entry_rows: DataFrame) -> DataFrame:
-    """(word, uses, uses_0 ..., blocks): each distinct feature of the corpus once."""
+    """(word, uses or uses_0 ..., blocks): each distinct feature of the corpus once."""
     return entry_rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in counters(entry_rows)], F.count(F.lit(1)).alias("blocks"))
 
 
@@ -137,26 +183,27 @@ def per_document(store: Store, name: str, table: DataFrame, values: DataFrame, c
 
     ``values`` has each feature once: word, blocks and ``columns``. For each name of ``made`` a function of ``sums`` gets the times a cell's
     feature stands in its document and, by column, the features' values, and returns what each cell adds; one after the other, so a
-    task holds the cells of one sum. Repeated rows stay apart by their row number.
+    task holds the cells of one row of a block. Repeated rows stay apart by their row number.
     """
     names = [x.split()[0] for x in made.split(",")]
     found = spread_join(entries(table).select("block", "at", "word"), values.select("word", *columns), ["word"], values.select("word", "blocks"), "blocks")
     found = found.select("block", "at", *columns)
-    cells = store.spark.read.schema(table.schema).parquet(store.path(name)).select("block", "row", "doc_id", "first", "word", "times")
+    cells = store.spark.read.schema(table.schema).parquet(store.path(name)).where(F.size("row") > 0).select("block", "row", "doc_id", "first", "word", "times")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        get = lambda c: right.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        row, first, word, times = (get(c) for c in ("row", "first", "word", "times"))
         at = left.column("at").to_numpy()
-
-        def value(c: str) -> np.ndarray:
+        placed, parts = {}, []
+        for c in columns:
             x = left.column(c).to_numpy()
-            placed = np.zeros(int(at.max(initial=-1)) + 1, x.dtype)
-            placed[at] = x
-            return placed[word]
-
-        total = {n: _segments(sums[n](times, value), first) for n in names}
-        return pa.table({"row": row, "doc_id": right.column("doc_id").combine_chunks().flatten(), **total})
+            placed[c] = np.zeros(int(at.max(initial=-1)) + 1, x.dtype)
+            placed[c][at] = x
+        for batch in right.to_batches():
+            for i in range(batch.num_rows):
+                row, doc_id, first, word, times = (batch.column(c)[i].values for c in ("row", "doc_id", "first", "word", "times"))
+                first, word, times = first.to_numpy(), word.to_numpy(), times.to_numpy()
+                total = {n: _segments(sums[n](times, lambda c, word=word: placed[c][word]), first) for n in names}
+                parts.append(pa.table({"row": row, "doc_id": doc_id, **total}))
+        return pa.concat_tables(parts)  # a block has documents
 
     summed = found.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(join, f"row long, doc_id long, {made}")
     return summed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(n).alias(n) for n in names])
