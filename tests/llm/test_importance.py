@@ -107,3 +107,16 @@ def test_a_block_of_many_words_leaves_in_bounded_rows(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = importance.resample(docs, aims(spark), percent=50).drop("n_words").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(importance.brute_force(rows, TARGET, percent=50), key=repr)
+
+
+def test_texts_go_to_workers_in_small_batches_and_the_setting_is_left_as_it_was(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def put(self, df, name, *a, f=Store.put):
+        seen.append((name, int(spark.conf.get(key))))
+        return f(self, df, name, *a)
+
+    monkeypatch.setattr(Store, "put", put)
+    before = spark.conf.get(key)
+    importance.weigh(frame(spark), aims(spark)).count()
+    assert dict(seen)["documents"] == word_blocks.BATCH < int(before) == dict(seen)["dictionary"] and spark.conf.get(key) == before

@@ -51,7 +51,7 @@ def weigh(docs: DataFrame, target: DataFrame, order: int = 1, buckets: int = BUC
     """(row, doc_id, n_words, n_features, weight, score) for each row of ``docs``; ``target`` has texts of the wanted kind."""
     store = Store(docs.sparkSession, "importance")
     bucket = F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket")
-    blocks = store.put(B.cut(docs, ALNUM, order, size), "documents", 1)
+    blocks = B.written(store, B.cut(docs, ALNUM, order, size), "documents")
     wanted = B.cut(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), ALNUM, order, size)
     known = store.put(B.dictionary(B.entries(blocks)).select("word", "uses", "blocks", bucket), "dictionary")
     aims = store.put(B.dictionary(B.entries(wanted)).select("uses", bucket), "target")

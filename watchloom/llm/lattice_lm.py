@@ -173,7 +173,7 @@ def score_documents(docs: DataFrame, path: str, learn: Column, components: int =
     store = Store(docs.sparkSession, "lattice")
     group, sizes = group_of(docs, F.coalesce(learn, F.lit(False)), components)
     groups = len(sizes)
-    blocks = store.put(B.cut(docs, SPACED, 1, size, group, groups), "documents", 1)
+    blocks = B.written(store, B.cut(docs, SPACED, 1, size, group, groups), "documents")
     known = store.put(B.dictionary(B.entries(blocks)), "dictionary")
     model = learned(known, path, sizes, rounds)
     made = ", ".join(f"s{g} float" for g in range(groups))

@@ -30,6 +30,7 @@ from watchloom.llm.store import Store
 SIZE = 1 << 24
 STEP = 1 << 20  # bytes of text whose words are found together
 WORDS, CELLS = 1 << 16, 1 << 18  # features and counts in one row of a block
+BATCH = 1000  # texts that go to a worker at once
 SCHEMA = "block long, base int, words array<binary>, row array<long>, doc_id array<long>, first array<int>, word array<int>, times array<int>"
 
 
@@ -162,6 +163,18 @@ def cut(docs: DataFrame, inside: np.ndarray, order: int = 1, size: int = SIZE, g
     return rows.mapInArrow(run, SCHEMA + "".join(f", {c} array<int>" for c in counters))
 
 
+def written(store: Store, table: DataFrame, name: str) -> DataFrame:
+    """The written table of ``cut``. Executors hold a batch of texts outside their heap, and once more while it grows: for this
+    write it has at most ``BATCH`` rows."""
+    conf, key = store.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        return store.put(table, name, 1)
+    finally:
+        conf.set(key, before)
+
+
 def counters(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c == "uses" or c.startswith("uses_")]
 
