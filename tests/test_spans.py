@@ -139,3 +139,29 @@ def test_runs_of_words_leave_in_bounded_batches_and_no_join_runs_twice(spark, mo
     after = len(spark.sparkContext.statusTracker().getJobIdsForGroup("extract"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert after <= 2  # the word counts of the list are read, the join is not run
+
+
+def test_runs_of_words_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """The articles' file is far smaller than its runs of words, and smaller than the list as Spark guesses it."""
+    text = "blue sky over Oslo " * 40
+    spark.createDataFrame([(i, text) for i in range(300)] + [(300, None), (None, "oslo")], "article_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/a")
+    articles = spark.read.parquet(f"{tmp_path}/a")
+    surfaces = spark.createDataFrame([("Oslo", "o"), ("over Oslo blue", "b"), ("sky over", None), (None, "n"), ("Oslo", "o2")], "surface string, entity_id string")
+
+    def found():
+        got = X.gazetteer(articles, surfaces)
+        return got._jdf.queryExecution().executedPlan().toString(), sorted(map(str, got.collect()))
+
+    plan, rows = found()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert len(rows) == 300 * (40 + 40 + 39 + 40) + 2
+    monkeypatch.setattr(X, "LISTED", 0)
+    plan, same = found()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and same == rows
+    assert X.gazetteer(articles, surfaces.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_matches_each_article_once(spark):
+    plan = Q.hybrid_extraction(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("ArrowEvalPython") == 1

@@ -129,6 +129,8 @@ TITLE_WORDS = [
 
 #: Runs of words put out at once.
 RUNS = 1 << 16
+#: A list of surfaces of at most so many bytes goes to every executor whole.
+LISTED = 1 << 22
 MATCH = "array<struct<name:string,start:int,stop:int>>"
 SPAN = "array<struct<name:string,category:string,start:int,stop:int,confidence:double>>"
 #: kind is what the span is (TITLE, COMPOUND_TITLE, ..., PERSON), category the group of patterns or the extractor's class.
@@ -405,12 +407,17 @@ def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
     """The default extractor: words and runs of words of a text that are a surface of the watch list, with offsets.
 
     Joined on the lower-cased text of one, two, or as many consecutive words as some surface has, so the list may be of any
-    size. The word counts of the list are read at once. Runs leave the text cut out, so no row carries the text along, and in
+    size. The word counts of the list and its bytes are read at once. Runs leave the text cut out, so no row carries the text along, and in
     batches of about ``RUNS``, however long the texts are.
+
+    Spark guesses the size of the runs from the articles' file, which can be a thousandth of it, and might collect them in the driver to
+    broadcast them. So the join is settled here: a list of up to ``LISTED`` bytes goes to the runs, else both sides are shuffled and sorted.
     """
     word = r"[\p{L}\p{N}]+"
-    counts = surfaces.select(F.size(F.regexp_extract_all("surface", F.lit(word), F.lit(0))).alias("n")).where("n > 2").distinct().collect()
-    sizes = sorted({1, 2} | {r.n for r in counts})
+    n = F.size(F.regexp_extract_all("surface", F.lit(word), F.lit(0)))
+    size = F.octet_length("surface") + F.coalesce(F.octet_length(F.col("entity_id").cast("string")), F.lit(0)) + 64
+    told = surfaces.agg(F.collect_set(F.when(n > 2, n)).alias("counts"), F.sum(size).alias("bytes")).first()
+    sizes = sorted({1, 2, *told.counts})
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -434,4 +441,5 @@ def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
     a = articles.select("article_id", F.col("text").cast("string").alias("text"))
     named = spread(a).mapInArrow(runs, f"article_id {a.schema['article_id'].dataType.simpleString()}, name string, position int")
     s = surfaces.select(F.lower("surface").alias("_s"), "entity_id")
+    s = s.hint("broadcast" if (told.bytes or 0) <= LISTED else "merge")
     return named.join(s, F.lower("name") == F.col("_s")).select("article_id", "name", "position", "entity_id")
