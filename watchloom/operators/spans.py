@@ -410,7 +410,7 @@ def gazetteer(articles: DataFrame, surfaces: DataFrame) -> DataFrame:
     size. The word counts of the list and its bytes are read at once. Runs leave the text cut out, so no row carries the text along, and in
     batches of about ``RUNS``, however long the texts are.
 
-    Spark guesses the size of the runs from the articles' file, which can be a thousandth of it, and might collect them in the driver to
+    Spark guesses the size of the runs from the articles' file, which can be hundreds of times smaller, and might collect them in the driver to
     broadcast them. So the join is settled here: a list of up to ``LISTED`` bytes goes to the runs, else both sides are shuffled and sorted.
     """
     word = r"[\p{L}\p{N}]+"
